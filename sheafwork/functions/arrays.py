@@ -86,12 +86,13 @@ def unmask_labels(ids: Column, pad: int) -> Column:
     return F.transform(ids, lambda x: F.when(x == IGNORE, F.lit(pad)).otherwise(x))
 
 
-def append_suffix(ids: Column, suffix) -> Column:
-    return F.concat(ids, ints(suffix))
+def append_suffix(ids: Column, suffix: Column) -> Column:
+    """The suffix goes after the pads, at the same place in every row."""
+    return F.concat(ids, suffix)
 
 
-def extend_mask(mask: Column, n: int) -> Column:
-    return F.concat(mask, ints([1] * n))
+def extend_mask(mask: Column, n: Column) -> Column:
+    return F.concat(mask, repeat(1, n))
 
 
 def join_sequences(first: Column, second: Column) -> Column:

@@ -123,12 +123,17 @@ def _translate_by_join(
     hot element is spread over ``SALTS`` join keys.
     """
     sources = list(columns)
-    tagged = [
-        F.transform(F.col(c), lambda e, p, n=n: F.struct(F.lit(n).alias("col"), p.alias("pos"), e.alias("source")))
-        for n, c in enumerate(sources)
-    ]
-    present = [F.coalesce(t, F.filter(t, lambda _: F.lit(False))) for t in tagged]
-    elements = df.select(*key, F.explode(F.concat(*present) if len(present) > 1 else present[0]).alias("e")).select(
+    empty = F.array().cast(f"array<{out_type}>")
+
+    def tagged(n: int) -> Column:
+        return F.transform(
+            F.col(sources[n]), lambda e, p: F.struct(F.lit(n).alias("col"), p.alias("pos"), e.alias("source"))
+        )
+
+    def untagged(n: int) -> Column:
+        return F.transform(F.filter("all", lambda r: r["col"] == n), lambda r: r["v"])
+
+    elements = df.select(*key, F.explode(F.flatten(F.array_compact(F.array(*map(tagged, range(len(sources))))))).alias("e")).select(
         *key, "e.*", F.pmod(F.xxhash64(*key, "e.pos"), F.lit(SALTS)).cast("int").alias("salt")
     )
     salted = mapping.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -137,16 +142,10 @@ def _translate_by_join(
         .groupBy(*key)
         .agg(F.array_sort(F.collect_list(F.struct("col", "pos", F.coalesce("target", default).alias("v")))).alias("all"))
     )
-    found = grouped.select(
-        *key,
-        *[
-            F.transform(F.filter("all", lambda r, n=n: r["col"] == n), lambda r: r["v"]).alias(f"__{n}")
-            for n in range(len(sources))
-        ],
-    )
+    found = grouped.select(*key, *[untagged(n).alias(f"__{n}") for n in range(len(sources))])
     out = df.join(found, list(key), "left")
-    empty = F.array().cast(f"array<{out_type}>")
     for n, source in enumerate(sources):
+        # a row without elements has no group; a null array stays null
         value = F.when(F.col(source).isNotNull(), F.coalesce(F.col(f"__{n}"), empty))
         out = out.withColumn(columns[source], value)
     return out.drop(*[f"__{n}" for n in range(len(sources))])

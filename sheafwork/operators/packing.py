@@ -20,7 +20,7 @@ def _cut_blocks(df: DataFrame, block_size: int, groups: Sequence[str], order: st
     first = F.floor(start / block_size)
     last = F.floor((start + size - 1) / block_size)
     slices = df.where(size > 0).select(
-        *groups, order, offset, ids, F.explode(F.sequence(first, last)).cast("bigint").alias("block_id")
+        *groups, order, offset, ids, F.explode(F.sequence(first, last)).alias("block_id")
     )
     begin = F.greatest(F.col("block_id") * block_size, start)
     end = F.least((F.col("block_id") + 1) * block_size, start + size)

@@ -36,21 +36,20 @@ def build_clm_table(
     pads. Labels copy the ids; the two options turn pads or the whole prompt into ignored
     labels.
     """
-    pairs = filters.drop_incomplete_pairs(df)
-    suffix_row = df.sparkSession.range(1).select(tokenizer(F.lit(suffix)).alias("tokens"), F.col("id").alias(ID))
-    suffix_ids = encoding.encode(suffix_row, vocab, {"tokens": "ids"}).first()["ids"]
-    room = max_input - len(suffix_ids)
-    if room < 0:
-        raise ValueError("the suffix is longer than the input")
     prompt = titled_prompt(F.col("title"), F.col("text"), F.lit(prefix))
-    cut = pairs.select(
+    # the suffix tokens are a folded constant; encoding them with the row needs no extra job
+    suffix_tokens = tokenizer(F.lit(suffix))
+    room = F.lit(max_input) - F.size(suffix_tokens)
+    cut = filters.drop_incomplete_pairs(df).select(
         ID,
-        arrays.truncate(tokenizer(prompt), room).alias("input_tokens"),
+        F.slice(tokenizer(prompt), F.lit(1), room).alias("input_tokens"),
+        suffix_tokens.alias("suffix_tokens"),
         arrays.truncate(tokenizer(F.col("summary")), max_target).alias("target_tokens"),
     )
-    encoded = encoding.encode(cut, vocab, {"input_tokens": "input_part", "target_tokens": "target_part"})
-    source, target = F.col("input_part"), F.col("target_part")
-    source_mask = arrays.extend_mask(arrays.attention_mask(F.size(source), room, side), len(suffix_ids))
+    parts = {"input_tokens": "input_part", "suffix_tokens": "suffix_part", "target_tokens": "target_part"}
+    encoded = encoding.encode(cut, vocab, parts)
+    source, suffix_ids, target = F.col("input_part"), F.col("suffix_part"), F.col("target_part")
+    source_mask = arrays.extend_mask(arrays.attention_mask(F.size(source), room, side), F.size(suffix_ids))
     padded = arrays.append_suffix(arrays.pad_to(source, room, encoding.PAD, side), suffix_ids)
     joined = encoded.select(
         ID,
@@ -144,7 +143,7 @@ def build_multiple_choice_table(
         ID,
         "label",
         tokenizer(F.col("context")).alias("context_tokens"),
-        F.transform("endings", tokenizer).alias("ending_tokens"),
+        F.transform("endings", lambda e: tokenizer(e)).alias("ending_tokens"),
     ).withColumns(
         {
             "context_tokens": F.slice("context_tokens", 1, budget),

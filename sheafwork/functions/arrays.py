@@ -58,9 +58,13 @@ def _padded(values: Column, fill: Column, side: str) -> Column:
     return F.concat(fill, values) if side == "left" else F.concat(values, fill)
 
 
+def pad_by(ids: Column, pads: Column, pad: int, side: str = "right") -> Column:
+    return _padded(ids, repeat(pad, pads), side)
+
+
 def pad_to(ids: Column, length: Column | int, pad: int, side: str = "right") -> Column:
     length = F.lit(length) if isinstance(length, int) else length
-    return _padded(ids, repeat(pad, length - F.size(ids)), side)
+    return pad_by(ids, length - F.size(ids), pad, side)
 
 
 def attention_mask(n_real: Column, length: Column | int, side: str = "right") -> Column:

@@ -20,18 +20,28 @@ def explode_choices(df: DataFrame, endings: str = "endings") -> DataFrame:
 
 
 def pair_features(
-    context_ids: Column, ending_ids: Column, max_len: int, seps: int = 1, type_ids: bool = True, side: str = "right"
+    context_ids: Column,
+    ending_ids: Column,
+    n_context: Column,
+    n_ending: Column,
+    max_len: int,
+    seps: int = 1,
+    type_ids: bool = True,
+    side: str = "right",
 ) -> Column:
-    """struct of padded ids, mask and type ids for begin context sep ending end."""
-    cut = arrays.truncate_pair(context_ids, ending_ids, max_len - 2 - seps)
-    n_context, n_ending = F.size(cut["a"]) + 1 + seps, F.size(cut["b"]) + 1
-    ids = arrays.add_pair_special_tokens(cut["a"], cut["b"], BOS, SEP, EOS, seps)
+    """struct of padded ids, mask and type ids for begin context sep ending end.
+
+    Both sides come cut already, with their lengths, so that no cut is worked out twice.
+    """
+    first, second = n_context + 1 + seps, n_ending + 1
+    ids = arrays.add_pair_special_tokens(context_ids, ending_ids, BOS, SEP, EOS, seps)
+    pads = F.lit(max_len) - first - second
     fields = [
-        arrays.pad_to(ids, max_len, PAD, side).alias("input_ids"),
-        arrays.attention_mask(n_context + n_ending, max_len, side).alias("attention_mask"),
+        arrays.pad_by(ids, pads, PAD, side).alias("input_ids"),
+        arrays.attention_mask(first + second, max_len, side).alias("attention_mask"),
     ]
     if type_ids:
-        fields.append(arrays.token_type_ids(n_context, n_ending, max_len).alias("token_type_ids"))
+        fields.append(arrays.token_type_ids(first, second, max_len).alias("token_type_ids"))
     return F.struct(*fields)
 
 
@@ -39,8 +49,11 @@ def encode_choices(
     df: DataFrame, max_len: int, context: str = "context_ids", ending: str = "ending_ids", seps: int = 1
 ) -> DataFrame:
     """Pair features of exploded rows whose two sides are encoded already."""
-    out = df.withColumn("__pair", pair_features(F.col(context), F.col(ending), max_len, seps))
-    return out.withColumns({f: F.col("__pair")[f] for f in FEATURES}).drop("__pair", context, ending)
+    keep = arrays.pair_cuts(F.size(context), F.size(ending), max_len - 2 - seps)
+    a, b = F.col("__keep")["a"], F.col("__keep")["b"]
+    pair = pair_features(F.slice(context, F.lit(1), a), F.slice(ending, F.lit(1), b), a, b, max_len, seps)
+    out = df.withColumn("__keep", keep).withColumn("__pair", pair)
+    return out.withColumns({f: F.col("__pair")[f] for f in FEATURES}).drop("__keep", "__pair", context, ending)
 
 
 def regroup_choices(df: DataFrame, key: str = "example_id", carry: Sequence[str] = ("label",)) -> DataFrame:

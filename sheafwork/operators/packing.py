@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafwork.operators.sampling import id_bucket, running_offsets
+from sheafwork.operators.sampling import id_bucketed, running_start
 
 
 def _cut_blocks(df: DataFrame, block_size: int, groups: Sequence[str], order: str, ids: str, offset: str) -> DataFrame:
@@ -39,7 +39,10 @@ def _cut_blocks(df: DataFrame, block_size: int, groups: Sequence[str], order: st
 def pack_blocks(
     df: DataFrame, block_size: int, batch: str = "batch_id", order: str = "example_id", ids: str = "input_ids"
 ) -> DataFrame:
-    """Blocks within each map batch. The batch window and the regroup share one shuffle."""
+    """Blocks within each map batch, which is bounded by its number of rows.
+
+    The batch window and the regroup share one shuffle.
+    """
     earlier = Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     placed = df.select(batch, order, ids).withColumn(
         "__offset", F.coalesce(F.sum(F.size(ids)).over(earlier), F.lit(0)).cast("bigint")
@@ -47,13 +50,15 @@ def pack_blocks(
     return _cut_blocks(placed, block_size, [batch], order, ids, "__offset")
 
 
-def pack_blocks_global(df: DataFrame, block_size: int, order: str = "example_id", ids: str = "input_ids") -> DataFrame:
-    """Blocks over the whole table as one stream: bucket totals, then offsets per bucket."""
-    rows = df.select(order, ids).withColumn("__bucket", id_bucket(df, order))
-    sizes = rows.select("__bucket", F.size(ids).alias("__size"))
-    offsets = running_offsets(sizes, "__bucket", F.col("__size")).drop("total")
-    earlier = Window.partitionBy("__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(F.broadcast(offsets), "__bucket").withColumn(
-        "__offset", (F.col("offset") + F.coalesce(F.sum(F.size(ids)).over(earlier), F.lit(0))).cast("bigint")
-    )
-    return _cut_blocks(placed, block_size, [], order, ids, "__offset")
+def pack_blocks_global(
+    df: DataFrame, block_size: int, order: str = "example_id", ids: str = "input_ids", length: Column | None = None
+) -> DataFrame:
+    """Blocks over the whole table as one stream, by the running total of row lengths.
+
+    Only (``order``, length) is sorted; the arrays join the finished offsets. ``length``
+    may give the number of ids without making them, so that they are made once.
+    """
+    size = F.size(ids) if length is None else length
+    narrow = id_bucketed(df.select(order, size.alias("__size")), order)
+    offsets = running_start(narrow, order, F.col("__size")).select(order, F.col("start").alias("__offset"))
+    return _cut_blocks(df.select(order, ids).join(offsets, order), block_size, [], order, ids, "__offset")

@@ -1,17 +1,36 @@
 """Global row positions, and the shards and batches cut from them.
 
-A row number over a whole table would sort it in one task. Here the sort key is cut into
-buckets, the buckets are counted (one row each), their running totals are broadcast, and
-rows are numbered inside their bucket only.
+A row number over a whole table would sort it in one task. Here the key column alone is
+cut into buckets, the buckets are counted (one row each), their running totals are
+broadcast, and keys are numbered inside their bucket only. Other columns never enter that
+sort: they are joined to the finished positions by key.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_DIGITS = 3  # 16**3 = 4096 buckets of the md5 order
-ID_BUCKETS = 512
+BUCKETS = 4096  # bounds the broadcast totals; 16**HASH_DIGITS for the md5 order
+HASH_DIGITS = 3
+
+
+def id_bucketed(df: DataFrame, key: str, out: str = "__bucket", buckets: int = BUCKETS) -> DataFrame:
+    """Add an order-preserving bucket of a numeric key, cut at its approximate quantiles.
+
+    The cuts are a fixed number of values, read by one aggregate over the key column. They
+    only balance the buckets, also for ids that lie in clusters: positions are exact
+    wherever the cuts fall.
+    """
+    shares = F.split(F.lit(",".join(str(i / buckets) for i in range(1, buckets))), ",").cast("array<double>")
+    quantiles = df.select(F.percentile_approx(key, shares, 4 * buckets).alias("q")).first()["q"] or []
+    cuts = sorted({float(q) for q in quantiles})
+    if not cuts:
+        return df.withColumn(out, F.lit(0.0))
+    splits = [float("-inf"), *cuts, float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="__cut_by", outputCol=out)
+    return cut.transform(df.withColumn("__cut_by", F.col(key).cast("double"))).drop("__cut_by")
 
 
 def running_offsets(df: DataFrame, bucket: str, amount: Column) -> DataFrame:
@@ -29,43 +48,36 @@ def running_offsets(df: DataFrame, bucket: str, amount: Column) -> DataFrame:
     )
 
 
-def id_bucket(df: DataFrame, key: str, buckets: int = ID_BUCKETS) -> Column:
-    """Order-preserving bucket of a numeric key, with edges at its approximate quantiles.
+def running_start(narrow: DataFrame, order: str, amount: Column, bucket: str = "__bucket") -> DataFrame:
+    """Add ``start``, the sum of ``amount`` over all rows before this one, and ``total``."""
+    offsets = running_offsets(narrow, bucket, amount)
+    earlier = Window.partitionBy(bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(amount).over(earlier), F.lit(0))
+    placed = narrow.join(F.broadcast(offsets), bucket).withColumn("start", (F.col("offset") + inside).cast("bigint"))
+    return placed.drop(bucket, "offset")
 
-    The edges are a fixed number of values, read by one aggregate over the key column.
-    They only balance the buckets: positions are exact wherever the edges lie.
-    """
-    shares = [i / buckets for i in range(1, buckets)]
-    edges = df.select(F.percentile_approx(key, shares, 10 * buckets).alias("edges")).first()["edges"] or []
-    cuts = F.array(*[F.lit(e) for e in sorted(set(edges))]).cast(f"array<{df.schema[key].dataType.simpleString()}>")
-    return F.size(F.filter(cuts, lambda e: e <= F.col(key)))
 
+def _positions(df: DataFrame, narrow: DataFrame, key: str, order: str, out: str, total: str | None) -> DataFrame:
+    placed = running_start(narrow, order, F.lit(1))
+    named = [F.col("start").alias(out)] + ([F.col("total").alias(total)] if total else [])
+    ranked = placed.select(key, *named)
+    return ranked if df.columns == [key] else df.join(ranked, key)
 
-def global_position(df: DataFrame, key: str, bucket: Column, out: str = "position", total: str | None = None) -> DataFrame:
-    """Zero-based rank of each row by ``key``; ``bucket`` must not decrease along ``key``.
 
-    ``key`` must be unique for the order to be reproducible.
-    """
-    tagged = df.withColumn("__bucket", bucket)
-    offsets = running_offsets(tagged.select("__bucket"), "__bucket", F.lit(1))
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(key))
-    numbered = tagged.join(F.broadcast(offsets), "__bucket").withColumn(out, F.col("offset") + inside - 1)
-    if total is not None:
-        numbered = numbered.withColumn(total, F.col("total"))
-    return numbered.drop("__bucket", "offset", "total") if total != "total" else numbered.drop("__bucket", "offset")
-
-
-def position_by_id(df: DataFrame, key: str = "example_id", out: str = "position", total: str | None = None) -> DataFrame:
-    return global_position(df, key, id_bucket(df, key), out, total)
+def position_by_id(
+    df: DataFrame, key: str = "example_id", out: str = "position", total: str | None = None, buckets: int = BUCKETS
+) -> DataFrame:
+    """Zero-based rank of each row by ``key``, which must identify a row; ``total`` adds the row count."""
+    return _positions(df, id_bucketed(df.select(key), key, buckets=buckets), key, key, out, total)
 
 
 def shuffle(
     df: DataFrame, seed: int, key: str = "example_id", out: str = "position", total: str | None = None
 ) -> DataFrame:
-    """Reproducible permutation: rank by the md5 of seed and id."""
-    hashed = df.withColumn("__hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
-    bucket = F.substring("__hash", 1, HASH_DIGITS)
-    return global_position(hashed, "__hash", bucket, out, total).drop("__hash")
+    """Reproducible permutation: rank by the md5 of seed and id, whose prefix is an even bucket."""
+    hashed = df.select(key, F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))).alias("__hash"))
+    narrow = hashed.withColumn("__bucket", F.substring("__hash", 1, HASH_DIGITS))
+    return _positions(df, narrow, key, "__hash", out, total)
 
 
 def assign_shard(df: DataFrame, world: int, position: str = "position") -> DataFrame:

@@ -7,7 +7,7 @@ drop are cut before the lookup.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafwork.functions import arrays
@@ -157,13 +157,21 @@ def build_multiple_choice_table(
     starts = F.transform(
         "sizes", lambda n, i: F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0), lambda a, x: a + x)
     )
-    placed = encoded.select(ID, "label", "context_ids", "all_ids", F.arrays_zip(starts.alias("at"), "sizes").alias("cuts"))
-    features = F.transform(
-        "cuts",
-        lambda c: choices.pair_features(
-            F.col("context_ids"), F.slice("all_ids", c["at"] + 1, c["sizes"]), max_len, seps
-        ),
+    cuts = F.zip_with(
+        starts,
+        "sizes",
+        lambda at, n: F.struct(at.alias("at"), arrays.pair_cuts(F.col("n_context"), n, budget).alias("keep")),
     )
+    placed = encoded.withColumn("n_context", F.size("context_ids")).select(
+        ID, "label", "context_ids", "all_ids", cuts.alias("cuts")
+    )
+
+    def pair(cut: Column) -> Column:
+        a, b = cut["keep"]["a"], cut["keep"]["b"]
+        context, ending = F.slice("context_ids", F.lit(1), a), F.slice("all_ids", cut["at"] + 1, b)
+        return choices.pair_features(context, ending, a, b, max_len, seps)
+
+    features = F.transform("cuts", pair)
     return placed.select(ID, features.alias("choices"), "label").select(
         ID, *[F.col("choices")[f].alias(f) for f in choices.FEATURES], "label"
     )

@@ -89,14 +89,17 @@ def packed_sql(batch: str) -> str:
 
 @query("q7_pack_blocks", packed_sql("(position // 100)::BIGINT").format("batch_id,"))
 def pack_blocks(spark, sf_dir):
-    """Blocks of 256 ids within map batches of 100 rows."""
-    placed = sampling.position_by_id(doc_ids(spark, sf_dir))
-    return packing.pack_blocks(sampling.assign_batch(placed, 100, "position"), 256, ids="ids")
+    """Blocks of 256 ids within map batches of 100 rows, which are placed before encoding."""
+    placed = sampling.assign_batch(sampling.position_by_id(doc_tokens(spark, sf_dir)), 100, "position")
+    encoded = encoding.encode(placed, corpus.vocabulary(spark, sf_dir), {"tokens": "input_ids"})
+    return packing.pack_blocks(encoded, 256)
 
 
 @query("q7_pack_blocks_global", packed_sql("0").format(""))
 def pack_blocks_global(spark, sf_dir):
-    return packing.pack_blocks_global(doc_ids(spark, sf_dir), 256, ids="ids")
+    tokens = doc_tokens(spark, sf_dir).withColumn("n", F.size("tokens"))
+    encoded = encoding.encode(tokens, corpus.vocabulary(spark, sf_dir), {"tokens": "input_ids"})
+    return packing.pack_blocks_global(encoded, 256, length=F.col("n"))
 
 
 MAX_INPUT, MAX_TARGET = 896, 128

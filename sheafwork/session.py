@@ -8,7 +8,10 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-_shipped: set[str] = set()
+# Whole documents are long rows, so fewer of them go into one Arrow batch than by default.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_ready: set[str] = set()
 
 
 def local_session(name: str, cores: int | str = "*", partitions: int = 8, memory: str = "16g") -> SparkSession:
@@ -25,15 +28,18 @@ def local_session(name: str, cores: int | str = "*", partitions: int = 8, memory
     )
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, for the Arrow functions.
+def prepare(spark: SparkSession) -> None:
+    """Once per application: send this package to the executors and bound the Arrow batches.
 
-    A job submitted with ``--py-files`` has it there already; sending it again is harmless.
+    A job submitted with ``--py-files`` has the package there already; sending it again is
+    harmless. A batch size that the session sets itself is left alone.
     """
     app = spark.sparkContext.applicationId
-    if app in _shipped:
+    if app in _ready:
         return
     root = Path(__file__).resolve().parent
     archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='sheafwork-')}/sheafwork", "zip", root.parent, root.name)
     spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
+    if spark.conf.get(_BATCH_SETTING) == "10000":
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    _ready.add(app)

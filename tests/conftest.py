@@ -6,7 +6,7 @@ import pytest
 
 sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
 
-from sheafwork.session import local_session, ship_package  # noqa: E402
+from sheafwork.session import local_session, prepare  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -15,7 +15,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     session = local_session("tests", 8, 4, "8g")
     session.sparkContext.setLogLevel("ERROR")
-    ship_package(session)
+    prepare(session)
     yield session
     session.stop()
 

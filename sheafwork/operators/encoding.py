@@ -13,13 +13,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafwork.functions import arrays
+from sheafwork.functions.lists import ends, flat, regroup
 from sheafwork.functions.text import ColumnFn, clean_decoded, words
 
 # Special tokens, which take the first ids in this order.
@@ -86,13 +86,11 @@ class Codec:
         @F.arrow_udf(f"array<{out_type}>")
         def look_up(rows: pa.Array) -> pa.Array:
             entries = table.value
-            at = pc.index_in(rows.flatten(), value_set=entries.column(source))
+            at = pc.index_in(flat(rows), value_set=entries.column(source))
             found = entries.column(target).take(at)
             if default is not None:
                 found = pc.fill_null(found, pa.scalar(default, found.type))
-            lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
-            return pa.ListArray.from_arrays(offsets, found, mask=rows.is_null() if rows.null_count else None)
+            return regroup(found, ends(rows), rows.is_null() if rows.null_count else None)
 
         return look_up
 

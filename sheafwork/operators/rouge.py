@@ -8,12 +8,15 @@ and the per-pair aggregate - groups by the same key and adds no further shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheafwork.functions.lists import ends, flat, regroup
 from sheafwork.functions.scores import precision_recall_f1
 from sheafwork.functions.text import ColumnFn, rouge_tokens, split_sentences
 
@@ -32,16 +35,16 @@ def ngrams(tokens: Column, n: int) -> Column:
     return grams
 
 
-def _positions(tokens: Iterable[str], wanted: set[str]) -> dict[str, int]:
+def _positions(tokens: Iterable[int], wanted: set[int]) -> dict[int, int]:
     """token -> bit set of its positions, for the wanted tokens."""
-    bits: dict[str, int] = {}
+    bits: dict[int, int] = {}
     for i, token in enumerate(tokens):
         if token in wanted:
             bits[token] = bits.get(token, 0) | (1 << i)
     return bits
 
 
-def lcs_size(a: Sequence[str], b: Sequence[str]) -> int:
+def lcs_size(a: Sequence[int], b: Sequence[int]) -> int:
     """Length of the longest common subsequence, one table row per machine-word step.
 
     A row of the usual table is kept as a bit set whose zeros mark where the length grows
@@ -60,7 +63,7 @@ def lcs_size(a: Sequence[str], b: Sequence[str]) -> int:
     return len(b) - row.bit_count()
 
 
-def lcs_positions(pred: Sequence[str], ref: Sequence[str]) -> set[int]:
+def lcs_positions(pred: Sequence[int], ref: Sequence[int]) -> set[int]:
     """Reference positions on one longest common subsequence.
 
     Walks back from the end: equal tokens go diagonally; otherwise a step back in the
@@ -86,9 +89,9 @@ def lcs_positions(pred: Sequence[str], ref: Sequence[str]) -> set[int]:
     return found
 
 
-def union_tokens(pred_sentences: Sequence[Sequence[str]], ref_sentences: Sequence[Sequence[str]]) -> list[str]:
+def union_tokens(pred_sentences: Sequence[Sequence[int]], ref_sentences: Sequence[Sequence[int]]) -> list[int]:
     """Tokens at the reference positions that any predicted sentence shares, per sentence."""
-    out: list[str] = []
+    out: list[int] = []
     for ref in ref_sentences:
         tokens, covered = set(ref), set()
         for pred in pred_sentences:
@@ -98,14 +101,34 @@ def union_tokens(pred_sentences: Sequence[Sequence[str]], ref_sentences: Sequenc
     return out
 
 
+def _cut(items: list, lists: pa.Array) -> list[list]:
+    """``items`` in consecutive pieces as long as the lists."""
+    stops = ends(lists).tolist()
+    return [items[start:stop] for start, stop in zip([0, *stops], stops)]
+
+
+def _coded(pred: pa.Array, ref: pa.Array) -> tuple[list[list[int]], list[list[int]], pa.Array]:
+    """Token lists of both sides as numbers into one dictionary per batch."""
+    words = flat(pred)
+    coded = pa.concat_arrays([words, flat(ref)]).dictionary_encode()
+    numbers = coded.indices.to_numpy().tolist()
+    return _cut(numbers[: len(words)], pred), _cut(numbers[len(words) :], ref), coded.dictionary
+
+
 @F.arrow_udf(T.IntegerType())
 def lcs_length(pred: pa.Array, ref: pa.Array) -> pa.Array:
-    return pa.array([lcs_size(p.as_py(), r.as_py()) for p, r in zip(pred, ref)], pa.int32())
+    """Of token lists."""
+    preds, refs, _ = _coded(pred, ref)
+    return pa.array(map(lcs_size, preds, refs), pa.int32())
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def union_lcs(pred: pa.Array, ref: pa.Array) -> pa.Array:
-    return pa.array([union_tokens(p.as_py(), r.as_py()) for p, r in zip(pred, ref)], pa.list_(pa.string()))
+    """Of lists of sentences, each a token list."""
+    pred_sentences, ref_sentences, words = _coded(flat(pred), flat(ref))
+    found = list(map(union_tokens, _cut(pred_sentences, pred), _cut(ref_sentences, ref)))
+    taken = words.take(pa.array(chain.from_iterable(found), pa.int64()))
+    return regroup(taken, np.cumsum([len(f) for f in found], dtype=np.int64))
 
 
 def _gram_rows(grams: Column, n: int, pred: int, ref: int, union: int) -> Column:
@@ -126,6 +149,38 @@ def _order(name: str) -> int | None:
     raise ValueError(f"unknown ROUGE key {name!r}")
 
 
+def _count_overlap(
+    measured: DataFrame, id_cols: Sequence[str], orders: Sequence[int], tokens: ColumnFn, by_union: bool
+) -> DataFrame:
+    """Token counts and clipped hits per pair, from rows (pair, n, gram) of both sides.
+
+    The row with n = 0 carries the token counts and the subsequence length; it also keeps
+    a pair without any gram alive.
+    """
+    placed = measured.repartition(*id_cols).withColumns({"pt": tokens(F.col("pred")), "rt": tokens(F.col("ref"))})
+    carried = {"n": F.lit(0), "gram": F.lit(""), "p": F.size("pt"), "r": F.size("rt"), "u": F.col("lcs")}
+    rows = [F.array(F.struct(*[c.alias(name) for name, c in carried.items()]))]
+    for n in orders:
+        rows += [_gram_rows(ngrams(F.col("pt"), n), n, 1, 0, 0), _gram_rows(ngrams(F.col("rt"), n), n, 0, 1, 0)]
+    if by_union:
+        rows.append(_gram_rows(F.col("ut"), 1, 0, 0, 1))
+    grams = (
+        placed.select(*id_cols, F.inline(F.concat(*rows)))
+        .groupBy(*id_cols, "n", "gram")
+        .agg(*[F.sum(c).alias(c) for c in ("p", "r", "u")])
+    )
+
+    def total(n: int, value: Column) -> Column:
+        return F.sum(F.when(F.col("n") == n, value).otherwise(0))
+
+    p, r, u = F.col("p"), F.col("r"), F.col("u")
+    totals = {"n_pred": total(0, p), "n_ref": total(0, r), "hitsL": total(0, u)}
+    totals |= {f"hits{n}": total(n, F.least(p, r)) for n in orders}
+    if by_union:
+        totals["hitsLsum"] = total(1, F.least(p, r, u))
+    return grams.groupBy(*id_cols).agg(*[c.alias(name) for name, c in totals.items()])
+
+
 def rouge_pairs(
     pairs: DataFrame,
     keys: Sequence[str] = KEYS,
@@ -144,8 +199,10 @@ def rouge_pairs(
     """
     if use_stemmer:
         raise NotImplementedError("stemming is off by default and not available")
-    orders = sorted({n for n in map(_order, keys) if n} | {1})
+    orders = sorted({n for n in map(_order, keys) if n})
     by_subsequence, by_union = "rougeL" in keys, "rougeLsum" in keys
+    if by_union and 1 not in orders:
+        orders = [1, *orders]
 
     def tokens(text: Column) -> Column:
         return rouge_tokens(text, normalizer, tokenizer)
@@ -158,40 +215,18 @@ def rouge_pairs(
     if by_union:
         sentences = [F.transform(split_sentences(text), tokens) for text in (p_text, r_text)]
         found.append(union_lcs(*sentences).alias("ut"))
-    measured = (
-        texts.select(*id_cols, "pred", "ref", *found)
-        .repartition(*id_cols)
-        .withColumns({"pt": tokens(p_text), "rt": tokens(r_text)})
-    )
-    # one row without a gram carries the subsequence length and keeps empty pairs alive
-    carrier = F.array(
-        F.struct(F.lit(0).alias("n"), F.lit("").alias("gram"), F.col("lcs").alias("p"), F.lit(0).alias("r"), F.lit(0).alias("u"))
-    )
-    rows = [carrier]
-    for n in orders:
-        rows += [_gram_rows(ngrams(F.col("pt"), n), n, 1, 0, 0), _gram_rows(ngrams(F.col("rt"), n), n, 0, 1, 0)]
-    if by_union:
-        rows.append(_gram_rows(F.col("ut"), 1, 0, 0, 1))
-    grams = (
-        measured.select(*id_cols, F.inline(F.concat(*rows)))
-        .groupBy(*id_cols, "n", "gram")
-        .agg(*[F.sum(c).alias(c) for c in ("p", "r", "u")])
-    )
-
-    def total(n: int, value: Column) -> Column:
-        return F.sum(F.when(F.col("n") == n, value).otherwise(0))
-
-    p, r, u = F.col("p"), F.col("r"), F.col("u")
-    totals = {}
-    for n in orders:
-        totals |= {f"hits{n}": total(n, F.least(p, r)), f"pred{n}": total(n, p), f"ref{n}": total(n, r)}
-    totals |= {"hitsL": total(0, p), "hitsLsum": total(1, F.least(p, r, u))}
-    per_pair = grams.groupBy(*id_cols).agg(*[c.alias(name) for name, c in totals.items()])
+    if orders:
+        per_pair = _count_overlap(texts.select(*id_cols, "pred", "ref", *found), id_cols, orders, tokens, by_union)
+    else:
+        # lengths and the subsequence are known where the pair was read: nothing to count
+        sizes = {"n_pred": F.size(tokens(p_text)), "n_ref": F.size(tokens(r_text)), "hitsL": F.col("lcs")}
+        per_pair = texts.select(*id_cols, "pred", "ref", *found).withColumns(sizes)
 
     columns = []
     for key in keys:
-        n = _order(key) or 1
-        scored = precision_recall_f1(F.col(f"hits{key[5:]}"), F.col(f"pred{n}"), F.col(f"ref{n}"))
+        shorter = (_order(key) or 1) - 1  # a side has that many n-grams less than tokens
+        n_pred, n_ref = (F.greatest(F.col(c) - shorter, F.lit(0)) for c in ("n_pred", "n_ref"))
+        scored = precision_recall_f1(F.col(f"hits{key[5:]}"), n_pred, n_ref)
         columns += [scored[s].alias(f"{key}_{s}") for s in SCORES]
     return per_pair.select(*id_cols, *columns)
 

@@ -63,6 +63,14 @@ def test_decode_both_ways(spark, docs, bound):
     assert {r["example_id"]: r["back"] for r in out.collect()} == {1: "b a a c", 2: "c d b a", 3: "", 4: "zz a", 5: None}
 
 
+@pytest.mark.parametrize("bound", [encoding.MAX_LOOKUP_ROWS, 0])
+def test_encode_rows_without_tokens(spark, bound):
+    df = spark.createDataFrame([(1, []), (2, None)], "example_id bigint, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 5)], "token string, id int")
+    out = encoding.decode(encoding.encode(df, vocab, {"tokens": "ids"}, max_lookup_rows=bound), vocab, {"ids": "text"})
+    assert [(r["ids"], r["text"]) for r in out.orderBy("example_id").collect()] == [([], ""), (None, None)]
+
+
 def test_encode_by_join_spreads_a_hot_token(spark):
     df = spark.range(50).select(
         F.col("id").alias("example_id"), F.array_repeat(F.lit("hot"), 40).alias("tokens")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,3 +137,43 @@ def multi_hot(targets: Column, num_labels: int) -> Column:
 
 def sequence_length(ids: Column) -> Column:
     return F.size(ids)
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once per row, also where a lambda reads it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def repeats(values: Column) -> Column:
+    """One tag per second and later occurrence of a string: the string and its number.
+
+    Sorted, equal strings stand together; a run from one start to the next has as many
+    occurrences as its length. Linear after the sort.
+    """
+
+    def of_sorted(ordered: Column) -> Column:
+        starts = F.transform(ordered, lambda x, i: F.when((i == 0) | (x != F.get(ordered, i - 1)), i))
+
+        def of_runs(start: Column) -> Column:
+            def later(at: Column, k: Column) -> Column:
+                length = F.coalesce(F.get(start, k + 1), F.size(ordered)) - at
+                tag = F.transform(
+                    F.sequence(F.lit(2), length),
+                    lambda j: F.concat(F.get(ordered, at), F.lit("\u0001"), j.cast("string")),
+                )
+                return F.when(length > 1, tag)
+
+            return F.flatten(F.array_compact(F.transform(start, later)))
+
+        return bind(F.array_compact(starts), of_runs)
+
+    return bind(F.sort_array(values), of_sorted)
+
+
+def multiset_overlap(a: Column, b: Column) -> Column:
+    """Sum over distinct strings of the smaller of the two counts.
+
+    Every common string counts once, and every number of repeat that both sides reach once
+    more. Both intersections are hash based.
+    """
+    return F.size(F.array_intersect(a, b)) + F.size(F.array_intersect(repeats(a), repeats(b)))

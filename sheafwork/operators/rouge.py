@@ -1,8 +1,8 @@
 """ROUGE-1/2/L/Lsum of (prediction, reference) text pairs.
 
-Common subsequences are measured where the pairs are read. Then the pairs are placed by
-their key once, as raw text, and everything after that - tokens, n-gram rows, the per-gram
-and the per-pair aggregate - groups by the same key and adds no further shuffle.
+A pair is scored in the row that holds it: tokens, n-grams and clipped counts are array
+expressions, common subsequences are an Arrow function. Nothing is exploded or shuffled,
+so no pair and no n-gram can make a hot task; only report means are aggregated.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheafwork.functions import arrays
 from sheafwork.functions.lists import ends, flat, regroup
 from sheafwork.functions.scores import precision_recall_f1
 from sheafwork.functions.text import ColumnFn, rouge_tokens, split_sentences
@@ -26,12 +27,12 @@ SCORES = ("fmeasure", "precision", "recall")
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Space-joined n-grams; an array shorter than ``n`` gives none."""
+    """n-grams, joined by a control character; an array shorter than ``n`` gives none."""
     grams = tokens
     for k in range(1, n):
         count = F.greatest(F.size(tokens) - k, F.lit(0))
         following = F.slice(tokens, F.lit(k + 1), count)
-        grams = F.zip_with(F.slice(grams, F.lit(1), count), following, lambda g, w: F.concat_ws(" ", g, w))
+        grams = F.zip_with(F.slice(grams, F.lit(1), count), following, lambda g, w: F.concat(g, F.lit("\u0002"), w))
     return grams
 
 
@@ -131,15 +132,6 @@ def union_lcs(pred: pa.Array, ref: pa.Array) -> pa.Array:
     return regroup(taken, np.cumsum([len(f) for f in found], dtype=np.int64))
 
 
-def _gram_rows(grams: Column, n: int, pred: int, ref: int, union: int) -> Column:
-    return F.transform(
-        grams,
-        lambda g: F.struct(
-            F.lit(n).alias("n"), g.alias("gram"), F.lit(pred).alias("p"), F.lit(ref).alias("r"), F.lit(union).alias("u")
-        ),
-    )
-
-
 def _order(name: str) -> int | None:
     """n of a ``rougeN`` key, None for the subsequence keys."""
     if name in ("rougeL", "rougeLsum"):
@@ -149,38 +141,6 @@ def _order(name: str) -> int | None:
     raise ValueError(f"unknown ROUGE key {name!r}")
 
 
-def _count_overlap(
-    measured: DataFrame, id_cols: Sequence[str], orders: Sequence[int], tokens: ColumnFn, by_union: bool
-) -> DataFrame:
-    """Token counts and clipped hits per pair, from rows (pair, n, gram) of both sides.
-
-    The row with n = 0 carries the token counts and the subsequence length; it also keeps
-    a pair without any gram alive.
-    """
-    placed = measured.repartition(*id_cols).withColumns({"pt": tokens(F.col("pred")), "rt": tokens(F.col("ref"))})
-    carried = {"n": F.lit(0), "gram": F.lit(""), "p": F.size("pt"), "r": F.size("rt"), "u": F.col("lcs")}
-    rows = [F.array(F.struct(*[c.alias(name) for name, c in carried.items()]))]
-    for n in orders:
-        rows += [_gram_rows(ngrams(F.col("pt"), n), n, 1, 0, 0), _gram_rows(ngrams(F.col("rt"), n), n, 0, 1, 0)]
-    if by_union:
-        rows.append(_gram_rows(F.col("ut"), 1, 0, 0, 1))
-    grams = (
-        placed.select(*id_cols, F.inline(F.concat(*rows)))
-        .groupBy(*id_cols, "n", "gram")
-        .agg(*[F.sum(c).alias(c) for c in ("p", "r", "u")])
-    )
-
-    def total(n: int, value: Column) -> Column:
-        return F.sum(F.when(F.col("n") == n, value).otherwise(0))
-
-    p, r, u = F.col("p"), F.col("r"), F.col("u")
-    totals = {"n_pred": total(0, p), "n_ref": total(0, r), "hitsL": total(0, u)}
-    totals |= {f"hits{n}": total(n, F.least(p, r)) for n in orders}
-    if by_union:
-        totals["hitsLsum"] = total(1, F.least(p, r, u))
-    return grams.groupBy(*id_cols).agg(*[c.alias(name) for name, c in totals.items()])
-
-
 def rouge_pairs(
     pairs: DataFrame,
     keys: Sequence[str] = KEYS,
@@ -193,42 +153,42 @@ def rouge_pairs(
 ) -> DataFrame:
     """Scores per pair: ``id_cols`` and ``{key}_{fmeasure,precision,recall}``.
 
-    ``id_cols`` must identify a pair. Clipped n-gram hits come from one aggregate over
-    (pair, n, gram) that counts both sides together, so no join is needed and a pair
-    without any overlap stays in.
+    A normalizer or tokenizer is a ``Column -> Column`` callable.
     """
     if use_stemmer:
         raise NotImplementedError("stemming is off by default and not available")
-    orders = sorted({n for n in map(_order, keys) if n})
-    by_subsequence, by_union = "rougeL" in keys, "rougeLsum" in keys
-    if by_union and 1 not in orders:
-        orders = [1, *orders]
 
     def tokens(text: Column) -> Column:
         return rouge_tokens(text, normalizer, tokenizer)
 
-    texts = pairs.select(
-        *id_cols, F.coalesce(pred, F.lit("")).alias("pred"), F.coalesce(ref, F.lit("")).alias("ref")
-    )
-    p_text, r_text = F.col("pred"), F.col("ref")
-    found = [(lcs_length(tokens(p_text), tokens(r_text)) if by_subsequence else F.lit(0)).alias("lcs")]
-    if by_union:
-        sentences = [F.transform(split_sentences(text), tokens) for text in (p_text, r_text)]
-        found.append(union_lcs(*sentences).alias("ut"))
-    if orders:
-        per_pair = _count_overlap(texts.select(*id_cols, "pred", "ref", *found), id_cols, orders, tokens, by_union)
-    else:
-        # lengths and the subsequence are known where the pair was read: nothing to count
-        sizes = {"n_pred": F.size(tokens(p_text)), "n_ref": F.size(tokens(r_text)), "hitsL": F.col("lcs")}
-        per_pair = texts.select(*id_cols, "pred", "ref", *found).withColumns(sizes)
-
-    columns = []
+    orders = sorted({n for n in map(_order, keys) if n})
+    sides = {side: F.coalesce(F.col(text), F.lit("")) for side, text in (("p", pred), ("r", ref))}
+    columns = {f"{side}1": tokens(text) for side, text in sides.items()}
+    if "rougeLsum" in keys:
+        columns |= {f"{side}s": F.transform(split_sentences(text), tokens) for side, text in sides.items()}
+    rows = pairs.select(*id_cols, *[c.alias(name) for name, c in columns.items()])
+
+    measured = {"n_pred": F.size("p1"), "n_ref": F.size("r1")}
+    if "rougeL" in keys:
+        measured["hitsL"] = lcs_length("p1", "r1")
+    if "rougeLsum" in keys:
+        measured["union"] = union_lcs("ps", "rs")
+    grams = {f"{side}{n}": ngrams(F.col(f"{side}1"), n) for n in orders if n > 1 for side in sides}
+    counted = rows.withColumns(measured | grams)
+
+    hits = {f"hits{n}": arrays.multiset_overlap(F.col(f"p{n}"), F.col(f"r{n}")) for n in orders}
+    if "rougeLsum" in keys:
+        # union tokens are reference tokens already; clip them by the prediction's counts
+        hits["hitsLsum"] = arrays.multiset_overlap(F.col("union"), F.col("p1"))
+    per_pair = counted.withColumns(hits) if hits else counted
+
+    scored_columns = []
     for key in keys:
         shorter = (_order(key) or 1) - 1  # a side has that many n-grams less than tokens
         n_pred, n_ref = (F.greatest(F.col(c) - shorter, F.lit(0)) for c in ("n_pred", "n_ref"))
         scored = precision_recall_f1(F.col(f"hits{key[5:]}"), n_pred, n_ref)
-        columns += [scored[s].alias(f"{key}_{s}") for s in SCORES]
-    return per_pair.select(*id_cols, *columns)
+        scored_columns += [scored[s].alias(f"{key}_{s}") for s in SCORES]
+    return per_pair.select(*id_cols, *scored_columns)
 
 
 def rouge_n(pairs: DataFrame, n: int, **options) -> DataFrame:

@@ -17,7 +17,13 @@ def cache_key(split: Column, tokenizer: Column, max_len: Column, task: Column) -
 
 
 def write_features(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Typed Parquet output, overwriting what is there."""
+    """Typed Parquet output, overwriting what is there.
+
+    Folders by column are written after a rebalance on those columns: few files per folder,
+    and a folder that holds much of the data is still split over several tasks.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
 
 

@@ -112,6 +112,10 @@ def load_codec(vocab: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> Codec | Non
     return Codec(vocab.sparkSession.sparkContext.broadcast(pa.RecordBatch.from_pydict(columns)))
 
 
+def _codec_of(vocab: DataFrame | Codec, max_rows: int) -> Codec | None:
+    return vocab if isinstance(vocab, Codec) else load_codec(vocab, max_rows)
+
+
 def _translate_by_join(
     df: DataFrame, columns: dict[str, str], mapping: DataFrame, key: Sequence[str], default: Column, out_type: str
 ) -> DataFrame:
@@ -151,7 +155,7 @@ def _translate_by_join(
 
 def encode(
     df: DataFrame,
-    vocab: DataFrame,
+    vocab: DataFrame | Codec,
     columns: dict[str, str],
     key: Sequence[str] = ("example_id",),
     unk: int = UNK,
@@ -159,9 +163,10 @@ def encode(
 ) -> DataFrame:
     """Add id arrays: ``columns`` maps token-array columns to output columns.
 
-    Unknown tokens get ``unk``. ``key`` must identify a row; only the join way needs it.
+    Unknown tokens get ``unk``. ``key`` must identify a row; only the join way needs it. A
+    loaded codec in place of the table spares reading the vocabulary again.
     """
-    codec = load_codec(vocab, max_lookup_rows)
+    codec = _codec_of(vocab, max_lookup_rows)
     if codec is not None:
         return df.withColumns({out: codec.encode(F.col(c), unk) for c, out in columns.items()})
     mapping = vocab.select(F.col("token").alias("source"), F.col("id").cast("int").alias("target"))
@@ -170,14 +175,14 @@ def encode(
 
 def decode(
     df: DataFrame,
-    vocab: DataFrame,
+    vocab: DataFrame | Codec,
     columns: dict[str, str],
     key: Sequence[str] = ("example_id",),
     specials: Sequence[int] = tuple(range(len(SPECIALS))),
     max_lookup_rows: int = MAX_LOOKUP_ROWS,
 ) -> DataFrame:
     """Add decoded text: drop specials, join by spaces, then tidy the spacing."""
-    codec = load_codec(vocab, max_lookup_rows)
+    codec = _codec_of(vocab, max_lookup_rows)
     if codec is not None:
         out = df.withColumns({out: codec.decode(F.col(c), specials) for c, out in columns.items()})
     else:

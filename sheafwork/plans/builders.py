@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sheafwork.functions import arrays
 from sheafwork.functions.text import ColumnFn, choice_prompt, titled_prompt, words, wrap_prompt
 from sheafwork.operators import choices, encoding, filters
+from sheafwork.operators.encoding import Codec
 from sheafwork.sources.catalog import TASK_LABELS, check_task
 
 ID = "example_id"
@@ -20,7 +21,7 @@ ID = "example_id"
 
 def build_clm_table(
     df: DataFrame,
-    vocab: DataFrame,
+    vocab: DataFrame | Codec,
     max_input: int = 7296,
     max_target: int = 768,
     prefix: str = "",
@@ -67,7 +68,7 @@ def build_clm_table(
 
 def build_seq2seq_table(
     df: DataFrame,
-    vocab: DataFrame,
+    vocab: DataFrame | Codec,
     prefix: str = "",
     suffix: str = " TL;DR ",
     tokenizer: ColumnFn = words,
@@ -106,7 +107,7 @@ def build_seq2seq_table(
 
 
 def build_classification_table(
-    df: DataFrame, vocab: DataFrame, task: str, max_len: int = 512, tokenizer: ColumnFn = words
+    df: DataFrame, vocab: DataFrame | Codec, task: str, max_len: int = 512, tokenizer: ColumnFn = words
 ) -> DataFrame:
     """begin text end, cut and padded to ``max_len``, with a class id or a dense vector."""
     kind = check_task(task)
@@ -130,7 +131,7 @@ def build_classification_table(
 
 
 def build_multiple_choice_table(
-    df: DataFrame, vocab: DataFrame, max_len: int = 512, tokenizer: ColumnFn = words, seps: int = 1
+    df: DataFrame, vocab: DataFrame | Codec, max_len: int = 512, tokenizer: ColumnFn = words, seps: int = 1
 ) -> DataFrame:
     """Nested features per example, arrays in choice order.
 
@@ -177,7 +178,7 @@ def build_multiple_choice_table(
     )
 
 
-def build_features(df: DataFrame, vocab: DataFrame, task: str, max_len: int = 512) -> DataFrame:
+def build_features(df: DataFrame, vocab: DataFrame | Codec, task: str, max_len: int = 512) -> DataFrame:
     """The feature table that the task's example type calls for."""
     kind = check_task(task, summarization=True)
     if kind == "summarization":

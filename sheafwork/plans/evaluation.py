@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 from sheafwork.functions import arrays
 from sheafwork.operators import encoding, metrics, rouge
+from sheafwork.operators.encoding import Codec
 
 
 def text_pairs_from_ids(
-    df: DataFrame, vocab: DataFrame, preds: str = "preds", labels: str = "labels", key: Sequence[str] = ("example_id",)
+    df: DataFrame, vocab: DataFrame | Codec, preds: str = "preds", labels: str = "labels", key: Sequence[str] = ("example_id",)
 ) -> DataFrame:
     """Decoded (pred, ref) texts; ignored labels count as pads and vanish with them."""
     unmasked = df.withColumn(labels, arrays.unmask_labels(F.col(labels), encoding.PAD))
     return encoding.decode(unmasked, vocab, {preds: "pred", labels: "ref"}, key).select(*key, "pred", "ref")
 
 
-def rouge_from_ids(df: DataFrame, vocab: DataFrame, keys: Sequence[str] = rouge.KEYS, **options) -> DataFrame:
+def rouge_from_ids(df: DataFrame, vocab: DataFrame | Codec, keys: Sequence[str] = rouge.KEYS, **options) -> DataFrame:
     return rouge.rouge_report(text_pairs_from_ids(df, vocab), keys, **options)
 
 

@@ -126,7 +126,8 @@ def rouge_report(spark, sf_dir):
 @query("e17_rouge_from_ids")
 def rouge_from_ids(spark, sf_dir):
     """Both sides encoded, then decoded and scored."""
-    vocab = corpus.vocabulary(spark, sf_dir)
+    table = corpus.vocabulary(spark, sf_dir)
+    vocab = encoding.load_codec(table) or table
     tokens = corpus.text_pairs(spark, sf_dir).select(
         "example_id", rouge_tokens(F.col("pred")).alias("p"), rouge_tokens(F.col("ref")).alias("r")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sheafwork.functions import arrays
 from sheafwork.functions.text import words
-from sheafwork.operators import encoding
+from sheafwork.operators import encoding, sampling
 from sheafwork.operators.encoding import BOS, EOS, PAD, SEP
 from sheafwork.plans import corpus, sql
 from sheafwork.plans.registry import query
@@ -115,9 +115,6 @@ def pad_to(spark, sf_dir):
     )
 
 
-LONGEST = "greatest(1, ceil(max(len(ids)) OVER (PARTITION BY batch_id) / 128.0)) * 128"
-
-
 @query(
     "k9_pad_to_longest",
     f"""WITH {sql.VOCAB}, {sql.SUMMARIES}, toks AS (SELECT example_id, {sql.words('summary')} AS tokens FROM summaries),
@@ -129,8 +126,6 @@ LONGEST = "greatest(1, ceil(max(len(ids)) OVER (PARTITION BY batch_id) / 128.0))
 )
 def pad_to_longest(spark, sf_dir):
     """Batches of 16 consecutive summaries, padded to multiples of 128."""
-    from sheafwork.operators import sampling
-
     rows = corpus.summaries(spark, sf_dir).select("example_id", words(F.col("summary")).alias("tokens"))
     encoded = encoding.encode(rows, corpus.vocabulary(spark, sf_dir), {"tokens": "input_ids"}).drop("tokens")
     placed = sampling.assign_batch(sampling.position_by_id(encoded), 16, "position").drop("position")
@@ -207,6 +202,7 @@ DECODED_SQL = "regexp_replace(array_to_string(known, ' '), ' ([.?!,])', '\\1', '
 )
 def decode(spark, sf_dir):
     """Encode, then decode: unknown tokens are gone, spacing is tidied."""
-    vocab = corpus.vocabulary(spark, sf_dir)
+    table = corpus.vocabulary(spark, sf_dir)
+    vocab = encoding.load_codec(table) or table
     encoded = encoding.encode(doc_tokens(spark, sf_dir), vocab, {"tokens": "ids"}).select("example_id", "ids")
     return encoding.decode(encoded, vocab, {"ids": "text"}).select("example_id", "text")

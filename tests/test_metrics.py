@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheafwork.functions import arrays, scores
-from sheafwork.operators import labels, metrics, rouge, stats
-from sheafwork.plans import evaluation
+from sheafwork.operators import encoding, labels, metrics, rouge, stats
+from sheafwork.plans import builders, evaluation
 from sheafwork.streaming import running
 
 
@@ -235,3 +235,20 @@ def test_running_metrics_equal_the_batch_form(spark, tmp_path):
     got = {r["metric"]: r["value"] for r in running.compute(spark.table("confusion_so_far"), 3).collect()}
     assert got["accuracy"] == pytest.approx(metrics.accuracy(df).first()["accuracy"])
     assert got["macro_f1"] == pytest.approx(metrics.macro_f1(df, 3).first()["macro_f1"])
+
+
+def test_builders_run_on_a_stream(spark, tmp_path):
+    """With a loaded vocabulary a builder is a projection, on a stream as on a table."""
+    vocab = encoding.load_codec(spark.createDataFrame([("a", 5), ("b", 6), ("TL;DR", 7)], "token string, id int"))
+    rows = [(i, "t", "a b " * (i % 3), "b" * (i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "example_id bigint, title string, text string, summary string").repartition(4)
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    table = builders.build_clm_table(stream, vocab, 8, 4)
+    query = (
+        table.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True).start(str(tmp_path / "out"))
+    )
+    query.awaitTermination(120)
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == sorted(map(tuple, builders.build_clm_table(df, vocab, 8, 4).collect())) and len(got) == 13

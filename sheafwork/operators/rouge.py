@@ -91,12 +91,21 @@ def lcs_positions(pred: Sequence[int], ref: Sequence[int]) -> set[int]:
 
 
 def union_tokens(pred_sentences: Sequence[Sequence[int]], ref_sentences: Sequence[Sequence[int]]) -> list[int]:
-    """Tokens at the reference positions that any predicted sentence shares, per sentence."""
+    """Tokens at the reference positions that any predicted sentence shares, per sentence.
+
+    A repeated predicted sentence adds nothing, and a reference sentence is done once all
+    its tokens that occur in the prediction are covered.
+    """
+    distinct = [(pred, frozenset(pred)) for pred in dict.fromkeys(map(tuple, pred_sentences))]
+    present = frozenset(chain.from_iterable(pred_sentences))
     out: list[int] = []
     for ref in ref_sentences:
+        reachable = sum(token in present for token in ref)
         tokens, covered = set(ref), set()
-        for pred in pred_sentences:
-            if not tokens.isdisjoint(pred):
+        for pred, pred_tokens in distinct:
+            if len(covered) == reachable:
+                break
+            if not tokens.isdisjoint(pred_tokens):
                 covered |= lcs_positions(pred, ref)
         out.extend(ref[j] for j in sorted(covered))
     return out

@@ -11,7 +11,8 @@ from sheafwork.plans import corpus, sql
 from sheafwork.plans.registry import query
 
 SEED, WORLD = 42, 7
-ORDERED = "ordered AS (SELECT doc_id AS example_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, (SELECT count(*) FROM documents) AS n_rows FROM documents)"
+ORDERED = """ordered AS (SELECT doc_id AS example_id, row_number() OVER (ORDER BY doc_id) - 1 AS position,
+  (SELECT count(*) FROM documents) AS n_rows FROM documents)"""
 SHUFFLED = f"""shuffled AS (SELECT doc_id AS example_id,
   row_number() OVER (ORDER BY md5('{SEED}:' || doc_id::VARCHAR)) - 1 AS position FROM documents)"""
 SHARDED = f"""sharded AS (SELECT example_id, position, (position % {WORLD})::INT AS shard_id, position // {WORLD} AS local_position

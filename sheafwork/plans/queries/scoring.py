@@ -22,9 +22,11 @@ COUNTS = f"""{PREDS}, counts AS (
     count(*) FILTER (WHERE NOT hit AND side = 't') AS fn, count(*) FILTER (WHERE side = 't') AS support
   FROM (SELECT label AS class, label = pred AS hit, 't' AS side FROM preds
         UNION ALL SELECT pred, label = pred, 'p' FROM preds) GROUP BY class)"""
+TARGET_IDS = """list_filter([e.label, CASE WHEN l.quality = 1 THEN 10 END, CASE WHEN l.toxic = 1 THEN 11 END]::INT[],
+  lambda x: x IS NOT NULL)"""
 TARGETS = f"""targets AS (
   SELECT e.vec_id AS example_id, list_transform(e.embedding, lambda x: x::DOUBLE) AS s,
-    {MULTI_HOT_SQL.format(n=NUM_CLASSES, t="list_filter([e.label, CASE WHEN l.quality = 1 THEN 10 END, CASE WHEN l.toxic = 1 THEN 11 END]::INT[], lambda x: x IS NOT NULL)")} AS targets
+    {MULTI_HOT_SQL.format(n=NUM_CLASSES, t=TARGET_IDS)} AS targets
   FROM embeddings e LEFT JOIN labels l ON l.doc_id = e.vec_id)"""
 CELLS = f"""{TARGETS}, cells AS (
   SELECT (unnest(range({NUM_CLASSES})))::INT AS class,

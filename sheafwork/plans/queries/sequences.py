@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sheafwork.functions import arrays
 from sheafwork.functions.text import words
-from sheafwork.operators import encoding, filters, packing, sampling
+from sheafwork.operators import encoding, packing, sampling
 from sheafwork.operators.encoding import BOS, EOS, PAD
 from sheafwork.plans import builders, corpus, sql
 from sheafwork.plans.queries.tables import MARKS_SQL, MULTI_HOT_SQL

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a batch are handled together up to this many bytes of text, so numpy's work arrays stay small.
 PIECE_BYTES = 2 << 20
@@ -98,3 +99,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def append(
+    df: DataFrame, column: str, fields: str, prepare: Callable[[], Callable[[pa.Array], list[pa.Array]]], limit: int = PIECE_BYTES
+) -> DataFrame:
+    """Add columns that Python computes from ``column``, slice by slice of at most ``limit`` bytes.
+
+    ``prepare`` runs once in each task and gives the function from a slice of the column to the new
+    columns, in the order of the DDL string ``fields``. Columns of the same names are replaced.
+    """
+    new = T.StructType.fromDDL(fields)
+    rest = [c for c in df.columns if c not in new.names]
+    df = df.select(*(F.col(f"`{c}`") for c in rest))
+
+    def run(batches):
+        work = prepare()
+        for piece in pieces(batches, column, limit):
+            arrays = work(piece.column(column))
+            yield pa.RecordBatch.from_arrays([*piece.columns, *arrays], names=rest + new.names)
+
+    return df.mapInArrow(run, T.StructType(df.schema.fields + new.fields))

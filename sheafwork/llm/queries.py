@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sheafwork.llm import exact_dedup, merkle
+from sheafwork.llm import bpe, exact_dedup, merkle
 from sheafwork.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -80,3 +82,20 @@ FROM t WINDOW w AS (PARTITION BY t)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents are copies of which, by names of blocks."""
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
+WORD_BPE = "word_bpe_49k.json"
+
+
+@query("op7_word_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's token ids and of what they decode to."""
+    path = public_tokenizers.path(WORD_BPE)
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    decoded = bpe.decode(ids.drop("text"), path)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -96,14 +96,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edit replaces the last half of a text (rounded down) by as many characters, or all, from
     the start of the document with the next larger id; the first follows the last, and a lone
-    document follows itself. A null id counts as the largest integer, a null text as empty. Where
+    document follows itself. Ids are integers; a null id counts as the largest of 64 bits, which
+    stands for it, and a null text as empty. Where
     an id repeats, each row is fingerprinted, and the row with the smallest start stands for the
     id as a successor. An empty table gives no rows.
     """
     folder = new_folder(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(id_col), F.lit(_LAST_ID)).alias("_key"), F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    texts = texts.withColumn("n_chars", F.char_length("_text"))
-    ids = texts.groupBy("_key").agg(F.max("n_chars").alias("n"))
+    kind = docs.schema[id_col].dataType
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("_key"), text_or_empty(text_col).alias("_text"))
+    ids = texts.groupBy("_key").agg(F.max(F.char_length("_text")).alias("n"))
     order = keep(positions(ids, "_key", folder, "ids"), folder, "order")
     total = order.count()
     follows = order.select(
@@ -113,6 +114,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     sent = keep(order.select("_key", "position").join(follows, "position").drop("position"), folder, "successors")
     leaves = leaf_digests(F.col("_text"))
+    # Both uses of the texts shuffle the same two columns by the same key, so Spark does it once.
     heads = (
         texts.join(sent, "_key")
         .select("before", F.expr("substring(_text, 1, half)").alias("head"), leaves.alias("leaves"))
@@ -120,8 +122,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("before")
         .agg(F.min("next").alias("next"))
     )
-    cut = F.floor(F.col("n_chars") / 2).cast("int")
-    own = texts.join(heads, texts["_key"] == heads["before"]).withColumn("cut", cut)
+    own = texts.join(heads, texts["_key"] == heads["before"])
+    own = own.withColumn("_id", F.when(F.col("_key") != _LAST_ID, F.col("_key")).cast(kind)).withColumn("n_chars", F.char_length("_text"))
+    own = own.withColumn("cut", F.floor(F.col("n_chars") / 2).cast("int"))
     own = own.withColumn("edited", F.expr("concat(substring(_text, 1, n_chars - cut), substring(next.head, 1, cut))"))
     own = own.select("_id", "n_chars", "next", F.sha2("edited", 256).alias("edited_sha256"), leaves.alias("l0"), leaf_digests(F.col("edited")).alias("l1"))
     own = own.select(

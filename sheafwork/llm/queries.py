@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import bpe, exact_dedup, merkle
+from sheafwork.llm import bpe, exact_dedup, merkle, mixing, url_model
 from sheafwork.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -99,3 +99,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op8_entropy_mix")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    taken = mixing.copies(table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", "copies")
+
+
+@query("op5_url_character_models")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every URL, by rule or by the ratio of two character models."""
+    return url_model.judge(table(spark, sf_dir, "pages"))

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Callable
 from functools import cache, lru_cache
 from itertools import pairwise
 from struct import pack
@@ -22,12 +21,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sheafwork.llm.common import append
+from sheafwork.llm.common import Memory, append, stretches
 
 _END = "\n"  # stands for the suffix; no byte is written as it
-#: How many stretches, words and pairs a worker remembers, and the longest of them.
-REMEMBERED = 400_000
-LONG = 64
 
 
 @cache
@@ -38,22 +34,6 @@ def byte_letters() -> list[str]:
     return [chr(b if b in visible else next(hidden)) for b in range(256)]
 
 
-class _Memory(dict):
-    """What a function gave for the keys asked so far; a full memory starts anew."""
-
-    def __init__(self, find: Callable):
-        super().__init__()
-        self.find = find
-
-    def __missing__(self, key):
-        found = self.find(key)
-        if len(key) <= LONG:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[key] = found
-        return found
-
-
 class Vocabulary:
     """Tables of a tokenizer file: normal form, word pattern, tokens, merges, pairs and offsets."""
 
@@ -93,7 +73,7 @@ class Vocabulary:
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
         self.offsets = np.cumsum([0, *map(len, shown)])
         self.letters = byte_letters()
-        self.fits, self.words, self.chunks = _Memory(self._fits), _Memory(self._word), _Memory(self._chunk)
+        self.fits, self.words, self.chunks = Memory(self._fits), Memory(self._word), Memory(self._chunk)
 
     def _fits(self, pair: tuple[int, int]) -> bool:
         """Whether merging in order leaves the seam between the two tokens open."""
@@ -152,7 +132,7 @@ class Vocabulary:
 
     def _plain(self, text: str) -> bytes:
         # Words never cross white space, so stretches between blanks are looked up whole.
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join([b"".join(map(self.chunks.__getitem__, part)) for part in stretches(text)])
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: How many answers a worker remembers, and the longest question it remembers.
+REMEMBERED = 400_000
+LONG = 64
 #: Rows of a batch are handled together up to this many bytes of text, so numpy's work arrays stay small.
 PIECE_BYTES = 2 << 20
 
@@ -120,3 +123,87 @@ def append(
             yield pa.RecordBatch.from_arrays([*piece.columns, *arrays], names=rest + new.names)
 
     return df.mapInArrow(run, T.StructType(df.schema.fields + new.fields))
+
+
+class Memory(dict):
+    """What a function gave for the keys asked so far; a full memory starts anew."""
+
+    def __init__(self, find: Callable):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key):
+        found = self.find(key)
+        if len(key) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = found
+        return found
+
+
+def stretches(text: str, limit: int = 1 << 20) -> Iterator[list[str]]:
+    """The text between blanks and line ends, some ``limit`` characters at a time."""
+    text, start = text.replace("\n", " "), 0
+    while len(text) - start > limit:
+        cut = text.rfind(" ", start, start + limit)
+        cut = cut if cut > start else text.find(" ", start + limit)
+        if cut < 0:
+            break
+        yield text[start:cut].split(" ")
+        start = cut + 1
+    yield text[start:].split(" ")
+
+
+_BASE = 0x9E3779B97F4A7C15 | 1
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``base ** i`` and its inverse modulo 2 ** 64 for i < n at least."""
+    size = 1 << max(16, (n - 1).bit_length())
+    if size not in _POWERS:
+        _POWERS.clear()
+        found = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            found.append(np.cumprod(steps, dtype=np.uint64))
+        _POWERS[size] = found[0], found[1]
+    return _POWERS[size]
+
+
+def running_sums(raw: np.ndarray) -> np.ndarray:
+    """Sums from which :func:`hash_between` takes the hash of any stretch of the bytes."""
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(len(raw) + 1)[0][: len(raw)], out=sums[1:])
+    return sums
+
+
+def hash_between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from ``start`` up to ``end``; equal bytes have equal hashes."""
+    return mix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(np.uint64))
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words between ASCII white space, and the number of words before each text."""
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    first = np.zeros(len(raw) + 1, bool)
+    first[at] = True
+    solid = ~space
+    opens = solid & (first[:-1] | np.concatenate(([True], space[:-1])))
+    closes = solid & (first[1:] | np.concatenate((space[1:], [True])))
+    start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    return hash_between(running_sums(raw), start, end), np.searchsorted(start, at)
+
+
+def sampled(labels: DataFrame, label: str, id_col: str, rows: int, salt: int) -> DataFrame:
+    """About ``rows`` of the rows of each class, 0 and 1, chosen by a hash of the id; all if there are fewer.
+
+    The result has at most a bounded number of rows of each class, however many there are.
+    """
+    counts = {r["c"]: r["n"] for r in labels.groupBy(F.col(label).alias("c")).agg(F.count("*").alias("n")).where("c in (0, 1)").collect()}
+    share = F.lit(0.0)
+    for c, n in counts.items():
+        share = F.when(F.col(label) == c, F.lit(rows / n)).otherwise(share)
+    at = F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
+    return labels.where(at < share)

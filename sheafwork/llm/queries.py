@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import bpe, exact_dedup, merkle, mixing, url_model
+from sheafwork.llm import bpe, conv, exact_dedup, merkle, mixing, ranking, url_model
 from sheafwork.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -112,3 +112,32 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every URL, by rule or by the ratio of two character models."""
     return url_model.judge(table(spark, sf_dir, "pages"))
+
+
+def _fold(parts: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def toxicity_network(spark: SparkSession, sf_dir: str) -> conv.Network:
+    """Trained on the labelled documents outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(_fold(5) != 0).select("doc_id", F.col("toxic").alias("label"))
+    return conv.learn(table(spark, sf_dir, "documents"), labels)
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text; ``threshold`` is the language's, for decisions."""
+    net = toxicity_network(spark, sf_dir)
+    docs = conv.scored(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), net)
+    return docs.select(
+        "doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), conv.threshold_of(net, F.col("lang")).alias("threshold")
+    )
+
+
+@query("op2_pairwise_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learned from pairs of labelled documents."""
+    labels = table(spark, sf_dir, "labels").where(_fold(4) != 2).select("doc_id", F.col("quality").alias("label"))
+    documents = table(spark, sf_dir, "documents")
+    docs = ranking.scored(documents.select("doc_id", "text"), ranking.learn(documents, labels))
+    return docs.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= ranking.KEEP_AT).cast("int").alias("predicted"))

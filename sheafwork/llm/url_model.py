@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheafwork.llm.common import append, buffer_of, mix
+from sheafwork.llm.common import append, buffer_of, mix, pieces
 
 #: Fixed values: (host, path, verdict).
 RULES = (
@@ -116,7 +116,7 @@ def count_tables(ruled: DataFrame, text_col: str, label_col: str) -> DataFrame:
 
     def run(batches):
         total = np.zeros((2, 2, ORDERS, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in pieces(batches, text_col, 1 << 18):
             label = np.asarray(batch.column(label_col).to_numpy(zero_copy_only=False), np.int64)
             context, pair, which = grams(batch.column(text_col))
             for c in range(2):
@@ -136,20 +136,25 @@ def count_tables(ruled: DataFrame, text_col: str, label_col: str) -> DataFrame:
 def kind_tables(ruled: DataFrame, text_col: str, label_col: str) -> DataFrame:
     """``class, order, bucket, n``: the number of different characters (by bucket) after each context."""
 
+    def told(seen: list[set]):
+        for i, codes in enumerate(seen):
+            code = np.fromiter(codes, np.int64, len(codes))
+            columns = [pa.array(np.full(len(code), x, np.int32)) for x in (i // ORDERS, i % ORDERS)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(code)], names=["class", "order", "code"])
+            codes.clear()
+
     def run(batches):
         seen: list[set] = [set() for _ in range(2 * ORDERS)]
-        for batch in batches:
+        for batch in pieces(batches, text_col, 1 << 18):
             label = np.asarray(batch.column(label_col).to_numpy(zero_copy_only=False), np.int64)
             context, pair, which = grams(batch.column(text_col))
             for c in range(2):
                 of = label[which] == c
                 for k in range(ORDERS):
                     seen[c * ORDERS + k] |= set(np.unique(context[k][of] * BUCKETS + pair[k][of]).tolist())
-        for i, codes in enumerate(seen):
-            code = np.fromiter(codes, np.int64, len(codes))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(code), i // ORDERS, np.int32)), pa.array(np.full(len(code), i % ORDERS, np.int32)), pa.array(code)], names=["class", "order", "code"]
-            )
+            if sum(map(len, seen)) > 500_000:
+                yield from told(seen)
+        yield from told(seen)
 
     codes = ruled.select(text_col, label_col).mapInArrow(run, "class int, order int, code long").distinct()
     bucket = F.floor(F.col("code") / BUCKETS).cast("int")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import bpe, conv, exact_dedup, merkle, mixing, ranking, url_model
+from sheafwork.llm import bpe, conv, exact_dedup, merkle, mixing, near_dedup, ranking, url_model
 from sheafwork.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -141,3 +141,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     docs = ranking.scored(documents.select("doc_id", "text"), ranking.learn(documents, labels))
     return docs.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= ranking.KEEP_AT).cast("int").alias("predicted"))
+
+
+@query("op4_dart_near_duplicates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies of every document."""
+    return near_dedup.classes(table(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import bpe, conv, exact_dedup, merkle, mixing, near_dedup, ranking, url_model
+from sheafwork.llm import bpe, conv, exact_dedup, merkle, mixing, near_dedup, ranking, repeats, url_model
 from sheafwork.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -147,3 +147,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near copies of every document."""
     return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+@query("op3_repeated_passages")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without passages that documents with smaller ids have."""
+    done = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

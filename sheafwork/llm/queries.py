@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import bpe, conv, exact_dedup, merkle, mixing, near_dedup, ranking, repeats, url_model
+from sheafwork.llm import bpe, conv, exact_dedup, merkle, mixing, near_dedup, ranking, repeats, revisits, url_model
 from sheafwork.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -155,3 +155,55 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = repeats.without_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
     return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_CANONICAL_SQL = r"""
+CASE WHEN regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1) = '' THEN bare
+ELSE lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) || '://'
+  || regexp_replace(lower(regexp_extract(bare, '^[^:]*://([^/?]*)', 1)), ':(80|443)$', '')
+  || CASE WHEN regexp_extract(bare, '^[^:]*://[^/?]*([^?]*)', 1) = '' THEN '/' ELSE regexp_extract(bare, '^[^:]*://[^/?]*([^?]*)', 1) END
+  || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END
+"""
+REVISIT_SQL = rf"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, regexp_replace(coalesce(url, ''), '#.*$', '') AS bare, page_id * 600 AS t,
+         sha256(coalesce(html, '')) AS sha, length(coalesce(html, ''))::VARCHAR AS size FROM pages),
+r AS (
+  SELECT page_id * 4 AS record_id, true AS full, url AS uri, t AS time, '"' || sha[1:16] || '"' AS etag, t::VARCHAR AS lm,
+         'max-age=60' AS cc, size, NULL AS expires, sha FROM p
+  UNION ALL SELECT page_id * 4 + 3, true, url, t + 129600, '"v2-' || sha[1:12] || '"', (t + 129600)::VARCHAR, 'max-age=60', size, NULL, sha FROM p WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id * 4 + 1, false,
+         upper(regexp_extract(url, '^([^:]*://[^/?#]*)', 1)) || CASE WHEN starts_with(url, 'https') THEN ':443' ELSE ':80' END
+           || regexp_extract(bare, '^[^:]*://[^/?#]*(.*)$', 1) || '#again',
+         t + 86400, CASE WHEN page_id % 5 = 0 THEN '"other"' ELSE 'W/"' || sha[1:16] || '"' END, NULL, 'max-age=120', '0', NULL, sha FROM p
+  UNION ALL SELECT page_id * 4 + 2, false, bare || CASE WHEN contains(bare, '?') THEN '&' ELSE '?' END || 'utm_medium=mail',
+         CASE WHEN page_id % 7 = 0 THEN t - 60 ELSE t + 172800 END, NULL, (CASE WHEN page_id % 3 = 0 THEN t + 129600 ELSE t END)::VARCHAR, NULL, NULL,
+         (CASE WHEN page_id % 7 = 0 THEN t - 60 ELSE t + 172800 END + 60)::VARCHAR, sha FROM p),
+b AS (SELECT *, regexp_replace(uri, '#.*$', '') AS bare FROM r),
+q AS (SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))) AS params FROM b),
+k AS (SELECT *, {_CANONICAL_SQL} AS url FROM q),
+best AS (
+  SELECT v.record_id, max(struct_pack(time := f.time, record_id := f.record_id)).record_id AS ref_id
+  FROM k v JOIN k f ON v.url = f.url AND f.time < v.time WHERE f.full AND NOT v.full GROUP BY v.record_id),
+j AS (
+  SELECT v.record_id, v.url, m.ref_id, v.etag, v.lm, v.cc, v.size, v.expires, v.time, f.etag AS fetag, f.lm AS flm, f.cc AS fcc, f.size AS fsize, f.sha AS fsha,
+         CASE WHEN m.ref_id IS NULL THEN 'orphan' WHEN v.etag IS NOT NULL THEN CASE WHEN regexp_replace(v.etag, '^W/', '') = f.etag THEN 'resolved' ELSE 'mismatch' END
+              WHEN v.lm = f.lm THEN 'resolved' ELSE 'mismatch' END AS verdict
+  FROM k v LEFT JOIN best m USING (record_id) LEFT JOIN k f ON f.record_id = m.ref_id WHERE NOT v.full)
+SELECT record_id, url AS uri, ref_id, verdict,
+  CASE WHEN verdict = 'resolved' THEN concat_ws(chr(10), 'cache-control: ' || coalesce(cc, fcc), 'content-length: ' || fsize, 'content-type: text/html', 'date: ' || time, 'etag: ' || coalesce(etag, fetag), 'expires: ' || expires, 'last-modified: ' || flm)
+       WHEN etag IS NOT NULL THEN concat_ws(chr(10), 'cache-control: ' || cc, 'connection: close', 'content-length: 0', 'date: ' || time, 'etag: ' || etag)
+       ELSE concat_ws(chr(10), 'date: ' || time, 'expires: ' || expires, 'last-modified: ' || lm) END AS headers,
+  CASE WHEN verdict = 'resolved' THEN fsha END AS payload_sha256
+FROM j
+"""
+
+
+@query("op1_warc_revisits", REVISIT_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit made from the pages, with the response that it confirms and its merged headers."""
+    records = revisits.captures(table(spark, sf_dir, "pages"))
+    found = revisits.resolve(records)
+    payloads = records.where("kind = 'response'").select(F.col("record_id").alias("ref_id"), "payload_sha256")
+    found = found.join(payloads, "ref_id", "left").withColumn("payload_sha256", F.expr("if(verdict = 'resolved', payload_sha256, null)"))
+    return found.select("record_id", "uri", "ref_id", "verdict", revisits.header_lines(F.col("headers")).alias("headers"), "payload_sha256")

@@ -24,8 +24,8 @@ from sheafwork.llm.common import append, buffer_of, keep, mix, new_folder, word_
 
 WORDS = 5
 SIMILAR = 0.8
-#: 26 bands of 5: a pair at similarity 0.8 misses all of them with a chance of 3e-5.
-BANDS, ROWS = 26, 5
+#: 56 bands of 8: a pair at similarity 0.8 misses all of them with a chance of 3e-5, one at 0.3 meets in one of 300.
+BANDS, ROWS = 56, 8
 _U = np.uint64
 
 

@@ -20,6 +20,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +36,22 @@ _LOW = (1 << 24) - 1
 _LAST_ID = 2**63 - 1
 
 
+def in_order(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, bytes and offsets of a block's texts by id, those of one id by digest, however they arrive."""
+    ids = table.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    if (ids[order][1:] == ids[order][:-1]).any():
+        digests = [hashlib.sha256(t).digest() for t in table.column("text").cast(pa.binary()).to_pylist()]
+        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], digests[i])))
+    table = table.take(pa.array(order))
+    return (ids[order], *buffer_of(table.column("text")))
+
+
 class Block:
     """The texts of one block in a fixed order, and their anchored runs of windows."""
 
     def __init__(self, table: pa.Table, length: int = LENGTH, gram: int = GRAM):
-        order = np.lexsort((np.array([hashlib.sha256(t).digest() for t in table.column("text").cast(pa.binary()).to_pylist()], "S32"), table.column("id").to_numpy()))
-        table = table.take(pa.array(order))
-        self.ids = table.column("id").to_numpy()
-        self.raw, self.at = buffer_of(table.column("text"))
+        self.ids, self.raw, self.at = in_order(table)
         self.length, self.gram = length, gram
         self.sums = running_sums(self.raw)
         found = [self._runs(i) for i in range(0, max(len(self.raw) - length + 1, 0), _SEGMENT)]
@@ -81,35 +90,72 @@ class Block:
         return (least & np.uint64(_LOW)).astype(np.int64) + start, np.arange(start, stop)
 
 
-def _cut(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by bucket and key, the buckets met, and where each starts in the order."""
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((key, bucket))
-    met, start = np.unique(bucket[order], return_index=True)
-    return order, met, np.concatenate((start, [len(key)]))
+class Packed:
+    """Columns of numbers as one compressed binary: byte by byte, so that equal high bytes cost nothing.
+
+    A key travels as the upper 40 bits of a hash; with its bucket, which depends on all bits, that tells
+    keys apart. Keys that still coincide only bring different bytes together, which are compared.
+    """
+
+    def __init__(self, **kinds: str):
+        self.kinds = {name: np.dtype(kind if kind != "key" else "u8") for name, kind in kinds.items()}
+        self.skip = {name: 3 if kind == "key" else 0 for name, kind in kinds.items()}
+
+    def pack(self, columns: list[np.ndarray], tail: bytes = b"") -> bytes:
+        parts = []
+        for (name, kind), column in zip(self.kinds.items(), columns):
+            planes = np.ascontiguousarray(column.astype(kind)).view(np.uint8).reshape(len(column), kind.itemsize)
+            parts.append(planes[:, self.skip[name] :].T.tobytes())
+        return zstandard.compress(b"".join(parts) + tail, 3)
+
+    def unpack(self, rows: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """The columns of all rows together, the entries in each row, and the bytes behind the columns."""
+        found: dict[str, list] = {name: [np.zeros(0, kind)] for name, kind in self.kinds.items()}
+        tails = []
+        counts = rows.column("n").to_numpy().astype(np.int64)
+        for n, blob in zip(counts.tolist(), rows.column("data").to_pylist()):
+            raw, at = np.frombuffer(zstandard.decompress(blob), np.uint8), 0
+            for name, kind in self.kinds.items():
+                width = kind.itemsize - self.skip[name]
+                planes = np.zeros((n, kind.itemsize), np.uint8)
+                planes[:, self.skip[name] :] = raw[at : at + n * width].reshape(width, n).T
+                found[name].append(planes.view(kind).ravel())
+                at += n * width
+            tails.append(raw[at:])
+        return {name: np.concatenate(x) for name, x in found.items()}, counts, np.concatenate(tails) if tails else np.zeros(0, np.uint8)
 
 
-def _blobs(columns: dict[str, np.ndarray], starts: np.ndarray) -> list[pa.Array]:
-    """Each column's values as one binary for each stretch between the starts."""
-    return [pa.array([c[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])], pa.binary()) for c in columns.values()]
+KEYS = Packed(key="key", mark="u1")
+SPANS = Packed(row="i4", start="i4", end="i4")
+ENTRIES = Packed(key="key", id="i8", row="i4", start="i4", left="u1", n="u1")
+ASKED = "bucket long, block long, n long, data binary"
+TOLD = "bucket long, block long, kind int, n long, data binary"
 
 
-def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (key % np.uint64(buckets)).astype(np.int64)
 
 
-def _sizes(table: pa.Table, name: str, width: int) -> np.ndarray:
-    return np.array([len(x) // width for x in table.column(name).to_pylist()], np.int64)
+def _short(key: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """The key as it arrives, with its bucket in the bits that stay behind."""
+    return (key & ~np.uint64(_LOW)) | (bucket.astype(np.uint64) & np.uint64(_LOW))
 
 
-ASKED = "bucket long, block long, hashes binary, several binary"
-TOLD = "bucket long, block long, kind int, a binary, b binary, c binary"
-SENT = "bucket long, block long, kind int, key binary, id binary, row binary, start binary, left_n binary, n binary, data binary"
+def _starts(sorted_values: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The different values, and from where to where each stands."""
+    met, start = np.unique(sorted_values, return_index=True)
+    return met, list(zip(start.tolist(), [*start[1:].tolist(), len(sorted_values)]))
+
+
+def _rows(schema: str, lines: list[tuple]) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(", "))]
+    return pa.table([pa.array([line[i] for line in lines], kind) for i, (_, kind) in enumerate(fields)], schema=pa.schema(fields))
 
 
 def ask(table: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
     """A block's distinct anchors by bucket, and whether several of its documents have them."""
-    block = Block(table, length, gram)
+    block, own = Block(table, length, gram), table.column("block")[0].as_py()
     ids = block.ids[block.row]
     order = np.lexsort((ids, block.hash))
     h, ids = block.hash[order], ids[order]
@@ -118,32 +164,23 @@ def ask(table: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
     first = np.flatnonzero(opens)
     last = np.concatenate((first[1:], [len(h)])) - 1 if len(h) else first
     several = (ids[first] != ids[last]).astype(np.uint8)
-    h = h[first]
-    order, met, starts = _cut(h, buckets)
-    blobs = _blobs({"h": h[order], "s": several[order]}, starts)
-    own = np.full(len(met), table.column("block")[0].as_py(), np.int64)
-    return pa.Table.from_arrays([pa.array(met), pa.array(own), *blobs], names=["bucket", "block", "hashes", "several"])
+    h, bucket = h[first], _bucket(h[first], buckets)
+    order = np.lexsort((h, bucket))
+    h, several, bucket = h[order], several[order], bucket[order]
+    return _rows(ASKED, [(b, own, hi - lo, KEYS.pack([h[lo:hi], several[lo:hi]])) for b, (lo, hi) in zip(*map(list, _starts(bucket)))])
 
 
 def answer(table: pa.Table, hot: int) -> pa.Table:
     """To each block its anchors that other blocks have too, marked where these are many."""
-    h = _joined(table, "hashes", np.uint64)
-    block = np.repeat(table.column("block").to_numpy(), _sizes(table, "hashes", 8))
-    order = np.lexsort((block, h))
-    h, block = h[order], block[order]
-    _, group, n = np.unique(h, return_inverse=True, return_counts=True)
+    got, counts, _ = KEYS.unpack(table)
+    block = np.repeat(table.column("block").to_numpy(), counts)
+    _, group, n = np.unique(got["key"], return_inverse=True, return_counts=True)
     shared = n[group] > 1
-    h, block, many = h[shared], block[shared], (n[group][shared] > hot).astype(np.uint8)
-    order = np.argsort(block, kind="stable")
-    met, start = np.unique(block[order], return_index=True)
-    blobs = _blobs({"a": h[order], "b": many[order]}, np.concatenate((start, [len(h)])))
-    bucket = np.full(len(met), table.column("bucket")[0].as_py(), np.int64)
-    return pa.Table.from_arrays([pa.array(bucket), pa.array(met), pa.array(np.zeros(len(met), np.int32)), *blobs, pa.array([b""] * len(met), pa.binary())], schema=_schema(TOLD))
-
-
-def _schema(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
+    h, block, many = got["key"][shared], block[shared], n[group][shared] > hot
+    order = np.lexsort((h, block))
+    h, block, many = h[order], block[order], many[order]
+    own = table.column("bucket")[0].as_py()
+    return _rows(TOLD, [(own, b, 0, hi - lo, KEYS.pack([h[lo:hi], many[lo:hi]])) for b, (lo, hi) in zip(*map(list, _starts(block)))])
 
 
 def _matrix(raw: np.ndarray, start: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
@@ -159,14 +196,16 @@ def send(texts: pa.Table, told: pa.Table, buckets: int, length: int, gram: int)
     the smallest id speaks for all with larger ids: these are spans to remove whatever other blocks say.
     """
     if not texts.num_rows:
-        return _schema(SENT).empty_table()
-    block = Block(texts, length, gram)
+        return _rows(TOLD, [])
+    block, own = Block(texts, length, gram), texts.column("block")[0].as_py()
     own_id = block.ids[block.row]
-    h, many = _joined(told, "a", np.uint64), _joined(told, "b", np.uint8)
+    got, counts, _ = KEYS.unpack(told)
+    h, many = _short(got["key"], np.repeat(told.column("bucket").to_numpy(), counts)), got["mark"]
     order = np.argsort(h)
     h, many = h[order], many[order]
-    at = np.searchsorted(h, block.hash)
-    known = (at < len(h)) & (h[np.minimum(at, max(len(h) - 1, 0))] == block.hash) if len(h) else np.zeros(len(at), bool)
+    asked = _short(block.hash, _bucket(block.hash, buckets))
+    at = np.searchsorted(h, asked)
+    known = (at < len(h)) & (h[np.minimum(at, max(len(h) - 1, 0))] == asked) if len(h) else np.zeros(len(at), bool)
     hot = known & (many[np.minimum(at, max(len(h) - 1, 0))] > 0) if len(h) else known
     # Anchors that only this block has, but in several of its documents.
     order = np.lexsort((own_id, block.hash))
@@ -203,23 +242,17 @@ def send(texts: pa.Table, told: pa.Table, buckets: int, length: int, gram: int)
     mine = start - block.at[row]
     spans = _merged(row[settled], mine[settled], mine[settled] + n[settled])
     keep = np.flatnonzero(~settled)
-    order, met, starts = _cut(key[keep], buckets)
-    keep = keep[order]
-    columns = {
-        "key": key[keep], "id": ids[keep], "row": row[keep].astype(np.int32), "start": mine[keep].astype(np.int32),
-        "left": left[keep].astype(np.uint8), "n": n[keep].astype(np.uint8),
-    }
-    blobs = _blobs(columns, starts)
-    solid = np.arange(2 * length) < n[keep][:, None]
-    ends = np.concatenate(([0], np.cumsum(n[keep])))[starts]
-    data = _blobs({"data": bytes_[keep][solid]}, ends)
-    own = texts.column("block")[0].as_py()
-    made = pa.Table.from_arrays([pa.array(met), pa.array(np.full(len(met), own, np.int64)), pa.array(np.zeros(len(met), np.int32)), *blobs, *data], schema=_schema(SENT))
+    bucket = _bucket(key[keep], buckets)
+    # In the order of the text within a bucket: neighbours share their high bytes.
+    order = np.lexsort((mine[keep], row[keep], bucket))
+    keep, bucket = keep[order], bucket[order]
+    solid = np.arange(2 * length) < n[:, None]
+    lines = []
+    for b, (lo, hi) in zip(*map(list, _starts(bucket))):
+        e = keep[lo:hi]
+        lines.append((b, own, 0, hi - lo, ENTRIES.pack([key[e], ids[e], row[e], mine[e], left[e], n[e]], bytes_[e][solid[e]].tobytes())))
     # Settled spans travel with the rest, in a bucket of the block's own.
-    empty = [pa.array([b""], pa.binary())] * 3
-    told_on = [pa.array([x.tobytes()], pa.binary()) for x in spans]
-    passed = pa.Table.from_arrays([pa.array([own % buckets]), pa.array([own]), pa.array([1], pa.int32()), *empty[:2], told_on[0], told_on[1], *empty[:2], told_on[2]], schema=_schema(SENT))
-    return pa.concat_tables([made, passed])
+    return _rows(TOLD, [*lines, (own % buckets, own, 1, len(spans[0]), SPANS.pack(list(spans)))])
 
 
 def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,10 +324,10 @@ def settle(table: pa.Table, length: int) -> pa.Table:
     """Spans to remove, by block, from all entries of a bucket."""
     sent = table.filter(pc.equal(table.column("kind"), 0))
     passed = table.filter(pc.equal(table.column("kind"), 1))
-    key, ids, row = _joined(sent, "key", np.uint64), _joined(sent, "id", np.int64), _joined(sent, "row", np.int32)
-    start, left, n = _joined(sent, "start", np.int32), _joined(sent, "left_n", np.uint8).astype(int), _joined(sent, "n", np.uint8).astype(int)
-    data = _joined(sent, "data", np.uint8)
-    block = np.repeat(sent.column("block").to_numpy(), _sizes(sent, "key", 8))
+    got, counts, data = ENTRIES.unpack(sent)
+    key, ids, row, start = got["key"], got["id"], got["row"], got["start"]
+    left, n = got["left"].astype(int), got["n"].astype(int)
+    block = np.repeat(sent.column("block").to_numpy(), counts)
     at = np.cumsum(n) - n
     order = np.lexsort((row, block, ids, key))
     key, ids, row, start, left, n, block, at = (x[order] for x in (key, ids, row, start, left, n, block, at))
@@ -327,14 +360,14 @@ def settle(table: pa.Table, length: int) -> pa.Table:
         for g in np.flatnonzero(~(plain | pair)):
             spans.append(_scan(np.arange(head[g], head[g] + sizes[g]), data, at, left, n, ids, anchor, length))
     entry, lo, hi = (np.concatenate(x).astype(np.int64) for x in zip(*spans)) if spans else (np.zeros(0, np.int64),) * 3
-    out = []
-    for b in np.unique(block[entry]) if len(entry) else []:
-        own = block[entry] == b
-        out.append((b, *_merged(row[entry][own].astype(np.int64), lo[own], hi[own])))
-    for line in passed.to_pylist():
-        out.append((line["block"], *(np.frombuffer(line[c], np.int32) for c in ("row", "start", "data"))))
-    rows = [{"bucket": -1, "block": int(b), "kind": 1, "a": r.tobytes(), "b": s.tobytes(), "c": e.tobytes()} for b, r, s, e in out]
-    return pa.Table.from_pylist(rows, schema=_schema(TOLD))
+    order = np.argsort(block[entry], kind="stable")
+    entry, lo, hi = entry[order], lo[order], hi[order]
+    lines = []
+    for b, (i, j) in zip(*map(list, _starts(block[entry]))):
+        merged = _merged(row[entry[i:j]].astype(np.int64), lo[i:j], hi[i:j])
+        lines.append((-1, b, 1, len(merged[0]), SPANS.pack(list(merged))))
+    lines += [(-1, line["block"], 1, line["n"], line["data"]) for line in passed.to_pylist()]
+    return _rows(TOLD, lines)
 
 
 def _mirrored(data: np.ndarray, at: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
@@ -367,30 +400,28 @@ def _scan(entries, data, at, left, n, ids, anchor, length) -> tuple[np.ndarray,
     return tuple(np.array(x, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def _mask(block: Block, told: pa.Table) -> np.ndarray:
+def _mask(raw: np.ndarray, at: np.ndarray, told: pa.Table) -> np.ndarray:
     """True for each byte to remove."""
-    row, lo, hi = (_joined(told, c, np.int32).astype(np.int64) for c in "abc")
-    edge = np.zeros(len(block.raw) + 1, np.int64)
-    np.add.at(edge, block.at[row] + lo, 1)
-    np.add.at(edge, block.at[row] + hi, -1)
+    got = SPANS.unpack(told)[0]
+    row, lo, hi = (got[c].astype(np.int64) for c in ("row", "start", "end"))
+    edge = np.zeros(len(raw) + 1, np.int64)
+    np.add.at(edge, at[row] + lo, 1)
+    np.add.at(edge, at[row] + hi, -1)
     return np.cumsum(edge)[:-1] > 0
 
 
 def finish(texts: pa.Table, told: pa.Table) -> pa.Table:
     """``id, spans, kept``: the removed runs of each text as (start, end) byte places, and the bytes left."""
-    block = Block.__new__(Block)
-    order = np.lexsort((np.array([hashlib.sha256(t).digest() for t in texts.column("text").cast(pa.binary()).to_pylist()], "S32"), texts.column("id").to_numpy()))
-    texts = texts.take(pa.array(order))
-    block.ids, (block.raw, block.at) = texts.column("id").to_numpy(), buffer_of(texts.column("text"))
-    gone = _mask(block, told)
+    ids, raw, at = in_order(texts)
+    gone = _mask(raw, at, told)
     spans, kept = [], []
-    for a, b in zip(block.at[:-1].tolist(), block.at[1:].tolist()):
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         own = gone[a:b]
         turns = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
         spans.append([{"start": s, "end": e} for s, e in turns.reshape(-1, 2).tolist()])
-        kept.append(block.raw[a:b][~own].tobytes())
+        kept.append(raw[a:b][~own].tobytes())
     pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    return pa.Table.from_arrays([pa.array(block.ids), pa.array(np.diff(block.at)), pa.array(spans, pa.list_(pair)), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+    return pa.Table.from_arrays([pa.array(ids), pa.array(np.diff(at)), pa.array(spans, pa.list_(pair)), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -411,7 +442,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = texts.groupBy("block")
     asked = blocks.applyInArrow(lambda t: ask(t, n, length, gram), ASKED)
     told = asked.groupBy("bucket").applyInArrow(lambda t: answer(t, hot), TOLD)
-    sent = blocks.cogroup(told.groupBy("block")).applyInArrow(lambda t, r: send(t, r, n, length, gram), SENT)
+    sent = blocks.cogroup(told.groupBy("block")).applyInArrow(lambda t, r: send(t, r, n, length, gram), TOLD)
     settled = sent.groupBy("bucket").applyInArrow(lambda t: settle(t, length), TOLD)
     schema = "id long, n_bytes long, spans array<struct<start long, end long>>, kept binary"
     done = blocks.cogroup(settled.groupBy("block")).applyInArrow(finish, schema)

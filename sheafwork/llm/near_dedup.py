@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafwork.llm.common import append, buffer_of, keep, mix, new_folder, word_hashes
@@ -181,6 +181,25 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
             return labels
 
 
+def _across(inside: DataFrame, sets: DataFrame, similar: float, folder: str) -> DataFrame:
+    """Pairs of different classes of which one is outside its bucket's largest class and that may be similar.
+
+    Two sets this similar share one of their rarest shingles, in one order for all: one of the first
+    ``n - ceil(similar * n) + 1``. So only those are joined; shingles that a single document has drop out.
+    """
+    ids = inside.select("id", "label").distinct()
+    tokens = sets.join(ids, "id").select("id", "label", F.size("s").alias("n"), F.explode("s").alias("t"))
+    tokens = keep(tokens, folder, "tokens")
+    rare = keep(tokens.groupBy("t").agg(F.count("*").alias("df")), folder, "rare")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
+    first = F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1
+    prefix = keep(tokens.join(rare, "t").withColumn("k", place).where(F.col("k") <= first).where("df > 1").select("id", "label", "t"), folder, "prefix")
+    outside = inside.where("label <> largest").select(F.col("id").alias("x")).distinct()
+    left = prefix.join(outside, F.col("id") == F.col("x"), "left_semi").select(F.col("id").alias("x"), F.col("label").alias("lx"), "t")
+    right = prefix.select(F.col("id").alias("y"), F.col("label").alias("ly"), "t")
+    return left.join(right, "t").where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -219,10 +238,7 @@ def classes(
     mixed = held.groupBy("key").agg(F.max(F.struct("m", "label")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
     mixed = keep(mixed.select("key", F.col("largest.label").alias("largest")), folder, "mixed")
     inside = keep(labelled.join(mixed, "key"), folder, "inside")
-    left = inside.where("label <> largest").select("key", F.col("id").alias("x"), F.col("label").alias("lx"))
-    right = inside.select("key", F.col("id").alias("y"), F.col("label").alias("ly"))
-    across = left.join(right, "key").where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    across = keep(across.join(pairs, ["a", "b"], "left_anti"), folder, "pairs-2")
+    across = keep(_across(inside, sets, similar, folder).join(pairs, ["a", "b"], "left_anti"), folder, "pairs-2")
     every = links.unionByName(_linked(across, sets, similar)).unionByName(own)
     final = components(every, folder, "final")
     rows_ = docs.select(F.col(id_col).alias("id")).join(final, "id", "left").select("id", F.coalesce("label", "id").alias("class_id"))

@@ -8,7 +8,7 @@ the tree of intervals, and within each interval the bytes to the left are sorted
 the same way: where left extensions part, a maximal repeat ends. Every repeat lists all its members;
 those in a document with a larger id than the smallest member's are removed.
 
-Documents are handled in blocks, a few megabytes of text each. A block sends an anchor, and equal
+Documents are handled in blocks, one for each shuffle partition. A block sends an anchor, and equal
 bytes around it, once. An anchor that many blocks have is split up by whole windows, so no task gathers
 more of one passage than one row for each block.
 """
@@ -24,14 +24,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafwork.llm.common import buffer_of, hash_between, mix, powers, running_sums, text_or_empty
+from sheafwork.llm.common import buffer_of, hash_between, keep, mix, new_folder, running_sums, text_or_empty
 
 LENGTH = 50
-GRAM = 20
-BLOCKS_PER_PARTITION = 4
+GRAM = 28
 #: An anchor in more blocks than this is split up by windows.
 HOT = 64
 _SEGMENT = 1 << 20
+_ROWS = 1 << 14
 _LOW = (1 << 24) - 1
 _LAST_ID = 2**63 - 1
 
@@ -53,31 +53,23 @@ class Block:
     def __init__(self, table: pa.Table, length: int = LENGTH, gram: int = GRAM):
         self.ids, self.raw, self.at = in_order(table)
         self.length, self.gram = length, gram
-        self.sums = running_sums(self.raw)
         found = [self._runs(i) for i in range(0, max(len(self.raw) - length + 1, 0), _SEGMENT)]
-        p, first = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        row = np.searchsorted(self.at, first, side="right") - 1
-        inside = first + length <= self.at[row + 1]
-        p, first, row = p[inside], first[inside], row[inside]
-        opens = np.ones(len(p), bool)
-        opens[1:] = (p[1:] != p[:-1]) | (row[1:] != row[:-1])
-        start = np.flatnonzero(opens)
-        #: Of each run: anchor, first and last window, row, hash of the anchor's bytes.
-        self.anchor, self.row = p[start], row[start]
-        self.first, self.last = first[start], first[np.concatenate((start[1:], [len(p)])) - 1] if len(p) else first
-        self.hash = hash_between(self.sums, self.anchor, self.anchor + gram)
-
-    def _runs(self, start: int) -> tuple[np.ndarray, np.ndarray]:
-        """Anchors of the windows of a segment from ``start`` on, and these windows.
+        #: Of each run of windows with one anchor: the anchor, first and last window, row, hash of the anchor's bytes.
+        self.anchor, self.first, self.last, self.row = (np.concatenate(x) for x in list(zip(*found))[:4]) if found else (np.zeros(0, np.int64),) * 4
+        self.hash = np.concatenate([x[4] for x in found]) if found else np.zeros(0, np.uint64)
+
+    def _runs(self, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The runs of a segment of windows from ``start`` on; a run that goes on in the next one is cut.
 
         The smallest hash wins, of equal ones the leftmost; the hash's upper bits and the place are
         compared as one number.
         """
         width = self.length - self.gram + 1
         stop = min(start + _SEGMENT, len(self.raw) - self.length + 1)
-        begin = np.arange(start, stop + width - 1)
-        packed = mix((self.sums[begin + self.gram] - self.sums[begin]) * powers(len(self.sums))[1][begin])
-        packed = (packed & ~np.uint64(_LOW)) | np.arange(len(begin), dtype=np.uint64)
+        sums = running_sums(self.raw[start : stop + self.length - 1])
+        begin = np.arange(stop - start + width - 1)
+        hashed = hash_between(sums, begin, begin + self.gram)
+        packed = (hashed & ~np.uint64(_LOW)) | begin.astype(np.uint64)
         # A string that runs over the end of its text must not become an anchor of the text's windows; such
         # windows run over the end too and are dropped later.
         reach = 1
@@ -87,7 +79,15 @@ class Block:
             reach *= 2
         rest = width - reach
         least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-        return (least & np.uint64(_LOW)).astype(np.int64) + start, np.arange(start, stop)
+        p, window = (least & np.uint64(_LOW)).astype(np.int64), np.arange(start, stop)
+        row = np.searchsorted(self.at, window, side="right") - 1
+        inside = window + self.length <= self.at[row + 1]
+        p, window, row = p[inside], window[inside], row[inside]
+        opens = np.ones(len(p) + 1, bool)
+        opens[1:-1] = (p[1:] != p[:-1]) | (row[1:] != row[:-1])
+        cut = np.flatnonzero(opens)
+        first, last = cut[:-1], cut[1:] - 1
+        return p[first] + start, window[first], window[last], row[first], hashed[p[first]]
 
 
 class Packed:
@@ -185,8 +185,21 @@ def answer(table: pa.Table, hot: int) -> pa.Table:
 
 def _matrix(raw: np.ndarray, start: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
     """Stretches of bytes as rows of a matrix, with zeros behind their ends."""
-    at = start[:, None] + np.arange(width)
-    return np.where(np.arange(width) < n[:, None], raw[np.minimum(at, max(len(raw) - 1, 0))], 0).astype(np.uint8)
+    out = np.zeros((len(start), width), np.uint8)
+    for i in range(0, len(start), _ROWS):
+        at = np.minimum(start[i : i + _ROWS, None] + np.arange(width), max(len(raw) - 1, 0))
+        out[i : i + _ROWS] = np.where(np.arange(width) < n[i : i + _ROWS, None], raw[at], 0)
+    return out
+
+
+def _looks(bytes_: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the rows of a matrix."""
+    wide = np.zeros((len(bytes_), -(-bytes_.shape[1] // 8) * 8), np.uint8)
+    wide[:, : bytes_.shape[1]] = bytes_
+    total = np.zeros(len(wide), np.uint64)
+    for column in np.ascontiguousarray(wide).view(np.uint64).T:
+        total = mix(total ^ column) * np.uint64(0x9E3779B97F4A7C15)
+    return mix(total)
 
 
 def send(texts: pa.Table, told: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
@@ -199,6 +212,8 @@ def send(texts: pa.Table, told: pa.Table, buckets: int, length: int, gram: int)
         return _rows(TOLD, [])
     block, own = Block(texts, length, gram), texts.column("block")[0].as_py()
     own_id = block.ids[block.row]
+    copies = told.filter(pc.equal(told.column("kind"), 2))
+    told = told.filter(pc.equal(told.column("kind"), 0))
     got, counts, _ = KEYS.unpack(told)
     h, many = _short(got["key"], np.repeat(told.column("bucket").to_numpy(), counts)), got["mark"]
     order = np.argsort(h)
@@ -217,30 +232,37 @@ def send(texts: pa.Table, told: pa.Table, buckets: int, length: int, gram: int)
     np.maximum.at(high, group, own_id[order])
     local = np.zeros(len(order), bool)
     local[order] = (low != high)[group]
-    cold = np.flatnonzero((known | local) & ~hot)
+    # A copy of a document with a smaller id goes as a whole and has nothing to ask.
+    copied = np.isin(block.ids, np.concatenate([np.frombuffer(x, np.int64) for x in copies.column("data").to_pylist()] or [np.zeros(0, np.int64)]))
+    cold = np.flatnonzero((known | local) & ~hot & ~copied[block.row])
     start, n, left = block.first[cold], block.last[cold] - block.first[cold] + length, block.anchor[cold] - block.first[cold]
     key, row = block.hash[cold], block.row[cold]
-    if hot.any():
-        runs = np.flatnonzero(hot)
+    runs = np.flatnonzero(hot & ~copied[block.row])
+    if len(runs):
         times = block.last[runs] - block.first[runs] + 1
         each = np.repeat(runs, times)
         window = block.first[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
         start = np.concatenate((start, window))
         n = np.concatenate((n, np.full(len(each), length)))
         left = np.concatenate((left, block.anchor[each] - window))
-        key = np.concatenate((key, hash_between(block.sums, window, window + length)))
+        key = np.concatenate((key, _looks(_matrix(block.raw, window, np.full(len(window), length), length))))
         row = np.concatenate((row, block.row[each]))
     ids = block.ids[row]
-    looks = hash_between(block.sums, start, start + n) + left.astype(np.uint64)
-    order = np.lexsort((ids, looks, key))
-    start, n, left, key, row, ids, looks = (x[order] for x in (start, n, left, key, row, ids, looks))
     bytes_ = _matrix(block.raw, start, n, 2 * length)
+    looks = _looks(bytes_) + left.astype(np.uint64)
+    order = np.lexsort((ids, looks, key))
+    start, n, left, key, row, ids, looks, bytes_ = (x[order] for x in (start, n, left, key, row, ids, looks, bytes_))
     alike = np.zeros(len(key), bool)
     alike[1:] = (key[1:] == key[:-1]) & (looks[1:] == looks[:-1]) & (n[1:] == n[:-1]) & (left[1:] == left[:-1]) & (bytes_[1:] == bytes_[:-1]).all(1)
     speaker = np.maximum.accumulate(np.where(alike, 0, np.arange(len(key)))) if len(key) else np.zeros(0, np.int64)
     settled = ids > ids[speaker] if len(key) else alike
     mine = start - block.at[row]
-    spans = _merged(row[settled], mine[settled], mine[settled] + n[settled])
+    whole = np.flatnonzero(copied & (np.diff(block.at) >= length))
+    spans = _merged(
+        np.concatenate((row[settled], whole)),
+        np.concatenate((mine[settled], np.zeros(len(whole), np.int64))),
+        np.concatenate((mine[settled] + n[settled], np.diff(block.at)[whole])),
+    )
     keep = np.flatnonzero(~settled)
     bucket = _bucket(key[keep], buckets)
     # In the order of the text within a bucket: neighbours share their high bytes.
@@ -372,9 +394,11 @@ def settle(table: pa.Table, length: int) -> pa.Table:
 
 def _mirrored(data: np.ndarray, at: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
     """The bytes before the anchors from right to left, with zeros behind."""
-    back = np.arange(width)
-    place = np.maximum((at + left - 1)[:, None] - back, 0)
-    return np.where(back < left[:, None], data[place], 0).astype(np.uint8)
+    out, back = np.zeros((len(at), width), np.uint8), np.arange(width)
+    for i in range(0, len(at), _ROWS):
+        place = np.maximum((at[i : i + _ROWS] + left[i : i + _ROWS] - 1)[:, None] - back, 0)
+        out[i : i + _ROWS] = np.where(back < left[i : i + _ROWS, None], data[place], 0)
+    return out
 
 
 def _agree(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -424,6 +448,20 @@ def finish(texts: pa.Table, told: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(ids), pa.array(np.diff(at)), pa.array(spans, pa.list_(pair)), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
 
 
+def _copies(texts: DataFrame, folder: str) -> DataFrame:
+    """To each block the ids of its texts that a document with a smaller id has whole."""
+    digests = keep(texts.select("block", "id", F.sha2("text", 256).alias("sha")), folder, "digests")
+    firsts = keep(digests.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("m")).where("m > 1"), folder, "firsts")
+    # Rows of one id may hold other texts too: an id goes whole only if all its texts do.
+    held = digests.join(firsts, "sha", "left").groupBy("block", "id").agg(F.max(F.coalesce("first", "id")).alias("first"))
+
+    def packed(table: pa.Table) -> pa.Table:
+        ids = np.sort(table.column("id").to_numpy())
+        return _rows(TOLD, [(-1, table.column("block")[0].as_py(), 2, len(ids), ids.tobytes())])
+
+    return held.where("first < id").groupBy("block").applyInArrow(packed, TOLD)
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """One row for each input row: id, ``n_bytes``, ``spans`` (removed runs, in bytes) and ``kept`` (bytes).
 
@@ -434,7 +472,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 0 < gram < length <= 100:
         raise ValueError("the anchors must be shorter than the windows, of 100 bytes at most")
-    n = BLOCKS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID))
     texts = docs.select(ids.alias("id"), text_or_empty(text_col).alias("text"))
     texts = texts.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("long").alias("block"), "id", "text")
@@ -442,6 +480,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = texts.groupBy("block")
     asked = blocks.applyInArrow(lambda t: ask(t, n, length, gram), ASKED)
     told = asked.groupBy("bucket").applyInArrow(lambda t: answer(t, hot), TOLD)
+    told = told.unionByName(_copies(texts, new_folder(docs.sparkSession)))
     sent = blocks.cogroup(told.groupBy("block")).applyInArrow(lambda t, r: send(t, r, n, length, gram), TOLD)
     settled = sent.groupBy("bucket").applyInArrow(lambda t: settle(t, length), TOLD)
     schema = "id long, n_bytes long, spans array<struct<start long, end long>>, kept binary"

@@ -5,7 +5,8 @@ Translation has two exact ways, chosen by the counted size of the vocabulary:
 * up to ``MAX_LOOKUP_ROWS`` entries the table is broadcast and each Arrow batch is
   looked up in place. Nothing is exploded or shuffled, and one document stays one row.
 * above it the tokens are exploded, joined on (token, salt) so that a hot token is
-  spread over several tasks, and regrouped by row key.
+  spread over several tasks, and regrouped by what the row holds. Rows that hold the same
+  arrays are looked up once, so repeated ids or rows give the same result either way.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ PAD, UNK, BOS, SEP, EOS = range(len(SPECIALS))
 
 MAX_LOOKUP_ROWS = 1_000_000
 SALTS = 16
+HEAD_LETTERS = 3
 
 
 def tokenize(df: DataFrame, col: str = "text", out: str = "tokens", tokenizer: ColumnFn = words) -> DataFrame:
@@ -43,24 +45,30 @@ def token_counts(df: DataFrame, cols: Sequence[str], tokenizer: ColumnFn = words
 def build_vocab(
     df: DataFrame,
     cols: Sequence[str] = ("text",),
-    max_size: int = 52_000,
+    max_size: int | None = None,
     min_count: int = 1,
     specials: Sequence[str] = SPECIALS,
     tokenizer: ColumnFn = words,
 ) -> DataFrame:
     """(token, id): specials first, then tokens by count descending and token ascending.
 
-    ``max_size`` bounds the result, specials included. The sort is a top-k: every task
-    keeps its own first ``max_size`` rows, and ids are numbered over those rows only.
+    ``max_size`` bounds the result, specials included; None keeps the whole vocabulary. No task
+    sorts all tokens: those of one count are numbered by first letters, behind the totals of
+    larger counts (one row for each count) and of earlier letters.
     """
-    head = (
-        token_counts(df, cols, tokenizer)
-        .where((F.col("n") >= min_count) & ~F.col("token").isin(list(specials)))
-        .orderBy(F.desc("n"), F.asc("token"))
-        .limit(max(max_size - len(specials), 0))
-    )
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("token")))
-    learned = head.select("token", (rank + (len(specials) - 1)).cast("int").alias("id"))
+    counts = token_counts(df, cols, tokenizer).where((F.col("n") >= min_count) & ~F.col("token").isin(list(specials)))
+    counts = counts.withColumn("head", F.substring("token", 1, HEAD_LETTERS))
+    heads = counts.groupBy("n", "head").agg(F.count("*").alias("m"))
+    larger = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = heads.groupBy("n").agg(F.sum("m").alias("m")).select("n", F.coalesce(F.sum("m").over(larger), F.lit(0)).alias("larger"))
+    earlier = Window.partitionBy("n").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    starts = heads.select("n", "head", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("earlier"))
+    inside = F.row_number().over(Window.partitionBy("n", "head").orderBy("token"))
+    numbered = counts.withColumn("inside", inside).join(starts, ["n", "head"]).join(totals, "n")
+    rank = F.col("larger") + F.col("earlier") + F.col("inside")
+    learned = numbered.select("token", (rank + (len(specials) - 1)).cast("int").alias("id"))
+    if max_size is not None:
+        learned = learned.where(F.col("id") < max_size)
     rows = [(token, i) for i, token in enumerate(specials)]
     return df.sparkSession.createDataFrame(rows, "token string, id int").unionByName(learned)
 
@@ -117,14 +125,18 @@ def _codec_of(vocab: DataFrame | Codec, max_rows: int) -> Codec | None:
 
 
 def _translate_by_join(
-    df: DataFrame, columns: dict[str, str], mapping: DataFrame, key: Sequence[str], default: Column, out_type: str
+    df: DataFrame, columns: dict[str, str], mapping: DataFrame, default: Column, out_type: str
 ) -> DataFrame:
     """Replace array elements through ``mapping(source, target)`` of any size.
 
     One explode and one regroup serve all columns. Element rows carry no payload, and a
-    hot element is spread over ``SALTS`` join keys.
+    hot element is spread over ``SALTS`` join keys. A row is found again by a digest of its
+    arrays, and rows with the same arrays are looked up once.
     """
     sources = list(columns)
+    key = ["__row"]
+    df = df.withColumn("__row", F.sha2(F.to_json(F.struct(*[F.col(c).alias(f"c{n}") for n, c in enumerate(sources)])), 256))
+    held = df.select(*key, *sources).dropDuplicates(key)
     empty = F.array().cast(f"array<{out_type}>")
 
     def tagged(n: int) -> Column:
@@ -135,7 +147,7 @@ def _translate_by_join(
     def untagged(n: int) -> Column:
         return F.transform(F.filter("all", lambda r: r["col"] == n), lambda r: r["v"])
 
-    elements = df.select(*key, F.explode(F.flatten(F.array_compact(F.array(*map(tagged, range(len(sources))))))).alias("e")).select(
+    elements = held.select(*key, F.explode(F.flatten(F.array_compact(F.array(*map(tagged, range(len(sources))))))).alias("e")).select(
         *key, "e.*", F.pmod(F.xxhash64(*key, "e.pos"), F.lit(SALTS)).cast("int").alias("salt")
     )
     salted = mapping.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -145,39 +157,37 @@ def _translate_by_join(
         .agg(F.array_sort(F.collect_list(F.struct("col", "pos", F.coalesce("target", default).alias("v")))).alias("all"))
     )
     found = grouped.select(*key, *[untagged(n).alias(f"__{n}") for n in range(len(sources))])
-    out = df.join(found, list(key), "left")
+    out = df.join(found, key, "left")
     for n, source in enumerate(sources):
         # a row without elements has no group; a null array stays null
         value = F.when(F.col(source).isNotNull(), F.coalesce(F.col(f"__{n}"), empty))
         out = out.withColumn(columns[source], value)
-    return out.drop(*[f"__{n}" for n in range(len(sources))])
+    return out.drop(*key, *[f"__{n}" for n in range(len(sources))])
 
 
 def encode(
     df: DataFrame,
     vocab: DataFrame | Codec,
     columns: dict[str, str],
-    key: Sequence[str] = ("example_id",),
     unk: int = UNK,
     max_lookup_rows: int = MAX_LOOKUP_ROWS,
 ) -> DataFrame:
     """Add id arrays: ``columns`` maps token-array columns to output columns.
 
-    Unknown tokens get ``unk``. ``key`` must identify a row; only the join way needs it. A
-    loaded codec in place of the table spares reading the vocabulary again.
+    Unknown tokens get ``unk``. A loaded codec in place of the table spares reading the
+    vocabulary again.
     """
     codec = _codec_of(vocab, max_lookup_rows)
     if codec is not None:
         return df.withColumns({out: codec.encode(F.col(c), unk) for c, out in columns.items()})
     mapping = vocab.select(F.col("token").alias("source"), F.col("id").cast("int").alias("target"))
-    return _translate_by_join(df, columns, mapping, key, F.lit(unk), "int")
+    return _translate_by_join(df, columns, mapping, F.lit(unk), "int")
 
 
 def decode(
     df: DataFrame,
     vocab: DataFrame | Codec,
     columns: dict[str, str],
-    key: Sequence[str] = ("example_id",),
     specials: Sequence[int] = tuple(range(len(SPECIALS))),
     max_lookup_rows: int = MAX_LOOKUP_ROWS,
 ) -> DataFrame:
@@ -189,7 +199,7 @@ def decode(
         mapping = vocab.where(~F.col("id").isin(list(specials))).select(
             F.col("id").alias("source"), F.col("token").alias("target")
         )
-        out = _translate_by_join(df, columns, mapping, key, F.lit(None).cast("string"), "string")
+        out = _translate_by_join(df, columns, mapping, F.lit(None).cast("string"), "string")
         out = out.withColumns({name: F.array_compact(F.col(name)) for name in columns.values()})
     return out.withColumns({name: clean_decoded(F.array_join(F.col(name), " ")) for name in columns.values()})
 

@@ -113,7 +113,7 @@ def bce_with_logits(df: DataFrame, reduction: str = "mean") -> DataFrame:
         raise ValueError(f"reduction must be 'mean' or 'sum', not {reduction!r}")
     rows = df.select(scores.bce_sum(F.col("logits"), F.col("targets")).alias("s"), F.size("logits").alias("n"))
     total = F.sum("s")
-    return rows.agg((total / F.sum("n") if reduction == "mean" else total).alias("bce"))
+    return rows.agg((F.try_divide(total, F.sum("n")) if reduction == "mean" else total).alias("bce"))
 
 
 def token_losses(token_logits: DataFrame, labels: DataFrame, key: str = "example_id") -> DataFrame:

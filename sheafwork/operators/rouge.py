@@ -188,13 +188,14 @@ def rouge_pairs(
     hits = {f"hits{n}": arrays.multiset_overlap(F.col(f"p{n}"), F.col(f"r{n}")) for n in orders}
     if "rougeLsum" in keys:
         # union tokens are reference tokens already; clip them by the prediction's counts
-        hits["hitsLsum"] = arrays.multiset_overlap(F.col("union"), F.col("p1"))
+        hits["hitsLsum"] = arrays.multiset_overlap(F.col("union"), F.flatten("ps"))
     per_pair = counted.withColumns(hits) if hits else counted
 
     scored_columns = []
     for key in keys:
         shorter = (_order(key) or 1) - 1  # a side has that many n-grams less than tokens
-        n_pred, n_ref = (F.greatest(F.col(c) - shorter, F.lit(0)) for c in ("n_pred", "n_ref"))
+        sizes = (F.size(F.flatten("ps")), F.size(F.flatten("rs"))) if key == "rougeLsum" else (F.col("n_pred"), F.col("n_ref"))
+        n_pred, n_ref = (F.greatest(n - shorter, F.lit(0)) for n in sizes)
         scored = precision_recall_f1(F.col(f"hits{key[5:]}"), n_pred, n_ref)
         scored_columns += [scored[s].alias(f"{key}_{s}") for s in SCORES]
     return per_pair.select(*id_cols, *scored_columns)

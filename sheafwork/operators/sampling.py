@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 4096  # bounds the broadcast totals; 16**HASH_DIGITS for the md5 order
 HASH_DIGITS = 3
@@ -23,6 +24,8 @@ def id_bucketed(df: DataFrame, key: str, out: str = "__bucket", buckets: int = B
     only balance the buckets, also for ids that lie in clusters: positions are exact
     wherever the cuts fall.
     """
+    if not isinstance(df.schema[key].dataType, T.NumericType):
+        raise TypeError(f"{key!r} must be a number to be numbered by its order")
     shares = F.split(F.lit(",".join(str(i / buckets) for i in range(1, buckets))), ",").cast("array<double>")
     quantiles = df.select(F.percentile_approx(key, shares, 4 * buckets).alias("q")).first()["q"] or []
     cuts = sorted({float(q) for q in quantiles})

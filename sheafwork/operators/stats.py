@@ -61,9 +61,9 @@ def row_count(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 
 
 def truncation_loss(df: DataFrame, max_len: int, n: str = "n", groups: Sequence[str] = ()) -> DataFrame:
-    """Share of rows, and of ids, that a length limit cuts."""
+    """Share of rows, and of ids, that a length limit cuts; a group without ids loses none."""
     over: Column = F.greatest(F.col(n) - max_len, F.lit(0))
     return df.groupBy(*groups).agg(
         F.avg((F.col(n) > max_len).cast("double")).alias("rows_cut"),
-        (F.sum(over) / F.sum(n)).alias("ids_cut"),
+        F.coalesce(F.try_divide(F.sum(over), F.sum(n)), F.lit(0.0)).alias("ids_cut"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sheafwork.functions.text import after_first_line, first_line
 from sheafwork.operators.encoding import build_vocab
 from sheafwork.sources.catalog import TASK_TYPES
-from sheafwork.sources.tables import read_table, spread
+from sheafwork.sources.tables import read_table
 
 # How the given columns stand in for tasks, splits, classes and tokenizers.
 TASK_OF_SOURCE = {f"src{i}": task for i, task in enumerate(TASK_TYPES)}
@@ -37,8 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for work on their texts, spread over the cores if they come in few splits."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    """Documents for work on their texts."""
+    return table(spark, sf_dir, "documents")
 
 
 def addressed(docs: DataFrame) -> DataFrame:
@@ -157,4 +157,5 @@ def multi_ref_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_vocab(documents(spark, sf_dir), ["text"], VOCAB_SIZE)
+    """Every word of the documents."""
+    return build_vocab(documents(spark, sf_dir), ["text"])

@@ -17,7 +17,7 @@ def text_pairs_from_ids(
 ) -> DataFrame:
     """Decoded (pred, ref) texts; ignored labels count as pads and vanish with them."""
     unmasked = df.withColumn(labels, arrays.unmask_labels(F.col(labels), encoding.PAD))
-    return encoding.decode(unmasked, vocab, {preds: "pred", labels: "ref"}, key).select(*key, "pred", "ref")
+    return encoding.decode(unmasked, vocab, {preds: "pred", labels: "ref"}).select(*key, "pred", "ref")
 
 
 def rouge_from_ids(df: DataFrame, vocab: DataFrame | Codec, keys: Sequence[str] = rouge.KEYS, **options) -> DataFrame:

@@ -46,7 +46,6 @@ def encoded_choices(spark, sf_dir):
         tokens,
         corpus.vocabulary(spark, sf_dir),
         {"context_tokens": "context_ids", "ending_tokens": "ending_ids"},
-        key=("example_id", "choice"),
     ).drop("context_tokens", "ending_tokens")
     return choices.encode_choices(encoded, MAX_LEN)
 

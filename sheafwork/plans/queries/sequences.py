@@ -57,14 +57,14 @@ def shift_targets(spark, sf_dir):
 @query(
     "q5_last_real_index",
     f"""WITH {MASKED} SELECT example_id, (len(list_filter(ids, lambda x: x <> {PAD})) - 1)::INT AS on_right,
-    CASE WHEN len(list_filter(ids, lambda x: x <> {PAD})) > 0 THEN 127 ELSE -1 END::INT AS on_left FROM padded""",
+    coalesce(list_max([i for i in range(len(ids)) if list_reverse(ids)[i + 1] <> {PAD}]), -1)::INT AS on_left FROM padded""",
 )
 def last_real_index(spark, sf_dir):
     rows = padded(spark, sf_dir)
     return rows.select(
         "example_id",
         arrays.last_real_index(F.col("ids"), PAD).alias("on_right"),
-        arrays.last_real_index(F.col("ids"), PAD, "left").alias("on_left"),
+        arrays.last_real_index(F.reverse("ids"), PAD, "left").alias("on_left"),
     )
 
 

@@ -87,7 +87,7 @@ def write_features(spark, sf_dir):
     name = f"tokens_{spark.sparkContext.applicationId}_{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
     path = f"{tables.shared_dir(spark)}/{name}"
     features.write_features(rows, path, ["title"])
-    return tables.read_table(spark, path, rows.schema)
+    return tables.read_table(spark, path).select(*rows.columns)
 
 
 @query(

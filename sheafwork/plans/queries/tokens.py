@@ -44,9 +44,9 @@ def tokenize(spark, sf_dir):
     return encoding.tokenize(rows).drop("text")
 
 
-@query("k2_build_vocab", f"WITH {sql.VOCAB} SELECT * FROM vocab")
+@query("k2_build_vocab", f"WITH {sql.VOCAB} SELECT * FROM vocab WHERE id < {corpus.VOCAB_SIZE}")
 def build_vocab(spark, sf_dir):
-    return corpus.vocabulary(spark, sf_dir)
+    return encoding.build_vocab(corpus.documents(spark, sf_dir), ["text"], corpus.VOCAB_SIZE)
 
 
 @query("k3_encode", f"WITH {ENCODED} SELECT * FROM enc")
@@ -62,9 +62,9 @@ def encode_by_join(spark, sf_dir):
     return encoded.select("example_id", "ids")
 
 
-@query("k4_vocab_size", f"WITH {sql.VOCAB} SELECT count(*) AS vocab_size FROM vocab")
+@query("k4_vocab_size", f"WITH {sql.VOCAB} SELECT count(*) AS vocab_size FROM vocab WHERE id < {corpus.VOCAB_SIZE}")
 def vocab_size(spark, sf_dir):
-    return encoding.vocab_size(corpus.vocabulary(spark, sf_dir))
+    return encoding.vocab_size(build_vocab(spark, sf_dir))
 
 
 @query(

@@ -56,7 +56,7 @@ vocab AS (
   SELECT token, (row_number() OVER (ORDER BY n DESC, token) + {len(SPECIALS) - 1})::INT AS id
   FROM (SELECT token, count(*) AS n FROM (SELECT unnest({words('text')}) AS token FROM documents)
         WHERE token NOT IN ({', '.join(f"'{s}'" for s in SPECIALS)})
-        GROUP BY token ORDER BY n DESC, token LIMIT {corpus.VOCAB_SIZE - len(SPECIALS)})
+        GROUP BY token)
   UNION ALL SELECT * FROM (VALUES {', '.join(f"('{s}', {i})" for i, s in enumerate(SPECIALS))}) s(token, id))"""
 
 CHOICES = """

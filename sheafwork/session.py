@@ -8,9 +8,6 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-# Whole documents are long rows, so fewer of them go into one Arrow batch than by default.
-BATCH_ROWS = 1000
-_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ready: set[str] = set()
 
 
@@ -22,6 +19,9 @@ def local_session(name: str, cores: int | str = "*", partitions: int = 8, memory
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        # Small single files are read by several tasks.
+        .config("spark.sql.files.maxPartitionBytes", "1m")
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -29,10 +29,10 @@ def local_session(name: str, cores: int | str = "*", partitions: int = 8, memory
 
 
 def prepare(spark: SparkSession) -> None:
-    """Once per application: send this package to the executors and bound the Arrow batches.
+    """Once per application: send this package to the executors.
 
     A job submitted with ``--py-files`` has the package there already; sending it again is
-    harmless. A batch size that the session sets itself is left alone.
+    harmless.
     """
     app = spark.sparkContext.applicationId
     if app in _ready:
@@ -40,6 +40,4 @@ def prepare(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='sheafwork-')}/sheafwork", "zip", root.parent, root.name)
     spark.sparkContext.addPyFile(archive)
-    if spark.conf.get(_BATCH_SETTING) == "10000":
-        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
     _ready.add(app)

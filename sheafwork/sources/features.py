@@ -19,12 +19,14 @@ def cache_key(split: Column, tokenizer: Column, max_len: Column, task: Column) -
 def write_features(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Typed Parquet output, overwriting what is there.
 
-    Folders by column are written after a rebalance on those columns: few files per folder,
+    Folders by column (``folder_<column>``, beside the columns themselves) are written after a rebalance on those columns: few files per folder,
     and a folder that holds much of the data is still split over several tasks.
     """
     if partition_by:
         df = df.hint("rebalance", *[F.col(c) for c in partition_by])
-    df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
+        # A folder name cannot tell an empty value from a missing one, so the values stay in the rows.
+        df = df.withColumns({f"folder_{c}": F.col(c) for c in partition_by})
+    df.write.mode("overwrite").parquet(path, partitionBy=[f"folder_{c}" for c in partition_by or []] or None)
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
@@ -36,11 +38,13 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 def materialize_features(df: DataFrame, root: str, key: str, overwrite: bool = False) -> DataFrame:
     """Write ``df`` under ``root/key`` unless a committed copy exists, and read it back.
 
-    The plan that comes back starts at the written files, so a lost executor costs a
+    A copy with other columns raises an error. The plan that comes back starts at the written files, so a lost executor costs a
     re-read and not the encoding.
     """
     spark = df.sparkSession
     path = f"{root.rstrip('/')}/{key}"
     if overwrite or not is_complete(spark, path):
         write_features(df, path)
+    elif (found := spark.read.parquet(path).schema.simpleString()) != df.schema.simpleString():
+        raise ValueError(f"the copy under {key!r} has other columns: {found}")
     return spark.read.schema(df.schema).parquet(path)

@@ -23,18 +23,6 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return reader.parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a table with fewer input splits than cores one partition per shuffle slot.
-
-    A single small file arrives as one task and would run a heavy projection on one
-    core. A table with enough splits is left as it is, so large inputs are not shuffled.
-    """
-    spark = df.sparkSession
-    if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
-        return df
-    return df.repartition(*keys)
-
-
 def scan_split(table: DataFrame, task: str, split: str, task_col: str = "task", split_col: str = "split") -> DataFrame:
     """One split of one task.
 

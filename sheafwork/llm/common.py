@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: How many answers a worker remembers, and the longest question it remembers.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 LONG = 64
 #: Rows of a batch are handled together up to this many bytes of text, so numpy's work arrays stay small.
 PIECE_BYTES = 2 << 20
+PIECE_ROWS = 1024
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -60,13 +61,13 @@ def text_or_empty(text: str | Column) -> Column:
 
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in slices of at most ``limit`` bytes in ``column``, one row at least."""
+    """The rows of the batches in slices of at most ``limit`` bytes in ``column`` and ``PIECE_ROWS`` rows, one at least."""
     for batch in batches:
         ends = np.cumsum(lengths(batch.column(column)))
         start = 0
         while start < batch.num_rows:
             done = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            stop = max(start + 1, min(start + PIECE_ROWS, int(np.searchsorted(ends, done + limit, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 

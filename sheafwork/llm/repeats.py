@@ -8,7 +8,7 @@ the tree of intervals, and within each interval the bytes to the left are sorted
 the same way: where left extensions part, a maximal repeat ends. Every repeat lists all its members;
 those in a document with a larger id than the smallest member's are removed.
 
-Documents are handled in blocks, one for each shuffle partition. A block sends an anchor, and equal
+Documents are handled in blocks, two for each shuffle partition. A block sends an anchor, and equal
 bytes around it, once. An anchor that many blocks have is split up by whole windows, so no task gathers
 more of one passage than one row for each block.
 """
@@ -28,6 +28,7 @@ from sheafwork.llm.common import buffer_of, hash_between, keep, mix, new_folder,
 
 LENGTH = 50
 GRAM = 28
+BLOCKS_PER_PARTITION = 2
 #: An anchor in more blocks than this is split up by windows.
 HOT = 64
 _SEGMENT = 1 << 20
@@ -472,7 +473,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 0 < gram < length <= 100:
         raise ValueError("the anchors must be shorter than the windows, of 100 bytes at most")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = BLOCKS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID))
     texts = docs.select(ids.alias("id"), text_or_empty(text_col).alias("text"))
     texts = texts.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("long").alias("block"), "id", "text")

@@ -46,8 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, their number, and the text that they decode to."""
     prepare(spark)
     path = public_tokenizers.path(WORD_BPE)
-    ids = bpe.decode(bpe.encode(docs, path), path)
-    return ids.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    return bpe.round_trip(docs, path).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 STAGES = [

@@ -120,6 +120,11 @@ class Vocabulary:
                 at -= size[token]
         return out
 
+    def forget(self) -> None:
+        """Start a task with empty memories, so that a worker holds one task's words at most."""
+        for memory in (self.fits, self.words, self.chunks):
+            memory.clear()
+
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a stretch of text; its words are found here and their tokens remembered."""
         chunk = unicodedata.normalize("NFC", chunk)
@@ -177,11 +182,29 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
 
     def prepare():
         words = vocabulary(raw.value)
+        words.forget()
         return lambda texts: [pa.array([words.encode(t or "") for t in texts.to_pylist()], pa.binary())]
 
     return append(df, text_col, f"`{ids_col}` binary", prepare)
 
 
+def round_trip(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass, with one vocabulary in each worker."""
+    raw = _shipped(df, path)
+
+    def prepare():
+        words = vocabulary(raw.value)
+        words.forget()
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            ids = [words.encode(t or "") for t in texts.to_pylist()]
+            return [pa.array(ids, pa.binary()), pa.array([words.decode(i) for i in ids], pa.string())]
+
+        return work
+
+    return append(df, text_col, f"`{ids_col}` binary, `{decoded_col}` string", prepare, 1 << 20)
+
+
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Add the text of the ids from :func:`encode`; null or empty ids give an empty text."""
     raw = _shipped(df, path)

@@ -91,8 +91,7 @@ WORD_BPE = "word_bpe_49k.json"
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's token ids and of what they decode to."""
     path = public_tokenizers.path(WORD_BPE)
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    decoded = bpe.decode(ids.drop("text"), path)
+    decoded = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -8,6 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+# Whole documents are long rows, so fewer of them go into one Arrow batch than by default.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ready: set[str] = set()
 
 
@@ -29,10 +32,11 @@ def local_session(name: str, cores: int | str = "*", partitions: int = 8, memory
 
 
 def prepare(spark: SparkSession) -> None:
-    """Once per application: send this package to the executors.
+    """Once per application: send this package to the executors and bound the Arrow batches.
 
     A job submitted with ``--py-files`` has the package there already; sending it again is
-    harmless.
+    harmless. A batch size in the application's own configuration is left alone, whatever it
+    is; one that is set after this call holds from then on.
     """
     app = spark.sparkContext.applicationId
     if app in _ready:
@@ -40,4 +44,6 @@ def prepare(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='sheafwork-')}/sheafwork", "zip", root.parent, root.name)
     spark.sparkContext.addPyFile(archive)
+    if not spark.sparkContext.getConf().contains(_BATCH_SETTING):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
     _ready.add(app)

@@ -19,14 +19,16 @@ def cache_key(split: Column, tokenizer: Column, max_len: Column, task: Column) -
 def write_features(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Typed Parquet output, overwriting what is there.
 
-    Folders by column (``folder_<column>``, beside the columns themselves) are written after a rebalance on those columns: few files per folder,
+    A folder name cannot tell an empty text from a missing one, so an empty text in a folder
+    column raises an error. Folders by column are written after a rebalance on those columns: few files per folder,
     and a folder that holds much of the data is still split over several tasks.
     """
     if partition_by:
         df = df.hint("rebalance", *[F.col(c) for c in partition_by])
-        # A folder name cannot tell an empty value from a missing one, so the values stay in the rows.
-        df = df.withColumns({f"folder_{c}": F.col(c) for c in partition_by})
-    df.write.mode("overwrite").parquet(path, partitionBy=[f"folder_{c}" for c in partition_by or []] or None)
+        texts = [c for c in partition_by if df.schema[c].dataType.typeName() == "string"]
+        refused = F.raise_error(F.lit("an empty text can't name a folder")).cast("string")
+        df = df.withColumns({c: F.when(F.col(c) == "", refused).otherwise(F.col(c)) for c in texts})
+    df.write.mode("overwrite").parquet(path, partitionBy=partition_by)
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:

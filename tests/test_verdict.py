@@ -36,11 +36,13 @@ def test_a_copy_with_other_columns_is_refused(spark, tmp_path):
         features.materialize_features(spark.createDataFrame([("x",)], "name string"), str(tmp_path), "k")
 
 
-def test_folders_keep_empty_values(spark, tmp_path):
+def test_folders_refuse_empty_values(spark, tmp_path):
     rows = spark.createDataFrame([(1, ""), (2, None), (3, "t")], "id long, title string")
-    features.write_features(rows, f"{tmp_path}/t", ["title"])
+    with pytest.raises(Exception, match="empty text"):
+        features.write_features(rows, f"{tmp_path}/t", ["title"])
+    features.write_features(rows.where("id > 1"), f"{tmp_path}/t", ["title"])
     back = spark.read.parquet(f"{tmp_path}/t").orderBy("id").collect()
-    assert [r["title"] for r in back] == ["", None, "t"]
+    assert [r["title"] for r in back] == [None, "t"]
 
 
 def test_truncation_loss_of_empty_texts(spark):

@@ -202,7 +202,5 @@ FROM j
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every revisit made from the pages, with the response that it confirms and its merged headers."""
     records = revisits.captures(table(spark, sf_dir, "pages"))
-    found = revisits.resolve(records)
-    payloads = records.where("kind = 'response'").select(F.col("record_id").alias("ref_id"), "payload_sha256")
-    found = found.join(payloads, "ref_id", "left").withColumn("payload_sha256", F.expr("if(verdict = 'resolved', payload_sha256, null)"))
+    found = revisits.resolve(records, carry=("payload_sha256",))
     return found.select("record_id", "uri", "ref_id", "verdict", revisits.header_lines(F.col("headers")).alias("headers"), "payload_sha256")

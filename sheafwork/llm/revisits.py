@@ -60,39 +60,68 @@ def header_lines(headers: Column) -> Column:
     return F.array_join(F.array_sort(lines), "\n")
 
 
-def resolve(records: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
-    """One row for each revisit: ``record_id, uri, ref_id, verdict, headers``.
+def resolve(records: DataFrame, slot_seconds: int = SLOT_SECONDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each revisit: ``record_id, uri, ref_id, verdict, headers`` and the columns ``carry``.
 
     ``records`` has ``record_id, kind ('response' or 'revisit'), uri, time (seconds), headers
-    (map<string,string>)``; ids are unique and other columns are ignored. A response of the same second isn't earlier;
+    (map<string,string>)``; other columns are ignored. A response of the same second isn't earlier;
     of responses of one second the one with the largest id counts. Without an earlier response, URL
     or time the verdict is ``orphan``; only resolved revisits get merged headers, the others keep their own.
+    ``carry`` names columns of the response, such as its payload, that resolved revisits get; they are null
+    for the others. Repeated revisits give repeated rows, ids may be null; a response without an id confirms
+    nothing, and of responses that share id, URL and time the one with the largest headers counts. An
+    empty table gives no rows.
 
     Times are cut into slots. The last response of each slot is found by a sum in every task and carried
-    into the next slots of its URL, so the records of one busy URL are spread over its slots.
+    into the next slots of its URL, so the records of one busy URL are spread over its slots. Orphans take
+    no part in the join with responses.
     """
     folder = new_folder(records.sparkSession)
+    full = F.col("kind") == "response"
     keys = keep(
-        records.where("kind in ('response', 'revisit')").select(
-            "record_id", (F.col("kind") == "response").alias("full"), canonical(F.col("uri")).alias("url"), F.col("time").cast("long").alias("time"), lower_names(F.col("headers")).alias("headers")
+        records.where("kind = 'revisit' or (kind = 'response' and record_id is not null)").select(
+            "record_id",
+            full.alias("full"),
+            canonical(F.col("uri")).alias("url"),
+            F.col("time").cast("long").alias("time"),
+            lower_names(F.col("headers")).alias("headers"),
+            F.when(full, F.struct(F.lit(0).alias("_"), *carry)).alias("extra"),
         ),
         folder,
         "records",
     )
-    timed = keys.where("url is not null and time is not null").select("url", F.floor(F.col("time") / slot_seconds).alias("slot"), "time", "full", "record_id")
+    timed = keys.where("url is not null and time is not null").withColumn("slot", F.floor(F.col("time") / slot_seconds))
     seen = F.struct("time", "record_id")
     slots = timed.groupBy("url", "slot").agg(F.max(F.when(F.col("full"), seen)).alias("last"))
     earlier = Window.partitionBy("url").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = keep(slots.select("url", "slot", F.max("last").over(earlier).alias("carried")), folder, "carried")
     inside = Window.partitionBy("url", "slot").orderBy("time", "full", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    near = timed.withColumn("near", F.max(F.when(F.col("full"), seen)).over(inside)).where("not full")
-    matched = near.join(carried, ["url", "slot"]).select("record_id", F.coalesce("near", "carried")["record_id"].alias("ref_id"))
-    stored = keys.where("full").select(F.col("record_id").alias("ref_id"), F.col("headers").alias("stored"))
-    told = keys.where("not full").join(matched, "record_id", "left").join(stored, "ref_id", "left")
-    says = F.when(F.col("ref_id").isNull(), "orphan").otherwise(verdict(F.col("stored"), F.col("headers")))
-    told = told.withColumn("verdict", says)
-    both = F.when(F.col("verdict") == "resolved", merged(F.col("stored"), F.col("headers"))).otherwise(F.col("headers"))
-    return told.select("record_id", F.col("url").alias("uri"), "ref_id", "verdict", both.alias("headers"))
+    # A revisit takes its headers along; a response is only seen by time and id.
+    light = timed.select("url", "slot", "time", "full", "record_id", F.when(~F.col("full"), F.col("headers")).alias("headers"))
+    near = light.withColumn("near", F.max(F.when(F.col("full"), seen)).over(inside)).where("not full")
+    matched = near.join(carried, ["url", "slot"]).select("record_id", "url", "headers", F.coalesce("near", "carried").alias("ref"))
+    matched = keep(matched, folder, "matched")
+    response = F.max_by(F.struct("headers", "extra"), F.struct(header_lines(F.col("headers")), "extra"))
+    stored = timed.where("full").groupBy("url", F.col("time").alias("ref_time"), F.col("record_id").alias("ref_id")).agg(response.alias("stored"))
+    stored = keep(stored, folder, "stored")
+    told = matched.where("ref is not null").select("record_id", "url", "headers", F.col("ref.time").alias("ref_time"), F.col("ref.record_id").alias("ref_id"))
+    told = told.join(stored, ["url", "ref_time", "ref_id"], "left")
+    told = told.withColumn("verdict", verdict(F.col("stored.headers"), F.col("headers")))
+    resolved = F.col("verdict") == "resolved"
+    told = told.select(
+        "record_id",
+        F.col("url").alias("uri"),
+        "ref_id",
+        "verdict",
+        F.when(resolved, merged(F.col("stored.headers"), F.col("headers"))).otherwise(F.col("headers")).alias("headers"),
+        *(F.when(resolved, F.col("stored.extra")[c]).alias(c) for c in carry),
+    )
+    untimed = keys.where("not full and (url is null or time is null)").select("record_id", "url", "headers")
+    alone = matched.where("ref is null").select("record_id", "url", "headers").unionByName(untimed)
+    kinds = {f.name: f.dataType for f in told.schema.fields}
+    nothing = [F.lit(None).cast(kinds[c]).alias(c) for c in carry]
+    alone = alone.select("record_id", F.col("url").alias("uri"), F.lit(None).cast(kinds["ref_id"]).alias("ref_id"), F.lit("orphan").alias("verdict"), "headers", *nothing)
+    return told.unionByName(alone)
 
 
 def captures(pages: DataFrame) -> DataFrame:

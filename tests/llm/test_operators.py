@@ -212,6 +212,25 @@ def test_revisits(spark):
     assert revisits.resolve(records.where("false")).count() == 0
 
 
+def test_revisits_odd_rows(spark):
+    """Repeated rows, null ids and orphans; the response's columns reach resolved revisits only."""
+    rows = [
+        (1, "response", "http://a.org/", 100, {"etag": "1"}, "p1"),
+        (1, "response", "http://a.org/", 100, {"etag": "1"}, "p1"),
+        (None, "response", "http://a.org/", 120, {"etag": "0"}, "p0"),
+        (2, "revisit", "http://a.org/", 150, {"etag": "1"}, None),
+        (2, "revisit", "http://a.org/", 150, {"etag": "1"}, None),
+        (None, "revisit", "http://a.org/", 160, {"etag": "2"}, None),
+        (3, "revisit", "http://b.org/", 160, None, None),
+        (4, "revisit", "http://a.org/", None, {}, None),
+        (5, None, "http://a.org/", 170, {}, None),
+    ]
+    records = spark.createDataFrame(rows, "record_id long, kind string, uri string, time long, headers map<string,string>, payload string")
+    got = [(r["record_id"], r["ref_id"], r["verdict"], r["payload"]) for r in revisits.resolve(records, carry=("payload",)).collect()]
+    want = [(2, 1, "resolved", "p1"), (2, 1, "resolved", "p1"), (None, 1, "mismatch", None), (3, None, "orphan", None), (4, None, "orphan", None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_url_models(spark):
     urls = [f"http://x.{'org' if i % 2 else 'com'}/{'fr' if i % 2 else 'de'}/{i}" for i in range(200)]
     rows = [*enumerate(urls), (900, None), (901, "no address"), (902, "https://b.net/fr/3"), (903, "https://b.net/de/4"), (904, "HTTPS://Sub.Example.ORG?x")]

@@ -14,6 +14,8 @@ so that every pair of a bucket is either compared or already in one class.
 
 from __future__ import annotations
 
+from math import factorial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,59 +58,90 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return value[first], times, np.searchsorted(owner[first], np.arange(len(texts) + 1))
 
 
+def _poisson(bits: int = 16) -> np.ndarray:
+    """Poisson counts of mean 1 by the upper ``bits`` of a hash."""
+    share = np.cumsum([np.exp(-1.0) / factorial(i) for i in range(12)])
+    return np.searchsorted(share, (np.arange(1 << bits) + 0.5) / (1 << bits)).astype(np.uint8)
+
+
+#: Ranks are fixed-point numbers: a cell's number above, the place in the cell in the lower 40 bits.
+_PLACE = 40
+_COUNTS = _poisson()
+_NEVER = _U(2**64 - 1)
+#: Sets whose darts are thrown together; some 4,000 darts each for 448 entries.
+TOGETHER = 16
+
+
 def signatures(value: np.ndarray, weight: np.ndarray, before: np.ndarray, k: int) -> np.ndarray:
     """``k`` entries for each set; those of empty sets are 0.
 
     ``value`` and ``weight`` (above 0) list the sets' elements, ``before`` says where each set starts.
+    Weights far below 1 in sum (2e-4 for 448 entries) must be scaled up: ranks end at 2 ** 24.
     """
-    sets = len(before) - 1
-    out = np.zeros((sets, k), np.uint64)
+    out = np.zeros((len(before) - 1, k), np.uint64)
+    for i in range(0, len(out), TOGETHER):
+        edges = before[i : i + TOGETHER + 1]
+        own = slice(edges[0], edges[-1])
+        _fill(out[i : i + TOGETHER], value[own], weight[own], edges - edges[0])
+    return out
+
+
+def _fill(out: np.ndarray, value: np.ndarray, weight: np.ndarray, before: np.ndarray) -> None:
+    sets, k = out.shape
     owner = np.repeat(np.arange(sets), np.diff(before))
     mass = np.bincount(owner, weight, sets)
     todo = mass > 0
     darts = k * np.log(max(k, 2)) + 2 * k
     reach = np.where(todo, darts / np.where(todo, mass, 1), 0.0)
     while todo.any():
+        if reach[todo].max() >= 1 << (64 - _PLACE):
+            raise ValueError("the weights are too small: scale them up")
         use = todo[owner]
         local = np.cumsum(todo) - 1
-        entry, full = _thrown(value[use], weight[use], local[owner[use]], reach[todo], k)
+        entry = _thrown(value[use], weight[use], local[owner[use]], reach[todo], k)
+        full = (entry != _NEVER).all(1)
         rows = np.flatnonzero(todo)
         out[rows[full]] = entry[full]
         todo[rows[full]] = False
-        reach *= 2  # a set with an empty coordinate follows its darts further
-    return out
+        reach *= 1.5  # a set with an empty coordinate follows its darts further
 
 
-def _thrown(value: np.ndarray, weight: np.ndarray, owner: np.ndarray, reach: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries from the darts of rank up to ``reach``, and which sets have all of them."""
-    best = np.full(len(reach) * k, np.inf)
-    entry = np.zeros(len(reach) * k, np.uint64)
+def _thrown(value: np.ndarray, weight: np.ndarray, owner: np.ndarray, reach: np.ndarray, k: int) -> np.ndarray:
+    """The lowest rank up to ``reach`` in each coordinate; it also names the dart."""
+    best = np.full(len(reach) * k, _NEVER)
+    limit = (reach * 2.0**_PLACE).astype(np.uint64)
     # Weights are cut into (0, 1], (1, 2], (2, 4], ...: one process each, as dense as the piece is wide.
     top = weight.max(initial=0)
     low, level = 0.0, 0
     while low < top:
         high = 1.0 if level == 0 else low * 2
         live = np.flatnonzero(weight > low)
-        seed = mix(value[live] + _U((0x9E3779B97F4A7C15 * (level + 1)) % (1 << 64)))
-        rank = np.zeros(len(live))
-        throw = 0
-        while len(live):
-            throw += 1
-            dart = mix(seed + _U((0xA0761D6478BD642F * throw) % (1 << 64)))
-            rank = rank - np.log(((dart >> _U(11)).astype(float) + 0.5) / 2.0**53) / (high - low)
-            on = rank <= reach[owner[live]]
-            live, seed, rank, dart = live[on], seed[on], rank[on], dart[on]
-            where = mix(dart ^ _U(0xE7037ED1A0B428DB))
-            at = low + (high - low) * (((where >> _U(32)).astype(float) + 0.5) / 2.0**32)
-            hit = at <= weight[live]
-            cell = owner[live][hit] * k + ((where[hit] & _U(0xFFFFFFFF)) % _U(k)).astype(np.int64)
-            earlier = rank[hit] < best[cell]
-            cell, found, name = cell[earlier], rank[hit][earlier], dart[hit][earlier]
-            np.minimum.at(best, cell, found)
-            won = best[cell] == found
-            entry[cell[won]] = name[won]
+        # Cells of rank in which one dart is expected; their number and the element draw how many there are.
+        cells = np.ceil(reach * (high - low)).astype(np.int64)[owner[live]]
+        at = np.repeat(live, cells)
+        cell = _within(cells)
+        seed = mix(value + _U((0x9E3779B97F4A7C15 * (level + 1)) % (1 << 64)))
+        drawn = mix(seed[at] + cell.astype(np.uint64) * _U(0xA0761D6478BD642F))
+        count = _COUNTS[drawn >> _U(48)]
+        pair = np.repeat(np.arange(len(at)), count)
+        dart = mix(drawn[pair] + (_within(count) + 1).astype(np.uint64) * _U(0xE7037ED1A0B428DB))
+        at = at[pair]
+        rank = ((cell[pair].astype(np.uint64) << _U(_PLACE)) | (dart & _U((1 << _PLACE) - 1))) >> _U(max(level - 1, 0))
+        mine = owner[at]
+        on = rank < limit[mine]
+        if (weight[live] < high).any():
+            height = (mix(dart ^ _U(0x8EBC6AF09C88C6E3)) >> _U(11)).astype(float) / 2.0**53
+            on &= low + (high - low) * height < weight[at]
+        coordinate = ((dart >> _U(_PLACE)) * _U(k) >> _U(64 - _PLACE)).astype(np.int64)
+        np.minimum.at(best, (mine * k + coordinate)[on], rank[on])
         low, level = high, level + 1
-    return entry.reshape(-1, k), np.isfinite(best).reshape(-1, k).all(1)
+    return best.reshape(-1, k)
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of the runs of these lengths."""
+    counts = counts.astype(np.int64)
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:

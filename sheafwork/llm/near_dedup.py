@@ -221,16 +221,22 @@ def _across(inside: DataFrame, sets: DataFrame, similar: float, folder: str) ->
     ``n - ceil(similar * n) + 1``. So only those are joined; shingles that a single document has drop out.
     """
     ids = inside.select("id", "label").distinct()
-    tokens = sets.join(ids, "id").select("id", "label", F.size("s").alias("n"), F.explode("s").alias("t"))
+    # Texts of one id are told apart by their sets: places are counted within a set.
+    tokens = sets.join(ids, "id").select("id", "label", F.xxhash64("s").alias("set"), F.size("s").alias("n"), F.explode("s").alias("t"))
     tokens = keep(tokens, folder, "tokens")
     rare = keep(tokens.groupBy("t").agg(F.count("*").alias("df")), folder, "rare")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
+    place = F.row_number().over(Window.partitionBy("id", "set").orderBy("df", "t"))
     first = F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1
-    prefix = keep(tokens.join(rare, "t").withColumn("k", place).where(F.col("k") <= first).where("df > 1").select("id", "label", "t"), folder, "prefix")
+    ranked = tokens.join(rare, "t").withColumn("k", place).where(F.col("k") <= first).where("df > 1")
+    prefix = keep(ranked.select("id", "label", "t", "n", "k"), folder, "prefix")
     outside = inside.where("label <> largest").select(F.col("id").alias("x")).distinct()
-    left = prefix.join(outside, F.col("id") == F.col("x"), "left_semi").select(F.col("id").alias("x"), F.col("label").alias("lx"), "t")
-    right = prefix.select(F.col("id").alias("y"), F.col("label").alias("ly"), "t")
-    return left.join(right, "t").where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left = prefix.join(outside, F.col("id") == F.col("x"), "left_semi").select(F.col("id").alias("x"), F.col("label").alias("lx"), "t", F.col("n").alias("nx"), F.col("k").alias("kx"))
+    right = prefix.select(F.col("id").alias("y"), F.col("label").alias("ly"), F.col("t").alias("u"), F.col("n").alias("ny"), F.col("k").alias("ky"))
+    # From the first shingle that they share on, enough must be left on both sides for all that they have to share.
+    left_over = F.least(F.col("nx") - F.col("kx"), F.col("ny") - F.col("ky")) + 1
+    enough = left_over >= (F.col("nx") + F.col("ny")) * (similar / (1 + similar)) - 1e-6
+    met = left.join(right, (F.col("t") == F.col("u")) & (F.col("lx") != F.col("ly")) & enough)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def classes(

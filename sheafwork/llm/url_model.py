@@ -6,8 +6,10 @@ is smoothed by the next shorter context, in proportion to how often and with how
 characters the context was seen (Witten-Bell). The other URLs are allowed if the difference of the
 two log-likelihoods, per character, reaches a threshold that held-out ruled URLs calibrate.
 
-Counts are over all ruled URLs. A count is kept under a hash of its context and character in a
-table of fixed size, so the model has the same bound however many URLs there are.
+Counts are exact and over all ruled URLs. A character with the four before it is five bytes and so one
+number, and the counts are a table by these numbers that grows with the URLs. A number says what every
+shorter context is, so a table of the numbers that occur gets both models' probabilities by joins
+whose keys have at most 256 rows, and the URLs' characters are joined to that table.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafwork.llm.common import append, buffer_of, mix, pieces
+from sheafwork.llm.common import append, buffer_of, keep, new_folder, pieces, text_or_empty
 
 #: Fixed values: (host, path, verdict).
 RULES = (
@@ -31,8 +33,11 @@ RULES = (
     ("com", "/de/", "block"),
 )
 ORDERS = 5  # contexts of 0 to 4 characters
-BUCKETS = 1 << 15
-_EDGE = np.uint8(1)  # before and after every URL
+_EDGE = np.uint8(255)  # before and after every URL; no byte of UTF-8
+#: A number with more than this share of all characters is looked up where the URL is read; there are at most
+#: ``1 / OFTEN`` of them. The other numbers are joined, so no key of that join has a larger share.
+OFTEN = 1 / (1 << 16)
+ONE = 1 << 30  # logarithms are added up as whole parts of this, so sums do not depend on the order of rows
 BINS = 2000
 SCALE = 5.0  # differences per character are taken as within -SCALE to SCALE
 
@@ -62,10 +67,11 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return text, verdict
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of context and of context with character, ``ORDERS`` by characters, and URLs' numbers.
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Every character and the end of each URL with the ``ORDERS - 1`` bytes before it as one number, and URLs' numbers.
 
-    Every URL ends with an edge; before its start lie edges.
+    The last byte of a number is the character, the one above it the byte before it. Every URL ends with
+    an edge; before its start lie edges.
     """
     raw, at = buffer_of(texts)
     n, size = len(texts), np.diff(at)
@@ -75,109 +81,123 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line[np.arange(len(raw)) + np.repeat(start - at[:-1], size)] = raw
     # Predicted characters: the URL's own and the edge behind it.
     own = np.repeat(start - np.cumsum(np.concatenate(([0], size[:-1] + 1))), size + 1) + np.arange(int(size.sum()) + n)
-    which = np.repeat(np.arange(n), size + 1)
-    context = np.zeros((ORDERS, len(own)), np.uint64)
-    grown = np.full(len(own), 0x9E3779B97F4A7C15, np.uint64)
+    found = np.zeros(len(own), np.int64)
     for k in range(ORDERS):
-        if k:
-            grown = grown * np.uint64(0x100000001B3) + line[own - k].astype(np.uint64) + np.uint64(k)
-        context[k] = grown
-    with_next = mix(context * np.uint64(0xD6E8FEB86659FD93) + line[own].astype(np.uint64) + np.uint64(1))
-    return (mix(context) % np.uint64(BUCKETS)).astype(np.int64), (with_next % np.uint64(BUCKETS)).astype(np.int64), which
+        found |= line[own - k].astype(np.int64) << (8 * k)
+    return found, np.repeat(np.arange(n), size + 1)
 
 
-@dataclass
-class Model:
-    """Counts by class, order and bucket: of contexts, of contexts with a character, of kinds seen after a context."""
+def gram_counts(df: DataFrame, text_col: str, weights: dict[str, Column]) -> DataFrame:
+    """``gram`` and, for each of ``weights``, its sum over all places of the gram. Added up in each task first."""
+    names = list(weights)
+
+    def run(batches):
+        for batch in pieces(batches, "_text", 1 << 18):
+            gram, which = grams(batch.column("_text"))
+            gram, place = np.unique(gram, return_inverse=True)
+            sums = [np.bincount(place, np.asarray(batch.column(c).to_numpy(zero_copy_only=False), float)[which], len(gram)) for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array(gram), *(pa.array(x.astype(np.int64)) for x in sums)], names=["gram", *names])
 
-    contexts: np.ndarray
-    pairs: np.ndarray
-    kinds: np.ndarray
+    rows = df.select(text_or_empty(text_col).alias("_text"), *(w.cast("int").alias(c) for c, w in weights.items()))
+    counts = rows.mapInArrow(run, ", ".join(f"`{c}` long" for c in ["gram", *names]))
+    return counts.groupBy("gram").agg(*(F.sum(c).alias(c) for c in names))
 
-    def difference(self, texts: pa.Array) -> np.ndarray:
-        """Log-likelihood as allowed minus as blocked, per character with the end."""
-        context, pair, which = grams(texts)
-        logs = []
-        for c in range(2):
-            p = np.full(context.shape[1], 1 / 256.0)
-            for k in range(ORDERS):
-                seen, kinds = self.contexts[c, k][context[k]], self.kinds[c, k][context[k]]
-                p = np.where(seen > 0, (self.pairs[c, k][pair[k]] + kinds * p) / np.maximum(seen + kinds, 1), p)
-            logs.append(np.log(p))
-        total = np.bincount(which, logs[1] - logs[0], len(texts))
-        return total / np.maximum(np.bincount(which, minlength=len(texts)), 1)
-
-
-def count_tables(ruled: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """``kind, class, order, bucket, n``: counts over all rows, added up in each task first.
-
-    ``kind`` 0 counts a context, 1 a context with its character.
+
+def log_ratios(counts: DataFrame, fits: dict[str, tuple[str, str]], folder: str) -> DataFrame:
+    """Add to each gram, for each of ``fits``, its log-probability as allowed minus as blocked, in parts of ``ONE``.
+
+    ``fits`` has the columns of ``counts`` with the blocked and the allowed URLs' counts. A context is followed
+    by at most 256 characters and has at most 256 longer ones, so neither the windows nor the joins
+    have a key with more rows.
     """
+    classes = [c for pair in fits.values() for c in pair]
+    short = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _shortened("gram", k).alias("gram")) for k in range(ORDERS))))
+    levels = counts.select(short.alias("_"), *classes).groupBy("_.k", "_.gram").agg(*(F.sum(c).alias(c) for c in classes))
+    after = Window.partitionBy("k", F.shiftright("gram", 8))
+    seen = {f"{c}_seen": F.sum(c).over(after) for c in classes}
+    kinds = {f"{c}_kinds": F.sum((F.col(c) > 0).cast("long")).over(after) for c in classes}
+    levels = keep(levels.withColumns(seen | kinds), folder, "levels")
+    known = None
+    for k in range(ORDERS):
+        level = levels.where(F.col("k") == k)
+        if known is None:
+            level = level.withColumns({f"{c}_p": F.lit(1 / 256.0) for c in classes})
+        else:
+            level = level.join(known.withColumnRenamed("gram", "_shorter"), _shortened("gram", k - 1) == F.col("_shorter"))
+        known = level.select("gram", *(_smoothed(c).alias(f"{c}_p") for c in classes))
+    ratio = lambda zero, one: F.round((F.log(f"{one}_p") - F.log(f"{zero}_p")) * ONE).cast("long")
+    ratios = known.select("gram", *(ratio(*pair).alias(out) for out, pair in fits.items()))
+    return counts.select("gram", "n").join(ratios, "gram")
 
-    def run(batches):
-        total = np.zeros((2, 2, ORDERS, BUCKETS), np.int64)
-        for batch in pieces(batches, text_col, 1 << 18):
-            label = np.asarray(batch.column(label_col).to_numpy(zero_copy_only=False), np.int64)
-            context, pair, which = grams(batch.column(text_col))
-            for c in range(2):
-                of = label[which] == c
-                for k in range(ORDERS):
-                    total[0, c, k] += np.bincount(context[k][of], minlength=BUCKETS)
-                    total[1, c, k] += np.bincount(pair[k][of], minlength=BUCKETS)
-        kind, c, k, bucket = np.nonzero(total)
-        n = total[kind, c, k, bucket]
-        columns = [pa.array(x.astype(np.int32)) for x in (kind, c, k, bucket)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], names=["kind", "class", "order", "bucket", "n"])
-
-    counts = ruled.select(text_col, label_col).mapInArrow(run, "kind int, class int, order int, bucket int, n long")
-    return counts.groupBy("kind", "class", "order", "bucket").agg(F.sum("n").alias("n"))
-
-
-def kind_tables(ruled: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """``class, order, bucket, n``: the number of different characters (by bucket) after each context."""
-
-    def told(seen: list[set]):
-        for i, codes in enumerate(seen):
-            code = np.fromiter(codes, np.int64, len(codes))
-            columns = [pa.array(np.full(len(code), x, np.int32)) for x in (i // ORDERS, i % ORDERS)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(code)], names=["class", "order", "code"])
-            codes.clear()
 
-    def run(batches):
-        seen: list[set] = [set() for _ in range(2 * ORDERS)]
-        for batch in pieces(batches, text_col, 1 << 18):
-            label = np.asarray(batch.column(label_col).to_numpy(zero_copy_only=False), np.int64)
-            context, pair, which = grams(batch.column(text_col))
-            for c in range(2):
-                of = label[which] == c
-                for k in range(ORDERS):
-                    seen[c * ORDERS + k] |= set(np.unique(context[k][of] * BUCKETS + pair[k][of]).tolist())
-            if sum(map(len, seen)) > 500_000:
-                yield from told(seen)
-        yield from told(seen)
-
-    codes = ruled.select(text_col, label_col).mapInArrow(run, "class int, order int, code long").distinct()
-    bucket = F.floor(F.col("code") / BUCKETS).cast("int")
-    return codes.groupBy("class", "order", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+def _shortened(gram: str, k: int) -> Column:
+    """The gram with its nearest ``k`` bytes of context only."""
+    return F.col(gram).bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
 
 
-def learn(ruled: DataFrame, text_col: str = "text", label_col: str = "label") -> Model:
-    """Both models from ``label`` 1 (allowed) and 0 (blocked). At most ``2 * 2 * ORDERS * BUCKETS`` counts reach the driver."""
-    counts = np.zeros((2, 2, ORDERS, BUCKETS))
-    got = count_tables(ruled, text_col, label_col).toArrow()
-    at = [got.column(c).to_numpy() for c in ("kind", "class", "order", "bucket", "n")]
-    counts[at[0], at[1], at[2], at[3]] = at[4]
-    kinds = np.zeros((2, ORDERS, BUCKETS))
-    got = kind_tables(ruled, text_col, label_col).toArrow()
-    at = [got.column(c).to_numpy() for c in ("class", "order", "bucket", "n")]
-    kinds[at[0], at[1], at[2]] = at[3]
-    return Model(counts[0].astype(np.float32), counts[1].astype(np.float32), kinds.astype(np.float32))
+def _smoothed(c: str) -> Column:
+    n, seen, kinds, p = (F.col(c + x) for x in ("", "_seen", "_kinds", "_p"))
+    return F.when(seen > 0, (n + kinds * p) / (seen + kinds)).otherwise(p)
+
 
+def differences(df: DataFrame, text_col: str, ratios: DataFrame, outs: Sequence[str], folder: str) -> DataFrame:
+    """Add the sums of ``outs`` over each text's grams, per character with the end.
 
-def score(df: DataFrame, model: Model, text_col: str = "text", out: str = "difference") -> DataFrame:
-    """Add the length-normalised difference of each text."""
-    shipped = df.sparkSession.sparkContext.broadcast(model)
-    return append(df, text_col, f"`{out}` double", lambda: lambda texts: [pa.array(shipped.value.difference(texts))], 1 << 18)
+    ``df`` has a column ``_row`` that tells its rows apart; ``ratios`` has all grams of the texts.
+    """
+    total = ratios.agg(F.sum("n")).first()[0] or 0
+    often = ratios.where(F.col("n") > total * OFTEN).select("gram", *outs).toArrow().sort_by("gram")
+    table = [often.column(c).to_numpy() for c in ("gram", *outs)]
+    shipped = df.sparkSession.sparkContext.broadcast([np.append(t, -1 if i == 0 else 0) for i, t in enumerate(table)])
+
+    def prepare():
+        codes, *values = shipped.value  # the last one, -1, stands for all that are not there
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            gram, which = grams(texts)
+            at = np.searchsorted(codes[:-1], gram)
+            rare = codes[at] != gram
+            at[rare] = len(codes) - 1
+            sums = []
+            for v in values:
+                upto = np.concatenate(([0], np.cumsum(v[at])))
+                ends = np.searchsorted(which, np.arange(len(texts) + 1))
+                sums.append(pa.array(upto[ends[1:]] - upto[ends[:-1]]))
+            cuts = np.searchsorted(which[rare], np.arange(len(texts) + 1)).astype(np.int32)
+            return [pa.array(np.bincount(which, minlength=len(texts))), pa.ListArray.from_arrays(pa.array(cuts), pa.array(gram[rare])), *sums]
+
+        return work
+
+    fields = ", ".join(["_size long", "_rare array<long>", *(f"`{c}` long" for c in outs)])
+    begun = keep(append(df, text_col, fields, prepare, 1 << 18), folder, "begun")
+    rare = begun.select("_row", F.explode("_rare").alias("gram")).join(ratios.select("gram", *outs), "gram")
+    rest = rare.groupBy("_row").agg(*(F.sum(c).alias(f"_{c}") for c in outs))
+    whole = {c: (F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))) / F.lit(float(ONE)) / F.col("_size") for c in outs}
+    return begun.join(rest, "_row", "left").withColumns(whole).drop("_size", "_rare", *(f"_{c}" for c in outs))
+
+
+@dataclass
+class Model:
+    """Both classes' counts by gram."""
+
+    counts: DataFrame
+
+    def difference(self, texts: pa.Array) -> np.ndarray:
+        """Log-likelihood as allowed minus as blocked, per character with the end, of texts at the driver."""
+        spark = self.counts.sparkSession
+        folder = new_folder(spark)
+        asked = spark.createDataFrame(list(enumerate(texts.to_pylist())), "_row long, text string")
+        own = gram_counts(asked, "text", {"n": F.lit(1)}).withColumns({"blocked": F.lit(0), "allowed": F.lit(0)})
+        counts = own.unionByName(self.counts.withColumn("n", F.lit(0))).groupBy("gram").agg(*(F.sum(c).alias(c) for c in own.columns[1:]))
+        ratios = keep(log_ratios(keep(counts, folder, "counts"), {"difference": ("blocked", "allowed")}, folder), folder, "ratios")
+        got = differences(asked, "text", ratios, ["difference"], folder).select("_row", "difference").toArrow().sort_by("_row")
+        return got.column("difference").to_numpy()
+
+
+def learn(ruled: DataFrame, text_col: str = "text", label_col: str = "label") -> Model:
+    """Both models from ``label`` 1 (allowed) and 0 (blocked), as a table."""
+    label = F.col(label_col)
+    return Model(gram_counts(ruled, text_col, {"blocked": label == 0, "allowed": label == 1}))
 
 
 def threshold(scored: DataFrame, label: str = "label", value: str = "difference") -> float:
@@ -204,16 +224,24 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
 
     A URL that is null or has no ``://`` has an empty host and path; like every URL without a rule it gets
     the models' verdict. A fifth of the ruled URLs (by a hash of the URL) is held out for the
-    threshold. Repeated rows are judged alike; without ruled URLs all differences are 0 and all are allowed.
+    threshold; after that the models are learned from all ruled URLs. Repeated rows are judged alike;
+    without ruled URLs all differences are 0 and all are allowed.
     """
-    url = F.col(url_col)
-    base = pages.select(F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    folder = new_folder(pages.sparkSession)
+    base = pages.select(F.col(id_col).alias("_id"), text_or_empty(url_col).alias("url"))
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    base = base.select("_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.concat("host", "path").alias("text"))
-    known = base.where("ruled is not null").select("text", (F.col("ruled") == "allow").cast("int").alias("label"))
+    base = base.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "ruled": verdict, "text": F.concat("host", "path")})
+    base = base.select("_id", "host", "path", "rule", "ruled", "text", F.monotonically_increasing_id().alias("_row"))
+    base = keep(base, folder, "urls")
     held_out = F.pmod(F.xxhash64("text"), F.lit(5)) == 0
-    model = learn(known.where(~held_out))
-    limit = threshold(score(known.where(held_out), model))
-    judged = score(base, model)
+    blocked, allowed = (F.coalesce(F.col("ruled") == x, F.lit(False)) for x in ("block", "allow"))
+    weights = {"n": F.lit(1), "blocked": blocked, "allowed": allowed, "some_blocked": blocked & ~held_out, "some_allowed": allowed & ~held_out}
+    counts = keep(gram_counts(base, "text", weights), folder, "counts")
+    fits = {"difference": ("blocked", "allowed"), "_tried": ("some_blocked", "some_allowed")}
+    ratios = keep(log_ratios(counts, fits, folder), folder, "ratios")
+    judged = keep(differences(base, "text", ratios, list(fits), folder), folder, "judged")
+    known = judged.where(held_out & F.col("ruled").isNotNull())
+    limit = threshold(known.select(allowed.cast("int").alias("label"), F.col("_tried").alias("difference")))
     says = F.when(F.col("difference") >= limit, "allow").otherwise("block")
     return judged.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", says).alias("verdict"), "difference")

@@ -270,6 +270,38 @@ def test_url_model_equals_brute_force(spark):
     assert model.difference(pa.array(tests)) == pytest.approx(want, rel=1e-4)
 
 
+def test_url_model_is_exact_beyond_32768_contexts(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_"
+    texts = ["".join(rng.choice(letters) for _ in range(12)) + "/id" for _ in range(6000)]
+    labels = [i % 3 % 2 for i in range(len(texts))]
+    seen = [[collections.defaultdict(collections.Counter) for _ in range(5)] for _ in range(2)]
+    edge = "\x01"
+    for t, c in zip(texts, labels):
+        line = edge * 5 + t + edge
+        for i in range(5, len(line)):
+            for k in range(5):
+                seen[c][k][line[i - k : i]][line[i]] += 1
+    assert len(seen[0][4]) > 32_768
+
+    def log(t, c):
+        line, total = edge * 5 + t + edge, 0.0
+        for i in range(5, len(line)):
+            p = 1 / 256
+            for k in range(5):
+                own = seen[c][k].get(line[i - k : i])
+                if own:
+                    p = (own[line[i]] + len(own) * p) / (sum(own.values()) + len(own))
+            assert p <= 1
+            total += np.log(p)
+        return total
+
+    tests = [*texts[:200], *(t[6:] + t[:6] for t in texts[:200])]
+    model = url_model.learn(spark.createDataFrame(list(zip(texts, labels)), "text string, label int"))
+    want = [(log(t, 1) - log(t, 0)) / (len(t) + 1) for t in tests]
+    assert model.difference(pa.array(tests)) == pytest.approx(want, abs=1e-6)
+
+
 def test_classifiers_on_held_out_rows(spark, odd, none):
     random.seed(6)
     clean = [" ".join(random.choice(["sun", "tree", "river", "stone"]) for _ in range(40)) for _ in range(300)]

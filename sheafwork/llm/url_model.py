@@ -223,7 +223,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
     """``id, host, path, rule, verdict, difference`` for every row.
 
     A URL that is null or has no ``://`` has an empty host and path; like every URL without a rule it gets
-    the models' verdict. A fifth of the ruled URLs (by a hash of the URL) is held out for the
+    the models' verdict. The models read whole URLs, with scheme, query and fragment; null is empty. A fifth of the ruled URLs (by a hash of the URL) is held out for the
     threshold; after that the models are learned from all ruled URLs. Repeated rows are judged alike;
     without ruled URLs all differences are 0 and all are allowed.
     """
@@ -231,16 +231,15 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
     base = pages.select(F.col(id_col).alias("_id"), text_or_empty(url_col).alias("url"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    base = base.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "ruled": verdict, "text": F.concat("host", "path")})
-    base = base.select("_id", "host", "path", "rule", "ruled", "text", F.monotonically_increasing_id().alias("_row"))
-    base = keep(base, folder, "urls")
-    held_out = F.pmod(F.xxhash64("text"), F.lit(5)) == 0
+    base = base.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "ruled": verdict})
+    base = keep(base.withColumn("_row", F.monotonically_increasing_id()), folder, "urls")
+    held_out = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
     blocked, allowed = (F.coalesce(F.col("ruled") == x, F.lit(False)) for x in ("block", "allow"))
     weights = {"n": F.lit(1), "blocked": blocked, "allowed": allowed, "some_blocked": blocked & ~held_out, "some_allowed": allowed & ~held_out}
-    counts = keep(gram_counts(base, "text", weights), folder, "counts")
+    counts = keep(gram_counts(base, "url", weights), folder, "counts")
     fits = {"difference": ("blocked", "allowed"), "_tried": ("some_blocked", "some_allowed")}
     ratios = keep(log_ratios(counts, fits, folder), folder, "ratios")
-    judged = keep(differences(base, "text", ratios, list(fits), folder), folder, "judged")
+    judged = keep(differences(base, "url", ratios, list(fits), folder), folder, "judged")
     known = judged.where(held_out & F.col("ruled").isNotNull())
     limit = threshold(known.select(allowed.cast("int").alias("label"), F.col("_tried").alias("difference")))
     says = F.when(F.col("difference") >= limit, "allow").otherwise("block")

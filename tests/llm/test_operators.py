@@ -242,6 +242,15 @@ def test_url_models(spark):
     assert url_model.judge(pages.where("false")).count() == 0
 
 
+def test_url_models_read_whole_urls(spark):
+    urls = [u for i in range(150) for u in (f"http://x.com/fr/p?list={i}#top", f"http://x.com/de/p?track={i}")]
+    asked = ["https://b.net/p?list=7#top", "https://b.net/p?track=7", "b.net/p?list=7#top", "b.net/p?track=7"]
+    pages = spark.createDataFrame(list(enumerate(asked + urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_model.judge(pages).collect()}
+    assert [got[i]["verdict"] for i in range(4)] == ["allow", "block", "allow", "block"]
+    assert [(got[i]["host"], got[i]["path"], got[i]["rule"]) for i in (1, 3)] == [("b.net", "/p", None), ("", "", None)]
+
+
 def test_url_model_equals_brute_force(spark):
     texts = ["ab/c", "ab/d", "xy", ""]
     labels = [1, 1, 0, 0]

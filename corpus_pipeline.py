@@ -17,10 +17,10 @@ from sheafwork.session import prepare
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity stays below one half and below their language's threshold, if that is higher."""
+    """Documents whose toxicity stays below their language's calibrated threshold, or one half where none was calibrated."""
     prepare(spark)
     net = toxicity_network(spark, sf_dir)
-    limit = F.greatest(F.lit(0.5), conv.threshold_of(net, F.col("lang")))
+    limit = conv.threshold_of(net, F.col("lang"))
     return conv.scored(docs, net, out="_score").where(F.col("_score") < limit).drop("_score")
 
 

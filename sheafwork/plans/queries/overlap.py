@@ -125,10 +125,11 @@ def rouge_report(spark, sf_dir):
 
 @query("e17_rouge_from_ids")
 def rouge_from_ids(spark, sf_dir):
-    """Both sides encoded, then decoded and scored."""
-    table = corpus.vocabulary(spark, sf_dir)
+    """Both sides encoded by a vocabulary of their own ROUGE tokens, then decoded and scored."""
+    pairs = corpus.text_pairs(spark, sf_dir)
+    table = encoding.build_vocab(pairs, ["pred", "ref"], tokenizer=rouge_tokens)
     vocab = encoding.load_codec(table) or table
-    tokens = corpus.text_pairs(spark, sf_dir).select(
+    tokens = pairs.select(
         "example_id", rouge_tokens(F.col("pred")).alias("p"), rouge_tokens(F.col("ref")).alias("r")
     )
     rows = encoding.encode(tokens, vocab, {"p": "preds", "r": "labels"}).select("example_id", "preds", "labels")

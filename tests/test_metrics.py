@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from __spark_entry__ import queries
 from pyspark.sql import functions as F
 
 from sheafwork.functions import arrays, scores
@@ -252,3 +253,10 @@ def test_builders_run_on_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
     assert got == sorted(map(tuple, builders.build_clm_table(df, vocab, 8, 4).collect())) and len(got) == 13
+
+
+def test_rouge_from_ids_loses_no_words(spark, sf_dir):
+    """Words that occur only capitalised or with punctuation are in the vocabulary too, so nothing is lost in decoding."""
+    whole, decoded = (queries()[name](spark, sf_dir).first().asDict() for name in ("e16_rouge_report", "e17_rouge_from_ids"))
+    kept = rouge.score_columns(("rouge1", "rouge2", "rougeL"))
+    assert [decoded[c] for c in kept] == [whole[c] for c in kept]

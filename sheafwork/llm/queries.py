@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafwork.llm import bpe, conv, exact_dedup, merkle, mixing, near_dedup, ranking, repeats, revisits, url_model
+from sheafwork.llm import bpe, conv, exact_dedup, fill_middle, manifest, merkle, mixed_packing, mixing, near_dedup, ranking, repeats, revisits, url_model
 from sheafwork.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -204,3 +204,77 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = revisits.captures(table(spark, sf_dir, "pages"))
     found = revisits.resolve(records, carry=("payload_sha256",))
     return found.select("record_id", "uri", "ref_id", "verdict", revisits.header_lines(F.col("headers")).alias("headers"), "payload_sha256")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Levels of each tree in the SQL: enough for 16 ** 7 rows of a source, and as many sources.
+_SQL_LEVELS = 7
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _manifest_sql() -> str:
+    """Both trees level by level, then every leaf's way up, one level after the other."""
+    fields = [_field_sql(f) for f in manifest.FIELDS]
+    other = [*fields[:-1], _field_sql(f"translate(text, '{_UPPER}', '{_LOWER}')")]
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    codes = "list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {step}), 4294967295)"
+    parts = [
+        f"""l AS (SELECT doc_id, coalesce('=' || source, '-') AS g, sha256({" || ".join(fields)}) AS d,
+      CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN sha256({" || ".join(other)}) ELSE sha256({" || ".join(fields)}) END AS seen FROM documents)""",
+        """a0 AS (SELECT doc_id, g, d, seen, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l)""",
+    ]
+
+    def tree(name: str) -> None:
+        for k in range(_SQL_LEVELS):
+            parts.append(f"{name}r{k} AS (SELECT g, i // 16 AS j, list(d ORDER BY i) AS ds, any_value(n) AS n FROM {name}{k} GROUP BY g, i // 16)")
+            parts.append(f"{name}{k + 1} AS (SELECT g, j AS i, CASE WHEN n = 1 THEN ds[1] ELSE sha256(array_to_string(ds, '')) END AS d, (n + 15) // 16 AS n FROM {name}r{k})")
+
+    def way(name: str, start: str, group: str) -> None:
+        parts.append(start)
+        for k in range(_SQL_LEVELS):
+            sides = "array_to_string(r.ds[1:w.i % 16], '') AS lo, array_to_string(r.ds[w.i % 16 + 2:], '') AS hi"
+            parts.append(
+                f"""{name}{k + 1} AS (SELECT doc_id, leaf, g, i // 16 AS i, subroot, CASE WHEN n = 1 THEN cur ELSE sha256(lo || cur || hi) END AS cur, sib || lo || hi AS sib
+      FROM (SELECT w.*, r.n, {sides} FROM {name}{k} w JOIN {group}r{k} r ON r.g = w.g AND r.j = w.i // 16))"""
+            )
+
+    tree("a")
+    parts.append(f"s AS (SELECT g AS own, d FROM a{_SQL_LEVELS})")
+    parts.append("b0 AS (SELECT own, '' AS g, d, row_number() OVER (ORDER BY own) - 1 AS i, count(*) OVER () AS n FROM s)")
+    tree("b")
+    way("u", "u0 AS (SELECT a0.doc_id, a0.d AS leaf, a0.g, a0.i, s.d AS subroot, a0.seen AS cur, '' AS sib FROM a0 JOIN s ON s.own = a0.g)", "a")
+    way("v", f"v0 AS (SELECT u.doc_id, u.leaf, b0.g, b0.i, u.subroot, u.cur, u.sib FROM u{_SQL_LEVELS} u JOIN b0 ON b0.own = u.g)", "b")
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f"\nSELECT v.doc_id, v.leaf, v.subroot, r.d AS root, sha256(v.sib) AS proof_sha256, v.cur AS folded_root, v.cur = r.d AS verified FROM v{_SQL_LEVELS} v JOIN b{_SQL_LEVELS} r USING (g)"
+    )
+
+
+MANIFEST_SQL = _manifest_sql()
+
+
+@query("op11_merkle_manifest", MANIFEST_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inclusion proofs of all documents; of every fifth, a reader finds a text in lower case."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return manifest.verified(manifest.proofs(table(spark, sf_dir, "documents"), tampered=tampered))
+
+
+@query("op12_mixture_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the pieces of all documents lie in sequences of 2048 tokens."""
+    done = mixed_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+    return done.select("doc_id", "start", "length", mixed_packing.ids_crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op13_fill_in_middle")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle at the end, and the text rebuilt from that."""
+    done = fill_middle.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("form"), F.col("output"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))

@@ -6,6 +6,8 @@ decode to.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays below their language's calibrated threshold, or one half where none was calibrated."""
     prepare(spark)
     net = toxicity_network(spark, sf_dir)
-    limit = conv.threshold_of(net, F.col("lang"))
-    return conv.scored(docs, net, out="_score").where(F.col("_score") < limit).drop("_score")
+    score, limit = f"score_{uuid.uuid4().hex}", conv.threshold_of(net, F.col("lang"))
+    return conv.scored(docs, net, out=score).where(F.col(score) < limit).drop(score)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ are told apart by their bytes.
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -135,14 +137,15 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Where an id repeats among rows with one text, one of these rows stays.
     """
     folder = new_folder(docs.sparkSession)
+    own_id, own_sha, sha = (f"{c}_{uuid.uuid4().hex}" for c in ("id", "sha", "own"))  # names that the input lacks
     rows = duplicates(docs, id_col, text_col, folder=folder)
-    stay = keep(rows.where("kept").select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")), folder, "stay")
+    stay = keep(rows.where("kept").select(F.col(id_col).alias(own_id), F.col("text_sha256").alias(own_sha)), folder, "stay")
     twins = rows.where(~F.col("kept") & F.col(id_col).eqNullSafe(F.col("keep_id")))
-    twins = keep(twins.select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")).distinct(), folder, "twins")
-    keyed = docs.withColumn("_sha", F.sha2(normalise(F.col(text_col)).cast("binary"), 256))
-    same = F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha"))
+    twins = keep(twins.select(F.col(id_col).alias(own_id), F.col("text_sha256").alias(own_sha)).distinct(), folder, "twins")
+    keyed = docs.withColumn(sha, F.sha2(normalise(F.col(text_col)).cast("binary"), 256))
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(sha) == F.col(own_sha))
     left = keyed.join(stay, same, "left_semi")
     if not twins.isEmpty():
         once, again = left.join(twins, same, "left_anti"), left.join(twins, same, "left_semi")
-        left = once.unionByName(again.dropDuplicates([id_col, "_sha"]))
-    return left.drop("_sha")
+        left = once.unionByName(again.dropDuplicates([id_col, sha]))
+    return left.drop(sha)

@@ -159,7 +159,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CANONICAL_SQL = r"""
 CASE WHEN regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1) = '' THEN bare
 ELSE lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) || '://'
-  || regexp_replace(lower(regexp_extract(bare, '^[^:]*://([^/?]*)', 1)), ':(80|443)$', '')
+  || regexp_extract(regexp_extract(bare, '^[^:]*://([^/?]*)', 1), '^(.*@)', 1)
+  || regexp_replace(lower(regexp_replace(regexp_extract(bare, '^[^:]*://([^/?]*)', 1), '^.*@', '')),
+       CASE lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '^$' END, '')
   || CASE WHEN regexp_extract(bare, '^[^:]*://[^/?]*([^?]*)', 1) = '' THEN '/' ELSE regexp_extract(bare, '^[^:]*://[^/?]*([^?]*)', 1) END
   || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END
 """

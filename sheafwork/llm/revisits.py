@@ -18,13 +18,16 @@ SLOT_SECONDS = 86_400
 
 
 def canonical(uri: Column) -> Column:
-    """Scheme and host in lower case, no default port, no fragment, no ``utm_`` parameters, the others sorted.
+    """Scheme and host in lower case, no port that is the scheme's own (80 of http, 443 of https), no fragment, no ``utm_`` parameters, the others sorted.
 
     An empty path becomes ``/``. A text without ``://`` only loses its fragment; null stays null.
     """
     bare = F.regexp_replace(uri, r"(?s)#.*$", "")
     scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[^:]*://([^/?]*)", 1)), r":(80|443)$", "")
+    authority = F.regexp_extract(bare, r"^[^:]*://([^/?]*)", 1)
+    user, name = F.regexp_extract(authority, r"(?s)^(.*@)", 1), F.lower(F.regexp_replace(authority, r"(?s)^.*@", ""))
+    plain = F.when(scheme == "http", F.regexp_replace(name, r":80$", "")).when(scheme == "https", F.regexp_replace(name, r":443$", ""))
+    host = F.concat(user, F.coalesce(plain, name))
     path = F.regexp_extract(bare, r"(?s)^[^:]*://[^/?]*([^?]*)", 1)
     query = F.regexp_extract(bare, r"(?s)\?(.*)$", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.startswith("utm_")))

@@ -105,12 +105,10 @@ def _jump(nodes: DataFrame, distance: int, salts: int) -> DataFrame:
     nodes, spread them over ``salts`` keys. A pointer to the root finds no row and is done.
     """
     salts = max(1, min(WIDTH ** (distance - 1), salts))
-    targets = nodes.select(
-        F.struct(*_KEY).alias("key"), F.col("segments").alias("more"), F.col("to").alias("further"), F.col("subroot").alias("known"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    )
-    # Only nodes that others are this far below are targets.
-    met = nodes.select(F.col("to").alias("key")).where("key IS NOT NULL").distinct()
-    targets = targets.join(met, "key", "left_semi").withColumnRenamed("key", "target")
+    # Only nodes that others are this far below are targets; these alone are copied.
+    met = nodes.select(F.col("to").alias("target")).where("target IS NOT NULL").distinct()
+    targets = nodes.select(F.struct(*_KEY).alias("target"), F.col("segments").alias("more"), F.col("to").alias("further"), F.col("subroot").alias("known"))
+    targets = targets.join(met, "target", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = nodes.withColumn("own_salt", F.pmod("at", F.lit(salts)).cast("int"))
     joined = left.join(targets, (F.col("to") == F.col("target")) & (F.col("own_salt") == F.col("salt")), "left")
     return joined.select(

@@ -12,9 +12,8 @@ there the rest is cut into powers of two, which need none.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Mapping
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from sheafwork.llm.bpe import byte_letters
 from sheafwork.llm.common import keep, new_folder, pieces, text_or_empty
 from sheafwork.llm.ordering import running
 
@@ -33,63 +33,67 @@ WINDOW = 16
 END = 1
 #: Weights name at most this many sources; without weights there may be any number.
 MOST_SOURCES = 256
-#: Stretches between blanks that a task remembers the ids of, and the longest of them.
-REMEMBERED, LONG = 400_000, 64
+#: Words that a task remembers the ids of (twice that for a while), and the longest of them.
+REMEMBERED, LONG = 250_000, 64
 _TEXT_BYTES = 4 << 20
-_PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:-;=?-@\[-`{}~]*)")  # no apostrophe, and nothing that a special token has
+#: No apostrophe, and nothing that a special token has: a run of such marks behind a word is taken by itself.
+_MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: Letters below this one are the same in every Unicode version and in normal form.
+_LATIN = "\u0250"
 
 
 class Encoder:
     """Ids of whole texts as the tokenizer of a file gives them, each stretch between blanks encoded once.
 
-    No token crosses a blank or a line end. A stretch of ASCII letters goes to the tokenizer's model as it is, in
-    lower case, with punctuation behind it looked up by itself; any other stretch goes through the whole tokenizer.
+    No token crosses a blank or a line end. A stretch of Latin letters goes to the tokenizer's model, in lower case
+    and byte by byte, with marks behind it looked up by themselves; any other stretch goes through the whole
+    tokenizer. Ids are kept in two bytes where the vocabulary allows it.
     """
 
     def __init__(self, raw: bytes):
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _whole(self, stretch: str) -> bytes:
-        return np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+        self.model = self.tokenizer.model
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        letters = byte_letters()
+        self.shown = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x80, ord(_LATIN))}
+        self.packs = [Struct(f"<{n}{'H' if self.kind.itemsize == 2 else 'I'}").pack for n in range(LONG + 1)]
+
+    def _found(self, word: str, plain: bool) -> bytes:
+        """Ids of a word, from memory or from the model (a plain one) or the tokenizer."""
+        ids = self.known.get(word)
+        if ids is not None:
+            return ids
+        ids = self.older.get(word)
+        if ids is None:
+            numbers = [t.id for t in self.model.tokenize(word.translate(self.shown))] if plain else self.tokenizer.encode(word, add_special_tokens=False).ids
+            ids = self.packs[len(numbers)](*numbers) if len(numbers) <= LONG else np.array(numbers, self.kind).tobytes()
+        if len(word) <= LONG:
+            if len(self.known) >= REMEMBERED:
+                self.known, self.older = {}, self.known
+            self.known[word] = ids
+        return ids
 
     def stretch(self, stretch: str) -> bytes:
-        found = self.known.get(stretch)
-        if found is not None:
-            return found
-        plain = _PLAIN.fullmatch(stretch) if len(stretch) <= LONG else None
-        if plain is None:
-            found = self._whole(stretch)
-        else:
-            word = plain[1].lower()
-            found = self.known.get(word)
-            if found is None:
-                found = np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
-                self._remember(word, found)
-            if plain[2]:
-                mark = self.known.get(plain[2])
-                if mark is None:
-                    mark = self._whole(plain[2])
-                    self._remember(plain[2], mark)
-                found = found + mark
-        self._remember(stretch, found)
-        return found
-
-    def _remember(self, stretch: str, ids: bytes) -> None:
         if len(stretch) <= LONG:
-            if len(self.known) >= REMEMBERED:
-                self.known = {"": b""}
-            self.known[stretch] = ids
+            word = stretch.rstrip(_MARKS)
+            marks = stretch[len(word) :]
+            word = word.lower()
+            # Lower case may bring marks that are no letters; they are left to the tokenizer.
+            if word.isalpha() and max(word) < _LATIN or not word:
+                return (self._found(word, True) if word else b"") + (self._found(marks, False) if marks else b"")
+        return self._found(stretch, False)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other with :data:`END` behind each, and where each text's begin."""
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = pc.list_flatten(parts).dictionary_encode()
-        found = [self.stretch(s) for s in coded.dictionary.to_pylist()]
-        values = np.frombuffer(b"".join(found), "<u4")
-        offsets = np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
+        found = [self.stretch(s) for s in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        values = np.frombuffer(b"".join(found), self.kind)
+        offsets = np.cumsum([0, *map(len, found)], dtype=np.int64) // self.kind.itemsize
         sizes = np.diff(offsets)[coded.indices.to_numpy()]
         taken = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(values)).take(coded.indices).flatten().to_numpy()
         # Tokens before each stretch, so before each text.
@@ -97,7 +101,7 @@ class Encoder:
         starts = np.cumsum(np.concatenate(([0], pc.list_value_length(parts).to_numpy())))
         ends = before[starts]
         rows = np.arange(len(texts) + 1)
-        out = np.full(len(taken) + len(texts), END, np.uint32)
+        out = np.full(len(taken) + len(texts), END, self.kind)
         at = np.arange(len(taken)) + np.repeat(rows[:-1], np.diff(ends))
         out[at] = taken
         return out, ends + rows
@@ -120,7 +124,10 @@ def _long_parts(text: str, limit: int) -> list[str]:
 
 
 def encoded(docs: DataFrame, path: str, text_col: str, ids_col: str) -> DataFrame:
-    """Replace the text column by its ids, binary of little-endian unsigned 32-bit integers, :data:`END` behind them."""
+    """Replace the text column by its ids, binary of little-endian unsigned integers, :data:`END` behind them, and their number ``n``.
+
+    An id takes the least of two and four bytes that holds all ids of the vocabulary.
+    """
     with open(path, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
     rest = [c for c in docs.columns if c != text_col]
@@ -131,14 +138,15 @@ def encoded(docs: DataFrame, path: str, text_col: str, ids_col: str) -> DataFram
             texts = piece.column(text_col)
             if piece.num_rows == 1 and (pc.binary_length(texts)[0].as_py() or 0) > _TEXT_BYTES:
                 parts = [encoder.ids(pa.array([p]))[0][:-1] for p in _long_parts(texts[0].as_py(), _TEXT_BYTES)]
-                blobs = [np.concatenate([*parts, np.array([END], np.uint32)]).astype("<u4").tobytes()]
+                blobs = [np.concatenate([*parts, np.array([END], encoder.kind)]).tobytes()]
             else:
                 ids, at = encoder.ids(texts)
-                data = ids.astype("<u4").tobytes()
-                blobs = [data[4 * a : 4 * b] for a, b in zip(at.tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in rest), pa.array(blobs, pa.binary())], names=[*rest, ids_col])
+                width, data = encoder.kind.itemsize, ids.tobytes()
+                blobs = [data[width * a : width * b] for a, b in zip(at.tolist(), at[1:].tolist())]
+            sizes = pa.array([len(b) // encoder.kind.itemsize for b in blobs], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in rest), pa.array(blobs, pa.binary()), sizes], names=[*rest, ids_col, "n"])
 
-    schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField(ids_col, T.BinaryType())])
+    schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField(ids_col, T.BinaryType()), T.StructField("n", T.LongType())])
     return docs.select(*rest, text_or_empty(text_col).alias(text_col)).mapInArrow(run, schema)
 
 
@@ -242,7 +250,7 @@ def packed(
     spark = docs.sparkSession
     folder = new_folder(spark)
     plain = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    tokens = encoded(plain, path, "text", "ids").withColumn("n", (F.octet_length("ids") / 4).cast("long"))
+    tokens = encoded(plain, path, "text", "ids")
     # The number is stored with the row, so it is the same whenever the table is read.
     tokens = keep(tokens.select(F.monotonically_increasing_id().alias("row"), "*", F.sha2("ids", 256).alias("digest")), folder, "tokens")
     queued = running(tokens.select("row", "source", "id", "digest", "n"), "source", ["id", "digest", "row"], F.col("n"), folder, "queues")
@@ -269,6 +277,7 @@ def packed(
         for piece in pieces(batches, "ids", _TEXT_BYTES):
             own, columns = [], [[] for _ in range(7)]
             for i, (ids, n, packets) in enumerate(zip(piece.column("ids").to_pylist(), piece.column("n").to_pylist(), piece.column("packets").to_pylist())):
+                ids = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
                 for start, length, number, offset, turn in where.pieces([(p["start"], p["length"], p["place"], p["window"]) for p in packets]):
                     own.append(i)
                     for column, value in zip(columns, (start, length, ids[4 * start : 4 * (start + length)], n, number, offset, turn)):

@@ -137,7 +137,7 @@ def test_tail_is_cut_into_powers_of_two():
 def test_encoder_equals_the_library():
     encoder = mp.Encoder(open(PATH, "rb").read())
     random.seed(6)
-    letters = "abcdeghinorst ABΣσİßéñ\n\t'0192!?.<|>/😀́​\x1c\x85\xa0Ж中J̌"
+    letters = "İĲŉǅÀ#&abcdeghinorst ABΣσİßéñ\n\t'0192!?.<|>/😀́​\x1c\x85\xa0Ж中J̌"
     texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 40))) for _ in range(3000)]
     texts += ["a <|startoftext|>b<|endoftext|> c", "don't Can't, x''s it's!!", "Word,word. Word!"]
     ids, at = encoder.ids(pa.array(texts))

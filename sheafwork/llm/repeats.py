@@ -8,9 +8,10 @@ the tree of intervals, and within each interval the bytes to the left are sorted
 the same way: where left extensions part, a maximal repeat ends. Every repeat lists all its members;
 those in a document with a larger id than the smallest member's are removed.
 
-Documents are handled in blocks, two for each shuffle partition. A block sends an anchor, and equal
-bytes around it, once. An anchor that many blocks have is split up by whole windows, so no task gathers
-more of one passage than one row for each block.
+Documents are handled in blocks of some megabytes of text, as many as the table's size asks for. A block
+sends an anchor, and equal bytes around it, once. The anchor's own bytes stay behind: all 64 bits of
+their hash travel instead, and members must agree on the bytes around it besides. An anchor that many
+blocks have is split up by whole windows, so no task gathers more of one passage than one row for each block.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from sheafwork.llm.common import buffer_of, hash_between, keep, mix, new_folder,
 
 LENGTH = 50
 GRAM = 28
-BLOCKS_PER_PARTITION = 2
+#: Bytes of text in a block, on the average.
+BLOCK_BYTES = 8 << 20
 #: An anchor in more blocks than this is split up by windows.
 HOT = 64
 _SEGMENT = 1 << 20
@@ -94,8 +96,8 @@ class Block:
 class Packed:
     """Columns of numbers as one compressed binary: byte by byte, so that equal high bytes cost nothing.
 
-    A key travels as the upper 40 bits of a hash; with its bucket, which depends on all bits, that tells
-    keys apart. Keys that still coincide only bring different bytes together, which are compared.
+    Where keys are only asked for, they travel as the upper 40 bits of a hash; with the bucket, which depends on
+    all bits, that tells them apart. Keys that still coincide only bring bytes together that are compared.
     """
 
     def __init__(self, **kinds: str):
@@ -128,7 +130,7 @@ class Packed:
 
 KEYS = Packed(key="key", mark="u1")
 SPANS = Packed(row="i4", start="i4", end="i4")
-ENTRIES = Packed(key="key", id="i8", row="i4", start="i4", left="u1", n="u1")
+ENTRIES = Packed(key="u8", id="i8", row="i4", start="i4", left="u1", n="u1")
 ASKED = "bucket long, block long, n long, data binary"
 TOLD = "bucket long, block long, kind int, n long, data binary"
 
@@ -206,7 +208,7 @@ def _looks(bytes_: np.ndarray) -> np.ndarray:
 def send(texts: pa.Table, told: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
     """The bytes around a block's shared anchors, equal ones once, and the spans that the block settles itself.
 
-    An entry is a stretch of a text with the place of its anchor in it. Of equal stretches the one with
+    An entry is a stretch of a text, without its anchor's bytes, and the anchor's place in it. Of equal stretches the one with
     the smallest id speaks for all with larger ids: these are spans to remove whatever other blocks say.
     """
     if not texts.num_rows:
@@ -269,7 +271,8 @@ def send(texts: pa.Table, told: pa.Table, buckets: int, length: int, gram: int)
     # In the order of the text within a bucket: neighbours share their high bytes.
     order = np.lexsort((mine[keep], row[keep], bucket))
     keep, bucket = keep[order], bucket[order]
-    solid = np.arange(2 * length) < n[:, None]
+    place = np.arange(2 * length)
+    solid = (place < n[:, None]) & ((place < left[:, None]) | (place >= left[:, None] + gram))
     lines = []
     for b, (lo, hi) in zip(*map(list, _starts(bucket))):
         e = keep[lo:hi]
@@ -324,26 +327,27 @@ def intervals(prefixes: list[int]) -> list[tuple[int, int, int]]:
 def maximal_repeats(members: list[tuple[bytes, bytes]], length: int) -> list[tuple[int, int, list[int]]]:
     """Maximal repeats through a common anchor: ``(left, right, members)`` with ``left + right >= length``.
 
-    A member is its bytes before the anchor, reversed, and those from the anchor on. The members of an
-    interval agree on ``right`` bytes from the anchor on and differ behind; among them, intervals of
+    A member is its bytes before the anchor, reversed, and those behind it. The members of an
+    interval agree on ``right`` bytes behind the anchor and differ then; among them, intervals of
     the left sides agree on ``left`` bytes before it and differ ahead of these.
     """
     order = sorted(range(len(members)), key=lambda i: members[i][1])
     found = []
-    for right, first, last in intervals([common(members[a][1], members[b][1]) for a, b in zip(order, order[1:])]):
+    for right, first, last in _side_intervals([members[i][1] for i in order]):
         side = sorted(order[first : last + 1], key=lambda i: members[i][0])
-        for left, low, high in _left_intervals(members, side):
+        for left, low, high in _side_intervals([members[i][0] for i in side]):
             if left + right >= length:
                 found.append((left, right, side[low : high + 1]))
     return found
 
 
-def _left_intervals(members: list[tuple[bytes, bytes]], side: list[int]) -> list[tuple[int, int, int]]:
-    prefixes = [common(members[a][0], members[b][0]) for a, b in zip(side, side[1:])]
-    return intervals(prefixes) + ([(0, 0, len(side) - 1)] if min(prefixes) == 0 else [])
+def _side_intervals(sides: list[bytes]) -> list[tuple[int, int, int]]:
+    """Intervals of sorted sides, with that of all of them where they share nothing."""
+    prefixes = [common(a, b) for a, b in zip(sides, sides[1:])]
+    return intervals(prefixes) + ([(0, 0, len(sides) - 1)] if min(prefixes) == 0 else [])
 
 
-def settle(table: pa.Table, length: int) -> pa.Table:
+def settle(table: pa.Table, length: int, gram: int) -> pa.Table:
     """Spans to remove, by block, from all entries of a bucket."""
     sent = table.filter(pc.equal(table.column("kind"), 0))
     passed = table.filter(pc.equal(table.column("kind"), 1))
@@ -351,7 +355,7 @@ def settle(table: pa.Table, length: int) -> pa.Table:
     key, ids, row, start = got["key"], got["id"], got["row"], got["start"]
     left, n = got["left"].astype(int), got["n"].astype(int)
     block = np.repeat(sent.column("block").to_numpy(), counts)
-    at = np.cumsum(n) - n
+    at = np.cumsum(n - gram) - (n - gram)
     order = np.lexsort((row, block, ids, key))
     key, ids, row, start, left, n, block, at = (x[order] for x in (key, ids, row, start, left, n, block, at))
     cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, int)
@@ -366,11 +370,11 @@ def settle(table: pa.Table, length: int) -> pa.Table:
         sizes = high - low
         group = np.repeat(np.arange(len(sizes)), sizes)
         head = np.cumsum(sizes) - sizes
-        right_side = _matrix(data, at + left, n - left, length)
+        right_side = _matrix(data, at + left, n - left - gram, length)
         left_side = _mirrored(data, at, left, length)
         # Where all members of a key meet in one interval, its depth to both sides is the least agreement with the first.
         first = head[group]
-        right = _agree(right_side, right_side[first], np.minimum(n - left, (n - left)[first]))
+        right = gram + _agree(right_side, right_side[first], np.minimum(n - left, (n - left)[first]) - gram)
         before = _agree(left_side, left_side[first], np.minimum(left, left[first]))
         # Two members, or members that agree wholly with the first: one interval each way.
         whole = (right == n - left) & (before == left) & (n == n[first]) & (left == left[first])
@@ -381,7 +385,7 @@ def settle(table: pa.Table, length: int) -> pa.Table:
         anchor = start + left
         spans.append((np.flatnonzero(easy), (anchor - before)[easy], (anchor + right)[easy]))
         for g in np.flatnonzero(~(plain | pair)):
-            spans.append(_scan(np.arange(head[g], head[g] + sizes[g]), data, at, left, n, ids, anchor, length))
+            spans.append(_scan(np.arange(head[g], head[g] + sizes[g]), data, at, left, n - gram, ids, anchor, length, gram))
     entry, lo, hi = (np.concatenate(x).astype(np.int64) for x in zip(*spans)) if spans else (np.zeros(0, np.int64),) * 3
     order = np.argsort(block[entry], kind="stable")
     entry, lo, hi = entry[order], lo[order], hi[order]
@@ -408,8 +412,8 @@ def _agree(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.minimum(length, most)
 
 
-def _scan(entries, data, at, left, n, ids, anchor, length) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of one key's entries by the interval trees of its different stretches."""
+def _scan(entries, data, at, left, n, ids, anchor, length, gram) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of one key's entries by the interval trees of their sides; all have the anchor between these."""
     by_look: dict[tuple[bytes, bytes], list[int]] = {}
     for e in entries.tolist():
         stretch = data[at[e] : at[e] + n[e]].tobytes()
@@ -417,11 +421,11 @@ def _scan(entries, data, at, left, n, ids, anchor, length) -> tuple[np.ndarray,
     looks = list(by_look)
     owners = [by_look[x] for x in looks]
     smallest = [min(ids[e] for e in own) for own in owners]
-    spans = [(len(a), len(b), [i]) for i, (a, b) in enumerate(looks) if len(owners[i]) > 1] + maximal_repeats(looks, length)
+    spans = [(len(a), len(b), [i]) for i, (a, b) in enumerate(looks) if len(owners[i]) > 1] + maximal_repeats(looks, length - gram)
     out = []
     for before, after, members in spans:
         least = min(smallest[i] for i in members)
-        out += [(e, anchor[e] - before, anchor[e] + after) for i in members for e in owners[i] if ids[e] > least]
+        out += [(e, anchor[e] - before, anchor[e] + gram + after) for i in members for e in owners[i] if ids[e] > least]
     return tuple(np.array(x, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
@@ -429,10 +433,10 @@ def _mask(raw: np.ndarray, at: np.ndarray, told: pa.Table) -> np.ndarray:
     """True for each byte to remove."""
     got = SPANS.unpack(told)[0]
     row, lo, hi = (got[c].astype(np.int64) for c in ("row", "start", "end"))
-    edge = np.zeros(len(raw) + 1, np.int64)
+    edge = np.zeros(len(raw) + 1, np.int32)
     np.add.at(edge, at[row] + lo, 1)
     np.add.at(edge, at[row] + hi, -1)
-    return np.cumsum(edge)[:-1] > 0
+    return np.cumsum(edge, out=edge)[:-1] > 0
 
 
 def finish(texts: pa.Table, told: pa.Table) -> pa.Table:
@@ -463,7 +467,9 @@ def _copies(texts: DataFrame, folder: str) -> DataFrame:
     return held.where("first < id").groupBy("block").applyInArrow(packed, TOLD)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """One row for each input row: id, ``n_bytes``, ``spans`` (removed runs, in bytes) and ``kept`` (bytes).
 
     A byte is removed if it is covered by ``length`` bytes that also start in a document with a smaller id.
@@ -473,7 +479,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 0 < gram < length <= 100:
         raise ValueError("the anchors must be shorter than the windows, of 100 bytes at most")
-    n = BLOCKS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col!r} must be a column of integers")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = max(1, -(-size // block_bytes))
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID))
     texts = docs.select(ids.alias("id"), text_or_empty(text_col).alias("text"))
     texts = texts.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("long").alias("block"), "id", "text")
@@ -483,7 +492,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     told = asked.groupBy("bucket").applyInArrow(lambda t: answer(t, hot), TOLD)
     told = told.unionByName(_copies(texts, new_folder(docs.sparkSession)))
     sent = blocks.cogroup(told.groupBy("block")).applyInArrow(lambda t, r: send(t, r, n, length, gram), TOLD)
-    settled = sent.groupBy("bucket").applyInArrow(lambda t: settle(t, length), TOLD)
+    settled = sent.groupBy("bucket").applyInArrow(lambda t: settle(t, length, gram), TOLD)
     schema = "id long, n_bytes long, spans array<struct<start long, end long>>, kept binary"
     done = blocks.cogroup(settled.groupBy("block")).applyInArrow(finish, schema)
     kind = docs.schema[id_col].dataType

@@ -174,13 +174,15 @@ def test_repeats_equal_brute_force(spark, hot):
         rows.append((i, None if i == 9 else "".join(parts)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for length, gram in ((50, 28), (24, 9)):
-        got = {r["doc_id"]: bytes(r["kept"]) for r in repeats.without_repeats(docs, length=length, gram=gram, hot=hot).collect()}
+        got = {r["doc_id"]: bytes(r["kept"]) for r in repeats.without_repeats(docs, length=length, gram=gram, hot=hot, block_bytes=2000).collect()}
         assert got == brute_repeats(rows, length)
 
 
 def test_repeats_odd_rows(odd, none):
     got = repeats.without_repeats(odd).collect()
     assert len(got) == 10 and repeats.without_repeats(none).count() == 0
+    with pytest.raises(ValueError):
+        repeats.without_repeats(odd, id_col="lang")
     assert [r["n_bytes"] for r in got if r["doc_id"] == 4] == [0]
     assert all(r["spans"] == [] for r in got if r["doc_id"] in (6, 7))  # a document doesn't remove from itself
 
@@ -193,6 +195,30 @@ def test_interval_tree():
     assert sorted(repeats.maximal_repeats(members, 5)) == [(1, 4, [0, 1, 2]), (1, 5, [0, 2]), (2, 4, [0, 1])]
 
 
+def test_canonical_urls(spark):
+    want = {
+        "http://a.org:443/x": "http://a.org:443/x",
+        "https://a.org:80/x": "https://a.org:80/x",
+        "HTTP://A.org:80": "http://a.org/",
+        "https://A.org:443/X?b&a": "https://a.org/X?a&b",
+        "ftp://a.org:80/": "ftp://a.org:80/",
+        "http://u:P@A.org:80/": "http://u:P@a.org/",
+        "http://u@V:80@A.org/": "http://u@V:80@a.org/",
+        "a.org:80/x#y": "a.org:80/x",
+    }
+    got = spark.createDataFrame([(u,) for u in want], "u string").select("u", revisits.canonical(F.col("u")).alias("c")).collect()
+    assert {r["u"]: r["c"] for r in got} == want
+
+
+def test_columns_with_the_names_of_helpers_stay(odd):
+    names = ["_sha", "_words", "_n", "_turn", "_copy", "_score", "_id", "_size", "_copies", "_rows", "_keep_id", "_keep_sha"]
+    docs = odd.select("*", *(F.concat(F.lit(n), F.col("score").cast("string")).alias(n) for n in names))
+    for got in (exact_dedup.drop_duplicates(docs), mixing.mixed(docs)):
+        rows = got.collect()
+        assert got.columns == docs.columns and rows
+        assert all(r[n] == (None if r["score"] is None else f"{n}{r['score']}") for r in rows for n in names)
+
+
 def test_revisits(spark):
     head = lambda **kv: {k.replace("_", "-"): v for k, v in kv.items()}
     rows = [

@@ -185,7 +185,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
         words.forget()
         return lambda texts: [pa.array([words.encode(t or "") for t in texts.to_pylist()], pa.binary())]
 
-    return append(df, text_col, f"`{ids_col}` binary", prepare)
+    return append(df, text_col, f"`{ids_col}` binary", prepare, done=lambda: vocabulary(raw.value).forget())
 
 
 def round_trip(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
@@ -202,7 +202,7 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
 
         return work
 
-    return append(df, text_col, f"`{ids_col}` binary, `{decoded_col}` string", prepare, 1 << 20)
+    return append(df, text_col, f"`{ids_col}` binary, `{decoded_col}` string", prepare, 1 << 20, lambda: vocabulary(raw.value).forget())
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

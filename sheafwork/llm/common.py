@@ -106,12 +106,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def append(
-    df: DataFrame, column: str, fields: str, prepare: Callable[[], Callable[[pa.Array], list[pa.Array]]], limit: int = PIECE_BYTES
+    df: DataFrame,
+    column: str,
+    fields: str,
+    prepare: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+    limit: int = PIECE_BYTES,
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Add columns that Python computes from ``column``, slice by slice of at most ``limit`` bytes.
 
     ``prepare`` runs once in each task and gives the function from a slice of the column to the new
-    columns, in the order of the DDL string ``fields``. Columns of the same names are replaced.
+    columns, in the order of the DDL string ``fields``. Columns of the same names are replaced. ``done``
+    runs when a task ends; what the task has remembered is let go, as its worker may serve other stages.
     """
     new = T.StructType.fromDDL(fields)
     rest = [c for c in df.columns if c not in new.names]
@@ -119,9 +125,15 @@ def append(
 
     def run(batches):
         work = prepare()
-        for piece in pieces(batches, column, limit):
-            arrays = work(piece.column(column))
-            yield pa.RecordBatch.from_arrays([*piece.columns, *arrays], names=rest + new.names)
+        try:
+            for piece in pieces(batches, column, limit):
+                arrays = work(piece.column(column))
+                yield pa.RecordBatch.from_arrays([*piece.columns, *arrays], names=rest + new.names)
+        finally:
+            del work
+            _POWERS.clear()
+            if done is not None:
+                done()
 
     return df.mapInArrow(run, T.StructType(df.schema.fields + new.fields))
 

@@ -7,8 +7,10 @@ so no pair and no n-gram can make a hot task; only report means are aggregated.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Sequence
 from itertools import chain
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,11 @@ from sheafwork.functions.text import ColumnFn, rouge_tokens, split_sentences
 KEYS = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 SCORES = ("fmeasure", "precision", "recall")
 
+#: Bytes of bit rows that a walk back may hold, if they are more than its blocks need.
+ROW_BYTES = 1 << 20
+#: In lists longer than ``SHORT``, bit sets are kept of tokens with more positions than ``OFTEN``.
+SHORT, OFTEN = 4096, 64
+
 
 def ngrams(tokens: Column, n: int) -> Column:
     """n-grams, joined by a control character; an array shorter than ``n`` gives none."""
@@ -36,13 +43,34 @@ def ngrams(tokens: Column, n: int) -> Column:
     return grams
 
 
-def _positions(tokens: Iterable[int], wanted: set[int]) -> dict[int, int]:
-    """token -> bit set of its positions, for the wanted tokens."""
-    bits: dict[int, int] = {}
-    for i, token in enumerate(tokens):
-        if token in wanted:
-            bits[token] = bits.get(token, 0) | (1 << i)
-    return bits
+class _Positions:
+    """token -> bit set of its positions, for the wanted tokens; 0 for all others.
+
+    Only the sets of tokens with many positions are kept, so all of them together are no larger
+    than about the list's length times the bits of ``OFTEN`` words; the others are made when asked for.
+    """
+
+    def __init__(self, tokens: Sequence[int], wanted: set[int]):
+        self.places: dict[int, list[int]] = {}
+        for i, token in enumerate(tokens):
+            if token in wanted:
+                self.places.setdefault(token, []).append(i)
+        often = OFTEN if len(tokens) > SHORT else 0
+        self.kept = {t: self._bits(p) for t, p in self.places.items() if len(p) > often}
+
+    @staticmethod
+    def _bits(places: list[int]) -> int:
+        raw = bytearray(places[-1] // 8 + 1)
+        for i in places:
+            raw[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(raw, "little")
+
+    def get(self, token: int) -> int:
+        bits = self.kept.get(token)
+        if bits is None:
+            places = self.places.get(token)
+            bits = self._bits(places) if places else 0
+        return bits
 
 
 def lcs_size(a: Sequence[int], b: Sequence[int]) -> int:
@@ -53,61 +81,99 @@ def lcs_size(a: Sequence[int], b: Sequence[int]) -> int:
     """
     if len(a) > len(b):
         a, b = b, a
-    bits = _positions(b, set(a))
+    bits = _Positions(b, set(a))
     full = (1 << len(b)) - 1
     row = full
     for token in a:
         seen = bits.get(token)
         if seen:
-            common = row & seen
-            row = ((row + common) | (row ^ common)) & full
+            row = _next_row(row, seen, full)
     return len(b) - row.bit_count()
 
 
-def lcs_positions(pred: Sequence[int], ref: Sequence[int]) -> set[int]:
+def _next_row(row: int, seen: int, full: int) -> int:
+    common = row & seen
+    return ((row + common) | (row ^ common)) & full
+
+
+def lcs_positions(pred: Sequence[int], ref: Sequence[int], row_bytes: int = ROW_BYTES) -> set[int]:
     """Reference positions on one longest common subsequence.
 
     Walks back from the end: equal tokens go diagonally; otherwise a step back in the
     prediction where the length grows at this reference position, else in the reference.
+    The prediction is walked in blocks. Only the row ahead of each block is kept from the way
+    forward; a block's own rows are made again when the walk comes to it. So there are about
+    twice the square root of the prediction's length of them, or ``row_bytes`` if that is more.
     """
-    bits = _positions(ref, set(pred))
+    bits = _Positions(ref, set(pred))
     full = (1 << len(ref)) - 1
-    row, rows = full, []
-    for token in pred:
-        common = row & bits.get(token, 0)
-        row = ((row + common) | (row ^ common)) & full
-        rows.append(row)
+    block = max(isqrt(len(pred)) + 1, row_bytes // (len(ref) // 8 + 1))
+    row, ahead = full, [full]
+    for start in range(0, len(pred) - block, block):
+        for token in pred[start : start + block]:
+            seen = bits.get(token)
+            if seen:
+                row = _next_row(row, seen, full)
+        ahead.append(row)
     found: set[int] = set()
     i, j = len(pred) - 1, len(ref) - 1
-    while i >= 0 and j >= 0:
-        if pred[i] == ref[j]:
-            found.add(j)
-            i, j = i - 1, j - 1
-        elif not rows[i] >> j & 1:
-            i -= 1
-        else:
-            j -= 1
+    while ahead and j >= 0:
+        row = ahead.pop()
+        first = len(ahead) * block
+        rows = []
+        for token in pred[first : first + block]:
+            seen = bits.get(token)
+            if seen:
+                row = _next_row(row, seen, full)
+            rows.append(row)
+        while i >= first and j >= 0:
+            if pred[i] == ref[j]:
+                found.add(j)
+                i, j = i - 1, j - 1
+            elif not rows[i - first] >> j & 1:
+                i -= 1
+            else:
+                j -= 1
     return found
 
 
 def union_tokens(pred_sentences: Sequence[Sequence[int]], ref_sentences: Sequence[Sequence[int]]) -> list[int]:
     """Tokens at the reference positions that any predicted sentence shares, per sentence.
 
-    A repeated predicted sentence adds nothing, and a reference sentence is done once all
-    its tokens that occur in the prediction are covered.
+    An index from token to the predicted sentences that have it names, for a reference
+    sentence, those that can cover what is not yet covered, so sentences that share nothing
+    never meet. Those that share most come first; one that has no uncovered token is left
+    out, and a reference sentence is done once all its tokens that occur in the prediction
+    are covered. A repeated predicted sentence adds nothing.
     """
-    distinct = [(pred, frozenset(pred)) for pred in dict.fromkeys(map(tuple, pred_sentences))]
-    present = frozenset(chain.from_iterable(pred_sentences))
+    distinct = list(dict.fromkeys(map(tuple, pred_sentences)))
+    tokens_of = [frozenset(pred) for pred in distinct]
+    having: dict[int, list[int]] = {}
+    for k, tokens in enumerate(tokens_of):
+        for token in tokens:
+            having.setdefault(token, []).append(k)
+    done: dict[tuple[int, ...], list[int]] = {}
     out: list[int] = []
-    for ref in ref_sentences:
-        reachable = sum(token in present for token in ref)
-        tokens, covered = set(ref), set()
-        for pred, pred_tokens in distinct:
-            if len(covered) == reachable:
-                break
-            if not tokens.isdisjoint(pred_tokens):
-                covered |= lcs_positions(pred, ref)
-        out.extend(ref[j] for j in sorted(covered))
+    for ref in map(tuple, ref_sentences):
+        if ref not in done:
+            places: dict[int, set[int]] = {}
+            for j, token in enumerate(ref):
+                if token in having:
+                    places.setdefault(token, set()).add(j)
+            shared = Counter(chain.from_iterable(having[token] for token in places))
+            covered: set[int] = set()
+            for k, _ in shared.most_common():
+                if not places:
+                    break
+                if tokens_of[k].isdisjoint(places):
+                    continue
+                for j in lcs_positions(distinct[k], ref) - covered:
+                    covered.add(j)
+                    places[ref[j]].discard(j)
+                    if not places[ref[j]]:
+                        del places[ref[j]]
+            done[ref] = [ref[j] for j in sorted(covered)]
+        out.extend(done[ref])
     return out
 
 

@@ -67,7 +67,7 @@ def rouge_2(spark, sf_dir):
 # The recursive table carries one row of the usual table per pair: step i reads token i of
 # the shorter side against the whole longer side. Tokens that only one side has are left out
 # beforehand, since no common subsequence can use them.
-LCS_SQL = f"""WITH RECURSIVE {PAIRS},
+LCS_TABLES = f"""
 shared AS (SELECT example_id, len(p) AS np, len(r) AS nr, list_filter(p, lambda w: list_contains(r, w)) AS p,
   list_filter(r, lambda w: list_contains(p, w)) AS r FROM pairs),
 sides AS (SELECT example_id, np, nr, CASE WHEN len(p) <= len(r) THEN p ELSE r END AS a,
@@ -79,17 +79,47 @@ steps AS (
       lambda j: [CASE WHEN b[j] = a[i + 1] THEN line[j] + 1 ELSE line[j + 1] END]),
       lambda acc, x: list_concat(acc, [greatest(acc[-1], x[1])]), [0]), a, b
   FROM steps WHERE i < len(a)),
-lcs AS (SELECT example_id, line[-1] AS h, np, nr FROM steps JOIN sides USING (example_id) WHERE i = len(sides.a)),
-scored AS (SELECT example_id, {scored_sql('rougeL')} FROM lcs)
+lcs AS (SELECT example_id, line[-1] AS h, np, nr FROM steps JOIN sides USING (example_id) WHERE i = len(sides.a))"""
+LCS_SQL = f"""WITH RECURSIVE {PAIRS}, {LCS_TABLES}, scored AS (SELECT example_id, {scored_sql('rougeL')} FROM lcs)
 SELECT example_id, {rounded_sql(['rougeL'])} FROM scored"""
 
+# Every predicted sentence that shares a word with a reference sentence walks through it token by
+# token. A cell holds the length of the subsequence and the reference positions that the walk back
+# from it would pass: over the diagonal if the tokens are equal, else up if that is longer, else left.
+_SENTENCES = "list_transform({0}, lambda s: {1})"
+LSUM_TABLES = f"""
+cut AS (SELECT example_id, {_SENTENCES.format(sql.sentences('text'), sql.rouge_tokens('s'))} AS ps,
+  {_SENTENCES.format(sql.sentences('summary'), sql.rouge_tokens('s'))} AS rs FROM summaries),
+refs AS (SELECT example_id, generate_subscripts(rs, 1) AS k, unnest(rs) AS r FROM cut),
+preds AS (SELECT DISTINCT example_id, unnest(ps) AS p FROM cut),
+walks AS (
+  SELECT example_id, k, r, p, 0 AS i, list_transform(range(0, len(r) + 1), lambda j: {{'n': 0, 'at': []::BIGINT[], 'd': false}}) AS line
+  FROM refs JOIN preds USING (example_id) WHERE list_has_any(p, r)
+  UNION ALL
+  SELECT example_id, k, r, p, i + 1, list_reduce(list_transform(range(1, len(r) + 1),
+      lambda j: [{{'n': line[j].n + 1, 'at': list_append(line[j].at, j), 'd': r[j] = p[i + 1]}}, line[j + 1]]),
+      lambda acc, x: list_concat(acc, [CASE WHEN x[1].d THEN x[1] WHEN x[2].n > acc[-1].n THEN x[2] ELSE acc[-1] END]),
+      [{{'n': 0, 'at': []::BIGINT[], 'd': false}}])
+  FROM walks WHERE i < len(p)),
+passed AS (SELECT DISTINCT example_id, k, r, unnest(line[-1].at) AS j FROM walks WHERE i = len(p)),
+union_words AS (SELECT example_id, r[j] AS w, count(*) AS n FROM passed GROUP BY 1, 2),
+pred_words AS (SELECT example_id, w, count(*) AS n FROM (SELECT example_id, unnest(flatten(ps)) AS w FROM cut) GROUP BY 1, 2),
+lsum AS (SELECT example_id, coalesce(h, 0) AS h, coalesce(len(flatten(ps)), 0) AS np, coalesce(len(flatten(rs)), 0) AS nr FROM cut LEFT JOIN (
+  SELECT example_id, sum(least(u.n, p.n)) AS h FROM union_words u JOIN pred_words p USING (example_id, w) GROUP BY 1) USING (example_id))"""
+LSUM_SQL = f"""WITH RECURSIVE {PAIRS}, {LSUM_TABLES}, scored AS (SELECT example_id, {scored_sql('rougeLsum')} FROM lsum)
+SELECT example_id, {rounded_sql(['rougeLsum'])} FROM scored"""
+REPORT_SQL = f"""WITH RECURSIVE {PAIRS}, {overlap_sql(1)}, {overlap_sql(2)}, {LCS_TABLES}, {LSUM_TABLES}, scored AS (
+  SELECT * FROM (SELECT example_id, {scored_sql('rouge1')} FROM hits1) JOIN (SELECT example_id, {scored_sql('rouge2')} FROM hits2) USING (example_id)
+  JOIN (SELECT example_id, {scored_sql('rougeL')} FROM lcs) USING (example_id) JOIN (SELECT example_id, {scored_sql('rougeLsum')} FROM lsum) USING (example_id))
+SELECT {', '.join(f'round(avg({c}), 6) AS {c}' for c in rouge.score_columns())} FROM scored"""
+
 
 @query("e13_rouge_l", LCS_SQL)
 def rouge_l(spark, sf_dir):
     return rounded(rouge.rouge_l(corpus.text_pairs(spark, sf_dir)))
 
 
-@query("e14_rouge_lsum")
+@query("e14_rouge_lsum", LSUM_SQL)
 def rouge_lsum(spark, sf_dir):
     return rounded(rouge.rouge_lsum(corpus.text_pairs(spark, sf_dir)))
 
@@ -118,7 +148,7 @@ def rouge_multi_ref_avg(spark, sf_dir):
     return rounded(rouge.rouge_multi_ref(corpus.multi_ref_pairs(spark, sf_dir), "avg", NGRAM_KEYS))
 
 
-@query("e16_rouge_report")
+@query("e16_rouge_report", REPORT_SQL)
 def rouge_report(spark, sf_dir):
     return rounded(rouge.rouge_report(corpus.text_pairs(spark, sf_dir)))
 

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -260,3 +261,49 @@ def test_rouge_from_ids_loses_no_words(spark, sf_dir):
     whole, decoded = (queries()[name](spark, sf_dir).first().asDict() for name in ("e16_rouge_report", "e17_rouge_from_ids"))
     kept = rouge.score_columns(("rouge1", "rouge2", "rougeL"))
     assert [decoded[c] for c in kept] == [whole[c] for c in kept]
+
+
+def test_the_walk_back_is_the_same_in_blocks_of_any_size(monkeypatch):
+    random.seed(5)
+    for _ in range(300):
+        a = [random.randrange(6) for _ in range(random.randint(0, 40))]
+        b = [random.randrange(6) for _ in range(random.randint(0, 30))]
+        whole = rouge.lcs_positions(a, b)
+        assert whole == walk_back(a, b) == rouge.lcs_positions(a, b, row_bytes=0)
+        with monkeypatch.context() as m:
+            m.setattr(rouge, "SHORT", 0)
+            m.setattr(rouge, "OFTEN", 2)
+            assert rouge.lcs_positions(a, b) == whole and rouge.lcs_size(a, b) == len(whole)
+
+
+def test_union_over_all_pairs_of_sentences():
+    random.seed(6)
+    for _ in range(300):
+        preds = [[random.randrange(9) for _ in range(random.randint(0, 8))] for _ in range(random.randint(0, 7))]
+        refs = [[random.randrange(12) for _ in range(random.randint(0, 9))] for _ in range(random.randint(0, 7))]
+        want = []
+        for ref in refs:
+            places = set().union(*(walk_back(pred, ref) for pred in preds))
+            want += [ref[j] for j in sorted(places)]
+        assert rouge.union_tokens(preds, refs) == want
+
+
+def test_a_sentence_of_200_000_words_in_bounded_memory():
+    random.seed(7)
+    pred = [random.randrange(30_000) for _ in range(200_000)]
+    ref = [random.randrange(30_000) for _ in range(20_000)]
+    tracemalloc.start()
+    found = rouge.lcs_positions(pred, ref)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # One bit row for each predicted word would be 500 MB.
+    assert len(found) == rouge.lcs_size(pred, ref) and peak < 60 << 20
+
+
+def test_sentences_that_share_nothing_never_meet(monkeypatch):
+    met = []
+    real = rouge.lcs_positions
+    monkeypatch.setattr(rouge, "lcs_positions", lambda p, r: met.append(1) or real(p, r))
+    sentences = [[3 * i, 3 * i + 1, 3 * i + 2] for i in range(2000)]
+    assert rouge.union_tokens(sentences, sentences[::-1]) == [t for s in sentences[::-1] for t in s]
+    assert len(met) == 2000

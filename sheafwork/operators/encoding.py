@@ -1,19 +1,21 @@
 """Corpus vocabularies, and token <-> id translation of whole columns.
 
-Translation has two exact ways, chosen by the counted size of the vocabulary:
-
-* up to ``MAX_LOOKUP_ROWS`` entries the table is broadcast and each Arrow batch is
-  looked up in place. Nothing is exploded or shuffled, and one document stays one row.
-* above it the tokens are exploded, joined on (token, salt) so that a hot token is
-  spread over several tasks, and regrouped by what the row holds. Rows that hold the same
-  arrays are looked up once, so repeated ids or rows give the same result either way.
+Translation has two tiers, the same for a vocabulary of any size. Ids are ordered by count, so
+the entries with the smallest ids, the head, hold every hot token. The head is bounded in rows and
+in bytes of each token; it is broadcast, becomes one hash table in each worker, and is looked up in
+the row where the tokens were read. What a row has besides, each such token once, is joined with the
+entries behind the head, the tail. A vocabulary without a tail has nothing to join, so a document
+stays one row and is never shuffled. Rows with the same missing tokens share the answer, so
+repeated ids or rows give the same result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -22,13 +24,15 @@ from pyspark.sql import functions as F
 from sheafwork.functions import arrays
 from sheafwork.functions.lists import ends, flat, regroup
 from sheafwork.functions.text import ColumnFn, clean_decoded, words
+from sheafwork.sources.tables import shared_dir
 
 # Special tokens, which take the first ids in this order.
 SPECIALS = ("<pad>", "<unk>", "<bos>", "<sep>", "<eos>")
 PAD, UNK, BOS, SEP, EOS = range(len(SPECIALS))
 
-MAX_LOOKUP_ROWS = 1_000_000
-SALTS = 16
+#: The head has ids below ``HEAD_ROWS`` and tokens of at most ``HEAD_TOKEN_BYTES``: 32 MB of text, whatever the corpus.
+HEAD_ROWS = 1 << 19
+HEAD_TOKEN_BYTES = 64
 HEAD_LETTERS = 3
 
 
@@ -82,87 +86,142 @@ def ensure_pad_token(tokenizers: DataFrame) -> DataFrame:
     return tokenizers.withColumn("pad_id", F.coalesce("pad_id", "eos_id"))
 
 
+class Head:
+    """The head's entries on the executors. A worker builds its table once, however many batches and columns ask."""
+
+    ready: dict[str, Head] = {}
+
+    def __init__(self, entries: pa.RecordBatch):
+        tokens, ids = entries.column("token"), entries.column("id")
+        self.ids = dict(zip(tokens.to_numpy(zero_copy_only=False).tolist(), ids.to_numpy().tolist()))
+        places = np.full(int(pc.max(ids).as_py() or 0) + 1 if len(ids) else 0, -1, np.int64)
+        places[ids.to_numpy()] = np.arange(len(ids))
+        self.places, self.tokens = places, tokens
+
+    @classmethod
+    def of(cls, name: str, entries) -> Head:
+        if name not in cls.ready:
+            if len(cls.ready) >= 2:
+                cls.ready.pop(next(iter(cls.ready)))
+            cls.ready[name] = cls(entries.value)
+        return cls.ready[name]
+
+    def encode(self, tokens: pa.Array, default: int | None) -> pa.Array:
+        """Ids of tokens, ``default`` (or null) where the head has none; every different token is looked up once."""
+        coded = tokens.dictionary_encode()
+        find = self.ids.get
+        found = pa.array([find(t, default) for t in coded.dictionary.to_numpy(zero_copy_only=False).tolist()], pa.int32())
+        missing = pa.scalar(default, pa.int32())
+        out = found.take(coded.indices)
+        return out if default is None else pc.fill_null(out, missing)
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        numbers = pc.fill_null(ids, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        inside = (numbers >= 0) & (numbers < len(self.places))
+        at = np.full(len(numbers), -1, np.int64)
+        at[inside] = self.places[numbers[inside]]
+        return self.tokens.take(pa.array(at, pa.int64(), mask=at < 0))
+
+
 @dataclass(frozen=True)
 class Codec:
-    """A bounded vocabulary on the executors; both ways are row-local expressions."""
+    """A vocabulary in two tiers: the head as a broadcast, the tail as a stored table (None if it has no rows)."""
 
-    table: object  # Broadcast[pa.Table] with token, id
+    name: str
+    head: object  # Broadcast[pa.RecordBatch] with token, id
+    tail: DataFrame | None
 
-    def _lookup(self, source: str, target: str, out_type: str, default: int | None = None):
-        table = self.table
+    def _in_head(self, way: str, out_type: str, default: int | None = None):
+        name, head = self.name, self.head
 
         @F.arrow_udf(f"array<{out_type}>")
         def look_up(rows: pa.Array) -> pa.Array:
-            entries = table.value
-            at = pc.index_in(flat(rows), value_set=entries.column(source))
-            found = entries.column(target).take(at)
-            if default is not None:
-                found = pc.fill_null(found, pa.scalar(default, found.type))
+            table = Head.of(name, head)
+            found = table.encode(flat(rows), default) if way == "encode" else table.decode(flat(rows))
             return regroup(found, ends(rows), rows.is_null() if rows.null_count else None)
 
         return look_up
 
+    def _whole(self) -> None:
+        if self.tail is not None:
+            raise ValueError("the vocabulary has entries behind its head; encode and decode take whole tables")
+
     def encode(self, tokens: Column, unk: int = UNK) -> Column:
-        return self._lookup("token", "id", "int", default=unk)(tokens)
+        self._whole()
+        return self._in_head("encode", "int", unk)(tokens)
 
     def decode(self, ids: Column, specials: Sequence[int] = tuple(range(len(SPECIALS)))) -> Column:
         """Tokens of the ids, without the specials and without ids the vocabulary lacks."""
-        real = F.filter(ids, lambda i: ~i.isin(list(specials))) if specials else ids
-        return F.array_compact(self._lookup("id", "token", "string")(real))
-
-
-def load_codec(vocab: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> Codec | None:
-    """Broadcast the vocabulary if it has at most ``max_rows`` entries, else return None."""
-    table = vocab.select("token", F.col("id").cast("int").alias("id")).limit(max_rows + 1).toArrow().combine_chunks()
-    if table.num_rows > max_rows:
-        return None
-    columns = {name: table.column(name).combine_chunks() for name in table.column_names}
-    return Codec(vocab.sparkSession.sparkContext.broadcast(pa.RecordBatch.from_pydict(columns)))
-
-
-def _codec_of(vocab: DataFrame | Codec, max_rows: int) -> Codec | None:
-    return vocab if isinstance(vocab, Codec) else load_codec(vocab, max_rows)
-
-
-def _translate_by_join(
-    df: DataFrame, columns: dict[str, str], mapping: DataFrame, default: Column, out_type: str
-) -> DataFrame:
-    """Replace array elements through ``mapping(source, target)`` of any size.
-
-    One explode and one regroup serve all columns. Element rows carry no payload, and a
-    hot element is spread over ``SALTS`` join keys. A row is found again by a digest of its
-    arrays, and rows with the same arrays are looked up once.
-    """
-    sources = list(columns)
-    key = ["__row"]
-    df = df.withColumn("__row", F.sha2(F.to_json(F.struct(*[F.col(c).alias(f"c{n}") for n, c in enumerate(sources)])), 256))
-    held = df.select(*key, *sources).dropDuplicates(key)
-    empty = F.array().cast(f"array<{out_type}>")
-
-    def tagged(n: int) -> Column:
-        return F.transform(
-            F.col(sources[n]), lambda e, p: F.struct(F.lit(n).alias("col"), p.alias("pos"), e.alias("source"))
-        )
-
-    def untagged(n: int) -> Column:
-        return F.transform(F.filter("all", lambda r: r["col"] == n), lambda r: r["v"])
-
-    elements = held.select(*key, F.explode(F.flatten(F.array_compact(F.array(*map(tagged, range(len(sources))))))).alias("e")).select(
-        *key, "e.*", F.pmod(F.xxhash64(*key, "e.pos"), F.lit(SALTS)).cast("int").alias("salt")
-    )
-    salted = mapping.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    grouped = (
-        elements.join(salted, ["source", "salt"], "left")
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("col", "pos", F.coalesce("target", default).alias("v")))).alias("all"))
-    )
-    found = grouped.select(*key, *[untagged(n).alias(f"__{n}") for n in range(len(sources))])
-    out = df.join(found, key, "left")
-    for n, source in enumerate(sources):
-        # a row without elements has no group; a null array stays null
-        value = F.when(F.col(source).isNotNull(), F.coalesce(F.col(f"__{n}"), empty))
-        out = out.withColumn(columns[source], value)
-    return out.drop(*key, *[f"__{n}" for n in range(len(sources))])
+        self._whole()
+        return F.array_compact(self._in_head("decode", "string")(_real(ids, specials)))
+
+
+def _real(ids: Column, specials: Sequence[int]) -> Column:
+    return F.filter(ids, lambda i: ~i.isin(list(specials))) if specials else ids
+
+
+def load_codec(vocab: DataFrame, head_rows: int = HEAD_ROWS) -> Codec:
+    """Write the vocabulary once to the shared folder, broadcast its head and keep the rest as a table."""
+    spark, name = vocab.sparkSession, uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/vocabulary-{name}"
+    vocab.select("token", F.col("id").cast("int").alias("id")).write.parquet(path)
+    stored = spark.read.schema("token string, id int").parquet(path)
+    in_head = (F.col("id") < head_rows) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
+    table = stored.where(in_head).toArrow().combine_chunks()
+    columns = {c: table.column(c).combine_chunks() for c in table.column_names}
+    head = spark.sparkContext.broadcast(pa.RecordBatch.from_pydict(columns))
+    tail = stored.where(~in_head) if stored.count() > table.num_rows else None
+    return Codec(name, head, tail)
+
+
+def _fill(out_type: str, default: int | None):
+    """Values where the head had none, from the entries that the tail has for the row."""
+
+    @F.arrow_udf(f"array<{out_type}>")
+    def fill(sources: pa.Array, values: pa.Array, found: pa.Array) -> pa.Array:
+        # Rows number their missing sources from 0, whatever other rows have.
+        row_of = np.repeat(np.arange(len(sources)), np.diff(np.concatenate(([0], ends(sources)))))
+        out, asked = flat(values).to_pylist(), flat(sources)
+        missing = np.flatnonzero(flat(values).is_null().to_numpy(zero_copy_only=False))
+        entries: dict[int, dict] = {}
+        rows = row_of[missing].tolist()
+        for row in set(rows):
+            entries[row] = {e["source"]: e["target"] for e in found[row].as_py() or ()}
+        for at, row, source in zip(missing.tolist(), rows, asked.take(pa.array(missing)).to_pylist()):
+            out[at] = entries[row].get(source, default)
+        kind = flat(values).type
+        return regroup(pa.array(out, kind), ends(sources), sources.is_null() if sources.null_count else None)
+
+    return fill
+
+
+def _two_tiers(df: DataFrame, columns: dict[str, str], codec: Codec, way: str, out_type: str, default: int | None) -> DataFrame:
+    """Replace array elements by the head's entries, and what it lacks by the tail's, or else by ``default``."""
+    if codec.tail is None:
+        return df.withColumns({out: codec._in_head(way, out_type, default)(F.col(c)) for c, out in columns.items()})
+    mark = uuid.uuid4().hex[:8]
+    key, rest, found = f"key_{mark}", f"rest_{mark}", f"found_{mark}"
+    values = {c: f"value{n}_{mark}" for n, c in enumerate(columns)}
+    asked = df.withColumns({values[c]: codec._in_head(way, out_type)(F.col(c)) for c in columns})
+
+    def missing(c: str) -> Column:
+        source = F.zip_with(F.col(c), F.col(values[c]), lambda s, v: F.when(v.isNull(), s))
+        return F.coalesce(F.array_compact(source), F.array().cast(df.schema[c].dataType))
+
+    asked = asked.withColumn(rest, F.array_sort(F.array_distinct(F.concat(*map(missing, columns)))))
+    # Rows that lack nothing have keys of their own kind, spread over all tasks.
+    first = next(iter(columns))
+    alone = F.concat(F.lit("-"), F.xxhash64(F.col(values[first])).cast("string"))
+    asked = asked.withColumn(key, F.when(F.size(rest) > 0, F.sha2(F.to_json(F.struct(rest)), 256)).otherwise(alone))
+    source, target = ("token", "id") if way == "encode" else ("id", "token")
+    tail = codec.tail.select(F.col(source).alias("source"), F.col(target).alias("target"))
+    wanted = asked.where(F.size(rest) > 0).select(key, rest).dropDuplicates([key])
+    joined = wanted.select(key, F.explode(rest).alias("source")).join(tail, "source")
+    answers = joined.groupBy(key).agg(F.collect_list(F.struct("source", "target")).alias(found))
+    fill = _fill(out_type, default)
+    out = asked.join(answers, key, "left")
+    out = out.withColumns({o: fill(F.col(c), F.col(values[c]), F.col(found)) for c, o in columns.items()})
+    return out.drop(key, rest, found, *values.values())
 
 
 def encode(
@@ -170,18 +229,15 @@ def encode(
     vocab: DataFrame | Codec,
     columns: dict[str, str],
     unk: int = UNK,
-    max_lookup_rows: int = MAX_LOOKUP_ROWS,
+    head_rows: int = HEAD_ROWS,
 ) -> DataFrame:
     """Add id arrays: ``columns`` maps token-array columns to output columns.
 
-    Unknown tokens get ``unk``. A loaded codec in place of the table spares reading the
-    vocabulary again.
+    Unknown tokens get ``unk``; a null array stays null. A loaded codec in place of the table spares
+    storing the vocabulary again.
     """
-    codec = _codec_of(vocab, max_lookup_rows)
-    if codec is not None:
-        return df.withColumns({out: codec.encode(F.col(c), unk) for c, out in columns.items()})
-    mapping = vocab.select(F.col("token").alias("source"), F.col("id").cast("int").alias("target"))
-    return _translate_by_join(df, columns, mapping, F.lit(unk), "int")
+    codec = vocab if isinstance(vocab, Codec) else load_codec(vocab, head_rows)
+    return _two_tiers(df, columns, codec, "encode", "int", unk)
 
 
 def decode(
@@ -189,19 +245,14 @@ def decode(
     vocab: DataFrame | Codec,
     columns: dict[str, str],
     specials: Sequence[int] = tuple(range(len(SPECIALS))),
-    max_lookup_rows: int = MAX_LOOKUP_ROWS,
+    head_rows: int = HEAD_ROWS,
 ) -> DataFrame:
     """Add decoded text: drop specials, join by spaces, then tidy the spacing."""
-    codec = _codec_of(vocab, max_lookup_rows)
-    if codec is not None:
-        out = df.withColumns({out: codec.decode(F.col(c), specials) for c, out in columns.items()})
-    else:
-        mapping = vocab.where(~F.col("id").isin(list(specials))).select(
-            F.col("id").alias("source"), F.col("token").alias("target")
-        )
-        out = _translate_by_join(df, columns, mapping, F.lit(None).cast("string"), "string")
-        out = out.withColumns({name: F.array_compact(F.col(name)) for name in columns.values()})
-    return out.withColumns({name: clean_decoded(F.array_join(F.col(name), " ")) for name in columns.values()})
+    codec = vocab if isinstance(vocab, Codec) else load_codec(vocab, head_rows)
+    real = {c: f"real{n}_{uuid.uuid4().hex[:8]}" for n, c in enumerate(columns)}
+    out = df.withColumns({r: _real(F.col(c), specials) for c, r in real.items()})
+    out = _two_tiers(out, {r: columns[c] for c, r in real.items()}, codec, "decode", "string", None).drop(*real.values())
+    return out.withColumns({name: clean_decoded(F.array_join(F.array_compact(F.col(name)), " ")) for name in columns.values()})
 
 
 def pad_to_longest(

@@ -158,7 +158,7 @@ def rouge_from_ids(spark, sf_dir):
     """Both sides encoded by a vocabulary of their own ROUGE tokens, then decoded and scored."""
     pairs = corpus.text_pairs(spark, sf_dir)
     table = encoding.build_vocab(pairs, ["pred", "ref"], tokenizer=rouge_tokens)
-    vocab = encoding.load_codec(table) or table
+    vocab = encoding.load_codec(table)
     tokens = pairs.select(
         "example_id", rouge_tokens(F.col("pred")).alias("p"), rouge_tokens(F.col("ref")).alias("r")
     )

@@ -56,9 +56,9 @@ def encode(spark, sf_dir):
 
 @query("k3_encode_by_join", f"WITH {ENCODED} SELECT * FROM enc")
 def encode_by_join(spark, sf_dir):
-    """The way taken beyond the lookup bound, here with the bound at zero."""
+    """With an empty head: every token comes from the join."""
     rows = doc_tokens(spark, sf_dir)
-    encoded = encoding.encode(rows, corpus.vocabulary(spark, sf_dir), {"tokens": "ids"}, max_lookup_rows=0)
+    encoded = encoding.encode(rows, corpus.vocabulary(spark, sf_dir), {"tokens": "ids"}, head_rows=0)
     return encoded.select("example_id", "ids")
 
 
@@ -203,6 +203,6 @@ DECODED_SQL = "regexp_replace(array_to_string(known, ' '), ' ([.?!,])', '\\1', '
 def decode(spark, sf_dir):
     """Encode, then decode: unknown tokens are gone, spacing is tidied."""
     table = corpus.vocabulary(spark, sf_dir)
-    vocab = encoding.load_codec(table) or table
+    vocab = encoding.load_codec(table)
     encoded = encoding.encode(doc_tokens(spark, sf_dir), vocab, {"tokens": "ids"}).select("example_id", "ids")
     return encoding.decode(encoded, vocab, {"ids": "text"}).select("example_id", "text")

@@ -43,8 +43,35 @@ def test_decode_returns_known_tokens(spark, sf_dir, vocab):
     assert known.count() > 0 and known.where(F.col("back") != F.col("tokens")).count() == 0
 
 
-def test_vocabulary_beyond_the_bound_is_not_broadcast(vocab):
-    assert encoding.load_codec(vocab, max_rows=10) is None
+def test_only_the_head_is_broadcast(vocab):
+    codec = encoding.load_codec(vocab, head_rows=10)
+    assert codec.head.value.num_rows == 10 and codec.tail.count() == vocab.count() - 10
+    with pytest.raises(ValueError):
+        codec.encode(F.col("tokens"))
+    assert encoding.load_codec(vocab).tail is None
+
+
+@pytest.mark.parametrize("head", [0, 1000])
+def test_heads_of_any_size_give_equal_results(spark, sf_dir, vocab, head):
+    rows = corpus.documents(spark, sf_dir).select(F.col("doc_id").alias("example_id"), words(F.col("text")).alias("tokens"))
+    unknown = vocab.where("id % 7 != 6")
+    want = encoding.decode(encoding.encode(rows, unknown, {"tokens": "ids"}), unknown, {"ids": "text"})
+    got = encoding.decode(encoding.encode(rows, unknown, {"tokens": "ids"}, head_rows=head), unknown, {"ids": "text"}, head_rows=head)
+    assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)
+
+
+def test_without_a_tail_nothing_is_shuffled(spark, sf_dir, vocab):
+    rows = corpus.documents(spark, sf_dir).select(words(F.col("text")).alias("tokens"))
+    plan = encoding.encode(rows, vocab, {"tokens": "ids"})._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_long_tokens_stay_out_of_the_head(spark):
+    vocab = spark.createDataFrame([("x" * 500, 5), ("a", 6)], "token string, id int")
+    codec = encoding.load_codec(vocab)
+    assert codec.head.value.num_rows == 1
+    rows = spark.createDataFrame([(["a", "x" * 500, "?"],)], "tokens array<string>")
+    assert encoding.encode(rows, codec, {"tokens": "ids"}).first()["ids"] == [6, 5, encoding.UNK]
 
 
 def test_multi_hot_sums_to_the_distinct_labels(spark, sf_dir):

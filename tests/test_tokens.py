@@ -44,30 +44,30 @@ def test_vocab_never_repeats_a_special(spark):
     assert Counter(tokens)["<pad>"] == 1 and "x" in tokens
 
 
-@pytest.mark.parametrize("bound", [encoding.MAX_LOOKUP_ROWS, 0])
+@pytest.mark.parametrize("bound", [encoding.HEAD_ROWS, 7, 0])
 def test_encode_both_ways(spark, docs, bound):
     vocab = encoding.build_vocab(docs, max_size=len(SPECIALS) + 3)
     rows = encoding.tokenize(docs).withColumn("more", F.array(F.lit("c"), F.lit("?")))
-    out = encoding.encode(rows, vocab, {"tokens": "ids", "more": "more_ids"}, max_lookup_rows=bound)
+    out = encoding.encode(rows, vocab, {"tokens": "ids", "more": "more_ids"}, head_rows=bound)
     got = {r["example_id"]: (r["ids"], r["more_ids"]) for r in out.collect()}
     more = [7, UNK]
     assert got == {1: ([6, 5, 5, 7], more), 2: ([7, UNK, 6, 5], more), 3: ([], more), 4: ([UNK, 5], more), 5: (None, more)}
 
 
-@pytest.mark.parametrize("bound", [encoding.MAX_LOOKUP_ROWS, 0])
+@pytest.mark.parametrize("bound", [encoding.HEAD_ROWS, 7, 0])
 def test_decode_both_ways(spark, docs, bound):
     vocab = encoding.build_vocab(docs)
     ids = encoding.encode(encoding.tokenize(docs), vocab, {"tokens": "ids"})
     padded = ids.withColumn("ids", F.concat(F.col("ids"), arrays.ints([PAD, 999, UNK])))
-    out = encoding.decode(padded, vocab, {"ids": "back"}, max_lookup_rows=bound)
+    out = encoding.decode(padded, vocab, {"ids": "back"}, head_rows=bound)
     assert {r["example_id"]: r["back"] for r in out.collect()} == {1: "b a a c", 2: "c d b a", 3: "", 4: "zz a", 5: None}
 
 
-@pytest.mark.parametrize("bound", [encoding.MAX_LOOKUP_ROWS, 0])
+@pytest.mark.parametrize("bound", [encoding.HEAD_ROWS, 7, 0])
 def test_encode_rows_without_tokens(spark, bound):
     df = spark.createDataFrame([(1, []), (2, None)], "example_id bigint, tokens array<string>")
     vocab = spark.createDataFrame([("a", 5)], "token string, id int")
-    out = encoding.decode(encoding.encode(df, vocab, {"tokens": "ids"}, max_lookup_rows=bound), vocab, {"ids": "text"})
+    out = encoding.decode(encoding.encode(df, vocab, {"tokens": "ids"}, head_rows=bound), vocab, {"ids": "text"})
     assert [(r["ids"], r["text"]) for r in out.orderBy("example_id").collect()] == [([], ""), (None, None)]
 
 
@@ -76,7 +76,7 @@ def test_encode_by_join_spreads_a_hot_token(spark):
         F.col("id").alias("example_id"), F.array_repeat(F.lit("hot"), 40).alias("tokens")
     )
     vocab = spark.createDataFrame([("hot", 3)], "token string, id int")
-    out = encoding.encode(df, vocab, {"tokens": "ids"}, max_lookup_rows=0)
+    out = encoding.encode(df, vocab, {"tokens": "ids"}, head_rows=0)
     assert all(r["ids"] == [3] * 40 for r in out.collect())
 
 
@@ -166,7 +166,7 @@ def vocab(spark):
     return spark.createDataFrame(rows, "token string, id int")
 
 
-@pytest.mark.parametrize("bound", [encoding.MAX_LOOKUP_ROWS, 0])
+@pytest.mark.parametrize("bound", [encoding.HEAD_ROWS, 7, 0])
 def test_clm_table(spark, pairs, vocab, bound, monkeypatch):
     monkeypatch.setattr(encoding.encode, "__defaults__", (*encoding.encode.__defaults__[:-1], bound))
     rows = builders.build_clm_table(pairs, vocab, 6, 3).orderBy("example_id").collect()

@@ -6,11 +6,11 @@ from sheafwork.operators import encoding, rouge, sampling, stats
 from sheafwork.sources import features
 
 
-@pytest.mark.parametrize("bound", [0, encoding.MAX_LOOKUP_ROWS])
+@pytest.mark.parametrize("bound", [0, 6, encoding.HEAD_ROWS])
 def test_repeated_ids_encode_alike(spark, bound):
     rows = spark.createDataFrame([(1, ["a", "b"]), (1, ["a", "b"]), (1, ["b"]), (2, []), (3, None)], "example_id long, tokens array<string>")
     vocab = spark.createDataFrame([("a", 5), ("b", 6)], "token string, id int")
-    got = encoding.encode(rows, vocab, {"tokens": "ids"}, max_lookup_rows=bound).select("example_id", "ids").collect()
+    got = encoding.encode(rows, vocab, {"tokens": "ids"}, head_rows=bound).select("example_id", "ids").collect()
     want = [(1, [5, 6]), (1, [5, 6]), (1, [6]), (2, []), (3, None)]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 

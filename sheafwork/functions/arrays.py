@@ -75,9 +75,10 @@ def attention_mask(n_real: Column, length: Column | int, side: str = "right") ->
     return _padded(repeat(1, n_real), repeat(0, length - n_real), side)
 
 
-def token_type_ids(n_first: Column, n_second: Column, length: int) -> Column:
+def token_type_ids(n_first: Column, n_second: Column, length: Column | int) -> Column:
     """0 over the first segment with its specials, 1 over the second, 0 over pads."""
-    return F.concat(repeat(0, n_first), repeat(1, n_second), repeat(0, F.lit(length) - n_first - n_second))
+    length = F.lit(length) if isinstance(length, int) else length
+    return F.concat(repeat(0, n_first), repeat(1, n_second), repeat(0, length - n_first - n_second))
 
 
 def mask_pad_labels(ids: Column, pad: int) -> Column:

@@ -10,7 +10,7 @@ from sheafwork.operators import encoding, packing, sampling
 from sheafwork.operators.encoding import BOS, EOS, PAD
 from sheafwork.plans import builders, corpus, sql
 from sheafwork.plans.queries.tables import MARKS_SQL, MULTI_HOT_SQL
-from sheafwork.plans.queries.tokens import ENCODED, MASKED, PAIR_ENCODED, DOC_TOKENS, doc_ids, doc_tokens, padded, pair_ids
+from sheafwork.plans.queries.tokens import ENCODED, MASKED, PAIR_ENCODED, DOC_TOKENS, doc_ids, doc_tokens, padded, pair_ids, sized_ids
 from sheafwork.plans.registry import query
 
 SUFFIX = [7, 8, 9]
@@ -22,11 +22,11 @@ SUFFIX = [7, 8, 9]
     list_concat(list_transform(ids, lambda x: (x <> {PAD})::INT), [1, 1, 1]) AS attention_mask FROM padded""",
 )
 def append_suffix(spark, sf_dir):
-    rows = doc_ids(spark, sf_dir).select("example_id", arrays.truncate(F.col("ids"), 128).alias("ids"))
-    return rows.select(
+    width = F.col("width")
+    return sized_ids(spark, sf_dir).select(
         "example_id",
-        arrays.append_suffix(arrays.pad_to(F.col("ids"), 128, PAD), arrays.ints(SUFFIX)).alias("input_ids"),
-        arrays.extend_mask(arrays.attention_mask(F.size("ids"), 128), F.lit(3)).alias("attention_mask"),
+        arrays.append_suffix(arrays.pad_to(F.col("ids"), width, PAD), arrays.ints(SUFFIX)).alias("input_ids"),
+        arrays.extend_mask(arrays.attention_mask(F.size("ids"), width), F.lit(3)).alias("attention_mask"),
     )
 
 

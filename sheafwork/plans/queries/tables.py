@@ -79,11 +79,11 @@ def cache_key(spark, sf_dir):
 
 @query(
     "s5_write_features",
-    f"""WITH {sql.SUMMARIES} SELECT example_id, {sql.words('summary')} AS tokens, title FROM summaries""",
+    f"""WITH {sql.SUMMARIES} SELECT example_id, {sql.words('text')} AS tokens, title FROM summaries""",
 )
 def write_features(spark, sf_dir):
-    """Typed arrays written in folders by title, then read back."""
-    rows = corpus.summaries(spark, sf_dir).select("example_id", words(F.col("summary")).alias("tokens"), "title")
+    """Typed arrays of whole bodies written in folders by title, then read back."""
+    rows = corpus.summaries(spark, sf_dir).select("example_id", words(F.col("text")).alias("tokens"), "title")
     name = f"tokens_{spark.sparkContext.applicationId}_{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
     path = f"{tables.shared_dir(spark)}/{name}"
     features.write_features(rows, path, ["title"])

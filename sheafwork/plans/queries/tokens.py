@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafwork.functions import arrays
@@ -38,6 +39,28 @@ def pair_ids(spark, sf_dir):
     return encoded.select("example_id", "a_ids", "b_ids")
 
 
+#: Rows of a batch, in the order of their ids; a batch is padded to its own longest row.
+BATCH = 16
+
+
+def sized_sql(source: str, length: str) -> str:
+    """CTE ``sized``: the rows of ``source`` with their batch and its longest row."""
+    return f"""placed AS (SELECT *, (row_number() OVER (ORDER BY example_id) - 1) // {BATCH} AS batch_id FROM {source}),
+    sized AS (SELECT *, (max({length}) OVER (PARTITION BY batch_id))::INT AS width FROM placed)"""
+
+
+def sized(rows: DataFrame, length: Column) -> DataFrame:
+    placed = sampling.assign_batch(sampling.position_by_id(rows), BATCH, "position").drop("position")
+    return placed.withColumn("width", F.max(length).over(Window.partitionBy("batch_id")).cast("int"))
+
+
+def sized_ids(spark, sf_dir):
+    return sized(doc_ids(spark, sf_dir), F.size("ids"))
+
+
+BATCHED = f"{ENCODED}, {sized_sql('enc', 'len(ids)')}"
+
+
 @query("k1_tokenize", f"WITH {DOC_TOKENS} SELECT * FROM toks")
 def tokenize(spark, sf_dir):
     rows = corpus.documents(spark, sf_dir).select(F.col("doc_id").alias("example_id"), "text")
@@ -102,73 +125,71 @@ def truncate_pair(spark, sf_dir):
 
 @query(
     "k8_pad_to",
-    f"""WITH {ENCODED}, t AS (SELECT example_id, ids[1:256] AS ids FROM enc)
-    SELECT example_id, list_concat(ids, {sql.repeat(PAD, '256 - len(ids)')}) AS on_right,
-    list_concat({sql.repeat(PAD, '256 - len(ids)')}, ids) AS on_left FROM t""",
+    f"""WITH {BATCHED} SELECT example_id, list_concat(ids, {sql.repeat(PAD, 'width - len(ids)')}) AS on_right,
+    list_concat({sql.repeat(PAD, 'width - len(ids)')}, ids) AS on_left FROM sized""",
 )
 def pad_to(spark, sf_dir):
-    rows = doc_ids(spark, sf_dir).select("example_id", arrays.truncate(F.col("ids"), 256).alias("ids"))
-    return rows.select(
+    """Whole documents, each to its batch's longest."""
+    return sized_ids(spark, sf_dir).select(
         "example_id",
-        arrays.pad_to(F.col("ids"), 256, PAD).alias("on_right"),
-        arrays.pad_to(F.col("ids"), 256, PAD, "left").alias("on_left"),
+        arrays.pad_to(F.col("ids"), F.col("width"), PAD).alias("on_right"),
+        arrays.pad_to(F.col("ids"), F.col("width"), PAD, "left").alias("on_left"),
     )
 
 
 @query(
     "k9_pad_to_longest",
-    f"""WITH {sql.VOCAB}, {sql.SUMMARIES}, toks AS (SELECT example_id, {sql.words('summary')} AS tokens FROM summaries),
-    {sql.encoded('toks', 'tokens', 'ids', 'enc')},
+    f"""WITH {ENCODED},
     placed AS (SELECT *, (row_number() OVER (ORDER BY example_id) - 1) // 16 AS batch_id FROM enc),
     sized AS (SELECT *, (ceil(max(len(ids)) OVER (PARTITION BY batch_id) / 128.0) * 128)::INT AS padded_length FROM placed)
     SELECT example_id, batch_id, padded_length, list_concat(ids, {sql.repeat(PAD, 'padded_length - len(ids)')}) AS input_ids,
     list_concat({sql.repeat(1, 'len(ids)')}, {sql.repeat(0, 'padded_length - len(ids)')}) AS attention_mask FROM sized""",
 )
 def pad_to_longest(spark, sf_dir):
-    """Batches of 16 consecutive summaries, padded to multiples of 128."""
-    rows = corpus.summaries(spark, sf_dir).select("example_id", words(F.col("summary")).alias("tokens"))
-    encoded = encoding.encode(rows, corpus.vocabulary(spark, sf_dir), {"tokens": "input_ids"}).drop("tokens")
-    placed = sampling.assign_batch(sampling.position_by_id(encoded), 16, "position").drop("position")
+    """Batches of 16 consecutive documents, padded to multiples of 128."""
+    encoded = doc_ids(spark, sf_dir).withColumnRenamed("ids", "input_ids")
+    placed = sampling.assign_batch(sampling.position_by_id(encoded), BATCH, "position").drop("position")
     return encoding.pad_to_longest(placed, PAD, multiple=128)
 
 
 @query(
     "k10_attention_mask",
-    f"""WITH {DOC_TOKENS}, t AS (SELECT example_id, least(len(tokens), 256) AS n FROM toks)
-    SELECT example_id, list_concat({sql.repeat(1, 'n')}, {sql.repeat(0, '256 - n')}) AS on_right,
-    list_concat({sql.repeat(0, '256 - n')}, {sql.repeat(1, 'n')}) AS on_left FROM t""",
+    f"""WITH {DOC_TOKENS}, t AS (SELECT example_id, len(tokens) AS n FROM toks), {sized_sql('t', 'n')}
+    SELECT example_id, list_concat({sql.repeat(1, 'n')}, {sql.repeat(0, 'width - n')}) AS on_right,
+    list_concat({sql.repeat(0, 'width - n')}, {sql.repeat(1, 'n')}) AS on_left FROM sized""",
 )
 def attention_mask(spark, sf_dir):
-    rows = doc_tokens(spark, sf_dir).select("example_id", F.least(F.size("tokens"), F.lit(256)).alias("n"))
-    return rows.select(
+    rows = doc_tokens(spark, sf_dir).select("example_id", F.size("tokens").alias("n"))
+    return sized(rows, F.col("n")).select(
         "example_id",
-        arrays.attention_mask(F.col("n"), 256).alias("on_right"),
-        arrays.attention_mask(F.col("n"), 256, "left").alias("on_left"),
+        arrays.attention_mask(F.col("n"), F.col("width")).alias("on_right"),
+        arrays.attention_mask(F.col("n"), F.col("width"), "left").alias("on_left"),
     )
 
 
 @query(
     "k11_token_type_ids",
-    f"""WITH {PAIR_TOKENS}, t AS (SELECT example_id, least(len(a), 200) + 2 AS na, least(len(b), 50) + 1 AS nb FROM pair_toks)
-    SELECT example_id, list_concat({sql.repeat(0, 'na')}, {sql.repeat(1, 'nb')}, {sql.repeat(0, '256 - na - nb')}) AS token_type_ids
-    FROM t""",
+    f"""WITH {PAIR_TOKENS}, t AS (SELECT example_id, len(a) + 2 AS na, len(b) + 1 AS nb FROM pair_toks), {sized_sql('t', 'na + nb')}
+    SELECT example_id, list_concat({sql.repeat(0, 'na')}, {sql.repeat(1, 'nb')}, {sql.repeat(0, 'width - na - nb')}) AS token_type_ids
+    FROM sized""",
 )
 def token_type_ids(spark, sf_dir):
     rows = corpus.summaries(spark, sf_dir).select(
         "example_id",
-        (F.least(F.size(words(F.col("text"))), F.lit(200)) + 2).alias("na"),
-        (F.least(F.size(words(F.col("summary"))), F.lit(50)) + 1).alias("nb"),
+        (F.size(words(F.col("text"))) + 2).alias("na"),
+        (F.size(words(F.col("summary"))) + 1).alias("nb"),
     )
-    return rows.select("example_id", arrays.token_type_ids(F.col("na"), F.col("nb"), 256).alias("token_type_ids"))
+    rows = sized(rows, F.col("na") + F.col("nb"))
+    return rows.select("example_id", arrays.token_type_ids(F.col("na"), F.col("nb"), F.col("width")).alias("token_type_ids"))
 
 
-MASKED = f"""{ENCODED}, padded AS (
-  SELECT example_id, list_concat(ids[1:128], {sql.repeat(PAD, '128 - len(ids)')}) AS ids FROM enc)"""
+MASKED = f"""{BATCHED}, padded AS (
+  SELECT example_id, list_concat(ids, {sql.repeat(PAD, 'width - len(ids)')}) AS ids FROM sized)"""
 
 
 def padded(spark, sf_dir):
-    cut = doc_ids(spark, sf_dir).select("example_id", arrays.truncate(F.col("ids"), 128).alias("ids"))
-    return cut.select("example_id", arrays.pad_to(F.col("ids"), 128, PAD).alias("ids"))
+    """Whole documents, padded to their batch's longest."""
+    return sized_ids(spark, sf_dir).select("example_id", arrays.pad_to(F.col("ids"), F.col("width"), PAD).alias("ids"))
 
 
 @query(

@@ -10,7 +10,7 @@ from sheafwork.operators.encoding import BOS, EOS, PAD, SEP
 from sheafwork.plans import builders, corpus, sql
 from sheafwork.plans.registry import query
 
-MAX_LEN = 128
+MAX_LEN = 256
 EXPLODED = f"""{sql.SUMMARIES}, {sql.CHOICES}, exploded AS (
   SELECT example_id, context, label, (generate_subscripts(endings, 1) - 1)::INT AS choice, unnest(endings) AS ending FROM examples)"""
 PAIRED = f"""{sql.VOCAB}, {EXPLODED},
@@ -34,19 +34,16 @@ REGROUPED = f"""WITH {PAIRED} SELECT example_id, list(input_ids ORDER BY choice)
 
 
 def encoded_choices(spark, sf_dir):
-    rows = choices.explode_choices(corpus.choice_examples(spark, sf_dir))
-    tokens = rows.select(
-        "example_id",
-        "choice",
-        "label",
-        words(F.col("context")).alias("context_tokens"),
-        words(F.col("ending")).alias("ending_tokens"),
+    """Contexts and endings are encoded once for each example; then ids are dealt to the choices."""
+    tokens = corpus.choice_examples(spark, sf_dir).select(
+        "example_id", "label", words(F.col("context")).alias("context"), F.transform("endings", lambda e: words(e)).alias("endings")
     )
-    encoded = encoding.encode(
-        tokens,
-        corpus.vocabulary(spark, sf_dir),
-        {"context_tokens": "context_ids", "ending_tokens": "ending_ids"},
-    ).drop("context_tokens", "ending_tokens")
+    tokens = tokens.select("example_id", "label", "context", F.flatten("endings").alias("all"), F.transform("endings", lambda e: F.size(e)).alias("sizes"))
+    encoded = encoding.encode(tokens, corpus.vocabulary(spark, sf_dir), {"context": "context_ids", "all": "all_ids"})
+    each = encoded.select("example_id", "label", "context_ids", "all_ids", "sizes", F.posexplode("sizes").alias("choice", "size"))
+    before = F.aggregate(F.slice("sizes", F.lit(1), F.col("choice")), F.lit(0), lambda total, n: total + n)
+    each = each.withColumn("ending_ids", F.slice("all_ids", before + 1, F.col("size")))
+    encoded = each.select("example_id", "choice", "label", "context_ids", "ending_ids")
     return choices.encode_choices(encoded, MAX_LEN)
 
 

@@ -102,7 +102,7 @@ def pack_blocks_global(spark, sf_dir):
     return packing.pack_blocks_global(encoded, 256, length=F.col("n"))
 
 
-MAX_INPUT, MAX_TARGET = 896, 128
+MAX_INPUT, MAX_TARGET = 7296, 768
 ROOM = MAX_INPUT - 1  # the suffix " TL;DR " is one word
 CLM_SQL = f"""{sql.VOCAB}, {sql.SUMMARIES}, clm_toks AS (
   SELECT example_id, ({sql.words("' ' || coalesce(title, '') || ' ' || text")})[1:{ROOM}] AS a,

@@ -1,7 +1,8 @@
 """A training corpus from the table ``documents``, in five stages that each take the last one's rows.
 
 Every stage but the last returns the columns of ``documents``; the last adds token ids and what they
-decode to.
+decode to. Further columns stay as they are, whatever their names, but for those that the last stage adds. Texts
+are read whole, a null text counts as empty, and an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,7 +20,11 @@ from sheafwork.session import prepare
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity stays below their language's calibrated threshold, or one half where none was calibrated."""
+    """Documents whose toxicity stays below their language's calibrated threshold, or one half where none was calibrated.
+
+    A null language has no threshold of its own; a score equal to the threshold is rejected. Equal texts in one
+    language are kept or rejected together. Null and empty texts have the score of a text without words.
+    """
     prepare(spark)
     net = toxicity_network(spark, sf_dir)
     score, limit = f"score_{uuid.uuid4().hex}", conv.threshold_of(net, F.col("lang"))
@@ -27,7 +32,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each normalised text."""
+    """One document of each normalised text, the one with the smallest id; a null id comes after all others.
+
+    Of repeated rows one stays. Null and empty texts are equal.
+    """
     prepare(spark)
     return exact_dedup.drop_duplicates(docs)
 
@@ -39,13 +47,19 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks for."""
+    """Documents as often as their source's target asks for, none more than twice.
+
+    A null source is a source of its own, the last. Repeated ids and rows are documents of their own.
+    """
     prepare(spark)
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, their number, and the text that they decode to."""
+    """Token ids of every text, their number, and the text that they decode to; an empty text has none.
+
+    Columns named ``ids``, ``decoded`` or ``n_tokens`` are replaced.
+    """
     prepare(spark)
     path = public_tokenizers.path(WORD_BPE)
     return bpe.round_trip(docs, path).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))

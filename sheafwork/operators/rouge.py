@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from sheafwork.functions import arrays
 from sheafwork.functions.lists import ends, flat, regroup
 from sheafwork.functions.scores import precision_recall_f1
+from sheafwork.functions.stemming import stem_sentences, stem_tokens
 from sheafwork.functions.text import ColumnFn, rouge_tokens, split_sentences
 
 # Report keys and score names.
@@ -225,13 +226,14 @@ def rouge_pairs(
     normalizer: ColumnFn | None = None,
     tokenizer: ColumnFn | None = None,
     use_stemmer: bool = False,
+    sentences: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Scores per pair: ``id_cols`` and ``{key}_{fmeasure,precision,recall}``.
 
-    A normalizer or tokenizer is a ``Column -> Column`` callable.
+    A normalizer or tokenizer is a ``Column -> Column`` callable. ``use_stemmer`` compares stems of
+    words. ``sentences`` names columns that hold the prediction's and the reference's sentences, for
+    instance by a trained splitter; without it ``rougeLsum`` cuts the texts itself.
     """
-    if use_stemmer:
-        raise NotImplementedError("stemming is off by default and not available")
 
     def tokens(text: Column) -> Column:
         return rouge_tokens(text, normalizer, tokenizer)
@@ -240,7 +242,12 @@ def rouge_pairs(
     sides = {side: F.coalesce(F.col(text), F.lit("")) for side, text in (("p", pred), ("r", ref))}
     columns = {f"{side}1": tokens(text) for side, text in sides.items()}
     if "rougeLsum" in keys:
-        columns |= {f"{side}s": F.transform(split_sentences(text), tokens) for side, text in sides.items()}
+        cut = {side: split_sentences(text) for side, text in sides.items()}
+        if sentences is not None:
+            cut = {side: F.coalesce(F.col(c), F.array().cast("array<string>")) for side, c in zip("pr", sentences)}
+        columns |= {f"{side}s": F.transform(pieces, tokens) for side, pieces in cut.items()}
+    if use_stemmer:
+        columns = {name: (stem_sentences if name.endswith("s") else stem_tokens)(c) for name, c in columns.items()}
     rows = pairs.select(*id_cols, *[c.alias(name) for name, c in columns.items()])
 
     measured = {"n_pred": F.size("p1"), "n_ref": F.size("r1")}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheafwork.functions import stemming
 from sheafwork.functions.text import rouge_tokens
 from sheafwork.operators import encoding, rouge
 from sheafwork.plans import corpus, evaluation, sql
@@ -153,6 +154,88 @@ def rouge_report(spark, sf_dir):
     return rounded(rouge.rouge_report(corpus.text_pairs(spark, sf_dir)))
 
 
+def _rules_sql(rules, least: int) -> str:
+    """The longest suffix that fits decides; ``k`` has the letters' kinds of ``w``."""
+    arms = []
+    for suffix, new in sorted(rules, key=lambda rule: -len(rule[0])):
+        n = len(suffix)
+        also = f" AND w[-{n + 1}] IN ('s', 't')" if suffix == "ion" else ""
+        enough = f"len(regexp_extract_all(left(k, len(k) - {n}), 'v+c')) > {least}{also}"
+        arms.append(f"WHEN ends_with(w, '{suffix}') THEN CASE WHEN {enough} THEN left(w, len(w) - {n}) || '{new}' ELSE w END")
+    return f"CASE {' '.join(arms)} ELSE w END"
+
+
+def _step_sql(name: str, source: str, word: str) -> str:
+    kinds = """list_reduce(string_split(w, ''), lambda acc, l: acc || CASE WHEN l IN ('a', 'e', 'i', 'o', 'u') OR (l = 'y' AND right(acc, 1) = 'c')
+      THEN 'v' ELSE 'c' END, '')"""
+    return f"{name} AS (SELECT token, w, {kinds} AS k FROM (SELECT token, {word} AS w FROM {source}))"
+
+
+_PAST = "CASE WHEN NOT ends_with(w, 'eed') THEN CASE WHEN ends_with(w, 'ed') AND contains(left(k, len(k) - 2), 'v') THEN 2 WHEN ends_with(w, 'ing') AND contains(left(k, len(k) - 3), 'v') THEN 3 END END"
+_SHORT = "regexp_matches(k, 'cvc$') AND NOT regexp_matches(w, '[wxy]$')"
+_REPAIRED = f"""CASE WHEN w = uncut THEN CASE WHEN ends_with(w, 'eed') AND contains(left(k, len(k) - 3), 'vc') THEN left(w, len(w) - 1) ELSE w END
+  WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e'
+  WHEN w[-1] = w[-2] AND right(k, 1) = 'c' AND w[-1] NOT IN ('l', 's', 'z') THEN left(w, len(w) - 1)
+  WHEN len(regexp_extract_all(k, 'v+c')) = 1 AND {_SHORT} THEN w || 'e' ELSE w END"""
+STEMS_SQL = ", ".join(
+    [
+        _step_sql("stem0", "long_words", "token"),
+        _step_sql("stem1a", "stem0", _rules_sql(stemming.STEP_1A, -1)),
+        f"""past AS (SELECT token, w AS uncut, k AS uncut_k, {_PAST} AS n FROM stem1a),
+        bare AS (SELECT token, uncut, CASE WHEN n IS NULL THEN uncut ELSE left(uncut, len(uncut) - n) END AS w,
+          CASE WHEN n IS NULL THEN uncut_k ELSE left(uncut_k, len(uncut_k) - n) END AS k FROM past),
+        repaired AS (SELECT token, uncut, {_REPAIRED} AS w FROM bare)""",
+        _step_sql("stem1b", "repaired", "w"),
+        _step_sql("stem1c", "stem1b", "CASE WHEN ends_with(w, 'y') AND contains(left(k, len(k) - 1), 'v') THEN left(w, len(w) - 1) || 'i' ELSE w END"),
+        _step_sql("stem2", "stem1c", _rules_sql(stemming.STEP_2, 0)),
+        _step_sql("stem3", "stem2", _rules_sql(stemming.STEP_3, 0)),
+        _step_sql("stem4", "stem3", _rules_sql([(s, "") for s in stemming.STEP_4], 1)),
+        f"""ending AS (SELECT token, w AS whole, left(w, len(w) - 1) AS w, left(k, len(k) - 1) AS k FROM stem4)""",
+        _step_sql(
+            "stem5a",
+            "ending",
+            f"""CASE WHEN ends_with(whole, 'e') AND (len(regexp_extract_all(k, 'v+c')) > 1
+              OR (len(regexp_extract_all(k, 'v+c')) = 1 AND NOT ({_SHORT}))) THEN w ELSE whole END""",
+        ),
+        "stem5 AS (SELECT token, CASE WHEN ends_with(w, 'll') AND len(regexp_extract_all(k, 'v+c')) > 1 THEN left(w, len(w) - 1) ELSE w END AS stem FROM stem5a)",
+    ]
+)
+
+
+@query(
+    "e18_porter_stem",
+    f"""WITH counted AS (SELECT token, count(*) AS n FROM (SELECT unnest({sql.rouge_tokens('text')}) AS token FROM documents) GROUP BY token),
+    long_words AS (SELECT token FROM counted WHERE len(token) >= {stemming.SHORTEST}), {STEMS_SQL}
+    SELECT coalesce(stem, token) AS stem, count(*) AS n_words, sum(n)::BIGINT AS n_uses FROM counted LEFT JOIN stem5 USING (token) GROUP BY 1""",
+)
+def porter_stem(spark, sf_dir):
+    """Stems of all words of the documents; every different word is stemmed once."""
+    words = encoding.token_counts(corpus.documents(spark, sf_dir), ["text"], rouge_tokens)
+    stems = words.select(stemming.stem_word("token").alias("stem"), "n")
+    return stems.groupBy("stem").agg(F.count("*").alias("n_words"), F.sum("n").alias("n_uses"))
+
+
+@query(
+    "e18_rouge_stemmed",
+    f"""WITH {PAIRS.replace("pairs AS", "plain AS")},
+    long_words AS (SELECT DISTINCT token FROM (SELECT unnest(list_concat(p, r)) AS token FROM plain) WHERE len(token) >= {stemming.SHORTEST}), {STEMS_SQL},
+    sides AS (SELECT example_id, ref_id, 'p' AS side, unnest(p) AS token FROM plain UNION ALL SELECT example_id, ref_id, 'r', unnest(r) FROM plain),
+    stemmed AS (SELECT example_id, ref_id, list(coalesce(stem, token)) FILTER (side = 'p') AS p, list(coalesce(stem, token)) FILTER (side = 'r') AS r
+      FROM sides LEFT JOIN stem5 USING (token) GROUP BY 1, 2),
+    pairs AS (SELECT example_id, ref_id, coalesce(s.p, []) AS p, coalesce(s.r, []) AS r FROM plain LEFT JOIN stemmed s USING (example_id, ref_id)),
+    {overlap_sql(1)}, scored AS (SELECT example_id, {scored_sql('rouge1')} FROM hits1)
+    SELECT example_id, {rounded_sql(['rouge1'])} FROM scored""",
+)
+def rouge_stemmed(spark, sf_dir):
+    return rounded(rouge.rouge_n(corpus.text_pairs(spark, sf_dir), 1, use_stemmer=True))
+
+
+@query("e18_rouge_report_stemmed")
+def rouge_report_stemmed(spark, sf_dir):
+    """The whole report with stems on; a test holds it against the plain report of texts stemmed beforehand."""
+    return rounded(rouge.rouge_report(corpus.text_pairs(spark, sf_dir), use_stemmer=True))
+
+
 @query("e17_rouge_from_ids")
 def rouge_from_ids(spark, sf_dir):
     """Both sides encoded by a vocabulary of their own ROUGE tokens, then decoded and scored."""

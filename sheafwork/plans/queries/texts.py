@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheafwork.functions import text as tx
+from sheafwork.operators import sentences
 from sheafwork.plans import corpus, sql
 from sheafwork.plans.registry import query
 
@@ -101,3 +102,44 @@ def split_sentences(spark, sf_dir):
     return corpus.documents(spark, sf_dir).select(
         F.col("doc_id").alias("example_id"), tx.split_sentences(F.col("text")).alias("sentences")
     )
+
+
+_TYPE = f"regexp_replace(lower(regexp_replace(w, '{sentences.EDGES}', '', 'g')), '\\.$', '')"
+ABBREVIATIONS = f"""
+seen AS (SELECT {_TYPE} AS word, ends_with(regexp_replace(w, '{sentences.EDGES}', '', 'g'), '.')::INT AS dotted
+  FROM (SELECT unnest({sql.words('text')}) AS w FROM documents)),
+periods AS (SELECT word, sum(dotted)::BIGINT AS n_with, sum(1 - dotted)::BIGINT AS n_without FROM seen WHERE word <> '' GROUP BY word),
+share AS (SELECT sum(n_with) / sum(n_with + n_without)::DOUBLE AS p FROM periods),
+weighed AS (SELECT word, n_with, n_without, len(replace(word, '.', '')) AS letters,
+  2 * (n_with * (ln({sentences.PERIOD_AFTER_ABBREVIATION}) - ln(p)) + n_without * (ln(1 - {sentences.PERIOD_AFTER_ABBREVIATION}) - ln(1 - p))) AS ratio
+  FROM periods, share WHERE regexp_matches(word, '{sentences.ABBREVIABLE}')),
+scored AS (SELECT word, n_with, n_without, ratio * exp(-letters) * (len(word) - letters + 1) * power(letters::DOUBLE, -n_without) AS score FROM weighed),
+abbreviations AS (SELECT * FROM scored WHERE score >= {sentences.LEAST_SCORE})"""
+
+
+@query("t7_abbreviations", f"WITH {ABBREVIATIONS} SELECT word, n_with, n_without, round(score, 6) AS score FROM abbreviations")
+def abbreviations(spark, sf_dir):
+    found = sentences.abbreviations(corpus.documents(spark, sf_dir))
+    return found.withColumn("score", F.round("score", 6))
+
+
+_MARKED = f"regexp_replace(regexp_replace(regexp_replace(text, '{sentences.END_OF_LINE}', '\\1' || chr(2), 'g'), '{sentences.END_IN_LINE}', '\\1' || chr(1), 'g'), '{sentences.NEW_LINE}', chr(2), 'g')"
+
+
+@query(
+    "t7_split_trained",
+    f"""WITH {ABBREVIATIONS}, cut AS (SELECT doc_id, string_split({_MARKED}, chr(1)) AS parts FROM documents),
+    chunks AS (SELECT doc_id, generate_subscripts(parts, 1) AS place, unnest(parts) AS chunk FROM cut),
+    last_words AS (SELECT *, CASE WHEN ends_with(chunk, '.') THEN regexp_extract(chunk, '{sentences.LAST_WORD}') ELSE '' END AS w FROM chunks),
+    typed AS (SELECT doc_id, place, chunk, {_TYPE} AS word FROM last_words),
+    whole AS (SELECT doc_id, string_agg(chunk || CASE WHEN a.word IS NULL THEN chr(2) ELSE ' ' END, '' ORDER BY place) AS text
+      FROM typed LEFT JOIN abbreviations a USING (word) GROUP BY doc_id)
+    SELECT doc_id AS example_id, list_filter(string_split(w.text, chr(2)),
+      lambda s: trim(s, ' ' || chr(9) || chr(13) || chr(10) || chr(12)) <> '') AS sentences
+    FROM documents LEFT JOIN whole w USING (doc_id)""",
+)
+def split_trained(spark, sf_dir):
+    """Learns from the documents which words end in a period of their own, then cuts the same documents."""
+    docs = corpus.documents(spark, sf_dir)
+    rows = docs.select(F.col("doc_id").alias("example_id"), "text")
+    return sentences.split_trained(rows, sentences.abbreviations(docs), {"text": "sentences"}).drop("text")

@@ -116,19 +116,23 @@ def bce_with_logits(df: DataFrame, reduction: str = "mean") -> DataFrame:
     return rows.agg((F.try_divide(total, F.sum("n")) if reduction == "mean" else total).alias("bce"))
 
 
+def token_targets(labels: DataFrame, key: str = "example_id") -> DataFrame:
+    """(key, pos, target): what each position should predict; ignored targets are gone."""
+    shifted = labels.select(key, F.posexplode(arrays.shift_targets(F.col("labels"))).alias("pos", "target"))
+    return shifted.where(F.col("target") != arrays.IGNORE)
+
+
 def token_losses(token_logits: DataFrame, labels: DataFrame, key: str = "example_id") -> DataFrame:
     """Loss per predicted token; ignored targets are gone.
 
-    Joined on the example, not on (example, position): the label side stays one array per
-    row, and both sides can come co-located from tables bucketed on the key.
+    Joined on example and position, so the rows of a long sequence, each as wide as the vocabulary,
+    are spread over all tasks. ``labels`` has one array of labels per example, or the rows of
+    :func:`token_targets`; where those and the logits are stored in buckets by both columns, they
+    meet without a shuffle.
     """
-    targets = labels.select(key, arrays.shift_targets(F.col("labels")).alias("__targets"))
-    return (
-        token_logits.join(targets, key)
-        .withColumn("target", F.get("__targets", F.col("pos")))
-        .where(F.col("target") != arrays.IGNORE)
-        .select(key, "pos", "target", scores.cross_entropy(F.col("logits"), F.col("target")).alias("loss"))
-    )
+    targets = labels if "target" in labels.columns else token_targets(labels, key)
+    joined = token_logits.join(targets, [key, "pos"])
+    return joined.select(key, "pos", "target", scores.cross_entropy(F.col("logits"), F.col("target")).alias("loss"))
 
 
 def lm_cross_entropy(token_logits: DataFrame, labels: DataFrame, key: str = "example_id") -> DataFrame:

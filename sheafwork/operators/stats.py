@@ -52,6 +52,39 @@ def length_percentiles_approx(
     return _report(row, groups, percentiles)
 
 
+#: Sketches hold a group's lengths exactly up to so many rows; beyond, ranks are off by a few parts in this number.
+SKETCH_SIZE = 4096
+
+
+def length_sketches(df: DataFrame, n: str = "n", groups: Sequence[str] = (), size: int = SKETCH_SIZE) -> DataFrame:
+    """``groups`` and ``sketch``: a quantile sketch (KLL) of each group's lengths, to be stored and merged later.
+
+    Its bytes are bounded by ``size`` and the logarithm of the rows, so a group that holds a third of
+    all rows is combined before the shuffle like any other.
+    """
+    return df.groupBy(*groups).agg(F.kll_sketch_agg_bigint(F.col(n).cast("long"), F.lit(size)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, groups: Sequence[str] = (), size: int = SKETCH_SIZE) -> DataFrame:
+    """Sketches of parts (days, shards, sources) as one for each group, without reading the corpus again."""
+    return sketches.groupBy(*groups).agg(F.kll_merge_agg_bigint("sketch", F.lit(size)).alias("sketch"))
+
+
+def sketched_percentiles(sketches: DataFrame, percentiles: Sequence[int] = PERCENTILES, groups: Sequence[str] = ()) -> DataFrame:
+    """Shortest, percentiles and longest of each sketch; percentiles are observed lengths, null lengths don't count.
+
+    The ends are exact always, the percentiles while a group has no more rows than the sketch's size.
+    A sketch without rows gives no row.
+    """
+    ranks = [0.0, *[p / 100 for p in percentiles], 1.0]
+    filled = sketches.where(F.kll_sketch_get_n_bigint("sketch") > 0)
+    values = F.kll_sketch_get_quantile_bigint("sketch", F.array(*map(F.lit, ranks))).cast("array<double>")
+    row = filled.select(*groups, values.alias("v")).select(
+        *groups, F.get("v", F.lit(0)).alias("lo"), F.slice("v", 2, len(percentiles)).alias("ps"), F.element_at("v", -1).alias("hi")
+    )
+    return _report(row, groups, percentiles)
+
+
 def share_below(df: DataFrame, limit: int, n: str = "n", groups: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*groups).agg(F.avg((F.col(n) < limit).cast("double")).alias("share"))
 

@@ -9,6 +9,7 @@ from sheafwork.operators import choices, encoding
 from sheafwork.operators.encoding import BOS, EOS, PAD, SEP
 from sheafwork.plans import builders, corpus, sql
 from sheafwork.plans.registry import query
+from sheafwork.sources import features, tables
 
 MAX_LEN = 256
 EXPLODED = f"""{sql.SUMMARIES}, {sql.CHOICES}, exploded AS (
@@ -81,3 +82,22 @@ def multiple_choice_table(spark, sf_dir):
     """The same features without exploding the choices."""
     rows = corpus.choice_examples(spark, sf_dir)
     return builders.build_multiple_choice_table(rows, corpus.vocabulary(spark, sf_dir), MAX_LEN)
+
+
+@query("m5_multiple_choice_cached", REGROUPED)
+def multiple_choice_cached(spark, sf_dir):
+    """The same table through the feature cache: the first call writes it, the second reads what the first has written."""
+
+    def build():
+        return builders.build_multiple_choice_table(corpus.choice_examples(spark, sf_dir), corpus.vocabulary(spark, sf_dir), MAX_LEN)
+
+    def cached(make):
+        root = f"{tables.shared_dir(spark)}/features-{spark.sparkContext.applicationId}"
+        where = {"root": root, "key": f"choices_{MAX_LEN}", "sources": [f"{sf_dir}/documents.parquet"], "arguments": {"max_len": MAX_LEN}}
+        return features.materialize_features(make, **where, stale="rewrite", spark=spark)
+
+    def refuse():
+        raise AssertionError("the second call builds nothing")
+
+    cached(build)
+    return cached(refuse)

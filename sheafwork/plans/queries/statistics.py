@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sheafwork.functions.text import words
 from sheafwork.operators import filters, stats
 from sheafwork.plans import corpus, sql
 from sheafwork.plans.registry import query
+from sheafwork.sources import tables
 
 SIDES = f"""{sql.SUMMARIES}, sides AS (
   SELECT 'input' AS side, len({sql.words('text')}) AS n FROM summaries WHERE text <> '' AND summary <> ''
@@ -47,6 +50,30 @@ def length_percentiles_approx(spark, sf_dir):
     return stats.length_percentiles_approx(sides(spark, sf_dir), groups=["side"])
 
 
+SOURCED = f"""{sql.SUMMARIES}, sourced AS (
+  SELECT 'input' AS side, len({sql.words('text')}) AS n FROM summaries UNION ALL SELECT 'target', len({sql.words('summary')}) FROM summaries)"""
+
+
+@query(
+    "a2_length_sketches",
+    f"""WITH {SOURCED}, r AS (SELECT side, list_concat([min(n)::DOUBLE],
+      list_transform(quantile_disc(n, {[p / 100 for p in stats.PERCENTILES]}), lambda v: v::DOUBLE), [max(n)::DOUBLE]) AS v FROM sourced GROUP BY side)
+    SELECT side, unnest({NAMES}) AS statistic, unnest(v) AS value FROM r""",
+)
+def length_sketches(spark, sf_dir):
+    """One stored sketch for each side and source; the report merges them and reads no text.
+
+    Equal to the SQL while a side has at most ``stats.SKETCH_SIZE`` rows, near it beyond.
+    """
+    rows = corpus.summaries(spark, sf_dir)
+    lengths_of = [F.struct(F.lit(side).alias("side"), F.size(words(F.col(c))).alias("n")) for side, c in (("input", "text"), ("target", "summary"))]
+    parts = stats.length_sketches(rows.select("title", F.inline(F.array(*lengths_of))), groups=["side", "title"])
+    path = f"{tables.shared_dir(spark)}/sketches-{uuid.uuid4().hex}"
+    parts.write.parquet(path)
+    stored = spark.read.schema(parts.schema).parquet(path)
+    return stats.sketched_percentiles(stats.merge_sketches(stored, ["side"]), groups=["side"])
+
+
 @query("a3_share_below", f"WITH {LENGTHS} SELECT task, round(avg((n < 512)::INT), 6) AS share FROM lengths GROUP BY task")
 def share_below(spark, sf_dir):
     return stats.share_below(lengths(spark, sf_dir), 512, groups=["task"]).withColumn("share", F.round("share", 6))

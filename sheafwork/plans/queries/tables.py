@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sheafwork.functions.arrays import multi_hot
@@ -32,6 +34,25 @@ def scan_split(spark, sf_dir):
     return tables.scan_split(docs, "src3", "en", task_col="source", split_col="lang")
 
 
+@query(
+    "s1_scan_folders",
+    f"""WITH {sql.ADDRESSED}, {CATALOG_SQL} SELECT example_id, a.task, split, text FROM addressed a
+    JOIN task_catalog c ON c.task = a.task AND c.example_type = 'multi_class' WHERE split = 'train'""",
+)
+def scan_folders(spark, sf_dir):
+    """The training split of every multi-class task of the catalog, from a table in folders by task and split."""
+    path = f"{tables.shared_dir(spark)}/addressed-{uuid.uuid4().hex}"
+    rows = corpus.addressed(corpus.documents(spark, sf_dir)).select("example_id", "text", "task", "split")
+    features.write_features(rows, path, ["task", "split"])
+    stored = spark.read.schema(rows.schema).parquet(path)
+    return tables.scan_listed(stored, multi_class_training(spark)).select("example_id", "task", "split", "text")
+
+
+def multi_class_training(spark):
+    tasks = catalog.task_catalog(spark).where(F.col("example_type") == "multi_class")
+    return tasks.select("task", F.lit("train").alias("split"))
+
+
 @query(
     "s2_normalize_split",
     f"""WITH {sql.ADDRESSED}
@@ -57,8 +78,8 @@ def materialize_features(spark, sf_dir):
         F.col("doc_id").alias("example_id"), words(F.col("text")).alias("tokens")
     )
     encoded = encoding.encode(rows, vocab, {"tokens": "input_ids"}).select("example_id", "input_ids")
-    key = f"features_{spark.sparkContext.applicationId}_{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
-    return features.materialize_features(encoded, tables.shared_dir(spark), key)
+    key = f"features_{spark.sparkContext.applicationId}"
+    return features.materialize_features(encoded, tables.shared_dir(spark), key, sources=[f"{sf_dir}/documents.parquet"], stale="rewrite")
 
 
 @query(

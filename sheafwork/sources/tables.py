@@ -32,6 +32,16 @@ def scan_split(table: DataFrame, task: str, split: str, task_col: str = "task",
     return table.where((F.col(task_col) == task) & (F.col(split_col) == split))
 
 
+def scan_listed(table: DataFrame, listed: DataFrame, task_col: str = "task", split_col: str = "split") -> DataFrame:
+    """The rows of every (task, split) that ``listed`` names; repeats in it add nothing.
+
+    Where task and split are folders (:func:`sheafwork.sources.features.write_features` with both in
+    ``partition_by``) and ``listed`` is filtered, Spark prunes the folders while the query runs. A
+    null task or split is never named.
+    """
+    return table.join(listed.select(task_col, split_col), [task_col, split_col], "left_semi")
+
+
 def normalize_split(split: Column, summarization: Column) -> Column:
     """Summarization knows only train and test; the others keep their split."""
     return F.when(~summarization | (split == "train"), split).otherwise(F.lit("test"))

@@ -8,7 +8,7 @@ the branches whose digests differ are followed to the edit.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafwork.llm.common import keep, new_folder, positions, text_or_empty
@@ -64,35 +64,92 @@ def likeness(left: Column, left_root: Column, right: Column, right_root: Column)
     return 2.0 * (F.size(F.array_intersect(left, right)) + same) / (F.size(left) + F.size(right) + 2)
 
 
-def edits(before: Column, after: Column) -> Column:
-    """Where ``before`` differs: ``array<struct<section, paragraph, leaf>>``, counted from 0.
+def first_edit(before: Column, after: Column) -> Column:
+    """``struct<section, paragraph, leaf>``, counted from 0, of the first branch in which two trees differ; null if none.
 
-    Branches whose digest occurs on the same level of ``after`` are not followed. Both sides come
-    from :func:`leaf_digests`. Equal texts give an empty array; a paragraph without leaves of its
-    own that differs gives leaf -1.
+    Both sides come from :func:`leaf_digests`. On each level children are compared by place, and
+    only the first differing one is followed. A branch that one side lacks gives -1 below it.
     """
-    sections = F.transform(after, _section)
-    paragraphs = F.transform(F.flatten(after), _paragraph)
-    leaves = F.flatten(F.flatten(after))
+    section = _first_difference(F.transform(before, _section), F.transform(after, _section))
+    both = F.array(F.struct(section.alias("at"), before.alias("a"), after.alias("b")))
 
-    def in_paragraph(at: Column, i: Column, own: Column) -> Column:
-        place = lambda j: F.struct(at.alias("section"), i.alias("paragraph"), j.alias("leaf"))
-        numbered = F.transform(own, lambda d, j: F.struct(d.alias("d"), j.alias("j")))
-        new = F.filter(numbered, lambda x: ~F.array_contains(leaves, x["d"]))
-        return F.when(F.size(new) > 0, F.transform(new, lambda x: place(x["j"]))).otherwise(F.array(place(F.lit(-1))))
+    def child(nodes: Column, at: Column) -> Column:
+        return F.when(at >= 0, F.get(nodes, at))
 
-    def in_section(at: Column, own: Column) -> Column:
-        parts = F.transform(own, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-        differing = F.filter(parts, lambda x: ~F.array_contains(paragraphs, _paragraph(x["p"])))
-        return F.flatten(F.transform(differing, lambda x: in_paragraph(at, x["i"], x["p"])))
+    def paragraph(x: Column) -> Column:
+        a, b = child(x["a"], x["at"]), child(x["b"], x["at"])
+        at = F.when(a.isNull() | b.isNull(), -1).otherwise(_first_difference(F.transform(a, _paragraph), F.transform(b, _paragraph)))
+        return F.struct(x["at"].alias("section"), at.alias("at"), a.alias("a"), b.alias("b"))
 
-    parts = F.transform(before, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-    differing = F.filter(parts, lambda x: ~F.array_contains(sections, _section(x["s"])))
-    return F.flatten(F.transform(differing, lambda x: in_section(x["i"], x["s"])))
+    def leaf(x: Column) -> Column:
+        a, b = child(x["a"], x["at"]), child(x["b"], x["at"])
+        at = F.when(a.isNull() | b.isNull(), -1).otherwise(_first_difference(a, b))
+        return F.when(x["section"] >= 0, F.struct(x["section"].alias("section"), x["at"].alias("paragraph"), at.alias("leaf")))
+
+    return F.get(F.transform(F.transform(both, paragraph), leaf), F.lit(0))
+
+
+def _first_difference(a: Column, b: Column) -> Column:
+    """Place from 0 of the first children that differ, -1 if none do; a missing child differs from any."""
+    return (F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False) - 1).cast("int")
+
+
+_NODE = ("section", "paragraph", "leaf")
+
+
+def edits(pairs: DataFrame, id_col: str = "doc_id", before: str = "before", after: str = "after") -> DataFrame:
+    """(id, level, kind, place_before, place_after) of every branch in which two texts of a row differ.
+
+    Children of a branch are matched by digest, the n-th copy with the n-th, wherever they stand. One
+    that stands in another order among the matched is ``moved``. What matches nothing is paired in
+    order: a pair is ``changed`` and followed to its children (a changed leaf is reported), the rest
+    is ``removed`` or ``inserted`` with all below it. Places count from 0 on each level, arrays from
+    the section down; a side without the branch has null. Two texts give no row only if they are
+    equal. ``id_col`` tells rows apart; a null text counts as empty, further columns are left out.
+    """
+    trees = pairs.select(F.col(id_col).alias("id"), leaf_digests(F.col(before)).alias("a"), leaf_digests(F.col(after)).alias("b"))
+    none = F.array().cast("array<int>")
+    nodes = trees.where(root(F.col("a")) != root(F.col("b"))).select("id", none.alias("pa"), none.alias("pb"), "a", "b")
+    found = []
+    for level, digest in zip(_NODE, (_section, _paragraph, lambda leaf: leaf)):
+        report, nodes = _compared(nodes, level, digest)
+        found.append(report)
+    out = found[0].unionByName(found[1]).unionByName(found[2])
+    return out.withColumnRenamed("id", id_col)
+
+
+def _compared(nodes: DataFrame, level: str, digest) -> tuple[DataFrame, DataFrame]:
+    """Edits among the children of changed nodes, and the pairs of children to follow."""
+    parent = ["id", "pa", "pb"]
+
+    def children(side: str) -> DataFrame:
+        rows = nodes.select(*parent, F.posexplode(side).alias("at", side))
+        rows = rows.withColumn("digest", digest(F.col(side)))
+        nth = F.row_number().over(Window.partitionBy(*parent, "digest").orderBy("at"))
+        return rows.withColumn("nth", nth).withColumnRenamed("at", f"at_{side}")
+
+    joined = children("a").join(children("b"), [*parent, "digest", "nth"], "full")
+    same = joined.where(F.col("at_a").isNotNull() & F.col("at_b").isNotNull())
+    order = [F.row_number().over(Window.partitionBy(*parent).orderBy(f"at_{side}")) for side in "ab"]
+    moved = same.withColumn("ra", order[0]).withColumn("rb", order[1]).where("ra <> rb").select(*parent, "at_a", "at_b", F.lit("moved").alias("kind"))
+
+    def alone(side: str, other: str) -> DataFrame:
+        rows = joined.where(F.col(f"at_{other}").isNull()).select(*parent, f"at_{side}", side)
+        return rows.withColumn("turn", F.row_number().over(Window.partitionBy(*parent).orderBy(f"at_{side}")))
+
+    paired = alone("a", "b").join(alone("b", "a"), [*parent, "turn"], "full")
+    kind = F.when(F.col("at_b").isNull(), "removed").when(F.col("at_a").isNull(), "inserted").otherwise("changed")
+    paired = paired.withColumn("kind", kind)
+    reported = paired if level == _NODE[-1] else paired.where("kind <> 'changed'")
+    places = {f"place_{name}": F.when(F.col(f"at_{s}").isNotNull(), F.array_append(f"p{s}", F.col(f"at_{s}"))) for s, name in (("a", "before"), ("b", "after"))}
+    report = reported.select(*parent, "at_a", "at_b", "kind").unionByName(moved)
+    report = report.select("id", F.lit(level).alias("level"), "kind", *[c.alias(n) for n, c in places.items()])
+    followed = paired.where("kind = 'changed'")
+    return report, followed.select("id", *[F.array_append(f"p{s}", F.col(f"at_{s}")).alias(f"p{s}") for s in "ab"], "a", "b")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprint of each row's text, of an edit of it, and how alike they and the next text are.
+    """Fingerprint of each row's text, of an edit of it, how alike they and the next text are, and the first edited branch.
 
     The edit replaces the last half of a text (rounded down) by as many characters, or all, from
     the start of the document with the next larger id; the first follows the last, and a lone
@@ -135,6 +192,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         root(F.col("l1")).alias("edited_fingerprint"),
         leaf_numbers(F.col("l0")).alias("a"),
         leaf_numbers(F.col("l1")).alias("b"),
+        first_edit(F.col("l0"), F.col("l1")).alias("edit"),
         "next",
     )
     return own.select(
@@ -145,4 +203,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "edited_fingerprint",
         likeness(F.col("a"), F.col("fingerprint"), F.col("b"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("a"), F.col("fingerprint"), F.col("next.numbers"), F.col("next.root")).alias("near_next"),
+        *[F.col(f"edit.{level}").alias(f"edit_{level}") for level in _NODE],
     )

@@ -34,9 +34,18 @@ def _tree_sql(text: str, to: str) -> str:
     return f"[[{leaves} for p in string_split(s, chr(10))] for s in string_split({text}, chr(10) || chr(10))] AS {to}"
 
 
+def _paragraphs_sql(section: str) -> str:
+    return f"[sha256('p' || coalesce(array_to_string(p, ''), '')) for p in {section}]"
+
+
+def _first_sql(a: str, b: str) -> str:
+    """Place from 0 of the first elements that differ, -1 if none do."""
+    same = f"list_transform(range(1, greatest(len({a}), len({b})) + 1), lambda i: {a}[i] IS NOT DISTINCT FROM {b}[i])"
+    return f"(coalesce(list_position({same}, false), 0) - 1)::INT"
+
+
 def _root_sql(tree: str) -> str:
-    paragraph = "sha256('p' || coalesce(array_to_string(p, ''), ''))"
-    section = f"sha256('s' || array_to_string([{paragraph} for p in s], ''))"
+    section = f"sha256('s' || array_to_string({_paragraphs_sql('s')}, ''))"
     return f"sha256('d' || array_to_string([{section} for s in {tree}], ''))"
 
 
@@ -55,12 +64,19 @@ e AS (
   FROM t),
 k AS (SELECT *, {_tree_sql("text", "l0")}, {_tree_sql("edited", "l1")}, {_tree_sql("next_text", "l2")} FROM e),
 r AS (
-  SELECT doc_id, n, edited, {_root_sql("l0")} AS r0, {_root_sql("l1")} AS r1, {_root_sql("l2")} AS r2,
+  SELECT doc_id, n, edited, l0, l1, [sha256('s' || array_to_string({_paragraphs_sql('s')}, '')) for s in l0] AS s0,
+         [sha256('s' || array_to_string({_paragraphs_sql('s')}, '')) for s in l1] AS s1, {_root_sql("l0")} AS r0, {_root_sql("l1")} AS r1, {_root_sql("l2")} AS r2,
          list_distinct(flatten(flatten(l0))) AS a, list_distinct(flatten(flatten(l1))) AS b, list_distinct(flatten(flatten(l2))) AS c
-  FROM k)
+  FROM k),
+sections AS (SELECT *, {_first_sql("s0", "s1")} AS sec FROM r),
+paragraphs AS (SELECT *, {_paragraphs_sql("l0[sec + 1]")} AS p0, {_paragraphs_sql("l1[sec + 1]")} AS p1 FROM sections),
+places AS (SELECT *, CASE WHEN len(l0) <= sec OR len(l1) <= sec THEN -1 ELSE {_first_sql("p0", "p1")} END AS par FROM paragraphs),
+leaves AS (SELECT *, CASE WHEN par < 0 OR len(p0) <= par OR len(p1) <= par THEN -1
+  ELSE {_first_sql("l0[sec + 1][par + 1]", "l1[sec + 1][par + 1]")} END AS leaf FROM places)
 SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, r0 AS fingerprint, r1 AS edited_fingerprint,
-       {_near_sql("a", "r0", "b", "r1")} AS near_edited, {_near_sql("a", "r0", "c", "r2")} AS near_next
-FROM r
+       {_near_sql("a", "r0", "b", "r1")} AS near_edited, {_near_sql("a", "r0", "c", "r2")} AS near_next,
+       CASE WHEN sec >= 0 THEN sec END AS edit_section, CASE WHEN sec >= 0 THEN par END AS edit_paragraph, CASE WHEN sec >= 0 THEN leaf END AS edit_leaf
+FROM leaves
 """
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -52,13 +53,77 @@ def test_merkle_odd_rows(odd, none):
     assert prints[1] == prints[None] != prints[2] and prints[3] == prints[4] != prints[5] and len(prints[7]) == 1
 
 
+def _tree(text):
+    """Leaves by section and paragraph, as texts."""
+    pattern = re.compile(merkle.LEAF)
+    return [[[m.group() for m in pattern.finditer(p)] for p in s.split("\n")] for s in text.split("\n\n")]
+
+
+def _edits(a, b, path_a=(), path_b=(), level=0):
+    """By counting: the n-th copy meets the n-th, what is left over is paired in order."""
+    names = ("section", "paragraph", "leaf")
+    left, matched = collections.defaultdict(list), []
+    for j, node in enumerate(b):
+        left[repr(node)].append(j)
+    lone_a = []
+    for i, node in enumerate(a):
+        if left[repr(node)]:
+            matched.append((i, left[repr(node)].pop(0)))
+        else:
+            lone_a.append(i)
+    lone_b = sorted(j for js in left.values() for j in js)
+    rank = {j: r for r, j in enumerate(sorted(j for _, j in matched))}
+    out = [(names[level], "moved", (*path_a, i), (*path_b, j)) for r, (i, j) in enumerate(matched) if rank[j] != r]
+    for i, j in itertools.zip_longest(lone_a, lone_b):
+        at_a, at_b = None if i is None else (*path_a, i), None if j is None else (*path_b, j)
+        if i is not None and j is not None and level < 2:
+            out += _edits(a[i], b[j], at_a, at_b, level + 1)
+        else:
+            out.append((names[level], "removed" if j is None else "inserted" if i is None else "changed", at_a, at_b))
+    return out
+
+
+def _first(a, b):
+    places = []
+    for _ in range(3):
+        at = -1 if a is None or b is None else next((i for i, (x, y) in enumerate(itertools.zip_longest(a, b)) if x != y), -1)
+        places.append(at)
+        a = a[at] if a is not None and 0 <= at < len(a) else None
+        b = b[at] if b is not None and 0 <= at < len(b) else None
+    return None if places[0] < 0 else tuple(places)
+
+
 def test_merkle_edits_are_located(spark):
-    a, b = "one two.\nthree four.\n\nfive six.", "one two.\nthree 4.\n\nfive six."
-    row = spark.createDataFrame([(a, b)], "a string, b string").select(
-        merkle.edits(merkle.leaf_digests(F.col("a")), merkle.leaf_digests(F.col("b"))).alias("e"),
-        merkle.edits(merkle.leaf_digests(F.col("a")), merkle.leaf_digests(F.col("a"))).alias("none"),
-    ).first()
-    assert [tuple(x) for x in row["e"]] == [(0, 1, 0)] and row["none"] == []
+    random.seed(11)
+    words = ["one ", "two ", "three. ", "four", "\n", "\n\n", "five six seven eight nine ten eleven twelve "]
+    pairs = [
+        ("one two.\nthree four.\n\nfive six.", "one two.\nthree 4.\n\nfive six."),
+        ("a\nb\n\nc", "a\nnew\nb\n\nc"),
+        ("a\nb\n\nc", "b\na\n\nc"),
+        ("a\n\nb\n\nb", "b\n\na"),
+        ("same", "same"),
+        ("", "x"),
+        (None, ""),
+        ("x. x. x.", "x. x."),
+    ]
+    for _ in range(150):
+        text = [random.choice(words) for _ in range(random.randint(0, 14))]
+        other = list(text)
+        for _ in range(random.randint(0, 3)):
+            at = random.randint(0, len(other))
+            other[at : at + random.randint(0, 2)] = random.choices(words, k=random.randint(0, 2))
+        pairs.append(("".join(text), "".join(other)))
+    rows = spark.createDataFrame([(i, a, b, 0) for i, (a, b) in enumerate(pairs)], "doc_id long, before string, after string, level int")
+    got = collections.defaultdict(list)
+    for r in merkle.edits(rows).collect():
+        sides = [None if p is None else tuple(p) for p in (r["place_before"], r["place_after"])]
+        got[r["doc_id"]].append((r["level"], r["kind"], *sides))
+    trees = [(_tree(a or ""), _tree(b or "")) for a, b in pairs]
+    for i, (a, b) in enumerate(trees):
+        assert sorted(got[i], key=repr) == sorted(_edits(a, b), key=repr) and bool(got[i]) == (a != b)
+    assert got[1] == [("paragraph", "inserted", None, (0, 1))] and {k for _, k, *_ in got[2]} == {"moved"}
+    first = rows.select("doc_id", merkle.first_edit(merkle.leaf_digests(F.col("before")), merkle.leaf_digests(F.col("after"))).alias("e"))
+    assert {r["doc_id"]: r["e"] and tuple(r["e"]) for r in first.collect()} == {i: _first(a, b) for i, (a, b) in enumerate(trees)}
 
 
 def test_bpe_equals_the_library(odd, none):

@@ -37,12 +37,15 @@ def word_type(word: Column) -> Column:
 
 
 def period_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(word, n_with, n_without): uses with and without a period; words without a letter or digit are left out."""
+    """(word, n_with, n_without): uses with and without a period; words without a letter or digit are left out.
+
+    Words are counted as they stand first, so that each form is looked at once for each task.
+    """
     pieces = F.concat(*[F.coalesce(words(F.col(c), SPACES), F.array().cast("array<string>")) for c in cols])
-    seen = df.select(F.explode(pieces).alias("w"))
+    forms = df.select(F.explode(pieces).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     dotted = F.regexp_replace("w", EDGES, "").endswith(".").cast("long")
-    seen = seen.select(word_type(F.col("w")).alias("word"), dotted.alias("dotted")).where("word <> ''")
-    return seen.groupBy("word").agg(F.sum("dotted").alias("n_with"), F.sum(1 - F.col("dotted")).alias("n_without"))
+    seen = forms.select(word_type(F.col("w")).alias("word"), dotted.alias("dotted"), "n").where("word <> ''")
+    return seen.groupBy("word").agg(F.sum(F.col("n") * F.col("dotted")).alias("n_with"), F.sum(F.col("n") * (1 - F.col("dotted"))).alias("n_without"))
 
 
 def abbreviations(df: DataFrame, cols: Sequence[str] = ("text",), least_score: float = LEAST_SCORE) -> DataFrame:

@@ -7,6 +7,10 @@ there. Two sets agree in a coordinate with the chance of their weighted Jaccard
 are only followed as far as a set needs to fill all coordinates, so the work is about one dart for
 each element and a fixed number for each set.
 
+A document's shingles weigh as often as they occur, so its similarity to another is the sum of the smaller
+weights over the sum of the larger ones. For the exact checks each occurrence of a shingle is an element of its own,
+the first, the second and so on: the Jaccard similarity of such sets is the weighted one.
+
 Documents with one set stand for each other. In every band's bucket all others are compared with the
 bucket's smallest document; what is not linked that way is then compared across the classes found,
 so that every pair of a bucket is either compared or already in one class.
@@ -153,13 +157,25 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def occurrences(value: np.ndarray, times: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An element for every occurrence of a shingle, and the number of elements before each text.
+
+    The first occurrence is named by the shingle alone, a later one also by its number.
+    """
+    number = _within(times).astype(np.uint64)
+    named = np.repeat(value, times)
+    later = number > 0
+    named[later] = mix(named[later] + number[later] * _U(0x9FB21C651E98DF25))
+    return named, np.concatenate(([0], np.cumsum(times)))[before]
+
+
 def _sketched(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``id, n, f1, f2, keys``: number of distinct shingles, a name of the set in 128 bits, band keys."""
+    """``id, n, f1, f2, keys``: number of shingles, a name of the weighted set in 128 bits, band keys."""
 
     def work(texts: pa.Array) -> list[pa.Array]:
-        value, _, before = shingles(texts, words)
-        # Distinct shingles weigh the same, so the similarity is that of sets.
-        signature = signatures(value, np.ones(len(value)), before, bands * rows)
+        value, times, before = shingles(texts, words)
+        signature = signatures(value, times.astype(float), before, bands * rows)
+        value, before = occurrences(value, times, before)
         n = np.diff(before)
         keys = band_keys(signature, bands, rows).view(np.int64)
         sums = []
@@ -174,10 +190,10 @@ def _sketched(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def _listed(docs: DataFrame, words: int) -> DataFrame:
-    """``id, s``: distinct shingles of a text."""
+    """``id, s``: the occurrences of a text's shingles."""
 
     def work(texts: pa.Array) -> list[pa.Array]:
-        value, _, before = shingles(texts, words)
+        value, before = occurrences(*shingles(texts, words))
         return [pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(value.view(np.int64)))]
 
     return append(docs.select("id", "text"), "text", "s array<long>", lambda: work).drop("text")
@@ -250,8 +266,8 @@ def classes(
 ) -> DataFrame:
     """One row for each input row: the id, ``class_id`` and ``class_size`` (in rows).
 
-    Documents are linked if the Jaccard similarity of their sets of word shingles reaches ``similar``; a
-    class is what links connect, named by its smallest id. A text without words is linked with
+    Documents are linked if the weighted Jaccard similarity of their word shingles, each as heavy as it occurs
+    often, reaches ``similar``; a class is what links connect, named by its smallest id. A text without words is linked with
     none; a null text has no words. A null id is a class of its own, named null. Rows of one id are one
     document: it is linked if any of its texts is.
     """
@@ -288,7 +304,11 @@ def classes(
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input without the documents that are near copies of one with a smaller id; columns as they were."""
+    """The input without the documents that are near copies of one with a smaller id; columns as they were.
+
+    Null and empty texts, null ids and rows of one id are as in :func:`classes`: texts without words and null ids
+    all stay, and rows of one id stay or go together. An empty table stays empty.
+    """
     folder = new_folder(docs.sparkSession)
     found = classes(docs, id_col, text_col)
     gone = keep(found.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone")).distinct(), folder, "gone")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafwork.llm import bpe, conv, exact_dedup, fill_middle, manifest, merkle, mixed_packing, mixing, near_dedup, ranking, repeats, revisits, url_model
+from sheafwork.llm.common import keep, new_folder
 from sheafwork.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -154,7 +155,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text, learned from pairs of labelled documents."""
     labels = table(spark, sf_dir, "labels").where(_fold(4) != 2).select("doc_id", F.col("quality").alias("label"))
     documents = table(spark, sf_dir, "documents")
-    docs = ranking.scored(documents.select("doc_id", "text"), ranking.learn(documents, labels))
+    ranker = ranking.learn(documents, labels)
+    ranked = keep(ranking.worths(documents.select("doc_id", "text"), ranker).select("doc_id", "worth"), new_folder(spark), "worths")
+    docs = ranked.withColumn("score", ranking.score_of(ranking.cut_at_quantile(ranked, ranker)))
     return docs.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= ranking.KEEP_AT).cast("int").alias("predicted"))
 
 

@@ -3,16 +3,16 @@
 A document's worth is a weighted sum of features of its whole text. For a pair, the chance that the first
 is the better one is the logistic function of the difference of their worths; the weights minimise
 the logistic loss on feature differences. A document is kept if its worth reaches a quantile of
-the worths; labelled pairs choose the quantile.
+all documents' worths; labelled rows kept aside choose which quantile.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafwork.llm.common import append, buffer_of, sampled, word_hashes
@@ -27,6 +27,8 @@ KINDS = len(_KINDS) + 2
 FEATURES = KINDS * KINDS + 6
 BLOCK = 1 << 20
 KEEP_AT = 0.7  # the score at the threshold
+#: Worths are counted in as many equal cells between the least and the greatest worth of the rows kept aside.
+CELLS = 4096
 
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -76,6 +78,8 @@ class Ranker:
     quantile: float = 0.0
     slope: float = 1.0
     constant: float | None = None
+    aside_worth: np.ndarray = field(default_factory=lambda: np.zeros(0))  # rows not trained on, and their labels
+    aside_label: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
 
     def worth(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.spread, -8, 8) @ self.weights
@@ -103,7 +107,7 @@ def fit_pairs(better: np.ndarray, worse: np.ndarray, penalty: float = 1e-3, step
 def train(x: np.ndarray, want: np.ndarray, share: float, rounds: int = 8, seed: int = 11) -> Ranker:
     """Learn from a sample of rows with labels 1 (better) and 0; ``share`` of all labelled rows are 1.
 
-    Every fifth row is kept aside to choose the quantile. In each round every row meets one drawn row of the
+    Every fifth row is kept aside to choose the quantile (all rows, if that leaves a class out). In each round every row meets one drawn row of the
     other class. Without rows of both classes all scores are ``share``.
     """
     mean, spread = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
@@ -119,27 +123,46 @@ def train(x: np.ndarray, want: np.ndarray, share: float, rounds: int = 8, seed:
     second = np.concatenate([np.concatenate((random.choice(bad, len(good)), bad)) for _ in range(rounds)])
     ranker.weights = fit_pairs(z[first], z[second])
     test = np.flatnonzero(aside) if len(set(want[aside].tolist())) == 2 else np.arange(len(x))
-    worth, label = ranker.worth(x[test]), want[test]
-    # Quantiles of the worths as they occur: the sample holds both classes alike, the corpus does not.
-    weight = np.where(label == 1, share / (label == 1).sum(), (1 - share) / (label == 0).sum())
-    order = np.argsort(worth, kind="stable")
-    worth, label, weight = worth[order], label[order], weight[order]
-    below = np.concatenate(([0.0], np.cumsum(weight)))
-    right = np.concatenate(([0.0], np.cumsum(label == 0) / (label == 0).sum())) + np.concatenate((np.cumsum((label == 1)[::-1])[::-1], [0.0])) / (label == 1).sum()
-    good_cuts = np.flatnonzero(np.isclose(right, right.max()))
-    cut = good_cuts[len(good_cuts) // 2]
-    ranker.quantile = float(below[cut])
-    edges = np.concatenate(([worth[0] - 1], worth, [worth[-1] + 1]))
-    ranker.threshold = float((edges[cut] + edges[cut + 1]) / 2)
-    gap = np.median(worth[label == 1]) - np.median(worth[label == 0])
+    ranker.aside_worth, ranker.aside_label = ranker.worth(x[test]), want[test]
+    good_worth, bad_worth = (ranker.aside_worth[ranker.aside_label == c] for c in (1, 0))
+    gap = np.median(good_worth) - np.median(bad_worth)
     ranker.slope = float(6 / gap) if gap > 0 else 1.0
-    return ranker
+    # Until the corpus is ranked, its worths are taken to be spread as in the rows kept aside, by their classes' shares.
+    edges = cell_edges(ranker)
+    low, high = (np.histogram(w, edges)[0] for w in (bad_worth, good_worth))
+    return at_quantile(ranker, np.concatenate(([0.0], (1 - share) * low / len(bad_worth) + share * high / len(good_worth), [0.0])))
+
+
+def cell_edges(ranker: Ranker) -> np.ndarray:
+    """``CELLS + 1`` bounds of the cells in which worths are counted; a bound belongs to the cell above it."""
+    low, high = ranker.aside_worth.min(), ranker.aside_worth.max()
+    width = max(high - low, 1e-6) / (CELLS - 2)
+    return low + width * (np.arange(CELLS + 1) - 1)
+
+
+def at_quantile(ranker: Ranker, counts: np.ndarray) -> Ranker:
+    """The threshold at the quantile of best balanced accuracy on the rows kept aside.
+
+    ``counts`` has the worths below the first bound, in every cell, and from the last bound on. Of quantiles
+    that are equally good the one nearest to their middle is taken, of bounds at one quantile the middle one.
+    """
+    edges = cell_edges(ranker)
+    at = np.cumsum(counts[:-1]) / max(counts.sum(), 1e-300)
+    worth = [np.sort(ranker.aside_worth[ranker.aside_label == c]) for c in (0, 1)]
+    below = [np.searchsorted(w, edges, side="left") / len(w) for w in worth]
+    right = below[0] + 1 - below[1]
+    best = np.flatnonzero(np.isclose(right, right.max()))
+    off = np.abs(at[best] - (at[best[0]] + at[best[-1]]) / 2)
+    nearest = best[np.isclose(off, off.min(), atol=1e-12)]
+    cut = nearest[len(nearest) // 2]
+    return replace(ranker, quantile=float(at[cut]), threshold=float(edges[cut]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 4000) -> Ranker:
     """Train on about ``rows`` labelled documents of each class, chosen by a hash of the id.
 
-    ``labels`` has the id and ``label``. Whole texts become features where they are read; only
+    ``labels`` has the id and ``label``; labels other than 0 and 1 are left out, and so are ids without a document.
+    Rows of one id are all taken. Null and empty texts are texts without words. Whole texts become features where they are read; only
     features reach the driver, ``FEATURES`` numbers for each of the rows.
     """
     known = labels.where("label in (0, 1)").select(F.col(id_col).alias("_id"), F.col("label").cast("int").alias("_label"))
@@ -152,7 +175,40 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return train(flat.reshape(-1, FEATURES).astype(float), got.column("_label").to_numpy(), (ones or 0) / max(1, total))
 
 
-def scored(docs: DataFrame, ranker: Ranker, text_col: str = "text", out: str = "score") -> DataFrame:
-    """Add the score of every whole text, empty and null ones too."""
+def worths(docs: DataFrame, ranker: Ranker, text_col: str = "text", out: str = "worth") -> DataFrame:
+    """Add the worth of every whole text, empty and null ones too; a column named ``out`` is replaced."""
     shipped = docs.sparkSession.sparkContext.broadcast(ranker)
-    return append(docs, text_col, f"`{out}` double", lambda: lambda t: [pa.array(shipped.value.score(features(t)))])
+    return append(docs, text_col, f"`{out}` double", lambda: lambda t: [pa.array(np.round(shipped.value.worth(features(t)), 9))])
+
+
+def cut_at_quantile(ranked: DataFrame, ranker: Ranker, worth: str = "worth") -> Ranker:
+    """The ranker with its threshold at a quantile of all rows' worths.
+
+    Worths are counted by cell where they are read; at most ``CELLS + 2`` counts reach the driver, whatever the
+    table's size. Without rows, or for a ranker without rows of both classes, the ranker stays as it is.
+    """
+    if ranker.constant is not None:
+        return ranker
+    edges = cell_edges(ranker)
+    cell = F.floor((F.col(worth) - float(edges[0])) / float(edges[1] - edges[0])) + 1
+    inside = F.least(F.greatest(cell, F.lit(0)), F.lit(CELLS + 1)).cast("int")
+    counts = np.zeros(CELLS + 2)
+    for row in ranked.groupBy(inside.alias("cell")).agg(F.count("*").alias("n")).collect():
+        counts[row["cell"]] = row["n"]
+    return at_quantile(ranker, counts) if counts.any() else ranker
+
+
+def score_of(ranker: Ranker, worth: str = "worth") -> Column:
+    """The score, 0 to 1, of a column of worths; ``KEEP_AT`` at the threshold."""
+    if ranker.constant is not None:
+        return F.lit(float(ranker.constant))
+    z = F.lit(ranker.slope) * (F.col(worth) - F.lit(ranker.threshold)) + F.lit(float(np.log(KEEP_AT / (1 - KEEP_AT))))
+    return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
+
+
+def scored(docs: DataFrame, ranker: Ranker, text_col: str = "text", out: str = "score") -> DataFrame:
+    """Add the score of every whole text, empty and null ones too, at the ranker's threshold.
+
+    Equal texts have equal scores. A column named ``out`` is replaced, all others stay; an empty table stays empty.
+    """
+    return worths(docs, ranker, text_col, out).withColumn(out, score_of(ranker, out))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from sheafwork.functions import arrays
 from sheafwork.functions.lists import ends, flat, regroup
 from sheafwork.functions.text import ColumnFn, clean_decoded, words
+from sheafwork.operators.sampling import running_offsets
 from sheafwork.sources.tables import shared_dir
 
 # Special tokens, which take the first ids in this order.
@@ -33,7 +34,6 @@ PAD, UNK, BOS, SEP, EOS = range(len(SPECIALS))
 #: The head has ids below ``HEAD_ROWS`` and tokens of at most ``HEAD_TOKEN_BYTES``: 32 MB of text, whatever the corpus.
 HEAD_ROWS = 1 << 19
 HEAD_TOKEN_BYTES = 64
-HEAD_LETTERS = 3
 
 
 def tokenize(df: DataFrame, col: str = "text", out: str = "tokens", tokenizer: ColumnFn = words) -> DataFrame:
@@ -56,25 +56,25 @@ def build_vocab(
 ) -> DataFrame:
     """(token, id): specials first, then tokens by count descending and token ascending.
 
-    ``max_size`` bounds the result, specials included; None keeps the whole vocabulary. No task
-    sorts all tokens: those of one count are numbered by first letters, behind the totals of
-    larger counts (one row for each count) and of earlier letters.
+    ``max_size`` bounds the result, specials included; None keeps the whole vocabulary. Counted tokens are
+    written once to the shared folder, in ranges of that order which Spark cuts at sampled keys. A range is
+    numbered by one task, behind the sizes of the earlier ranges (one row each). So no task holds more than a range,
+    however many tokens share a count or their first letters.
     """
+    spark, order = df.sparkSession, (F.desc("n"), F.asc("token"))
     counts = token_counts(df, cols, tokenizer).where((F.col("n") >= min_count) & ~F.col("token").isin(list(specials)))
-    counts = counts.withColumn("head", F.substring("token", 1, HEAD_LETTERS))
-    heads = counts.groupBy("n", "head").agg(F.count("*").alias("m"))
-    larger = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = heads.groupBy("n").agg(F.sum("m").alias("m")).select("n", F.coalesce(F.sum("m").over(larger), F.lit(0)).alias("larger"))
-    earlier = Window.partitionBy("n").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
-    starts = heads.select("n", "head", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("earlier"))
-    inside = F.row_number().over(Window.partitionBy("n", "head").orderBy("token"))
-    numbered = counts.withColumn("inside", inside).join(starts, ["n", "head"]).join(totals, "n")
-    rank = F.col("larger") + F.col("earlier") + F.col("inside")
+    path = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    counts.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.schema("token string, n bigint, part int").parquet(path)
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    offsets = running_offsets(ranged, "part", F.lit(1)).select("part", "offset")
+    rank = F.col("offset") + F.col("inside")
+    numbered = ranged.withColumn("inside", inside).join(F.broadcast(offsets), "part")
     learned = numbered.select("token", (rank + (len(specials) - 1)).cast("int").alias("id"))
     if max_size is not None:
         learned = learned.where(F.col("id") < max_size)
     rows = [(token, i) for i, token in enumerate(specials)]
-    return df.sparkSession.createDataFrame(rows, "token string, id int").unionByName(learned)
+    return spark.createDataFrame(rows, "token string, id int").unionByName(learned)
 
 
 def vocab_size(vocab: DataFrame) -> DataFrame:

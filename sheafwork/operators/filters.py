@@ -82,10 +82,13 @@ def length_alignment(df: DataFrame, multiple: int, ids: str = "input_ids") -> Da
     return df.withColumn("aligned", F.size(ids) % multiple == 0)
 
 
-def alignment_report(df: DataFrame, multiple: int, ids: str = "input_ids") -> DataFrame:
-    return (
-        length_alignment(df.select(ids), multiple, ids)
-        .groupBy("aligned")
-        .agg(F.count("*").alias("n_rows"))
-        .select(F.lit(multiple).alias("multiple"), "aligned", "n_rows")
-    )
+def alignment_report(df: DataFrame, *multiples: int, ids: str = "input_ids") -> DataFrame:
+    """Rows aligned and not aligned to each multiple, from one reading of the table.
+
+    The table is grouped by all multiples together, at most 2 to their number groups, which are then told apart.
+    """
+    flags = [(F.size(ids) % m == 0).alias(f"by{k}") for k, m in enumerate(multiples)]
+    groups = df.select(*flags).groupBy(*[f"by{k}" for k in range(len(multiples))]).agg(F.count("*").alias("n"))
+    each = F.array(*[F.struct(F.lit(m).alias("multiple"), F.col(f"by{k}").alias("aligned")) for k, m in enumerate(multiples)])
+    told = groups.select("n", F.inline(each))
+    return told.groupBy("multiple", "aligned").agg(F.sum("n").alias("n_rows"))

@@ -1,7 +1,7 @@
 """ROUGE-1/2/L/Lsum of (prediction, reference) text pairs.
 
-A pair is scored in the row that holds it: tokens, n-grams and clipped counts are array
-expressions, common subsequences are an Arrow function. Nothing is exploded or shuffled,
+A pair is scored in the row that holds it: tokens are array expressions, clipped counts of n-grams and
+common subsequences one Arrow function on numbered tokens. Nothing is exploded or shuffled,
 so no pair and no n-gram can make a hot task; only report means are aggregated.
 """
 
@@ -34,16 +34,6 @@ ROW_BYTES = 1 << 20
 SHORT, OFTEN = 4096, 64
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """n-grams, joined by a control character; an array shorter than ``n`` gives none."""
-    grams = tokens
-    for k in range(1, n):
-        count = F.greatest(F.size(tokens) - k, F.lit(0))
-        following = F.slice(tokens, F.lit(k + 1), count)
-        grams = F.zip_with(F.slice(grams, F.lit(1), count), following, lambda g, w: F.concat(g, F.lit("\u0002"), w))
-    return grams
-
-
 class _Positions:
     """token -> bit set of its positions, for the wanted tokens; 0 for all others.
 
@@ -192,11 +182,50 @@ def _coded(pred: pa.Array, ref: pa.Array) -> tuple[list[list[int]], list[list[in
     return _cut(numbers[: len(words)], pred), _cut(numbers[len(words) :], ref), coded.dictionary
 
 
-@F.arrow_udf(T.IntegerType())
-def lcs_length(pred: pa.Array, ref: pa.Array) -> pa.Array:
-    """Of token lists."""
-    preds, refs, _ = _coded(pred, ref)
-    return pa.array(map(lcs_size, preds, refs), pa.int32())
+def gram_hits(codes: np.ndarray, pred: pa.Array, ref: pa.Array, orders: Sequence[int]) -> dict[int, np.ndarray]:
+    """For each n the clipped n-gram matches of every row; ``codes`` numbers all tokens of ``pred``, then of ``ref``.
+
+    An n-gram is numbered by its first n - 1 tokens' number and its last token. Row and number are one key; both
+    sides' keys are sorted, and the runs that both have are compared.
+    """
+    rows = len(pred)
+    own = ends(pred)
+    stops = np.concatenate((own, ends(ref) + (own[-1] if rows else 0)))
+    owner = np.repeat(np.arange(2 * rows), np.diff(stops, prepend=0))
+    left = stops[owner] - np.arange(len(codes))
+    kinds = int(codes.max(initial=0)) + 1
+    grams, found = codes, {}
+    for n in range(1, max(orders, default=0) + 1):
+        at = np.flatnonzero(left >= n)
+        if n > 1:
+            _, names = np.unique(grams[at] * kinds + codes[at + n - 1], return_inverse=True)
+            grams = np.zeros(len(codes), np.int64)
+            grams[at] = names
+        if n in orders:
+            most = int(grams.max(initial=0)) + 1
+            key = owner[at] % max(rows, 1) * most + grams[at]
+            ours, n_ours = np.unique(key[owner[at] < rows], return_counts=True)
+            theirs, n_theirs = np.unique(key[owner[at] >= rows], return_counts=True)
+            both, i, j = np.intersect1d(ours, theirs, assume_unique=True, return_indices=True)
+            found[n] = np.bincount(both // most, np.minimum(n_ours[i], n_theirs[j]), rows).astype(np.int64)
+    return found
+
+
+def token_hits(orders: Sequence[int], subsequence: bool) -> ColumnFn:
+    """Of two token lists: ``hits1``, ``hits2``, ... for the given n, and ``hitsL``, their longest common subsequence."""
+    names = [f"hits{n}" for n in orders] + ["hitsL"] * subsequence
+
+    @F.arrow_udf(T.StructType([T.StructField(name, T.LongType()) for name in names]))
+    def hits(pred: pa.Array, ref: pa.Array) -> pa.Array:
+        words = flat(pred)
+        codes = pa.concat_arrays([words, flat(ref)]).dictionary_encode().indices.to_numpy().astype(np.int64)
+        columns = list(gram_hits(codes, pred, ref, orders).values())
+        if subsequence:
+            numbers = codes.tolist()
+            columns.append(list(map(lcs_size, _cut(numbers[: len(words)], pred), _cut(numbers[len(words) :], ref))))
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    return hits
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -251,25 +280,23 @@ def rouge_pairs(
     rows = pairs.select(*id_cols, *[c.alias(name) for name, c in columns.items()])
 
     measured = {"n_pred": F.size("p1"), "n_ref": F.size("r1")}
-    if "rougeL" in keys:
-        measured["hitsL"] = lcs_length("p1", "r1")
+    if orders or "rougeL" in keys:
+        measured["hits"] = token_hits(orders, "rougeL" in keys)("p1", "r1")
     if "rougeLsum" in keys:
         measured["union"] = union_lcs("ps", "rs")
-    grams = {f"{side}{n}": ngrams(F.col(f"{side}1"), n) for n in orders if n > 1 for side in sides}
-    counted = rows.withColumns(measured | grams)
-
-    hits = {f"hits{n}": arrays.multiset_overlap(F.col(f"p{n}"), F.col(f"r{n}")) for n in orders}
+    per_pair = rows.withColumns(measured)
+    hits = {key: F.col("hits")[f"hits{key[5:]}"] for key in keys if key != "rougeLsum"}
     if "rougeLsum" in keys:
         # union tokens are reference tokens already; clip them by the prediction's counts
-        hits["hitsLsum"] = arrays.multiset_overlap(F.col("union"), F.flatten("ps"))
-    per_pair = counted.withColumns(hits) if hits else counted
+        per_pair = per_pair.withColumn("hitsLsum", arrays.multiset_overlap(F.col("union"), F.flatten("ps")))
+        hits["rougeLsum"] = F.col("hitsLsum")
 
     scored_columns = []
     for key in keys:
         shorter = (_order(key) or 1) - 1  # a side has that many n-grams less than tokens
         sizes = (F.size(F.flatten("ps")), F.size(F.flatten("rs"))) if key == "rougeLsum" else (F.col("n_pred"), F.col("n_ref"))
         n_pred, n_ref = (F.greatest(n - shorter, F.lit(0)) for n in sizes)
-        scored = precision_recall_f1(F.col(f"hits{key[5:]}"), n_pred, n_ref)
+        scored = precision_recall_f1(hits[key], n_pred, n_ref)
         scored_columns += [scored[s].alias(f"{key}_{s}") for s in SCORES]
     return per_pair.select(*id_cols, *scored_columns)
 

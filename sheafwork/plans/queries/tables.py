@@ -248,7 +248,7 @@ def validate_task(spark, sf_dir):
 )
 def length_alignment(spark, sf_dir):
     rows = corpus.documents(spark, sf_dir).select(words(F.col("text")).alias("input_ids"))
-    return filters.alignment_report(rows, 8).unionByName(filters.alignment_report(rows, 128))
+    return filters.alignment_report(rows, 8, 128)
 
 
 @query(

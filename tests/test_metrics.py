@@ -8,7 +8,7 @@ from __spark_entry__ import queries
 from pyspark.sql import functions as F
 
 from sheafwork.functions import arrays, scores
-from sheafwork.operators import encoding, labels, metrics, rouge, stats
+from sheafwork.operators import encoding, filters, labels, metrics, rouge, stats
 from sheafwork.plans import builders, evaluation
 from sheafwork.streaming import running
 
@@ -131,6 +131,29 @@ def test_multiset_overlap_against_counters(spark):
         assert row["n"] == sum((Counter(row["a"]) & Counter(row["b"])).values())
 
 
+def test_gram_hits_against_counters(spark):
+    """Short and empty sides, repeated tokens, and n-grams that no row is long enough for."""
+    rng = random.Random(5)
+    cases = [(" ".join(rng.choice("aabcd") for _ in range(rng.randrange(25))), " ".join(rng.choice("abbe") for _ in range(rng.randrange(25)))) for _ in range(150)]
+    cases += [("", ""), ("a", ""), ("", "a b"), ("a a a a", "a a"), (None, "a")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "example_id int, pred string, ref string")
+    for n in (1, 2, 4, 30):
+        got = {r["example_id"]: r for r in rouge.rouge_n(df.repartition(3), n).collect()}
+        for i, sides in enumerate(cases):
+            pred, ref = ([tuple(t[k : k + n]) for k in range(len(t) - n + 1)] for t in ((s or "").split() for s in sides))
+            hits = sum((Counter(pred) & Counter(ref)).values())
+            assert got[i][f"rouge{n}_precision"] == pytest.approx(hits / max(len(pred), 1))
+            assert got[i][f"rouge{n}_recall"] == pytest.approx(hits / max(len(ref), 1))
+
+
+def test_alignment_is_reported_from_one_reading(spark):
+    df = spark.createDataFrame([([0] * n,) for n in (0, 4, 6, 8, 8, 12)], "input_ids array<int>")
+    report = filters.alignment_report(df, 4, 8)
+    assert {(r["multiple"], r["aligned"]): r["n_rows"] for r in report.collect()} == {(4, True): 5, (4, False): 1, (8, True): 3, (8, False): 3}
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert filters.alignment_report(df.where("false"), 4, 8).count() == 0
+
+
 def table_of(a, b):
     """The usual quadratic table, with all cells."""
     rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

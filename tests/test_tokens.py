@@ -1,4 +1,5 @@
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from sheafwork.functions import arrays
 from sheafwork.operators import encoding
 from sheafwork.operators.encoding import PAD, SPECIALS, UNK
 from sheafwork.plans import builders
+from sheafwork.sources.tables import shared_dir
 
 TEXTS = [(1, "b a a c"), (2, "c d b a"), (3, ""), (4, "zz a"), (5, None)]
 
@@ -38,6 +40,24 @@ def test_vocab_order_and_bounds(spark, docs):
     assert {r["token"] for r in frequent.collect()} == {*SPECIALS, "a", "b", "c"}
 
 
+def test_many_tokens_of_one_count_and_head_are_numbered_by_ranges(spark, tmp_path):
+    """100,000 tokens occur once and begin alike; they are spread over ranges, and ids are as in one sort."""
+    df = spark.range(100_000).select(F.concat(F.lit("http"), F.col("id").cast("string"), F.lit(" twice twice")).alias("text"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        vocab = encoding.build_vocab(df).persist()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    got = {r["token"]: r["id"] for r in vocab.collect()}
+    want = [*SPECIALS, "twice", *sorted(f"http{i}" for i in range(100_000))]
+    assert got == {token: i for i, token in enumerate(want)}
+    folder = max(Path(shared_dir(spark)).glob("counts-*"), key=lambda p: p.stat().st_mtime)
+    sizes = [r["count"] for r in spark.read.parquet(str(folder)).groupBy("part").count().collect()]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(sizes) == parts and max(sizes) < 2 * 100_001 / parts
+
+
 def test_vocab_never_repeats_a_special(spark):
     df = spark.createDataFrame([("<pad> <pad> x",)], "text string")
     tokens = [r["token"] for r in encoding.build_vocab(df).collect()]

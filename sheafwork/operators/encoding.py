@@ -2,9 +2,9 @@
 
 Translation has two tiers, the same for a vocabulary of any size. Ids are ordered by count, so
 the entries with the smallest ids, the head, hold every hot token. The head is bounded in rows and
-in bytes of each token; it is broadcast, becomes one hash table in each worker, and is looked up in
+in bytes of each token; it is broadcast, kept as Arrow arrays in each worker, and looked up in
 the row where the tokens were read. What a row has besides, each such token once, is joined with the
-entries behind the head, the tail. A vocabulary without a tail has nothing to join, so a document
+entries behind the head, the tail; until then the row holds numbers in place of its tokens. A vocabulary without a tail has nothing to join, so a document
 stays one row and is never shuffled. Rows with the same missing tokens share the answer, so
 repeated ids or rows give the same result.
 """
@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheafwork.functions import arrays
 from sheafwork.functions.lists import ends, flat, regroup
@@ -87,16 +88,17 @@ def ensure_pad_token(tokenizers: DataFrame) -> DataFrame:
 
 
 class Head:
-    """The head's entries on the executors. A worker builds its table once, however many batches and columns ask."""
+    """The head's entries on the executors, as Arrow arrays; a worker unpacks them once, however many batches and columns ask."""
 
     ready: dict[str, Head] = {}
 
     def __init__(self, entries: pa.RecordBatch):
-        tokens, ids = entries.column("token"), entries.column("id")
-        self.ids = dict(zip(tokens.to_numpy(zero_copy_only=False).tolist(), ids.to_numpy().tolist()))
-        places = np.full(int(pc.max(ids).as_py() or 0) + 1 if len(ids) else 0, -1, np.int64)
-        places[ids.to_numpy()] = np.arange(len(ids))
-        self.places, self.tokens = places, tokens
+        # Backwards, so that the last one of equal tokens is found.
+        back = pa.array(np.arange(len(entries))[::-1])
+        self.tokens, self.ids = entries.column("token").take(back), entries.column("id").take(back)
+        places = np.full(int(pc.max(self.ids).as_py() or 0) + 1 if len(self.ids) else 0, -1, np.int32)
+        places[entries.column("id").to_numpy()] = np.arange(len(entries))[::-1]
+        self.places = places
 
     @classmethod
     def of(cls, name: str, entries) -> Head:
@@ -106,21 +108,25 @@ class Head:
             cls.ready[name] = cls(entries.value)
         return cls.ready[name]
 
-    def encode(self, tokens: pa.Array, default: int | None) -> pa.Array:
-        """Ids of tokens, ``default`` (or null) where the head has none; every different token is looked up once."""
-        coded = tokens.dictionary_encode()
-        find = self.ids.get
-        found = pa.array([find(t, default) for t in coded.dictionary.to_numpy(zero_copy_only=False).tolist()], pa.int32())
-        missing = pa.scalar(default, pa.int32())
-        out = found.take(coded.indices)
-        return out if default is None else pc.fill_null(out, missing)
-
-    def decode(self, ids: pa.Array) -> pa.Array:
-        numbers = pc.fill_null(ids, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    def targets(self, way: str) -> pa.Array:
+        return self.ids if way == "encode" else self.tokens
+
+    def find(self, way: str, sources: pa.Array) -> np.ndarray:
+        """Places of different sources among the entries, -1 where the head has none."""
+        if way == "encode":
+            return pc.fill_null(pc.index_in(sources, self.tokens), -1).to_numpy(zero_copy_only=False)
+        numbers = sources.to_numpy(zero_copy_only=False).astype(np.int64)
         inside = (numbers >= 0) & (numbers < len(self.places))
-        at = np.full(len(numbers), -1, np.int64)
+        at = np.full(len(numbers), -1, np.int32)
         at[inside] = self.places[numbers[inside]]
-        return self.tokens.take(pa.array(at, pa.int64(), mask=at < 0))
+        return at
+
+    def look_up(self, way: str, sources: pa.Array, default: int | None) -> pa.Array:
+        """Targets of sources, ``default`` (or null) where the head has none; every different source is looked up once."""
+        coded = sources.dictionary_encode()
+        at = self.find(way, coded.dictionary)
+        out = self.targets(way).take(pa.array(at, mask=at < 0)).take(coded.indices)
+        return out if default is None else pc.fill_null(out, pa.scalar(default, out.type))
 
 
 @dataclass(frozen=True)
@@ -136,12 +142,73 @@ class Codec:
 
         @F.arrow_udf(f"array<{out_type}>")
         def look_up(rows: pa.Array) -> pa.Array:
-            table = Head.of(name, head)
-            found = table.encode(flat(rows), default) if way == "encode" else table.decode(flat(rows))
+            found = Head.of(name, head).look_up(way, flat(rows), default)
             return regroup(found, ends(rows), rows.is_null() if rows.null_count else None)
 
         return look_up
 
+    def _marked(self, way: str, columns: int, source_type: str):
+        """Places in the head for each of a row's columns, and the row's different sources that the head lacks.
+
+        A lacking source has the place -1 - k if it is the row's k-th. Their order hangs on the row alone.
+        """
+        name, head = self.name, self.head
+        fields = [f"places{n}" for n in range(columns)]
+
+        @F.arrow_udf(f"struct<{', '.join(f'{f}: array<int>' for f in fields)}, rest: array<{source_type}>>")
+        def mark(*rows: pa.Array) -> pa.Array:
+            coded = pa.concat_arrays([flat(r) for r in rows]).dictionary_encode()
+            row = np.concatenate([_rows_of(r) for r in rows])
+            valid = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+            asked = pc.fill_null(coded.indices, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            places = np.full(len(asked), -1, np.int32)
+            if len(coded.dictionary):
+                places[valid] = Head.of(name, head).find(way, coded.dictionary)[asked[valid]]
+            lacking = np.flatnonzero(valid & (places < 0))
+            kinds = max(1, len(coded.dictionary))
+            pairs, first, which = np.unique(row[lacking] * kinds + asked[lacking], return_index=True, return_inverse=True)
+            order = np.lexsort((first, pairs // kinds))
+            counts = np.bincount(pairs // kinds, minlength=len(rows[0]))
+            rest_ends = np.cumsum(counts, dtype=np.int64)
+            number = np.empty(len(pairs), np.int64)
+            number[order] = np.arange(len(pairs)) - np.repeat(rest_ends - counts, counts)
+            places[lacking] = -1 - number[which]
+            rest = regroup(coded.dictionary.take(pa.array(pairs[order] % kinds)), rest_ends)
+            sizes = np.cumsum([0, *(len(flat(r)) for r in rows)])
+            out = [
+                regroup(pa.array(places[a:b], mask=~valid[a:b]), ends(r), r.is_null() if r.null_count else None)
+                for r, a, b in zip(rows, sizes, sizes[1:])
+            ]
+            return pa.StructArray.from_arrays([*out, rest], [*fields, "rest"])
+
+        return mark
+
+    def _filled(self, way: str, out_type: str, default: int | None):
+        """Targets at places, the head's own or those that the tail has for the row; else ``default``."""
+        name, head = self.name, self.head
+
+        @F.arrow_udf(f"array<{out_type}>")
+        def fill(rows: pa.Array, found: pa.Array) -> pa.Array:
+            targets, answers = Head.of(name, head).targets(way), flat(found)
+            valid = flat(rows).is_valid().to_numpy(zero_copy_only=False)
+            places = pc.fill_null(flat(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            lacking = np.flatnonzero(places < 0)
+            row, number = _rows_of(rows)[lacking], -1 - places[lacking]
+            answered, which = _rows_of(found), answers.field("k").to_numpy(zero_copy_only=False).astype(np.int64)
+            widths = np.zeros(len(rows) + 1, np.int64)
+            np.maximum.at(widths, row + 1, number + 1)
+            np.maximum.at(widths, answered + 1, which + 1)
+            starts = np.cumsum(widths)
+            at = np.full(starts[-1], -1, np.int64)
+            at[starts[answered] + which] = len(targets) + np.arange(len(answers))
+            places[lacking] = at[starts[row] + number]
+            every = pa.concat_arrays([targets, answers.field("target").cast(targets.type)])
+            out = every.take(pa.array(places, mask=~valid | (places < 0)))
+            out = out if default is None else pc.fill_null(out, pa.scalar(default, out.type))
+            return regroup(out, ends(rows), rows.is_null() if rows.null_count else None)
+
+        return fill
+
     def _whole(self) -> None:
         if self.tail is not None:
             raise ValueError("the vocabulary has entries behind its head; encode and decode take whole tables")
@@ -156,6 +223,11 @@ class Codec:
         return F.array_compact(self._in_head("decode", "string")(_real(ids, specials)))
 
 
+def _rows_of(lists: pa.Array) -> np.ndarray:
+    """The row of every element."""
+    return np.repeat(np.arange(len(lists)), np.diff(ends(lists), prepend=0))
+
+
 def _real(ids: Column, specials: Sequence[int]) -> Column:
     return F.filter(ids, lambda i: ~i.isin(list(specials))) if specials else ids
 
@@ -174,54 +246,33 @@ def load_codec(vocab: DataFrame, head_rows: int = HEAD_ROWS) -> Codec:
     return Codec(name, head, tail)
 
 
-def _fill(out_type: str, default: int | None):
-    """Values where the head had none, from the entries that the tail has for the row."""
-
-    @F.arrow_udf(f"array<{out_type}>")
-    def fill(sources: pa.Array, values: pa.Array, found: pa.Array) -> pa.Array:
-        # Rows number their missing sources from 0, whatever other rows have.
-        row_of = np.repeat(np.arange(len(sources)), np.diff(np.concatenate(([0], ends(sources)))))
-        out, asked = flat(values).to_pylist(), flat(sources)
-        missing = np.flatnonzero(flat(values).is_null().to_numpy(zero_copy_only=False))
-        entries: dict[int, dict] = {}
-        rows = row_of[missing].tolist()
-        for row in set(rows):
-            entries[row] = {e["source"]: e["target"] for e in found[row].as_py() or ()}
-        for at, row, source in zip(missing.tolist(), rows, asked.take(pa.array(missing)).to_pylist()):
-            out[at] = entries[row].get(source, default)
-        kind = flat(values).type
-        return regroup(pa.array(out, kind), ends(sources), sources.is_null() if sources.null_count else None)
-
-    return fill
-
-
 def _two_tiers(df: DataFrame, columns: dict[str, str], codec: Codec, way: str, out_type: str, default: int | None) -> DataFrame:
-    """Replace array elements by the head's entries, and what it lacks by the tail's, or else by ``default``."""
+    """Replace array elements by the head's entries, and what it lacks by the tail's, or else by ``default``.
+
+    A row travels with places in the head, never with its texts. The outer explode keeps Spark from
+    inferring a filter on the row's sources, for which it would look up the whole table once more.
+    """
     if codec.tail is None:
         return df.withColumns({out: codec._in_head(way, out_type, default)(F.col(c)) for c, out in columns.items()})
     mark = uuid.uuid4().hex[:8]
-    key, rest, found = f"key_{mark}", f"rest_{mark}", f"found_{mark}"
-    values = {c: f"value{n}_{mark}" for n, c in enumerate(columns)}
-    asked = df.withColumns({values[c]: codec._in_head(way, out_type)(F.col(c)) for c in columns})
-
-    def missing(c: str) -> Column:
-        source = F.zip_with(F.col(c), F.col(values[c]), lambda s, v: F.when(v.isNull(), s))
-        return F.coalesce(F.array_compact(source), F.array().cast(df.schema[c].dataType))
-
-    asked = asked.withColumn(rest, F.array_sort(F.array_distinct(F.concat(*map(missing, columns)))))
+    key, rest, found, marked = f"key_{mark}", f"rest_{mark}", f"found_{mark}", f"marked_{mark}"
+    places = [f"places{n}_{mark}" for n in range(len(columns))]
+    source, target, source_type = ("token", "id", "string") if way == "encode" else ("id", "token", "bigint")
+    asked = [F.col(c).cast(f"array<{source_type}>") for c in columns]
+    both = df.withColumn(marked, codec._marked(way, len(columns), source_type)(*asked))
+    both = both.withColumns({rest: F.col(marked)["rest"]} | {p: F.col(marked)[f"places{n}"] for n, p in enumerate(places)})
+    shared = F.when(F.size(rest) > 0, F.unhex(F.sha2(F.to_json(F.struct(rest)), 256)))
+    # Never null, or Spark would filter on it ahead of the lookup, with a lookup of its own.
+    wanted = both.select(F.coalesce(shared, F.lit(bytearray())).alias(key), rest).distinct()
+    tail = codec.tail.select(F.col(source).cast(source_type).alias("source"), F.col(target).alias("target"))
+    joined = wanted.select(key, F.posexplode_outer(rest).alias("k", "source")).join(tail, "source")
+    answers = joined.groupBy(key).agg(F.collect_list(F.struct("k", "target")).alias(found))
     # Rows that lack nothing have keys of their own kind, spread over all tasks.
-    first = next(iter(columns))
-    alone = F.concat(F.lit("-"), F.xxhash64(F.col(values[first])).cast("string"))
-    asked = asked.withColumn(key, F.when(F.size(rest) > 0, F.sha2(F.to_json(F.struct(rest)), 256)).otherwise(alone))
-    source, target = ("token", "id") if way == "encode" else ("id", "token")
-    tail = codec.tail.select(F.col(source).alias("source"), F.col(target).alias("target"))
-    wanted = asked.where(F.size(rest) > 0).select(key, rest).dropDuplicates([key])
-    joined = wanted.select(key, F.explode(rest).alias("source")).join(tail, "source")
-    answers = joined.groupBy(key).agg(F.collect_list(F.struct("source", "target")).alias(found))
-    fill = _fill(out_type, default)
-    out = asked.join(answers, key, "left")
-    out = out.withColumns({o: fill(F.col(c), F.col(values[c]), F.col(found)) for c, o in columns.items()})
-    return out.drop(key, rest, found, *values.values())
+    numbers = [f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)]
+    alone = F.xxhash64(*numbers, places[0]).cast("string").cast("binary")
+    out = both.withColumn(key, F.coalesce(shared, alone)).drop(rest, marked).join(answers, key, "left")
+    fill = codec._filled(way, out_type, default)
+    return out.withColumns({o: fill(F.col(p), F.col(found)) for p, o in zip(places, columns.values())}).drop(key, found, *places)
 
 
 def encode(

@@ -9,6 +9,7 @@ from sheafwork.functions.text import rouge_tokens
 from sheafwork.operators import encoding, rouge
 from sheafwork.plans import corpus, evaluation, sql
 from sheafwork.plans.registry import query
+from sheafwork.sources.tables import stored
 
 PAIRS = f"""{sql.SUMMARIES}, pairs AS (
   SELECT example_id, 0 AS ref_id, {sql.rouge_tokens('text')} AS p, {sql.rouge_tokens('summary')} AS r FROM summaries)"""
@@ -246,7 +247,7 @@ def rouge_from_ids(spark, sf_dir):
         "example_id", rouge_tokens(F.col("pred")).alias("p"), rouge_tokens(F.col("ref")).alias("r")
     )
     rows = encoding.encode(tokens, vocab, {"p": "preds", "r": "labels"}).select("example_id", "preds", "labels")
-    return rounded(evaluation.rouge_from_ids(rows, vocab))
+    return rounded(evaluation.rouge_from_ids(stored(rows), vocab))
 
 
 @query("e19_evaluate_by_mode")

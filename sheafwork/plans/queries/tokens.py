@@ -11,6 +11,7 @@ from sheafwork.operators import encoding, sampling
 from sheafwork.operators.encoding import BOS, EOS, PAD, SEP
 from sheafwork.plans import corpus, sql
 from sheafwork.plans.registry import query
+from sheafwork.sources.tables import stored
 
 DOC_TOKENS = f"toks AS (SELECT doc_id AS example_id, {sql.words('text')} AS tokens FROM documents)"
 ENCODED = f"{sql.VOCAB}, {DOC_TOKENS}, {sql.encoded('toks', 'tokens', 'ids', 'enc')}"
@@ -226,4 +227,4 @@ def decode(spark, sf_dir):
     table = corpus.vocabulary(spark, sf_dir)
     vocab = encoding.load_codec(table)
     encoded = encoding.encode(doc_tokens(spark, sf_dir), vocab, {"tokens": "ids"}).select("example_id", "ids")
-    return encoding.decode(encoded, vocab, {"ids": "text"}).select("example_id", "text")
+    return encoding.decode(stored(encoded), vocab, {"ids": "text"}).select("example_id", "text")

@@ -91,6 +91,23 @@ def test_encode_rows_without_tokens(spark, bound):
     assert [(r["ids"], r["text"]) for r in out.orderBy("example_id").collect()] == [([], ""), (None, None)]
 
 
+def test_a_text_is_looked_up_once_for_each_side_of_the_join(spark, docs):
+    vocab = spark.createDataFrame([("a", 5), ("c", 6)], "token string, id int")
+    out = encoding.encode(encoding.tokenize(docs), vocab, {"tokens": "ids"}, head_rows=6).select("example_id", "ids")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # Both sides of the join, and the fill behind it; a filter on the lacking tokens would look up once more.
+    assert plan.count("ArrowEvalPython [") == 3
+
+
+def test_encode_by_join_with_repeated_rows_and_null_tokens(spark):
+    rows = [(1, ["x", None, "y", "x"]), (1, ["x", None, "y", "x"]), (None, ["y", "x"]), (None, None), (2, ["a", "none"])]
+    df = spark.createDataFrame(rows, "example_id bigint, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 5), ("x", 6), ("y", 7)], "token string, id int")
+    out = encoding.encode(df, vocab, {"tokens": "ids"}, head_rows=6)
+    want = [(1, [6, UNK, 7, 6]), (1, [6, UNK, 7, 6]), (None, [7, 6]), (None, None), (2, [5, UNK])]
+    assert Counter((r["example_id"], str(r["ids"])) for r in out.collect()) == Counter((i, str(x)) for i, x in want)
+
+
 def test_encode_by_join_spreads_a_hot_token(spark):
     df = spark.range(50).select(
         F.col("id").alias("example_id"), F.array_repeat(F.lit("hot"), 40).alias("tokens")

@@ -57,12 +57,14 @@ def build_clm_table(
         arrays.join_sequences(padded, arrays.pad_to(target, max_target, encoding.PAD)).alias("input_ids"),
         arrays.join_sequences(source_mask, arrays.attention_mask(F.size(target), max_target)).alias("attention_mask"),
     )
-    labels = F.col("input_ids")
+    labels, mask = F.col("input_ids"), F.col("attention_mask")
+    if mask_prompt:
+        # only the target's labels are left to mask
+        labels, mask = F.slice(labels, max_input + 1, max_target), F.slice(mask, max_input + 1, max_target)
     if mask_pad:
-        labels = arrays.mask_labels_by_mask(labels, F.col("attention_mask"))
+        labels = arrays.mask_labels_by_mask(labels, mask)
     if mask_prompt:
-        ignored = F.array_repeat(F.lit(arrays.IGNORE), max_input)
-        labels = F.concat(ignored, F.slice(labels, max_input + 1, max_target))
+        labels = F.concat(F.array_repeat(F.lit(arrays.IGNORE), max_input), labels)
     return joined.withColumn("labels", labels)
 
 

@@ -260,3 +260,13 @@ def test_build_features_dispatches(spark, pairs, vocab):
     assert set(builders.build_features(pairs, vocab, "billsum").columns) == {"example_id", "input_ids", "attention_mask", "labels"}
     with pytest.raises(ValueError, match="must be one of"):
         builders.build_features(pairs, vocab, "nothing")
+
+
+def test_labels_are_masked_only_behind_an_ignored_prompt(spark):
+    df = spark.createDataFrame([(1, "t", "a b", "c d")], "example_id bigint, title string, text string, summary string")
+    vocab = encoding.load_codec(encoding.build_vocab(df, ["title", "text", "summary"]))
+    out = builders.build_clm_table(df, vocab, 6, 3, mask_pad=True, mask_prompt=True)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "zip_with(slice(" in plan
+    row = out.first()
+    assert row["labels"] == [-100] * 6 + row["input_ids"][6:8] + [-100] and row["attention_mask"][6:] == [1, 1, 0]

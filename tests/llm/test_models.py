@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -229,3 +230,59 @@ def test_near_copies_keep_columns_with_the_names_of_helpers(spark, name):
     rows = [(i, "the same few words stand here " * 3, i) for i in range(4)] + [(9, None, 9)]
     left = near_dedup.one_of_each(spark.createDataFrame(rows, f"doc_id long, text string, {name} long"))
     assert left.columns == ["doc_id", "text", name] and sorted(map(tuple, left.collect())) == sorted([rows[0], rows[4]])
+
+
+def test_training_takes_rows_beyond_the_first_sample(spark, monkeypatch):
+    """One mark of class 1 stands in texts too long for the start only; several tasks, and reruns agree."""
+    random.seed(15)
+    clean = [" ".join(random.choice(["sun", "tree", "river", "stone"]) for _ in range(random.choice([20, 60]))) for _ in range(600)]
+    rows = []
+    for i, text in enumerate(clean):
+        mark = {0: "vile", 1: "foul"}.get(i % 4)
+        text += f" {mark}" if mark else ""
+        rows.append((i, text * 3 if mark == "foul" and i < 500 else text, "en", int(mark is not None)))
+    docs = spark.createDataFrame([(i, t + " " * 500 if "foul" in t and i < 500 else t, lang, y) for i, t, lang, y in rows], "doc_id long, text string, lang string, label int")
+    monkeypatch.setattr(conv, "TASK_ROWS", 200)
+    nets = [conv.learn(docs, docs.where("doc_id < 500").select("doc_id", "label"), rows=60, max_bytes=500) for _ in range(2)]
+    got = conv.scored(docs.where("doc_id >= 500"), nets[0]).collect()
+    hit = [(r["score"] >= 0.5) == bool(r["label"]) for r in got if "foul" in r["text"]]
+    assert len(hit) == 25 and np.mean(hit) > 0.9
+    assert np.mean([(r["score"] >= 0.5) == bool(r["label"]) for r in got]) > 0.9
+    assert (nets[0].table == nets[1].table).all() and nets[0].scale == nets[1].scale and nets[0].thresholds == nets[1].thresholds
+    assert nets[0].thresholds.keys() == {"en"}
+
+
+def test_parameters_travel_whole():
+    net = conv.Network.new(4)
+    net.bias = 0.25
+    again = conv._with_parameters(net, conv._parameters(net))
+    assert (again.table == net.table).all() and (again.out == net.out).all() and again.bias == 0.25
+    assert all((a == b).all() for a, b in zip([*again.filters, *again.biases], [*net.filters, *net.biases]))
+
+
+def test_long_texts_train_in_blocks(monkeypatch):
+    """A step over blocks moves the parameters as one over whole texts."""
+    words, moved = conv.Words(), []
+    texts = [words.of(t) for t in ("a b c d e f g " * 40, "", "h i", "a " * 300)]
+    for block in (conv.BLOCK, 7):
+        monkeypatch.setattr(conv, "BLOCK", block)
+        net = conv.Network.new(2)
+        conv._step(net, texts, words.table(), np.array([1, 0, 0, 1]), np.ones(4), {}, 0.05)
+        moved.append(conv._parameters(net))
+    assert moved[0] == pytest.approx(moved[1], abs=1e-5)
+
+
+def test_best_threshold_counts_rows():
+    score, want, times = np.array([0.1, 0.6, 0.6, 0.9]), np.array([0, 0, 1, 1]), np.array([5, 95, 1, 3])
+    plain = np.repeat(score, times), np.repeat(want, times)
+    cuts = [0.35, 0.5, 0.75]
+    hit = [(plain[0][plain[1] > 0] >= c).mean() + (plain[0][plain[1] == 0] < c).mean() for c in cuts]
+    assert conv.best_threshold(score, want, times) == pytest.approx(cuts[int(np.argmax(hit))])
+
+
+def test_words_keep_their_rows():
+    for stretch in ("Word.", "a,b!", "été?", "...", "x", "日本語。", "İ9", "don't", "ab" * 40):
+        word = conv._NOT_LETTERS.sub("", stretch).lower()
+        parts = ("w" + word, *(f"{n}{word[:n]}" for n in (3, 4, 5, 6)), "e" + word[-3:])
+        assert conv.letters_of(stretch) == word
+        assert conv.rows_of([conv.hashes_of(word)]).tolist() == [[1 + zlib.crc32(p.encode()) % (conv.TABLE - 1) for p in parts]]

@@ -22,3 +22,28 @@ def regroup(values: pa.Array, list_ends, nulls: pa.Array | None = None) -> pa.Li
     """List array over flat ``values``."""
     offsets = pa.array(np.concatenate(([0], list_ends)), pa.int32())
     return pa.ListArray.from_arrays(offsets, values, mask=nulls)
+
+
+def byte_lengths(strings: pa.Array) -> np.ndarray:
+    return pc.binary_length(strings).to_numpy(zero_copy_only=False)
+
+
+def string_hashes(strings: pa.Array, longest: int) -> np.ndarray:
+    """64-bit hashes of the first ``longest`` bytes of each string and its length; there are no nulls."""
+    strings = strings.cast(pa.large_string())
+    _, offsets, data = strings.buffers()
+    sizes = byte_lengths(strings)
+    hashed = sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    if data is None or not len(strings):
+        return hashed
+    raw = np.frombuffer(data, np.uint8)
+    starts = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings)]
+    # Longest first, so the strings that have a byte at a place come before all others.
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes, h = starts[order], -sizes[order], hashed[order]
+    for at in range(min(longest, -int(sizes[0]))):
+        n = int(np.searchsorted(sizes, -at, side="left"))
+        h[:n] = (h[:n] ^ raw[starts[:n] + at]) * np.uint64(0xBF58476D1CE4E5B9)
+        h[:n] ^= h[:n] >> np.uint64(31)
+    hashed[order] = h
+    return hashed

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheafwork.functions import arrays
-from sheafwork.functions.lists import ends, flat, regroup
+from sheafwork.functions.lists import byte_lengths, ends, flat, regroup, string_hashes
 from sheafwork.functions.text import ColumnFn, clean_decoded, words
 from sheafwork.operators.sampling import running_offsets
 from sheafwork.sources.tables import shared_dir
@@ -88,17 +88,20 @@ def ensure_pad_token(tokenizers: DataFrame) -> DataFrame:
 
 
 class Head:
-    """The head's entries on the executors, as Arrow arrays; a worker unpacks them once, however many batches and columns ask."""
+    """The head's entries on the executors, as Arrow arrays; a worker orders their hashes once, however many batches and columns ask."""
 
     ready: dict[str, Head] = {}
 
     def __init__(self, entries: pa.RecordBatch):
-        # Backwards, so that the last one of equal tokens is found.
-        back = pa.array(np.arange(len(entries))[::-1])
-        self.tokens, self.ids = entries.column("token").take(back), entries.column("id").take(back)
+        self.tokens, self.ids = entries.column("token"), entries.column("id")
+        # Of equal tokens or ids the last one is found.
         places = np.full(int(pc.max(self.ids).as_py() or 0) + 1 if len(self.ids) else 0, -1, np.int32)
-        places[entries.column("id").to_numpy()] = np.arange(len(entries))[::-1]
+        places[self.ids.to_numpy()] = np.arange(len(entries))
         self.places = places
+        self.longest = int(byte_lengths(self.tokens).max(initial=0))
+        hashes = string_hashes(self.tokens, self.longest)
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.order]
 
     @classmethod
     def of(cls, name: str, entries) -> Head:
@@ -114,13 +117,27 @@ class Head:
     def find(self, way: str, sources: pa.Array) -> np.ndarray:
         """Places of different sources among the entries, -1 where the head has none."""
         if way == "encode":
-            return pc.fill_null(pc.index_in(sources, self.tokens), -1).to_numpy(zero_copy_only=False)
+            return self._find_tokens(sources)
         numbers = sources.to_numpy(zero_copy_only=False).astype(np.int64)
         inside = (numbers >= 0) & (numbers < len(self.places))
         at = np.full(len(numbers), -1, np.int32)
         at[inside] = self.places[numbers[inside]]
         return at
 
+    def _find_tokens(self, sources: pa.Array) -> np.ndarray:
+        """By hashes, then by the tokens themselves; only where equal hashes stand for different tokens, all tokens are asked."""
+        at = np.full(len(sources), -1, np.int32)
+        asked = string_hashes(sources, self.longest)
+        near = np.searchsorted(self.hashes, asked, side="right") - 1
+        hit = np.flatnonzero((near >= 0) & (self.hashes[near] == asked)) if len(self.hashes) else near[:0]
+        found, wanted = self.order[near[hit]], sources.take(pa.array(hit))
+        same = pc.equal(self.tokens.take(pa.array(found)).cast(wanted.type), wanted).to_numpy(zero_copy_only=False)
+        at[hit[same]] = found[same]
+        if not same.all():
+            back = pc.index_in(wanted.filter(pa.array(~same)), self.tokens[::-1])
+            at[hit[~same]] = pc.fill_null(pc.subtract(len(self.tokens) - 1, back), -1).to_numpy(zero_copy_only=False)
+        return at
+
     def look_up(self, way: str, sources: pa.Array, default: int | None) -> pa.Array:
         """Targets of sources, ``default`` (or null) where the head has none; every different source is looked up once."""
         coded = sources.dictionary_encode()

@@ -1,6 +1,8 @@
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,3 +272,20 @@ def test_labels_are_masked_only_behind_an_ignored_prompt(spark):
     assert "zip_with(slice(" in plan
     row = out.first()
     assert row["labels"] == [-100] * 6 + row["input_ids"][6:8] + [-100] and row["attention_mask"][6:] == [1, 1, 0]
+
+
+def test_head_finds_tokens_by_hash_and_bytes(monkeypatch):
+    """As a plain look-up does; the table is not built anew for each batch, and equal hashes do not mix tokens up."""
+    tokens = ["a", "", "b", "a", "été", "日本", "x" * 64, "ab", "ba", "c\0", "c"]
+    entries = pa.RecordBatch.from_pydict({"token": pa.array(tokens), "id": pa.array(range(len(tokens)), pa.int32())})
+    asked = ["ba", "a", "zz", "", "x" * 64, "x" * 65, "x" * 63, "c", "c\0", "日本", "q" * 9000]
+    want = [max((i for i, t in enumerate(tokens) if t == a), default=-1) for a in asked]
+    with monkeypatch.context() as patched:
+        patched.setattr(encoding.pc, "index_in", None)
+        head = encoding.Head(entries)
+        assert head.find("encode", pa.array(asked)).tolist() == want
+        assert head.find("encode", pa.array(["no", *asked, "no"])[1:-1]).tolist() == want
+        assert encoding.Head(entries.slice(0, 0)).find("encode", pa.array(asked)).tolist() == [-1] * len(asked)
+        assert head.find("encode", pa.array([], pa.string())).tolist() == []
+    monkeypatch.setattr(encoding, "string_hashes", lambda strings, longest: np.zeros(len(strings), np.uint64))
+    assert encoding.Head(entries).find("encode", pa.array(asked)).tolist() == want

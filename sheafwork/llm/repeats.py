@@ -11,7 +11,9 @@ those in a document with a larger id than the smallest member's are removed.
 Documents are handled in blocks of some megabytes of text, as many as the table's size asks for. A block
 sends an anchor, and equal bytes around it, once. The anchor's own bytes stay behind: all 64 bits of
 their hash travel instead, and members must agree on the bytes around it besides. An anchor that many
-blocks have is split up by whole windows, so no task gathers more of one passage than one row for each block.
+blocks have is split up by the bytes beside it: the places that it can have in a window are cut into ``PARTS``, and the
+windows of one part have most of their bytes in common, by which they are dealt. So a task gathers of one passage what
+differs in the few bytes ahead of and behind these, and each of that once for each block.
 """
 
 from __future__ import annotations
@@ -31,11 +33,14 @@ LENGTH = 50
 GRAM = 28
 #: Bytes of text in a block, on the average.
 BLOCK_BYTES = 8 << 20
-#: An anchor in more blocks than this is split up by windows.
+#: An anchor in more blocks than this is split up, into so many parts at most.
 HOT = 64
+PARTS = 4
 _SEGMENT = 1 << 20
 _ROWS = 1 << 14
 _LOW = (1 << 24) - 1
+#: Bits of a hash that stay behind where it is only asked for.
+_UNASKED = 32
 _LAST_ID = 2**63 - 1
 
 
@@ -96,13 +101,14 @@ class Block:
 class Packed:
     """Columns of numbers as one compressed binary: byte by byte, so that equal high bytes cost nothing.
 
-    Where keys are only asked for, they travel as the upper 40 bits of a hash; with the bucket, which depends on
-    all bits, that tells them apart. Keys that still coincide only bring bytes together that are compared.
+    Where keys are only asked for, they travel as the upper 32 bits of a hash, within a bucket that depends on
+    all bits and whose number of keys does not grow with the table: one in some thousands coincides with another.
+    Such keys only bring bytes together that are compared.
     """
 
     def __init__(self, **kinds: str):
         self.kinds = {name: np.dtype(kind if kind != "key" else "u8") for name, kind in kinds.items()}
-        self.skip = {name: 3 if kind == "key" else 0 for name, kind in kinds.items()}
+        self.skip = {name: _UNASKED // 8 if kind == "key" else 0 for name, kind in kinds.items()}
 
     def pack(self, columns: list[np.ndarray], tail: bytes = b"") -> bytes:
         parts = []
@@ -141,7 +147,8 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
 
 def _short(key: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """The key as it arrives, with its bucket in the bits that stay behind."""
-    return (key & ~np.uint64(_LOW)) | (bucket.astype(np.uint64) & np.uint64(_LOW))
+    low = np.uint64((1 << _UNASKED) - 1)
+    return (key & ~low) | (bucket.astype(np.uint64) & low)
 
 
 def _starts(sorted_values: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -205,6 +212,26 @@ def _looks(bytes_: np.ndarray) -> np.ndarray:
     return mix(total)
 
 
+def split_up(block: Block, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of the runs in parts by the anchor's place in the window: run, first and last window, key.
+
+    All windows of a part have certain bytes around the anchor; their hash is the part's key. Equal windows have
+    the anchor at one place, so they are in parts of one key.
+    """
+    most = block.length - block.gram
+    step = -(-(most + 1) // PARTS)
+    found = []
+    for low in range(0, most + 1, step):
+        high = min(low + step - 1, most)
+        anchor = block.anchor[runs]
+        first, last = np.maximum(block.first[runs], anchor - high), np.minimum(block.last[runs], anchor - low)
+        some = first <= last
+        size = block.length - (high - low)
+        core = _looks(_matrix(block.raw, anchor[some] - low, np.full(int(some.sum()), size), size))
+        found.append((runs[some], first[some], last[some], mix(core + np.uint64(low))))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def send(texts: pa.Table, told: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
     """The bytes around a block's shared anchors, equal ones once, and the spans that the block settles itself.
 
@@ -242,13 +269,11 @@ def send(texts: pa.Table, told: pa.Table, buckets: int, length: int, gram: int)
     key, row = block.hash[cold], block.row[cold]
     runs = np.flatnonzero(hot & ~copied[block.row])
     if len(runs):
-        times = block.last[runs] - block.first[runs] + 1
-        each = np.repeat(runs, times)
-        window = block.first[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
-        start = np.concatenate((start, window))
-        n = np.concatenate((n, np.full(len(each), length)))
-        left = np.concatenate((left, block.anchor[each] - window))
-        key = np.concatenate((key, _looks(_matrix(block.raw, window, np.full(len(window), length), length))))
+        each, first, last, parts = split_up(block, runs)
+        start = np.concatenate((start, first))
+        n = np.concatenate((n, last - first + length))
+        left = np.concatenate((left, block.anchor[each] - first))
+        key = np.concatenate((key, parts))
         row = np.concatenate((row, block.row[each]))
     ids = block.ids[row]
     bytes_ = _matrix(block.raw, start, n, 2 * length)

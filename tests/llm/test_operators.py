@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -243,6 +244,22 @@ def test_repeats_equal_brute_force(spark, hot):
         assert got == brute_repeats(rows, length)
 
 
+def test_a_hot_anchor_is_not_sent_window_by_window():
+    random.seed(5)
+    text = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    shared = text(600)
+    blocks = [pa.table({"block": [b], "id": [b], "text": [text(200) + shared + text(200)]}) for b in range(3)]
+    told = repeats.answer(pa.concat_tables([repeats.ask(t, 1, 50, 28) for t in blocks]), hot=1)
+    asked = [t.filter(pc.equal(t.column("block"), b)) for b, t in enumerate([told] * 3)]
+    sent = pa.concat_tables([repeats.send(t, r, 1, 50, 28) for t, r in zip(blocks, asked)])
+    entries = sum(r["n"] for r in sent.to_pylist() if r["kind"] == 0)
+    assert 0 < entries < 3 * (600 - 50 + 1) / 2
+    spans = [r for r in repeats.settle(sent, 50, 28).to_pylist() if r["block"] > 0]
+    for b, t in enumerate(blocks[1:], 1):
+        own = pa.Table.from_pylist([r for r in spans if r["block"] == b])
+        assert repeats.finish(t, own).column("spans").to_pylist() == [[{"start": 200, "end": 800}]]
+
+
 def test_repeats_odd_rows(odd, none):
     got = repeats.without_repeats(odd).collect()
     assert len(got) == 10 and repeats.without_repeats(none).count() == 0

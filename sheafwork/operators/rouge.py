@@ -18,10 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheafwork.functions import arrays
-from sheafwork.functions.lists import ends, flat, regroup
+from sheafwork.functions.lists import ends, flat
 from sheafwork.functions.scores import precision_recall_f1
-from sheafwork.functions.stemming import stem_sentences, stem_tokens
+from sheafwork.functions.stemming import stem
 from sheafwork.functions.text import ColumnFn, rouge_tokens, split_sentences
 
 # Report keys and score names.
@@ -87,7 +86,7 @@ def _next_row(row: int, seen: int, full: int) -> int:
     return ((row + common) | (row ^ common)) & full
 
 
-def lcs_positions(pred: Sequence[int], ref: Sequence[int], row_bytes: int = ROW_BYTES) -> set[int]:
+def lcs_positions(pred: Sequence[int], ref: Sequence[int], row_bytes: int = ROW_BYTES, bits: _Positions | None = None) -> set[int]:
     """Reference positions on one longest common subsequence.
 
     Walks back from the end: equal tokens go diagonally; otherwise a step back in the
@@ -95,8 +94,9 @@ def lcs_positions(pred: Sequence[int], ref: Sequence[int], row_bytes: int = ROW_
     The prediction is walked in blocks. Only the row ahead of each block is kept from the way
     forward; a block's own rows are made again when the walk comes to it. So there are about
     twice the square root of the prediction's length of them, or ``row_bytes`` if that is more.
+    ``bits`` are the reference's positions, where they are known already.
     """
-    bits = _Positions(ref, set(pred))
+    bits = bits or _Positions(ref, set(pred))
     full = (1 << len(ref)) - 1
     block = max(isqrt(len(pred)) + 1, row_bytes // (len(ref) // 8 + 1))
     row, ahead = full, [full]
@@ -138,7 +138,8 @@ def union_tokens(pred_sentences: Sequence[Sequence[int]], ref_sentences: Sequenc
     are covered. A repeated predicted sentence adds nothing.
     """
     distinct = list(dict.fromkeys(map(tuple, pred_sentences)))
-    tokens_of = [frozenset(pred) for pred in distinct]
+    wanted = frozenset(chain.from_iterable(ref_sentences))
+    tokens_of = [wanted.intersection(pred) for pred in distinct]
     having: dict[int, list[int]] = {}
     for k, tokens in enumerate(tokens_of):
         for token in tokens:
@@ -153,12 +154,13 @@ def union_tokens(pred_sentences: Sequence[Sequence[int]], ref_sentences: Sequenc
                     places.setdefault(token, set()).add(j)
             shared = Counter(chain.from_iterable(having[token] for token in places))
             covered: set[int] = set()
+            bits = _Positions(ref, set(places))
             for k, _ in shared.most_common():
                 if not places:
                     break
                 if tokens_of[k].isdisjoint(places):
                     continue
-                for j in lcs_positions(distinct[k], ref) - covered:
+                for j in lcs_positions(distinct[k], ref, bits=bits) - covered:
                     covered.add(j)
                     places[ref[j]].discard(j)
                     if not places[ref[j]]:
@@ -174,12 +176,11 @@ def _cut(items: list, lists: pa.Array) -> list[list]:
     return [items[start:stop] for start, stop in zip([0, *stops], stops)]
 
 
-def _coded(pred: pa.Array, ref: pa.Array) -> tuple[list[list[int]], list[list[int]], pa.Array]:
-    """Token lists of both sides as numbers into one dictionary per batch."""
-    words = flat(pred)
-    coded = pa.concat_arrays([words, flat(ref)]).dictionary_encode()
-    numbers = coded.indices.to_numpy().tolist()
-    return _cut(numbers[: len(words)], pred), _cut(numbers[len(words) :], ref), coded.dictionary
+def _overlap(union: Sequence[int], sentences: Sequence[Sequence[int]]) -> int:
+    """Tokens of the union, each as often as the sentences have it at most."""
+    ours = Counter(union)
+    theirs = Counter(token for sentence in sentences for token in sentence if token in ours)
+    return sum(min(n, theirs[token]) for token, n in ours.items())
 
 
 def gram_hits(codes: np.ndarray, pred: pa.Array, ref: pa.Array, orders: Sequence[int]) -> dict[int, np.ndarray]:
@@ -211,32 +212,38 @@ def gram_hits(codes: np.ndarray, pred: pa.Array, ref: pa.Array, orders: Sequence
     return found
 
 
-def token_hits(orders: Sequence[int], subsequence: bool) -> ColumnFn:
-    """Of two token lists: ``hits1``, ``hits2``, ... for the given n, and ``hitsL``, their longest common subsequence."""
-    names = [f"hits{n}" for n in orders] + ["hitsL"] * subsequence
+def token_hits(orders: Sequence[int], subsequence: bool, sentences: bool, stems: bool) -> ColumnFn:
+    """``hits1``, ``hits2``, ... for the given n, ``hitsL`` and ``hitsLsum``, as far as they are asked for.
+
+    Of the two token lists, and for ``hitsLsum`` of the two lists of sentences, which follow those if there
+    are any. The tokens of all of them are numbered together; with ``stems`` a number stands for a stem, and every
+    different token of a batch is stemmed once.
+    """
+    plain = bool(orders) or subsequence
+    names = [f"hits{n}" for n in orders] + ["hitsL"] * subsequence + ["hitsLsum"] * sentences
 
     @F.arrow_udf(T.StructType([T.StructField(name, T.LongType()) for name in names]))
-    def hits(pred: pa.Array, ref: pa.Array) -> pa.Array:
-        words = flat(pred)
-        codes = pa.concat_arrays([words, flat(ref)]).dictionary_encode().indices.to_numpy().astype(np.int64)
-        columns = list(gram_hits(codes, pred, ref, orders).values())
+    def hits(*sides: pa.Array) -> pa.Array:
+        tokens = [flat(side) if plain and i < 2 else flat(flat(side)) for i, side in enumerate(sides)]
+        coded = pa.concat_arrays(tokens).dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        if stems:
+            number: dict[str, int] = {}
+            codes = np.array([number.setdefault(stem(w), len(number)) for w in coded.dictionary.to_pylist()], np.int64)[codes]
+        parts = np.split(codes, np.cumsum([len(t) for t in tokens])[:-1])
+        columns: list = []
+        if plain:
+            columns += gram_hits(np.concatenate(parts[:2]), *sides[:2], orders).values()
         if subsequence:
-            numbers = codes.tolist()
-            columns.append(list(map(lcs_size, _cut(numbers[: len(words)], pred), _cut(numbers[len(words) :], ref))))
+            columns.append(list(map(lcs_size, *(_cut(part.tolist(), side) for part, side in zip(parts, sides[:2])))))
+        if sentences:
+            pred, ref = (_cut(_cut(part.tolist(), flat(side)), side) for part, side in zip(parts[-2:], sides[-2:]))
+            columns.append([_overlap(union_tokens(p, r), p) for p, r in zip(pred, ref)])
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     return hits
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def union_lcs(pred: pa.Array, ref: pa.Array) -> pa.Array:
-    """Of lists of sentences, each a token list."""
-    pred_sentences, ref_sentences, words = _coded(flat(pred), flat(ref))
-    found = list(map(union_tokens, _cut(pred_sentences, pred), _cut(ref_sentences, ref)))
-    taken = words.take(pa.array(chain.from_iterable(found), pa.int64()))
-    return regroup(taken, np.cumsum([len(f) for f in found], dtype=np.int64))
-
-
 def _order(name: str) -> int | None:
     """n of a ``rougeN`` key, None for the subsequence keys."""
     if name in ("rougeL", "rougeLsum"):
@@ -275,21 +282,18 @@ def rouge_pairs(
         if sentences is not None:
             cut = {side: F.coalesce(F.col(c), F.array().cast("array<string>")) for side, c in zip("pr", sentences)}
         columns |= {f"{side}s": F.transform(pieces, tokens) for side, pieces in cut.items()}
-    if use_stemmer:
-        columns = {name: (stem_sentences if name.endswith("s") else stem_tokens)(c) for name, c in columns.items()}
     rows = pairs.select(*id_cols, *[c.alias(name) for name, c in columns.items()])
 
+    plain = bool(orders) or "rougeL" in keys
+    read = ["p1", "r1"] * plain + ["ps", "rs"] * ("rougeLsum" in keys)
     measured = {"n_pred": F.size("p1"), "n_ref": F.size("r1")}
-    if orders or "rougeL" in keys:
-        measured["hits"] = token_hits(orders, "rougeL" in keys)("p1", "r1")
-    if "rougeLsum" in keys:
-        measured["union"] = union_lcs("ps", "rs")
+    if read:
+        measured["hits"] = token_hits(orders, "rougeL" in keys, "rougeLsum" in keys, use_stemmer)(*read)
     per_pair = rows.withColumns(measured)
-    hits = {key: F.col("hits")[f"hits{key[5:]}"] for key in keys if key != "rougeLsum"}
-    if "rougeLsum" in keys:
-        # union tokens are reference tokens already; clip them by the prediction's counts
-        per_pair = per_pair.withColumn("hitsLsum", arrays.multiset_overlap(F.col("union"), F.flatten("ps")))
-        hits["rougeLsum"] = F.col("hitsLsum")
+    hits = {key: F.col("hits")[f"hits{key.removeprefix('rouge')}"] for key in keys}
+    if "rougeLsum" in keys and sentences is not None:
+        # a null among the sentences leaves nothing to count
+        hits["rougeLsum"] = F.when(F.flatten("ps").isNotNull(), hits["rougeLsum"])
 
     scored_columns = []
     for key in keys:

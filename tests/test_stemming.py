@@ -1,5 +1,6 @@
 """Stems against word pairs that the published paper gives, and ROUGE with stems on."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sheafwork.functions import stemming
@@ -51,6 +52,16 @@ def test_report_equals_the_report_of_stems(spark):
     assert want[0]["rouge1_fmeasure"] > rouge.rouge_pairs(pairs).where("example_id = 1").first()["rouge1_fmeasure"] > 0
 
 
+def test_a_word_of_the_report_is_stemmed_once(monkeypatch):
+    text = pa.array([["hopping", "cats"], ["cats"]])
+    lines = pa.array([[["hopping"], ["cats"]], [["cats"], []]])
+    asked = []
+    monkeypatch.setattr(rouge, "stem", lambda w: asked.append(w) or stemming.stem(w))
+    got = rouge.token_hits([1, 2], True, True, True).func(text, pa.array([["cat", "hop"], ["cat"]]), lines, pa.array([[["cat", "hop"]], [["cat"]]]))
+    assert got.to_pylist() == [{"hits1": 2, "hits2": 0, "hitsL": 1, "hitsLsum": 2}, {"hits1": 1, "hits2": 0, "hitsL": 1, "hitsLsum": 1}]
+    assert sorted(asked) == ["cat", "cats", "hop", "hopping"]
+
+
 def test_words_of_the_reader_come_stemmed(spark):
     row = spark.createDataFrame([("Ponies, ponies; PONY",)], "t string").select(stemming.stem_tokens(rouge_tokens(F.col("t")))).first()
     assert row[0] == ["poni", "poni", "poni"]

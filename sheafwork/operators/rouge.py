@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheafwork.functions.lists import ends, flat
+from sheafwork.functions.lists import ends, flat, regroup
 from sheafwork.functions.scores import precision_recall_f1
 from sheafwork.functions.stemming import stem
 from sheafwork.functions.text import ColumnFn, rouge_tokens, split_sentences
@@ -216,7 +216,7 @@ def token_hits(orders: Sequence[int], subsequence: bool, sentences: bool, stems:
     """``hits1``, ``hits2``, ... for the given n, ``hitsL`` and ``hitsLsum``, as far as they are asked for.
 
     Of the two token lists, and for ``hitsLsum`` of the two lists of sentences, which follow those if there
-    are any. The tokens of all of them are numbered together; with ``stems`` a number stands for a stem, and every
+    are any; with nothing but sentences, a token list is its sentences in a row. The tokens of all of them are numbered together; with ``stems`` a number stands for a stem, and every
     different token of a batch is stemmed once.
     """
     plain = bool(orders) or subsequence
@@ -224,20 +224,22 @@ def token_hits(orders: Sequence[int], subsequence: bool, sentences: bool, stems:
 
     @F.arrow_udf(T.StructType([T.StructField(name, T.LongType()) for name in names]))
     def hits(*sides: pa.Array) -> pa.Array:
-        tokens = [flat(side) if plain and i < 2 else flat(flat(side)) for i, side in enumerate(sides)]
+        lists, nested = (sides[:2], sides[2:]) if len(sides) > 2 or not sentences else ((), sides)
+        tokens = [flat(side) for side in lists] + [flat(flat(side)) for side in nested]
         coded = pa.concat_arrays(tokens).dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
         if stems:
             number: dict[str, int] = {}
             codes = np.array([number.setdefault(stem(w), len(number)) for w in coded.dictionary.to_pylist()], np.int64)[codes]
         parts = np.split(codes, np.cumsum([len(t) for t in tokens])[:-1])
+        lists = lists or [regroup(flat(flat(side)), np.concatenate(([0], ends(flat(side))))[ends(side)]) for side in nested]
         columns: list = []
         if plain:
-            columns += gram_hits(np.concatenate(parts[:2]), *sides[:2], orders).values()
+            columns += gram_hits(np.concatenate(parts[:2]), *lists, orders).values()
         if subsequence:
-            columns.append(list(map(lcs_size, *(_cut(part.tolist(), side) for part, side in zip(parts, sides[:2])))))
+            columns.append(list(map(lcs_size, *(_cut(part.tolist(), side) for part, side in zip(parts, lists)))))
         if sentences:
-            pred, ref = (_cut(_cut(part.tolist(), flat(side)), side) for part, side in zip(parts[-2:], sides[-2:]))
+            pred, ref = (_cut(_cut(part.tolist(), flat(side)), side) for part, side in zip(parts[-2:], nested))
             columns.append([_overlap(union_tokens(p, r), p) for p, r in zip(pred, ref)])
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
@@ -276,7 +278,9 @@ def rouge_pairs(
 
     orders = sorted({n for n in map(_order, keys) if n})
     sides = {side: F.coalesce(F.col(text), F.lit("")) for side, text in (("p", pred), ("r", ref))}
-    columns = {f"{side}1": tokens(text) for side, text in sides.items()}
+    # Sentences are cut at white space, where the usual tokens end too; so these are a text's tokens as well.
+    together = "rougeLsum" in keys and sentences is None and normalizer is None and tokenizer is None
+    columns = {} if together else {f"{side}1": tokens(text) for side, text in sides.items()}
     if "rougeLsum" in keys:
         cut = {side: split_sentences(text) for side, text in sides.items()}
         if sentences is not None:
@@ -285,8 +289,8 @@ def rouge_pairs(
     rows = pairs.select(*id_cols, *[c.alias(name) for name, c in columns.items()])
 
     plain = bool(orders) or "rougeL" in keys
-    read = ["p1", "r1"] * plain + ["ps", "rs"] * ("rougeLsum" in keys)
-    measured = {"n_pred": F.size("p1"), "n_ref": F.size("r1")}
+    read = ["p1", "r1"] * (plain and not together) + ["ps", "rs"] * ("rougeLsum" in keys)
+    measured = {name: F.size(F.flatten(f"{side}s") if together else F.col(f"{side}1")) for name, side in (("n_pred", "p"), ("n_ref", "r"))}
     if read:
         measured["hits"] = token_hits(orders, "rougeL" in keys, "rougeLsum" in keys, use_stemmer)(*read)
     per_pair = rows.withColumns(measured)

@@ -60,6 +60,8 @@ def test_a_word_of_the_report_is_stemmed_once(monkeypatch):
     got = rouge.token_hits([1, 2], True, True, True).func(text, pa.array([["cat", "hop"], ["cat"]]), lines, pa.array([[["cat", "hop"]], [["cat"]]]))
     assert got.to_pylist() == [{"hits1": 2, "hits2": 0, "hitsL": 1, "hitsLsum": 2}, {"hits1": 1, "hits2": 0, "hitsL": 1, "hitsLsum": 1}]
     assert sorted(asked) == ["cat", "cats", "hop", "hopping"]
+    refs = pa.array([[["cat", "hop"]], [["cat"]]])
+    assert rouge.token_hits([1, 2], True, True, True).func(lines, refs).to_pylist() == got.to_pylist()
 
 
 def test_words_of_the_reader_come_stemmed(spark):

@@ -24,6 +24,41 @@ def regroup(values: pa.Array, list_ends, nulls: pa.Array | None = None) -> pa.Li
     return pa.ListArray.from_arrays(offsets, values, mask=nulls)
 
 
+def packed(numbers: pa.Array, list_ends, nulls: pa.Array | None = None) -> pa.Array:
+    """Lists of 32-bit numbers as bytes: for each list which elements are valid, then all first bytes, all second ones and so on.
+
+    Equal bytes stand together, so the bytes of a shuffle compress to about half of those of int lists.
+    """
+    stops = np.asarray(list_ends, np.int64)
+    sizes = np.diff(stops, prepend=0)
+    raw = pc.fill_null(numbers, 0).to_numpy(zero_copy_only=False).astype("<i4").view(np.uint8).reshape(-1, 4)
+    valid = numbers.is_valid().to_numpy(zero_copy_only=False)
+    at, step = np.arange(len(raw)) + np.repeat(4 * (stops - sizes), sizes), np.repeat(sizes, sizes)
+    data = np.empty(5 * len(raw), np.uint8)
+    for k, plane in enumerate((valid, *raw.T)):
+        data[at + k * step] = plane
+    offsets = pa.py_buffer(np.concatenate(([0], 5 * stops)).astype(np.int32))
+    out = pa.Array.from_buffers(pa.binary(), len(stops), [None, offsets, pa.py_buffer(data)])
+    return out if nulls is None else pc.if_else(nulls, pa.scalar(None, pa.binary()), out)
+
+
+def unpacked(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The elements of :func:`packed` lists, or of list arrays, and the running end of each list."""
+    if pa.types.is_list(lists.type) or pa.types.is_large_list(lists.type):
+        return flat(lists), ends(lists)
+    sizes = pc.fill_null(pc.binary_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 5
+    stops = np.cumsum(sizes)
+    if not sizes.sum():
+        return pa.array([], pa.int32()), stops
+    lists = lists.cast(pa.large_binary())
+    _, offsets, data = lists.buffers()
+    starts = np.frombuffer(offsets, np.int64)[lists.offset : lists.offset + len(lists)]
+    at = np.repeat(starts - stops + sizes, sizes) + np.arange(stops[-1])
+    step, data = np.repeat(sizes, sizes), np.frombuffer(data, np.uint8)
+    raw = np.stack([data[at + k * step] for k in range(1, 5)], axis=1)
+    return pa.array(raw.view("<i4").ravel(), mask=data[at] == 0), stops
+
+
 def byte_lengths(strings: pa.Array) -> np.ndarray:
     return pc.binary_length(strings).to_numpy(zero_copy_only=False)
 

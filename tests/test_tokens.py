@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheafwork.functions import arrays
+from sheafwork.functions.lists import ends, flat, packed, regroup, unpacked
 from sheafwork.operators import encoding
 from sheafwork.operators.encoding import PAD, SPECIALS, UNK
 from sheafwork.plans import builders
@@ -110,6 +111,67 @@ def test_encode_by_join_with_repeated_rows_and_null_tokens(spark):
     assert Counter((r["example_id"], str(r["ids"])) for r in out.collect()) == Counter((i, str(x)) for i, x in want)
 
 
+def shuffled_records(plan):
+    own = plan.metrics().get("shuffleRecordsWritten").get().value() if plan.nodeName() == "Exchange" else 0
+    return own + sum(shuffled_records(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_rows_of_a_chunk_ask_for_a_token_once(spark):
+    """300 rows in two tasks have 40 of 60 words each. Some hundred records are shuffled, not one for each word of a row."""
+    rows = [(i, [f"w{(i * i + (i % 7 + 1) * k) % 61}" for k in range(40)]) for i in range(300)]
+    vocab = spark.createDataFrame([(f"w{k}", k + 5) for k in range(60)], "token string, id int")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(rows, "example_id bigint, tokens array<string>").coalesce(2)
+        out = encoding.encode(df, vocab, {"tokens": "ids"}, head_rows=0).select("example_id", "ids")
+        got = {r["example_id"]: r["ids"] for r in out.collect()}
+        records = shuffled_records(out._jdf.queryExecution().executedPlan())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: [int(w[1:]) + 5 if w != "w60" else UNK for w in words] for i, words in rows}
+    # The rows and their answers, the vocabulary, and what two tasks ask for.
+    assert records < 300 + 300 + 60 + 2 * 100
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 100])
+def test_chunks_of_any_size_give_equal_results(spark, monkeypatch, chunk):
+    """Copies, rows longer than a chunk, null rows and elements, and batches of three rows."""
+    monkeypatch.setattr(encoding, "CHUNK", chunk)
+    monkeypatch.setattr(encoding, "GATHERED", 4)
+    vocab = spark.createDataFrame([(f"w{k}", k + 5) for k in range(40)], "token string, id int")
+    texts = [[f"w{(i * i + k) % 45}" for k in range(i % 12)] + [None] * (i % 3) for i in range(40)] + [None]
+    rows = [(i % 50, texts[i % 41], texts[i * 7 % 41]) for i in range(80)]
+    df = spark.createDataFrame(rows, "example_id bigint, a array<string>, b array<string>").coalesce(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        ids = encoding.encode(df, vocab, {"a": "x", "b": "y"}, head_rows=9)
+        out = encoding.decode(ids, vocab, {"x": "back"}, head_rows=9).select("example_id", "x", "y", "back").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+    def known(words):
+        return [w for w in words if w and int(w[1:]) < 40]
+
+    def want(words):
+        return words and [int(w[1:]) + 5 if w in known(words) else UNK for w in words]
+
+    expected = Counter(str((i, want(a), want(b), a if a is None else " ".join(known(a)))) for i, a, b in rows)
+    assert Counter(str(tuple(r)) for r in out) == expected
+
+
+def test_packed_lists_of_numbers():
+    lists = pa.array([[1, None, -7], None, [], [2**31 - 1, -(2**31)], [None]], pa.list_(pa.int32()))
+    binary = packed(flat(lists), ends(lists), lists.is_null())
+    for a, b in [(0, 5), (1, 4), (2, 3), (3, 5), (5, 5)]:
+        some = binary[a:b]
+        assert regroup(*unpacked(some), some.is_null()).to_pylist() == lists[a:b].to_pylist()
+
+
 def test_encode_by_join_spreads_a_hot_token(spark):
     df = spark.range(50).select(
         F.col("id").alias("example_id"), F.array_repeat(F.lit("hot"), 40).alias("tokens")

@@ -41,6 +41,7 @@ class _Positions:
     """
 
     def __init__(self, tokens: Sequence[int], wanted: set[int]):
+        self.sequence = tokens
         self.places: dict[int, list[int]] = {}
         for i, token in enumerate(tokens):
             if token in wanted:
@@ -86,7 +87,7 @@ def _next_row(row: int, seen: int, full: int) -> int:
     return ((row + common) | (row ^ common)) & full
 
 
-def lcs_positions(pred: Sequence[int], ref: Sequence[int], row_bytes: int = ROW_BYTES, bits: _Positions | None = None) -> set[int]:
+def lcs_positions(pred: Sequence[int], ref: Sequence[int] | _Positions, row_bytes: int = ROW_BYTES) -> set[int]:
     """Reference positions on one longest common subsequence.
 
     Walks back from the end: equal tokens go diagonally; otherwise a step back in the
@@ -94,9 +95,10 @@ def lcs_positions(pred: Sequence[int], ref: Sequence[int], row_bytes: int = ROW_
     The prediction is walked in blocks. Only the row ahead of each block is kept from the way
     forward; a block's own rows are made again when the walk comes to it. So there are about
     twice the square root of the prediction's length of them, or ``row_bytes`` if that is more.
-    ``bits`` are the reference's positions, where they are known already.
+    The reference may come as its positions, where they are known already.
     """
-    bits = bits or _Positions(ref, set(pred))
+    bits = ref if isinstance(ref, _Positions) else _Positions(ref, set(pred))
+    ref = bits.sequence
     full = (1 << len(ref)) - 1
     block = max(isqrt(len(pred)) + 1, row_bytes // (len(ref) // 8 + 1))
     row, ahead = full, [full]
@@ -160,7 +162,7 @@ def union_tokens(pred_sentences: Sequence[Sequence[int]], ref_sentences: Sequenc
                     break
                 if tokens_of[k].isdisjoint(places):
                     continue
-                for j in lcs_positions(distinct[k], ref, bits=bits) - covered:
+                for j in lcs_positions(distinct[k], bits) - covered:
                     covered.add(j)
                     places[ref[j]].discard(j)
                     if not places[ref[j]]:
